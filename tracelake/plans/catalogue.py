@@ -1,0 +1,4 @@
+"""Registered queries of the analytics operators."""
+
+QUERIES: dict = {}
+SQL: dict = {}
