@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import byte_bpe, quality, sharding, token_count
-from tracelake.llm.common import table
+from tracelake.llm import byte_bpe, decontaminate, jaccard, language, pii, quality, records, sharding, token_count, warc
+from tracelake.llm.common import Workspace, table
 
 SHARDS = 40
 
@@ -16,23 +16,75 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Workspace(spark, "op2"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = language.from_documents(table(spark, sf_dir, "documents"))
+    return language.identify(rows, Workspace(spark, "op3"))
+
+
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = language.from_pages(table(spark, sf_dir, "pages"))
+    return language.identify(rows, Workspace(spark, "pages_language"), id_col="page_id")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Workspace(spark, "op5").path("archives")
+    warc.write(warc.captures(table(spark, sf_dir, "pages")), folder)
+    read = warc.transactions(spark, folder)
+    revisit = F.col("response.record_type") == "revisit"
+    return read.select(
+        F.col("metadata.page_id").alias("page_id"),
+        F.when(revisit, F.col("metadata.payload_bytes")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"), F.col("metadata.refers_to").alias("refers_to"),
+    )
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), Workspace(spark, "op6"), words=4, percent=85)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Workspace(spark, "op8").path("records")
+    manifest = records.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return records.read_digests(spark, manifest)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), Workspace(spark, "op10"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == pii.KINDS.index(k))).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc_id", *[count(k) for k in pii.BASE_KINDS], F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"),
+        pii.written(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_decontamination": op2_decontamination,
+    "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
+    "op5_warc": op5_warc,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_bpe": op7_bpe,
+    "op8_token_records": op8_token_records,
     "op9_sharding": op9_sharding,
+    "op10_pii": op10_pii,
+    "pages_language_id": pages_language_id,
 }
 SQL: dict[str, str] = {}
