@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOCAL_FALLBACK = "file:///tmp/checkpoints/tracelake"
 
@@ -19,6 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or LOCAL_FALLBACK).rstrip("/")
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(staged: DataFrame) -> DataFrame:
+    """A staged narrow table, to be broadcast if it has at most BROADCAST_ROWS rows and shuffled if more."""
+    return F.broadcast(staged) if staged.count() <= BROADCAST_ROWS else staged
+
+
 class Workspace:
     """Tables written to the shared folder, to cut lineage and to survive lost executors.
 
