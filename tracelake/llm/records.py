@@ -20,9 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 400_000
-CACHE_KEY_CHARS = 64
-GROUP_CHARS = 1 << 20
+from tracelake.llm import textvec
+from tracelake.llm.library_bpe import LibraryEncoder
+
 NULL_ID = -(1 << 63)
 MASK_DELTA = 0xA282EAD8
 
@@ -56,52 +56,6 @@ def frames(stream) -> Iterator[bytes]:
         yield payload
 
 
-class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct stretch between spaces.
-
-    Byte-level pre-tokens never reach over a space that follows a non-space, so the ids
-    of a text are those of its stretches; texts with longer runs around a space, or with
-    the string of an added token, go to the library whole.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        from tracelake.llm.byte_bpe import RUNS
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
-        self.runs = RUNS
-        self.cache: dict[str, bytes] = {}
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian integers of ``width`` bytes."""
-        cut, whole = [], []
-        for n, text in enumerate(texts):
-            if any(s in text for s in self.added) or self.runs.search(text):
-                whole.append(n)
-                cut.append(None)
-            else:
-                first, *rest = text.split(" ")
-                cut.append([first, *[" " + x for x in rest]] if rest else [first])
-        missing = list({u for units in cut if units for u in units}.difference(self.cache))
-        found = dict(zip(missing, self._ask(missing), strict=True)) if missing else {}
-        get, cache = found.get, self.cache
-        out = [b"".join([cache[u] if u in cache else get(u) for u in units]) if units else b"" for units in cut]
-        for n, ids in zip(whole, self._ask([texts[n] for n in whole]) if whole else [], strict=True):
-            out[n] = ids
-        if len(cache) + len(found) > CACHE_ENTRIES:
-            cache.clear()
-        cache.update((u, x) for u, x in found.items() if len(u) <= CACHE_KEY_CHARS)
-        return out
-
-
 _loaded: dict[str, LibraryEncoder] = {}
 
 
@@ -135,32 +89,22 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
         end = int(end_id).to_bytes(encoder.width, "little")
         n_docs = n_tokens = offset = 0
         with fs.open_output_stream(f"{own}.rec") as records, fs.open_output_stream(f"{own}.idx") as index:
-
-            def put(ids: list[int | None], texts: list[str]) -> None:
-                nonlocal n_docs, n_tokens, offset
-                out, entries = [], []
-                for doc, coded in zip(ids, encoder.encode(texts), strict=True):
-                    doc = NULL_ID if doc is None else doc
-                    framed = frame(struct.pack(OWN, doc, encoder.width) + coded + end)
-                    tokens = len(coded) // encoder.width + 1
-                    entries.append(struct.pack(ENTRY, doc, offset, tokens))
-                    out.append(framed)
-                    offset += len(framed)
-                    n_tokens += tokens
-                n_docs += len(ids)
-                records.write(b"".join(out))
-                index.write(b"".join(entries))
-
             for batch in batches:
-                ids, texts, size = [], [], 0
-                for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                    ids.append(doc.as_py())
-                    texts.append(text.as_py() or "")
-                    size += len(texts[-1])
-                    if size >= GROUP_CHARS:
-                        put(ids, texts)
-                        ids, texts, size = [], [], 0
-                put(ids, texts)
+                docs = batch.column(0).to_pylist()
+                for chunk in textvec.chunks(batch.column(1)):
+                    ids, counts = encoder.encode(chunk)
+                    coded = ids.astype(f"<u{encoder.width}").tobytes()
+                    out, entries, at = [], [], 0
+                    for doc, count in zip(docs[chunk.first_row : chunk.first_row + chunk.n_docs], counts.tolist(), strict=True):
+                        doc = NULL_ID if doc is None else doc
+                        upto = at + count * encoder.width
+                        framed = frame(struct.pack(OWN, doc, encoder.width) + coded[at:upto] + end)
+                        entries.append(struct.pack(ENTRY, doc, offset, count + 1))
+                        out.append(framed)
+                        offset, at = offset + len(framed), upto
+                    n_docs, n_tokens = n_docs + chunk.n_docs, n_tokens + len(ids) + chunk.n_docs
+                    records.write(b"".join(out))
+                    index.write(b"".join(entries))
         for kind in ("rec", "idx"):
             fs.move(f"{own}.{kind}", f"{final}.{kind}")
         row = [[part], [f"{folder}/part-{part:06d}.rec"], [n_docs], [n_tokens]]
