@@ -6,13 +6,14 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 CACHE_KEY_CHARS = 64
 
 # Fixed value: Unicode White_Space, and the published byte-level pre-tokenizer pattern over it.
@@ -20,8 +21,8 @@ SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRETOKEN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 )
-#: Where cutting before each space could cut inside a run of white space.
-RUNS = regex.compile(rf"[{SPACES}] (?:[{SPACES}]|\Z)|\A [{SPACES}]")
+#: White space that is more than one space or line feed between other characters.
+RUNS = regex.compile(rf"[{SPACES}]{{2}}|[^\S \n]|[\x85\x1c-\x1f]")
 
 
 def byte_chars() -> list[str]:
@@ -35,17 +36,19 @@ def pretokens(text: str) -> list[str]:
     return PRETOKEN.findall(text)
 
 
-def units(text: str) -> list[str]:
-    """Cut a text where pre-tokens surely begin; the pieces can be encoded one by one.
+def pieces(text: str) -> list[str] | None:
+    """Cut a text where pre-tokens surely begin, so that the pieces can be encoded one by one.
 
-    A space after a non-space begins a pre-token, so texts without longer runs around
-    a space are cut there; others are cut into their pre-tokens.
+    A single space or line feed between other characters begins a pre-token.  The first
+    piece stands as it is; a later one that starts with a line feed does too, others
+    stand for themselves with a space before.  None for texts with longer or other white
+    space, which are to be pre-tokenized whole.
     """
-    if RUNS.search(text):
-        return pretokens(text)
-    first, *rest = text.split(" ")
-    found = [" " + x for x in rest]
-    return [first, *found] if first else found
+    return None if RUNS.search(text) else text.replace("\n", " \n").split(" ")
+
+
+def whole_piece(piece: str) -> str:
+    return piece if piece[:1] == "\n" else " " + piece
 
 
 class ByteBPE:
@@ -66,7 +69,9 @@ class ByteBPE:
         self.pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
         self.decimals = [str(i) for i in range(len(self.pieces))]
         self.added_pattern = regex.compile("|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.tokens: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, tuple[int, ...]] = {}  # pieces in two generations: what is used moves to the young one
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token: always the merge of lowest rank, then leftmost.
@@ -105,12 +110,23 @@ class ByteBPE:
                     heapq.heappush(heap, (found[0], h, ids[h], made, found[1]))
         return [x for x in ids if x >= 0]
 
-    def unit(self, text: str) -> tuple[int, ...]:
-        found = tuple(i for token in pretokens(text) for i in self.merge(token.encode()))
-        if len(text) <= CACHE_KEY_CHARS:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
-            self.cache[text] = found
+    def token(self, token: str) -> tuple[int, ...]:
+        """Ids of one pre-token, short ones cached."""
+        found = self.tokens.get(token)
+        if found is None:
+            found = tuple(self.merge(token.encode()))
+            if len(token) <= CACHE_KEY_CHARS:
+                if len(self.tokens) >= CACHE_ENTRIES:
+                    self.tokens.clear()
+                self.tokens[token] = found
+        return found
+
+    def piece(self, piece: str) -> tuple[int, ...]:
+        found = self.old.get(piece)
+        if found is None:
+            found = tuple(i for token in pretokens(whole_piece(piece)) for i in self.token(token))
+        if len(piece) <= CACHE_KEY_CHARS:
+            self.young[piece] = found
         return found
 
     def encode(self, text: str) -> list[int]:
@@ -132,11 +148,16 @@ class ByteBPE:
         return ids + self._plain(text[at:])
 
     def _plain(self, text: str) -> list[int]:
-        ids: list[int] = []
-        get, unit, extend = self.cache.get, self.unit, ids.extend
-        for u in units(text) if text else ():
-            found = get(u)
-            extend(unit(u) if found is None else found)
+        cut = pieces(text)
+        if cut is None:
+            return [i for token in pretokens(text) for i in self.token(token)]
+        ids = [i for token in pretokens(cut[0]) for i in self.token(token)]
+        if len(self.young) >= CACHE_ENTRIES:
+            self.old, self.young = self.young, {}
+        get, missing, extend = self.young.get, self.piece, ids.extend
+        for piece in islice(cut, 1, None):
+            found = get(piece)
+            extend(missing(piece) if found is None else found)
         return ids
 
     def decode(self, ids: list[int]) -> bytes:
