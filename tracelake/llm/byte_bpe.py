@@ -5,26 +5,23 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
-from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 300_000
-CACHE_KEY_CHARS = 64
+from tracelake.llm import textvec
+from tracelake.llm.bulk import BulkEncoder
 
 # Fixed value: Unicode White_Space, and the published byte-level pre-tokenizer pattern over it.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRETOKEN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 )
-#: White space that is more than one space or line feed between other characters.
-RUNS = regex.compile(rf"[{SPACES}]{{2}}|[^\S \n]|[\x85\x1c-\x1f]")
-
-
 def byte_chars() -> list[str]:
     """The character that stands for each byte: itself where printable, else from U+0100 on in order."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -36,21 +33,6 @@ def pretokens(text: str) -> list[str]:
     return PRETOKEN.findall(text)
 
 
-def pieces(text: str) -> list[str] | None:
-    """Cut a text where pre-tokens surely begin, so that the pieces can be encoded one by one.
-
-    A single space or line feed between other characters begins a pre-token.  The first
-    piece stands as it is; a later one that starts with a line feed does too, others
-    stand for themselves with a space before.  None for texts with longer or other white
-    space, which are to be pre-tokenized whole.
-    """
-    return None if RUNS.search(text) else text.replace("\n", " \n").split(" ")
-
-
-def whole_piece(piece: str) -> str:
-    return piece if piece[:1] == "\n" else " " + piece
-
-
 class ByteBPE:
     """Vocabulary and merge ranks of a tokenizers JSON file with a byte-level BPE model."""
 
@@ -69,9 +51,7 @@ class ByteBPE:
         self.pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
         self.decimals = [str(i) for i in range(len(self.pieces))]
         self.added_pattern = regex.compile("|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.tokens: dict[str, tuple[int, ...]] = {}
-        self.young: dict[str, tuple[int, ...]] = {}  # pieces in two generations: what is used moves to the young one
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.bulk = BulkEncoder(lambda texts: [array("I", self.encode(t)) for t in texts], list(self.added))
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token: always the merge of lowest rank, then leftmost.
@@ -110,25 +90,6 @@ class ByteBPE:
                     heapq.heappush(heap, (found[0], h, ids[h], made, found[1]))
         return [x for x in ids if x >= 0]
 
-    def token(self, token: str) -> tuple[int, ...]:
-        """Ids of one pre-token, short ones cached."""
-        found = self.tokens.get(token)
-        if found is None:
-            found = tuple(self.merge(token.encode()))
-            if len(token) <= CACHE_KEY_CHARS:
-                if len(self.tokens) >= CACHE_ENTRIES:
-                    self.tokens.clear()
-                self.tokens[token] = found
-        return found
-
-    def piece(self, piece: str) -> tuple[int, ...]:
-        found = self.old.get(piece)
-        if found is None:
-            found = tuple(i for token in pretokens(whole_piece(piece)) for i in self.token(token))
-        if len(piece) <= CACHE_KEY_CHARS:
-            self.young[piece] = found
-        return found
-
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; the strings of added tokens become their ids."""
         if not text:
@@ -148,17 +109,7 @@ class ByteBPE:
         return ids + self._plain(text[at:])
 
     def _plain(self, text: str) -> list[int]:
-        cut = pieces(text)
-        if cut is None:
-            return [i for token in pretokens(text) for i in self.token(token)]
-        ids = [i for token in pretokens(cut[0]) for i in self.token(token)]
-        if len(self.young) >= CACHE_ENTRIES:
-            self.old, self.young = self.young, {}
-        get, missing, extend = self.young.get, self.piece, ids.extend
-        for piece in islice(cut, 1, None):
-            found = get(piece)
-            extend(missing(piece) if found is None else found)
-        return ids
+        return [i for token in pretokens(text) for i in self.merge(token.encode())]
 
     def decode(self, ids: list[int]) -> bytes:
         """The vocabulary strings' bytes end to end."""
@@ -174,17 +125,26 @@ def load(path: str) -> ByteBPE:
     return _loaded[path]
 
 
+def encoded(column: pa.Array, tokenizer: str) -> Iterator[list[int]]:
+    """Ids of each text of a column; distinct pieces of text go through the merge queue once."""
+    bpe = load(tokenizer)
+    for chunk in textvec.chunks(column):
+        ids, counts = bpe.bulk.encode(chunk)
+        ends = np.cumsum(counts).tolist()
+        for begin, end in zip([0, *ends], ends, strict=False):
+            yield ids[begin:end].tolist()
+
+
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of every whole text: id, ids array<int>.  A null text is empty and has no ids."""
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(tokenizer)
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = pa.array([bpe.encode(x.as_py() or "") for x in batch.column(1)], pa.list_(pa.int32()))
+            ids = pa.array(encoded(batch.column(1), tokenizer), pa.list_(pa.int32()), size=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(encoded, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(coded, f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(rows: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -214,8 +174,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         sha = hashlib.sha256
         for batch in batches:
             counts, coded, plain = [], [], []
-            for value in batch.column(1):
-                ids = bpe.encode(value.as_py() or "")
+            for ids in encoded(batch.column(1), tokenizer):
                 counts.append(len(ids))
                 coded.append(sha(",".join(map(decimal, ids)).encode()).hexdigest())
                 plain.append(sha(bpe.decode(ids).decode("utf-8", "replace").encode()).hexdigest())
