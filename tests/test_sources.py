@@ -150,16 +150,14 @@ def test_tail_detect_and_restart(spark, tmp_path):
 
 
 def memory_stream(spark, tmp_path, schema, batches, build):
-    """Run a streaming build over one file per batch; all rows it gives."""
+    """Run a streaming build over one file per batch, restarted for each; all rows it gives."""
     src, rows = tmp_path / "in", []
     src.mkdir()
-    q = build(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))).writeStream.foreachBatch(lambda df, n: rows.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/c").start()
-    try:
-        for i, batch in enumerate(batches):
-            (src / f"{i}.json").write_text("".join(json.dumps(r) + "\n" for r in batch))
-            q.processAllAvailable()
-    finally:
-        q.stop()
+    for i, batch in enumerate(batches):
+        (src / f"{i}.json").write_text("".join(json.dumps(r) + "\n" for r in batch))
+        built = build(spark.readStream.schema(schema).json(str(src)))
+        q = built.writeStream.foreachBatch(lambda df, n: rows.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        assert q.awaitTermination(60)
     return rows
 
 

@@ -89,7 +89,7 @@ def answer_map(text: Column) -> Column:
     """question -> answer of quoted pairs, the last of equal questions winning."""
     pair = F.lit(r'"([^"]+)"="([^"]+)"')
     keys = F.transform(F.regexp_extract_all(text, pair, F.lit(1)), normalize_title)
-    values = F.transform(F.regexp_extract_all(text, pair, F.lit(2)), F.trim)
+    values = F.transform(F.regexp_extract_all(text, pair, F.lit(2)), lambda x: F.trim(x))
     pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(last)

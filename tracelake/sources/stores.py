@@ -55,7 +55,7 @@ def cursor_sessions(spark: SparkSession, global_db: str, workspace_dir: str) ->
     counts = bubbles.groupBy(F.split_part("key", F.lit(":"), F.lit(2)).alias("session_id")).agg(F.count("*").alias("event_count"))
     items = read_table(spark, global_db, "ItemTable", "key string, value string").where(F.col("key") == "composer.composerHeaders")
     headers = items.select(F.explode(get(F.try_parse_json("value"), "$.allComposers", "array<variant>")).alias("c")).select(get("c", "$.composerId").alias("session_id"), get("c", "$.workspaceIdentifier.id").alias("hash"))
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "workspace.json").option("wholetext", True).text(workspace_dir)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "workspace.json").text(workspace_dir, wholetext=True)
     folders = files.select(F.regexp_extract(F.col("_metadata.file_path"), r"/([0-9a-f]{32})/workspace\.json$", 1).alias("hash"), get(F.try_parse_json("value"), "$.folder").alias("folder")).where((F.col("hash") != "") & F.col("folder").startswith("file://"))
     mapped = headers.join(folders.select("hash", F.substring("folder", 8, 4096).alias("cwd")), "hash", "left").select("session_id", "cwd")
     data = read_table(spark, global_db, "cursorDiskKV", "key string, value string").where(F.col("key").startswith("composerData:"))
@@ -104,7 +104,7 @@ def installed_skills(spark: SparkSession, roots: dict[str, str], provider: str =
 
     found = None
     for source, root in roots.items():
-        raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "SKILL.md").option("wholetext", True).text(root)
+        raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "SKILL.md").text(root, wholetext=True)
         path = F.col("_metadata.file_path")
         parts = F.split(path, "/")
         at = F.array_position(parts, "skills").cast("int")

@@ -54,7 +54,8 @@ class TailReader(SimpleDataSourceStreamReader):
             after[path] = begin + whole
             if left <= 0:
                 break
-        return (row for span in spans for row in self._lines(*span)), {"files": json.dumps(after, sort_keys=True)}
+        rows = [row for span in spans for row in self._lines(*span)]  # at most the batch limit; Spark copies this iterator
+        return iter(rows), {"files": json.dumps(after, sort_keys=True)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         """The same rows again, after a restart."""

@@ -36,26 +36,25 @@ def detect(lines: DataFrame, now=None) -> DataFrame:
 def drop_repeats(hits: DataFrame, ttl: dt.timedelta = TTL) -> DataFrame:
     """Hits that come more than the ttl after the last one let through of their fingerprint.
 
-    The state of a fingerprint is one time; it goes when the ttl has run out.
+    The state of a fingerprint is one time, as many as the findings table has rows.
     """
 
+    columns = hits.columns
+    micros_ttl = ttl // dt.timedelta(microseconds=1)
+
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(parts)).sort_values(["seen_at", "byte_offset"], kind="stable")
         kept = []
         for at, seen in enumerate(rows["seen_at"]):
             micros = int(seen.value // 1000)
-            if last is None or micros - last > ttl // dt.timedelta(microseconds=1):
+            if last is None or micros - last > micros_ttl:
                 last = micros
                 kept.append(at)
         state.update((last,))
-        state.setTimeoutDuration(int(ttl.total_seconds() * 1000) + 1)
-        yield rows.iloc[kept]
+        yield rows.iloc[kept][columns]
 
-    return hits.groupBy("fingerprint").applyInPandasWithState(lambda *a: (x[hits.columns] for x in step(*a)), hits.schema, "last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return hits.groupBy("fingerprint").applyInPandasWithState(step, hits.schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def keep_findings(log: DataFrame) -> DataFrame:
