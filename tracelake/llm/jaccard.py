@@ -17,20 +17,22 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm import textvec
-from tracelake.llm.common import Workspace
+from tracelake.llm.common import Workspace, broadcast_if_small
 
 WORDS, PERCENT = 5, 80
-HEAVY_IN_BATCH = 8
-HEAVY_LISTED = 1 << 17
+SLOT_BITS = 24
+REPEATS_OF = 1 << 22
+BLOCK_BITS = 16
 MAX_SMALL = 20
 CHECK_COST = 20.0
-STAR_ROUNDS = 3
-BROADCAST_ROWS = 1_000_000
+STAR_ROUNDS = 2
+PIVOTS = 4
 SALTS = 8
 
 
@@ -98,50 +100,78 @@ def _sizes_and_nodes(doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.nd
 
 
 def survey(docs: DataFrame, k: int) -> DataFrame:
-    """One pass: kind 0 rows (doc_id, set size, node) and kind 1 rows (shingle, documents of a batch) for frequent shingles."""
+    """One pass: kind 0 rows (doc_id, set size, node), and kind 1 rows (slot, documents) for shingles repeated among REPEATS_OF of a task."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(kind: int, a: pa.Array, b: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int32)), a, pa.array(b.astype(np.int64)), pa.array(node)], names=["kind", "a", "b", "node"])
 
+        def repeated(every: list[np.ndarray]) -> pa.RecordBatch:
+            shingle = np.concatenate(every)
+            every.clear()
+            shingle.sort()
+            same = np.zeros(len(shingle) + 1, bool)
+            same[1:-1] = shingle[1:] == shingle[:-1]
+            first = np.flatnonzero(~same[:-1] & same[1:])  # runs of two and more
+            times = np.flatnonzero(same[:-1] & ~same[1:]) + 1 - first
+            slots = (shingle[first] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            return rows(1, pa.array(slots), times, np.zeros(len(slots), np.int64))
+
+        every, held = [np.zeros(0, np.uint64)], 0
         for batch in batches:
-            sizes, nodes, every = [], [], []
+            sizes, nodes = [], []
             for chunk in textvec.chunks(batch.column(1)):
                 doc, h = sets(chunk, k)
                 n, node = _sizes_and_nodes(doc, h, chunk.n_docs)
                 sizes.append(n)
                 nodes.append(node)
                 every.append(h)
-            if not sizes:
-                continue
-            yield rows(0, batch.column(0), np.concatenate(sizes), np.concatenate(nodes))
-            shingle = np.sort(np.concatenate(every))
-            starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]])) if len(shingle) else np.zeros(0, np.int64)
-            times = np.diff(np.concatenate([starts, [len(shingle)]]))
-            often = times >= HEAVY_IN_BATCH
-            yield rows(1, pa.array(shingle[starts[often]].view(np.int64)), times[often], np.zeros(int(often.sum()), np.int64))
+                held += len(h)
+            if sizes:
+                yield rows(0, batch.column(0), np.concatenate(sizes), np.concatenate(nodes))
+            if held >= REPEATS_OF:
+                yield repeated(every)
+                every, held = [np.zeros(0, np.uint64)], 0
+        yield repeated(every)
 
     return docs.select("doc_id", "text").mapInArrow(seen, "kind int, a long, b long, node long")
 
 
-def postings(docs: DataFrame, k: int, percent: int, heavy: np.ndarray, weight: np.ndarray, boundary: int) -> DataFrame:
-    """(key, node, n, pos) of every list entry; ``heavy`` shingles (sorted) come last, by ``weight``."""
-    shared = docs.sparkSession.sparkContext.broadcast((heavy, weight))
+def frequency_classes(repeated: DataFrame) -> np.ndarray:
+    """A byte per hash slot: four times the binary log of how often shingles of the slot repeat.
+
+    It orders shingles by rough frequency.  Any order that depends on the shingle alone
+    gives right results; this one keeps lists short.  2 ** SLOT_BITS bytes at any size.
+    """
+    low = (1 << BLOCK_BITS) - 1
+
+    def packed(part: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros(1 << BLOCK_BITS, np.uint8)
+        block[part["slot"].to_numpy() & low] = np.minimum(4 * np.log2(part["n"].to_numpy(float)), 255)
+        return pd.DataFrame({"block": [int(part["slot"].iloc[0]) >> BLOCK_BITS], "data": [block.tobytes()]})
+
+    sums = repeated.groupBy(F.col("a").alias("slot")).agg(F.sum("b").alias("n"))
+    table = np.zeros(1 << SLOT_BITS, np.uint8)
+    for r in sums.groupBy(F.shiftright("slot", BLOCK_BITS)).applyInPandas(packed, "block long, data binary").collect():
+        table[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["data"], np.uint8)
+    return table
+
+
+def postings(docs: DataFrame, k: int, percent: int, frequency: np.ndarray, boundary: int) -> DataFrame:
+    """(key, node, n, pos) of every list entry; prefixes are in order of frequency class, then hash.
+
+    Entries for subsets of small sets have the position -1.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(frequency)
     scanned_from = ceil_div(percent * (boundary + 1), 100)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, weight = shared.value
-        maybe = np.zeros(1 << 20, bool)
-        maybe[(heavy >> np.uint64(44)).astype(np.int64)] = True
+        frequency = shared.value
         for batch in batches:
             for chunk in textvec.chunks(batch.column(0)):
                 doc, h = sets(chunk, k)
                 n, node = _sizes_and_nodes(doc, h, chunk.n_docs)
-                load = np.zeros(len(h), np.int64)
-                some = np.flatnonzero(maybe[(h >> np.uint64(44)).astype(np.int64)]) if len(heavy) else np.zeros(0, np.int64)
-                if len(some):
-                    at = np.minimum(np.searchsorted(heavy, h[some]), len(heavy) - 1)
-                    load[some] = np.where(heavy[at] == h[some], weight[at], 0)
+                load = frequency[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
                 order = np.lexsort((h, load, doc))
                 first = np.concatenate([[0], np.cumsum(n)[:-1]])
                 pos = np.arange(len(h)) - first[doc]
@@ -153,7 +183,7 @@ def postings(docs: DataFrame, k: int, percent: int, heavy: np.ndarray, weight: n
                     made = [np.bitwise_xor.reduce(textvec.mix(np.array(s) + np.uint64(c))) for c in subset_sizes(int(n[d]), percent) for s in itertools.combinations(own, c)]
                     keys.append(textvec.mix(np.array(made, np.uint64)).view(np.int64))
                     owner.append(np.full(len(made), d))
-                    place.append(np.zeros(len(made), np.int64))
+                    place.append(np.full(len(made), -1))
                 owner = np.concatenate(owner)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys)), pa.array(node[owner]), pa.array(n[owner].astype(np.int32)), pa.array(np.concatenate(place).astype(np.int32))],
@@ -177,11 +207,6 @@ def node_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(made, "node long, shingles array<long>")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A staged table with a broadcast hint if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def linked(pairs: DataFrame, shingle_sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, ca, cb) whose sets meet the threshold, as links (u, v) between their classes."""
 
@@ -194,7 +219,7 @@ def linked(pairs: DataFrame, shingle_sets: DataFrame, percent: int) -> DataFrame
                 keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["u", "v"])
 
-    one = shingle_sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(_small(pairs), "a")
+    one = shingle_sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(broadcast_if_small(pairs), "a")
     both = one.join(shingle_sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("ca", "cb", "x", "y").mapInArrow(checked, "u long, v long").distinct()
 
@@ -218,12 +243,43 @@ def components(links: DataFrame, workspace: Workspace, name: str) -> DataFrame:
             return roots
 
 
-def _can_link(percent: int) -> Column:
-    """Size filter, and the most that two sets can share after their first common entry of a list."""
+def _beyond(n: Column, m: Column, percent: int) -> Column:
+    """The most that two sets share beyond the lower end of their prefixes."""
+    return F.greatest(*[F.ceil(F.lit(percent) * x / F.lit(100)) - 1 for x in (n, m)])
+
+
+def _possible(percent: int) -> Column:
+    """Size filter of a pair with set sizes n and m, and count filter on what entries they have in shared lists at all."""
     n, m = F.col("n"), F.col("m")
-    need = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
-    rest = F.least(n - F.col("pos"), m - F.col("mpos"))
-    return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & ((rest >= need) | (F.col("pos") + F.col("mpos") == 0))
+    most = F.least("degree", "mdegree")
+    return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & ((F.least("pos", "mpos") < 0) | (most >= _needed(n, m, percent) - _beyond(n, m, percent)))
+
+
+def _early(percent: int) -> Column:
+    """Whether a common entry can be a pair's first in the order of ``rank``.
+
+    A pair that shares t entries has t - 1 behind the first, so that one stands t - 1
+    places before the end, at least, on both sides.
+    """
+    behind = F.greatest(_needed(F.col("n"), F.col("m"), percent) - _beyond(F.col("n"), F.col("m"), percent), F.lit(1)) - 1
+    return (F.least("pos", "mpos") < 0) | ((F.col("rank") + behind <= F.col("degree")) & (F.col("mrank") + behind <= F.col("mdegree")))
+
+
+def _needed(n: Column, m: Column, percent: int) -> Column:
+    return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
+
+
+def _enough_shared(percent: int) -> Column:
+    """Position and count filters on pairs with ``times`` common entries, exact as prefixes are in one order.
+
+    From the first common entry on a pair shares at most the shorter rest (``reach``).
+    Up to the lower end of the two prefixes all that it shares are common entries;
+    beyond it lies at most the rest of the set whose prefix ends there.  Pairs that have
+    a subset in common (``low`` is -1) pass.
+    """
+    n, m = F.col("n"), F.col("m")
+    need = _needed(n, m, percent)
+    return (F.col("low") < 0) | ((F.col("reach") >= need) & (F.col("times") >= need - _beyond(n, m, percent)))
 
 
 def classes(docs: DataFrame, workspace: Workspace, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -238,45 +294,71 @@ def classes(docs: DataFrame, workspace: Workspace, words: int = WORDS, percent:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     seen = workspace.keep("survey", survey(docs, words))
     rows = seen.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "node")
-    often = seen.where("kind = 1").groupBy("a").agg(F.sum("b").alias("times")).orderBy(F.desc("times"), "a").limit(HEAVY_LISTED).toPandas()
-    heavy = often["a"].to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(heavy)
-    weight = often["times"].to_numpy(np.int64)
+    repeated = seen.where("kind = 1")
+    frequency = frequency_classes(repeated)
     sizes = rows.groupBy(F.least("n", F.lit(MAX_SMALL + 1)).alias("n")).agg(F.count("*").alias("rows"), F.sum("n").alias("total")).collect()
     total = sum(r["total"] for r in sizes) or 1
-    list_length = 1 + float((weight.astype(float) ** 2).sum()) / total
+    list_length = 1 + float(repeated.agg(F.sum(F.col("b") * F.col("b"))).first()[0] or 0) / total
     boundary = choose_boundary({r["n"]: r["rows"] for r in sizes if 0 < r["n"] <= MAX_SMALL}, list_length, percent)
 
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     nodes = workspace.keep("nodes", nodes)
-    listed = workspace.keep("postings", postings(docs, words, percent, heavy[by], weight[by], boundary))
-    shared = listed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    active = workspace.keep("active", listed.join(shared, "key").groupBy("key", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
+    listed = workspace.keep("postings", postings(docs, words, percent, frequency, boundary))
+    shared = listed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("list")).where("low < high").select("key", "list")
+    entries = listed.join(shared, "key").groupBy("key", "node").agg(*[F.first(c).alias(c) for c in ("n", "pos", "list")])
+    own = Window.partitionBy("node")  # as many entries as a prefix has, or subsets of a small set
+    ranked = entries.withColumn("rank", F.row_number().over(own.orderBy("list", "key"))).withColumn("degree", F.count("*").over(own))
+    active = workspace.keep("active", ranked)
     workspace.drop("postings")
     met = workspace.keep("met", active.select("node").distinct().join(nodes, "node").select("node", "first_id"))
-    wanted = docs.join(_small(met.select(F.col("first_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    shingle_sets = node_sets(wanted, words).dropDuplicates(["node"])
-    shingle_sets = workspace.keep("sets", shingle_sets)
     roots = met.select("node", F.col("node").alias("root"))
 
     for n in range(STAR_ROUNDS + 1):
         placed = active.join(roots, "node")
+        mate = lambda node, root: [F.col("key"), F.col("node").alias(node), F.col("root").alias(root), F.col("n").alias("m"), F.col("pos").alias("mpos"), F.col("degree").alias("mdegree"), F.col("rank").alias("mrank")]
         if n < STAR_ROUNDS:
-            order = F.struct(F.xxhash64("node", F.lit(n)).alias("h"), F.col("node").alias("pivot"), F.col("root").alias("proot"), F.col("n").alias("m"), F.col("pos").alias("mpos"))
-            pivots = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(order).alias("p")).where("low < high").select("key", "p.*")
-            pairs = placed.join(pivots, "key").where((F.col("root") != F.col("proot")) & _can_link(percent))
-            scored = pairs.groupBy("node", "pivot").agg(F.count("*").alias("times"), F.first("root").alias("ca"), F.first("proot").alias("cb"))
-            best = scored.groupBy("node").agg(F.max(F.struct("times", "pivot", "ca", "cb")).alias("s"))
-            pairs = best.select(F.col("node").alias("a"), F.col("s.pivot").alias("b"), "s.ca", "s.cb")
+            # a node with many shared entries has few shingles of its own: it stands near the middle of its group
+            order = F.struct((-F.shiftright("degree", n)).alias("d"), F.xxhash64("node", F.lit(n)).alias("h"), *mate("b", "cb")[1:])
+            pivots = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(order).alias("p")).where("low < high").select("key", "p.b", "p.cb", "p.m", "p.mpos", "p.mdegree")
+            chosen = placed.join(pivots, "key").where((F.col("root") != F.col("cb")) & _possible(percent))
         else:
             members = placed.groupBy("key", "root").agg(F.count("*").alias("times"))
             largest = members.groupBy("key").agg(F.max(F.struct("times", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
             mixed = placed.join(largest, "key")
-            others = mixed.where("root != main").select("key", F.col("node").alias("b"), F.col("root").alias("cb"), F.col("n").alias("m"), F.col("pos").alias("mpos"))
-            cross = mixed.join(others, "key").where((F.col("root") != F.col("cb")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("b"))) & _can_link(percent))
-            pairs = cross.select(F.col("node").alias("a"), "b", F.col("root").alias("ca"), "cb").distinct()
-        pairs = workspace.keep(f"pairs{n}", pairs)
+            others = mixed.where("root != main").select(*mate("b", "cb"))
+            across = (F.col("root") != F.col("cb")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("b")))
+            chosen = mixed.join(others, "key").where(across & _possible(percent) & _early(percent))
+        sides = ("node", "root", "b", "cb")
+        if n == STAR_ROUNDS:  # each pair one way round
+            first = F.col("node") < F.col("b")
+            sides = [F.when(first, F.col(x)).otherwise(F.col(y)) for x, y in (("node", "b"), ("root", "cb"), ("b", "node"), ("cb", "root"))]
+        ordered = chosen.select(
+            *[(F.col(x) if isinstance(x, str) else x).alias(name) for x, name in zip(sides, ("a", "ca", "b", "cb"), strict=True)],
+            F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m"), F.least("pos", "mpos").alias("pos"), F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("mpos")).alias("reach"), "list",
+        )
+        counted = ordered.groupBy("a", "b").agg(
+            F.count("*").alias("times"), F.min("pos").alias("low"), F.max("reach").alias("reach"), F.min("list").alias("list"), *[F.first(c).alias(c) for c in ("ca", "cb", "n", "m")]
+        )
+        if n < STAR_ROUNDS:  # the pivots that a node meets most often, and those of its shortest lists; at most one for each entry
+            often, rare = (Window.partitionBy("a").orderBy(o, "b") for o in (F.desc("times"), "list"))
+            several = counted.withColumn("often", F.row_number().over(often)).withColumn("rare", F.row_number().over(rare))
+            counted = several.where((F.col("often") <= PIVOTS) & _enough_shared(percent) | (F.col("rare") <= PIVOTS))
+        else:
+            found = workspace.keep("found", counted.drop("times", "list"))
+            near = active.join(broadcast_if_small(found.select(F.col("a").alias("node")).union(found.select("b")).distinct()), "node", "left_semi")
+            lists = near.groupBy("node").agg(F.collect_list("key").alias("entries"))  # as long as a prefix
+            both = found.join(lists.withColumnsRenamed({"node": "a", "entries": "x"}), "a").join(lists.withColumnsRenamed({"node": "b", "entries": "y"}), "b")
+            both = both.withColumn("reach", F.col("n"))  # the places are of some common entries only
+            counted = both.withColumn("times", F.size(F.array_intersect("x", "y"))).where(_enough_shared(percent))
+        pairs = workspace.keep(f"pairs{n}", counted.select("a", "b", "ca", "cb"))
+        if not pairs.limit(1).count():
+            continue
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(met, "node").select("node", "first_id")
+        asked = workspace.keep(f"asked{n}", asked)
+        texts = docs.join(broadcast_if_small(asked.select("first_id").distinct()), docs["doc_id"].eqNullSafe(F.col("first_id")), "left_semi")
+        shingle_sets = workspace.keep(f"sets{n}", node_sets(texts, words).join(broadcast_if_small(asked), "node", "left_semi"))
         links = workspace.keep(f"links{n}", linked(pairs, shingle_sets, percent))
+        workspace.drop(f"sets{n}")
         if links.limit(1).count():
             tops = components(links, workspace, f"components{n}").select(F.col("member").alias("root"), F.col("root").alias("top"))
             roots = workspace.keep(f"roots{n}", roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
