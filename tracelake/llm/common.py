@@ -21,6 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 BROADCAST_ROWS = 1_000_000
+BATCH_ROWS = 1000
 
 
 def broadcast_if_small(staged: DataFrame) -> DataFrame:
@@ -32,11 +33,13 @@ class Workspace:
     """Tables written to the shared folder, to cut lineage and to survive lost executors.
 
     Each workspace has a folder of its own.  ``keep`` writes and rereads a frame;
-    ``drop`` deletes a table that no later step reads.
+    ``drop`` deletes a table that no later step reads.  Texts are long rows, so Python
+    workers get them in Arrow batches of BATCH_ROWS at most from here on.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
