@@ -87,4 +87,13 @@ QUERIES = {
     "op10_pii": op10_pii,
     "pages_language_id": pages_language_id,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_warc": """
+WITH pages_ AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+firsts AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS h, min(page_id) OVER (PARTITION BY body) AS first_id FROM pages_)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(h, CAST(10 * (i // 8) + 1 AS INT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM firsts""",
+}
