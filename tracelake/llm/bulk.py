@@ -32,7 +32,7 @@ SPACED, BARE, FEED = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4E
 
 
 class Pieces:
-    """Open-addressing table from piece hashes to runs of ids; emptied when MAX_PIECES is reached."""
+    """Open-addressing table from piece hashes to runs of ids; emptied when it holds its encoder's most pieces."""
 
     def __init__(self):
         self.reset(16)
@@ -86,10 +86,10 @@ class Pieces:
 class BulkEncoder:
     """``ask`` gives the ids of each of some texts; ``added`` are the strings of added tokens."""
 
-    def __init__(self, ask: Callable[[list[str]], list[array]], added: list[str]):
+    def __init__(self, ask: Callable[[list[str]], list[array]], added: list[str], max_pieces: int = MAX_PIECES):
         if any(not s.startswith("<|") for s in added):
             raise ValueError("an added token that does not start with <| is not provided for")
-        self.ask, self.pieces = ask, Pieces()
+        self.ask, self.pieces, self.max_pieces = ask, Pieces(), max_pieces
 
     def _odd_docs(self, chunk: textvec.Chunk, white: np.ndarray) -> np.ndarray:
         """Documents that are encoded whole."""
@@ -158,7 +158,7 @@ class BulkEncoder:
 
     def _entries(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Entries of all pieces, new ones learnt; the last piece is the line feed."""
-        if self.pieces.count > MAX_PIECES:
+        if self.pieces.count > self.max_pieces:
             self.pieces.reset(16)
         entry = self.pieces.find(keys)
         missing = np.flatnonzero(entry < 0)

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from tracelake.llm import textvec
 from tracelake.llm.bulk import BulkEncoder
 
+#: Pieces in a worker's table, some 30 MB.
+MAX_PIECES = 1 << 19
+
 # Fixed value: Unicode White_Space, and the published byte-level pre-tokenizer pattern over it.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRETOKEN = regex.compile(
@@ -51,7 +54,7 @@ class ByteBPE:
         self.pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
         self.decimals = [str(i) for i in range(len(self.pieces))]
         self.added_pattern = regex.compile("|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.bulk = BulkEncoder(lambda texts: [array("I", self.encode(t)) for t in texts], list(self.added))
+        self.bulk = BulkEncoder(lambda texts: [array("I", self.encode(t)) for t in texts], list(self.added), MAX_PIECES)
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token: always the merge of lowest rank, then leftmost.

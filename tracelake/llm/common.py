@@ -21,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 BROADCAST_ROWS = 1_000_000
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def broadcast_if_small(staged: DataFrame) -> DataFrame:
