@@ -27,7 +27,7 @@ from tracelake.llm.common import Workspace, broadcast_if_small
 
 WORDS, PERCENT = 5, 80
 SLOT_BITS = 24
-REPEATS_OF = 1 << 22
+REPEATS_OF = 1 << 21
 BLOCK_BITS = 16
 MAX_SMALL = 20
 CHECK_COST = 20.0
@@ -314,7 +314,7 @@ def classes(docs: DataFrame, workspace: Workspace, words: int = WORDS, percent:
     roots = met.select("node", F.col("node").alias("root"))
 
     for n in range(STAR_ROUNDS + 1):
-        placed = active.join(roots, "node")
+        placed = active.join(broadcast_if_small(roots), "node")
         mate = lambda node, root: [F.col("key"), F.col("node").alias(node), F.col("root").alias(root), F.col("n").alias("m"), F.col("pos").alias("mpos"), F.col("degree").alias("mdegree"), F.col("rank").alias("mrank")]
         if n < STAR_ROUNDS:
             # a node with many shared entries has few shingles of its own: it stands near the middle of its group
