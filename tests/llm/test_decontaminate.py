@@ -55,6 +55,27 @@ def test_finds_leaks_and_nothing_else(tables):
     assert sum((r["doc_id"], r["item_id"]) == (0, 0) for r in found) == 2  # the repeated row
 
 
+def test_copies_beyond_the_rank(spark):
+    """Several times RANK passages, some of few words: whole and 30%-changed copies are found, and nothing else."""
+    r = random.Random(5)
+    word = lambda: "w" + str(int(20_000 ** r.random()))
+    items = [(i, " ".join(word() for _ in range(r.randint(8, 60) if i % 40 else 5))) for i in range(4 * dc.RANK)]
+    docs, leaks = [], set()
+    for i, text in items:
+        for kind in range(2 if i % 40 else 1):
+            own = text.split()
+            if kind:
+                for at in r.sample(range(len(own) - max(3, len(own) // 4)), 3 * len(own) // 10):  # the answer stays
+                    own[at] = "changed" + str(r.randint(0, 99))
+            lead = [word() for _ in range(r.randint(0, 60))]
+            docs.append((2 * i + kind, " ".join([*lead, *own, *[word() for _ in range(60)]])))
+            leaks.add((2 * i + kind, i))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = {tuple(x) for x in dc.leaks(frame, spark.createDataFrame(items, "item_id long, text string"), Workspace(spark, "leaks")).select("doc_id", "item_id").collect()}
+    assert len(leaks - found) == 0
+    assert len(found - leaks) <= len(leaks) // 100
+
+
 def test_blocks_of_queries_agree(tables, monkeypatch):
     docs, bench, leaks = tables
     monkeypatch.setattr(dc, "QUERY_BLOCK", 6)

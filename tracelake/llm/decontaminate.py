@@ -5,7 +5,8 @@ over the 16-word blocks of all documents) gets a randomised SVD whose products w
 matrix are Spark jobs.  Every 32-word window of every document, 16 words apart, is
 compared with the passages' latent vectors; pairs of enough cosine are checked by the
 longest common subsequence of the passage and the text around the window, for the whole
-passage and for its end (the answer).
+passage and for its end (the answer).  The basis holds few directions and a window few
+words, so pairs that share enough rare words are checked whatever their cosine.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ MIN_COSINE = 0.4
 MIN_COMMON = 0.6
 MIN_ANSWER = 0.5
 QUERY_BLOCK = 20_000
+#: Passages with fewer words must be there word for word where the cosine does not find them.
+SHORT_WORDS = 8
+#: Shorter ones are found by the cosine only; nearly every text holds them.
+LEAST_WORDS = 3
 
 #: Letters, digits and non-ASCII bytes make words here; punctuation parts them.
 INSIDE = np.zeros(256, bool)
@@ -176,22 +181,68 @@ def common_length(bits: dict[int, int], n: int, text: list[int]) -> int:
     return n - row.bit_count()
 
 
-def search(docs: DataFrame, queries: list[tuple[int, np.ndarray]], idf: np.ndarray, terms: np.ndarray, vectors: np.ndarray) -> DataFrame:
-    """Leaks of a bounded block of passages (item id, word hashes) in all documents."""
+def rare_terms(queries: list[tuple[int, np.ndarray, bool]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings of the rarest words of each passage, and how many of them a copy holds at least.
+
+    A text with ``least`` of the n words of a passage leaves out n - least, so of the
+    n - least + k rarest it has k.  Returns the first posting of each term (TERMS + 1
+    numbers), the passages posted, and k of each passage.
+    """
+    at, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    needed = np.zeros(len(queries), np.int64)
+    for q, (_, words, whole) in enumerate(queries):
+        n = len(words)
+        if n < LEAST_WORDS or n < SHORT_WORDS and not whole:
+            continue
+        least = n if n < SHORT_WORDS else int(np.ceil(MIN_COMMON * n - 1e-9))
+        needed[q] = min(least, max(2, n // 6))
+        terms = _terms(words.view(np.uint64))
+        rare = np.unique(terms[np.argsort(-idf[terms], kind="stable")[: n - least + needed[q]]])
+        at.append(rare)
+        of.append(np.full(len(rare), q, np.int32))
+    term, query = np.concatenate(at), np.concatenate(of)
+    order = np.argsort(term, kind="stable")
+    return np.concatenate([[0], np.cumsum(np.bincount(term, minlength=TERMS))]), query[order], needed
+
+
+def sharing(term: np.ndarray, block: np.ndarray, first: np.ndarray, block_doc: np.ndarray, postings: tuple, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(block, passage) where the text around a block has as many rare words of the passage as a copy."""
+    posted, query, needed = postings
+    times = (posted[1:] - posted[:-1])[term]
+    own = np.flatnonzero(times)
+    times = times[own]
+    inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    wide = len(block_doc) + 1
+    key, words = np.unique(query[np.repeat(posted[term[own]], times) + inside].astype(np.int64) * wide + np.repeat(block[own], times), return_counts=True)
+    q, b = key // wide, key % wide
+    total = np.concatenate([[0], np.cumsum(words)])
+    low, high = np.maximum(b - reach[q], first[block_doc[b]]), np.minimum(b + 2 + reach[q], first[block_doc[b] + 1])
+    around = total[np.searchsorted(key, q * wide + high)] - total[np.searchsorted(key, q * wide + low)]
+    enough = around >= needed[q]
+    return b[enough], q[enough]
+
+
+def _word_for_word(words: np.ndarray, text: np.ndarray) -> bool:
+    return len(text) >= len(words) and bool((np.lib.stride_tricks.sliding_window_view(text, len(words)) == words).all(axis=1).any())
+
+
+def search(docs: DataFrame, queries: list[tuple[int, np.ndarray, bool]], idf: np.ndarray, terms: np.ndarray, vectors: np.ndarray) -> DataFrame:
+    """Leaks of a bounded block of passages (item id, word hashes, whether it is the item's first) in all documents."""
     rows = np.full(TERMS, -1, np.int32)
     rows[terms] = np.arange(len(terms))
     latent = np.zeros((len(queries), vectors.shape[1]), np.float32)
-    for q, (_, words) in enumerate(queries):
+    for q, (_, words, _) in enumerate(queries):
         at = _terms(words.view(np.uint64))
         latent[q] = (vectors[rows[at]] * idf[at][:, None]).sum(axis=0)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    shared = docs.sparkSession.sparkContext.broadcast((queries, idf, rows, vectors * idf[terms][:, None], latent))
+    shared = docs.sparkSession.sparkContext.broadcast((queries, idf, rows, vectors * idf[terms][:, None], latent, rare_terms(queries, idf)))
     names = ["doc_id", "item_id", "cosine", "common", "answer", "word_at"]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, idf, rows, weighted, latent = shared.value
+        queries, idf, rows, weighted, latent, postings = shared.value
+        reach = np.array([-(-len(words) // BLOCK_WORDS) for _, words, _ in queries], np.int64)
         parts = []
-        for _, words in queries:
+        for _, words, _ in queries:
             tail = max(3, len(words) // 4)
             parts.append((masks(words), len(words), masks(words[-tail:]), min(tail, len(words))))
         for batch in batches:
@@ -219,11 +270,15 @@ def search(docs: DataFrame, queries: list[tuple[int, np.ndarray]], idf: np.ndarr
                 best: dict[tuple[int, int], tuple] = {}
                 block_doc = np.repeat(np.arange(chunk.n_docs), np.diff(first))
                 word_first = np.searchsorted(owner, np.arange(chunk.n_docs + 1))
-                for b, q in zip(*np.nonzero(cosine >= MIN_COSINE), strict=True):
+                near, rare = np.nonzero(cosine >= MIN_COSINE), sharing(term, block, first, block_doc, postings, reach)
+                pairs = np.unique(np.concatenate([near[0] * len(queries) + near[1], rare[0] * len(queries) + rare[1]]))
+                for b, q in zip(*divmod(pairs, max(len(queries), 1)), strict=True):
                     d = int(block_doc[b])
                     bits, n, tail, m = parts[q]
                     at = (int(b) - int(first[d])) * BLOCK_WORDS
                     lo, hi = word_first[d] + max(0, at - n), min(word_first[d + 1], word_first[d] + at + 2 * BLOCK_WORDS + n)
+                    if n < SHORT_WORDS and cosine[b, q] < MIN_COSINE and not _word_for_word(queries[q][1], words[lo:hi].view(np.int64)):
+                        continue
                     text = words[lo:hi].view(np.int64).tolist()
                     common = common_length(bits, n, text) / n
                     if common < MIN_COMMON:
@@ -247,7 +302,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, workspace: Workspace) -> DataFr
     Items are worked on in blocks of QUERY_BLOCK passages, each against all documents.
     Null or empty documents and items match nothing; a repeated row gives its own leaks;
     an item found twice in a document is reported where it fits best.  A passage of a
-    long item counts as the item.  Empty tables give no rows.
+    long item counts as the item.  A text with MIN_COMMON of a passage's words in order is
+    found whatever its cosine.  So is one with an item of under SHORT_WORDS words word for
+    word; items under LEAST_WORDS words, and the short end of a long item, need the cosine.
+    Empty tables give no rows.
     """
     rows = workspace.keep("passages", passages(benchmark))
     idf = inverse_frequencies(docs)
@@ -256,7 +314,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, workspace: Workspace) -> DataFr
     placed = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "passage"), F.lit(parts)))
     found = None
     for part in range(parts):
-        block = [(r["item_id"], np.array(r["words"], np.int64)) for r in placed.where(F.col("part") == part).collect()]
+        block = [(r["item_id"], np.array(r["words"], np.int64), r["passage"] == 0) for r in placed.where(F.col("part") == part).collect()]
         hits = search(docs, block, idf, terms, vectors)
         found = hits if found is None else found.unionByName(hits)
     return found
