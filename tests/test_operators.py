@@ -71,6 +71,24 @@ def test_quiet_time_is_from_the_last_accepted(spark):
     assert [(r["ts"] - T0).total_seconds() / 60 for r in kept] == [0, 7, 12.5, 30]
 
 
+def test_quiet_time_of_dense_keys_collects_no_island(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a key in one array")
+
+    monkeypatch.setattr(F, "collect_set", refuse)
+    monkeypatch.setattr(F, "collect_list", refuse)
+    r = random.Random(8)
+    rows = [(k, T0 + dt.timedelta(seconds=r.randint(0, n * 60))) for k, n in (("a", 3000), ("b", 40), (None, 500)) for _ in range(1500)]
+    want = set()
+    for key in ("a", "b", None):
+        last = None
+        for t in sorted(t for k, t in rows if k == key):
+            if last is None or (t - last).total_seconds() > 300:
+                want.add((key, last := t))
+    found = [tuple(x) for x in ordered.accept_after_quiet(spark.createDataFrame([*rows, ("c", None)], "key string, ts timestamp"), ["key"], "ts", 300).collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
 def state(log):
     """The findings state machine, row by row."""
     found = {}

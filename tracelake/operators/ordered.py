@@ -48,23 +48,33 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_
     return both.where("_side = 1").select("_row.*", F.when(F.col("_t").isNotNull(), F.col("_near")).alias(name))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """The rows without their lineage, in the checkpoint folder where one is set."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+
+
 def accept_after_quiet(hits: DataFrame, by: list[str], ts: str, ttl_seconds: int) -> DataFrame:
-    """Marks hits that a time-to-live from the last accepted hit lets through (``accepted``).
+    """The times (by, ts) of hits that a time-to-live from the last accepted hit lets through.
 
-    A hit later than the ttl after its predecessor is always accepted, so histories fall
-    into islands, and only inside an island the hits are folded in order.  A gap of
-    exactly the ttl is still suppressed.
+    The first hit of a key is accepted, and after an accepted hit the next one later than
+    the ttl.  Each time points to that successor; the chain from the first time is followed
+    by doubling: each round joins the accepted times with pointers twice as long.  So no
+    task holds a key or an island.  A gap of exactly the ttl is still suppressed.
     """
     micros = ttl_seconds * 1_000_000
-    rows = hits.withColumn("_t", F.unix_micros(ts))
-    before = carry_last(rows, by, F.floor(F.col("_t") / (DAY * 1_000_000)), ["_t"], F.col("_t"), "_prev")
-    opened = before.withColumn("_start", F.when(F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") > micros), F.col("_t")))
-    placed = carry_last(opened, by, F.floor(F.col("_t") / (DAY * 1_000_000)), ["_t"], F.col("_start"), "_open").withColumn("_island", F.coalesce("_start", "_open"))
-    folded = placed.groupBy(*by, "_island").agg(F.array_sort(F.collect_set("_t")).alias("_times"))
-
-    def step(done: Column, t: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        return F.when(last.isNull() | (t - last > micros), F.concat(done, F.array(t))).otherwise(done)
-
-    kept = folded.select(*by, F.explode(F.aggregate("_times", F.array().cast("array<bigint>"), step)).alias("_t"))
-    return kept.withColumn(ts, F.timestamp_micros("_t")).drop("_t")
+    times = _cut(hits.select(F.struct(F.lit(0).alias("_"), *by).alias("_key"), F.unix_micros(ts).alias("_t")).where("_t is not null").distinct())
+    # later times come first, and of equal ones the asking row: so it sees only times beyond its own
+    asks = times.select("_key", "_t", (-F.col("_t") - micros).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_to"))
+    tells = times.select("_key", "_t", (-F.col("_t")).alias("_at"), F.lit(1).alias("_side"), F.col("_t").alias("_to"))
+    seen = carry_last(asks.unionByName(tells), ["_key"], F.floor(F.col("_at") / (DAY * 1_000_000)), ["_at", "_side"], F.col("_to"), "_next")
+    hops = _cut(seen.where("_side = 0 and _next is not null").select("_key", "_t", "_next"))
+    kept = _cut(times.groupBy("_key").agg(F.min("_t").alias("_t")))
+    size = kept.count()
+    while True:
+        kept = _cut(kept.unionByName(kept.join(hops, ["_key", "_t"]).select("_key", F.col("_next").alias("_t"))))
+        before, size = size, kept.count()
+        if size == before:
+            break
+        further = hops.select("_key", F.col("_t").alias("_next"), F.col("_next").alias("_far"))
+        hops = _cut(hops.join(further, ["_key", "_next"]).select("_key", "_t", F.col("_far").alias("_next")))
+    return kept.select(*[F.col("_key")[b].alias(b) for b in by], F.timestamp_micros("_t").alias(ts))
