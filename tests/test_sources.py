@@ -199,3 +199,27 @@ def test_whole_watch_job(spark, tmp_path):
     q.stop()
     assert {r["category"] for r in spark.read.parquet(f"{tmp_path}/t/hits").collect()} == {"anthropic_key", "openai_key"}
     assert [(r["hook_id"], r["attempts"]) for r in spark.read.parquet(f"{tmp_path}/t/dead_letter").collect()] == [("h", 4)]
+
+
+def test_watch_keeps_findings(spark, tmp_path):
+    """Repeats, mutes and resolves of one finding through the whole job: it alerts when new and when reopened."""
+    (tmp_path / "src").mkdir()
+    (tmp_path / "said").mkdir()
+    hooks = spark.createDataFrame([("n", True, ["new_finding"], ["anthropic_key"]), ("r", True, ["reopened"], ["anthropic_key"])], "hook_id string, enabled boolean, kinds array<string>, categories array<string>")
+    said = spark.readStream.schema(watch.DECISION).json(f"{tmp_path}/said")
+
+    def turn(n, decision=None):
+        if decision is None:
+            with (tmp_path / "src/a.jsonl").open("a") as f:
+                f.write(f"x {secret(5)}\n")
+        else:
+            fingerprint = spark.read.parquet(f"{tmp_path}/t/hits").where("category = 'anthropic_key'").first()["fingerprint"]
+            (tmp_path / f"said/{n}.json").write_text(json.dumps({"fingerprint": fingerprint, "kind": decision, "seen_at": "2026-06-01T10:00:00Z"}) + "\n")
+        q = watch.watch(spark, f"{tmp_path}/src", f"{tmp_path}/t", f"{tmp_path}/c", hooks, lambda hook, body: 404, said, dt.timedelta(0))
+        assert q.awaitTermination(60)
+
+    for n, decision in enumerate([None, None, "mute", None, "resolve", None]):
+        turn(n, decision)
+    rows = spark.read.parquet(f"{tmp_path}/t/findings").where("category = 'anthropic_key'").orderBy("batch").collect()
+    assert [(r["kind"], r["status"], r["count"]) for r in rows] == [("new_finding", "new", 1), ("updated", "new", 2), ("updated", "muted", 2), ("updated", "muted", 3), ("updated", "resolved", 3), ("reopened", "new", 1)]
+    assert [r["hook_id"] for r in spark.read.parquet(f"{tmp_path}/t/dead_letter").orderBy("hook_id").collect()] == ["n", "r"]

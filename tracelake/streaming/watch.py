@@ -57,19 +57,42 @@ def drop_repeats(hits: DataFrame, ttl: dt.timedelta = TTL) -> DataFrame:
     return hits.groupBy("fingerprint").applyInPandasWithState(step, hits.schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def keep_findings(log: DataFrame) -> DataFrame:
+DECISION = "fingerprint string, kind string, seen_at timestamp, muted_until timestamp"
+ORIGIN = "event string, file string, byte_offset long"
+
+
+def log_of(hits: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """Hits as observations, and decisions (DECISION), as the log that ``keep_findings`` reads; with their ORIGIN."""
+    never, text = F.lit(None).cast("timestamp"), F.lit(None).cast("string")
+    names = ["fingerprint", "category", "snippet_redacted", "kind", "seen_at", "muted_until", "file", "byte_offset"]
+    rows = hits.withColumns({"kind": F.lit("obs"), "muted_until": never}).select(names)
+    if decisions is not None:
+        said = decisions.withColumns({"category": text, "snippet_redacted": text, "file": text, "byte_offset": F.lit(-1).cast("long")})
+        rows = rows.unionByName(said.select(names))
+    return rows.withColumns({"event": F.col("kind"), "order_at": F.unix_micros("seen_at")})
+
+
+def keep_findings(log: DataFrame, carry: str = "", ttl: dt.timedelta | None = None) -> DataFrame:
     """Findings from observations and decisions (kind: obs, ack, mute, resolve), updated as they come.
 
     An observation of a resolved finding opens it anew with a count of one; others count
     on.  Each input row gives the state after it, with kind new_finding, reopened or
-    updated.  ``order_at`` orders the rows of a fingerprint within a batch.
+    updated.  ``order_at`` orders the rows of a fingerprint within a batch.  Columns of
+    the log named in ``carry`` (a schema) follow the state.  With a ``ttl``, repeats are
+    dropped as by ``drop_repeats``: Spark takes one such operator in a stream.
     """
+    micros_ttl = None if ttl is None else ttl // dt.timedelta(microseconds=1)
+    schema = f"{FINDING}, {carry}" if carry else FINDING
+    carried = [c.split()[0] for c in carry.split(", ") if c]
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = dict(zip(("category", "snippet", "status", "count", "first", "last", "muted"), state.get, strict=True)) if state.exists else None
         out = []
-        for r in pd.concat(list(parts)).sort_values("order_at", kind="stable").itertuples():
+        order = ["order_at", "byte_offset"] if "byte_offset" in carried else ["order_at"]
+        for r in pd.concat(list(parts)).sort_values(order, kind="stable").itertuples():
             seen, kind = int(r.seen_at.value // 1000), "updated"
+            if r.kind == "obs" and now is not None and micros_ttl is not None and seen - now["last"] <= micros_ttl:
+                continue
             if r.kind == "obs":
                 if now is None:
                     now, kind = {"category": r.category, "snippet": r.snippet_redacted, "status": "new", "count": 1, "first": seen, "last": seen, "muted": None}, "new_finding"
@@ -84,12 +107,12 @@ def keep_findings(log: DataFrame) -> DataFrame:
                 until = int(r.muted_until.value // 1000) if r.kind == "mute" and not pd.isna(r.muted_until) else None
                 now |= {"status": {"ack": "ack", "mute": "muted", "resolve": "resolved"}[r.kind], "muted": until}
             stamp = lambda x: pd.NaT if x is None else pd.Timestamp(x, unit="us")
-            out.append((key[0], now["category"], now["snippet"], kind, now["status"], now["count"], stamp(now["first"]), stamp(now["last"]), stamp(now["muted"])))
+            out.append((key[0], now["category"], now["snippet"], kind, now["status"], now["count"], stamp(now["first"]), stamp(now["last"]), stamp(now["muted"]), *[getattr(r, c) for c in carried]))
         if now:
             state.update(tuple(now[k] for k in ("category", "snippet", "status", "count", "first", "last", "muted")))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in FINDING.split(", ")])
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return log.groupBy("fingerprint").applyInPandasWithState(step, FINDING, "category string, snippet string, status string, count bigint, first bigint, last bigint, muted bigint", "append", GroupStateTimeout.NoTimeout)
+    return log.groupBy("fingerprint").applyInPandasWithState(step, schema, "category string, snippet string, status string, count bigint, first bigint, last bigint, muted bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def alerts(findings: DataFrame, hooks: DataFrame) -> DataFrame:
@@ -127,13 +150,21 @@ def deliver(send: Callable[[str, str], int], retries: int = 3) -> Callable[[Iter
 DEAD_LETTER = "hook_id string, fingerprint string, body string, attempts int, last_error string"
 
 
-def watch(spark: SparkSession, path: str, table_dir: str, checkpoint: str, hooks: DataFrame, send: Callable[[str, str], int]):
-    """Start the whole job: accepted hits are appended to a table, deliveries are made in each batch."""
+def watch(spark: SparkSession, path: str, table_dir: str, checkpoint: str, hooks: DataFrame, send: Callable[[str, str], int], decisions: DataFrame | None = None, ttl: dt.timedelta = TTL):
+    """Start the whole job: accepted hits and the states of their findings are appended to tables, deliveries are made in each batch.
 
-    def batch(hits: DataFrame, n: int) -> None:
-        hits.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{table_dir}/hits")
-        fresh = hits.select("fingerprint", "category", "snippet_redacted", F.lit("new_finding").alias("kind"), F.lit(1).cast("long").alias("count"), F.col("seen_at").alias("first_seen"))
-        alerts(fresh, hooks).mapInPandas(deliver(send), DEAD_LETTER).write.mode("append").parquet(f"{table_dir}/dead_letter")
+    ``decisions`` is a stream of user decisions (DECISION).
+    """
 
-    accepted = drop_repeats(detect(follow(spark, path)))
-    return accepted.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def batch(states: DataFrame, n: int) -> None:
+        kept = states.withColumn("batch", F.lit(n)).persist()
+        try:
+            hits = kept.where("event = 'obs'").withColumn("seen_at", F.col("last_seen"))
+            hits.select(*[c.split()[0] for c in HIT.split(", ")], "batch").write.mode("append").parquet(f"{table_dir}/hits")
+            kept.drop("file", "byte_offset").write.mode("append").parquet(f"{table_dir}/findings")
+            alerts(kept, hooks).mapInPandas(deliver(send), DEAD_LETTER).write.mode("append").parquet(f"{table_dir}/dead_letter")
+        finally:
+            kept.unpersist()
+
+    found = keep_findings(log_of(detect(follow(spark, path)), decisions), ORIGIN, ttl)
+    return found.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
