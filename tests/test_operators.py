@@ -140,6 +140,13 @@ def test_scan_hides_values_and_clips(spark):
     assert all(secret not in str(r) for r in found)
 
 
+def test_documents_are_audited_behind_the_clip(spark, tmp_path):
+    from tracelake.plans import catalogue
+
+    spark.createDataFrame([(1, "x " * 10_000 + "noreply@example.com")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r["hits"] for r in catalogue.QUERIES["document_scan_audit"](spark, str(tmp_path)).collect()] == [1]
+
+
 def test_graph_disambiguates_equal_names(spark):
     rows = spark.createDataFrame([("c", "1", at(0), 3, "/a/app"), ("c", "2", at(1), 9, "/b/app"), ("x", "1", at(2), 9, "/a/app"), ("c", "3", at(3), 1, None)], "provider string, session_id string, started_at timestamp, event_count int, cwd string")
     nodes = graph.nodes(rows).collect()

@@ -30,9 +30,9 @@ def scan(lines: DataFrame, min_confidence: int = 7) -> DataFrame:
     )
 
 
-def audit(lines: DataFrame, min_confidence: int = 7) -> DataFrame:
-    """Suppressed hits by category and rule."""
-    hit = clip(lines).select(F.explode(secrets.hits(F.col("line"), min_confidence)).alias("h")).where("h.suppressed_by is not null")
+def audit(lines: DataFrame, min_confidence: int = 7, whole: bool = False) -> DataFrame:
+    """Suppressed hits by category and rule; ``whole`` lines are not cut at the limit of transcripts."""
+    hit = (lines if whole else clip(lines)).select(F.explode(secrets.hits(F.col("line"), min_confidence)).alias("h")).where("h.suppressed_by is not null")
     return hit.groupBy("h.category", "h.suppressed_by").agg(F.count("*").alias("hits"))
 
 
