@@ -302,8 +302,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, workspace: Workspace) -> DataFr
     Items are worked on in blocks of QUERY_BLOCK passages, each against all documents.
     Null or empty documents and items match nothing; a repeated row gives its own leaks;
     an item found twice in a document is reported where it fits best.  A passage of a
-    long item counts as the item.  A text with MIN_COMMON of a passage's words in order is
-    found whatever its cosine.  So is one with an item of under SHORT_WORDS words word for
+    long item counts as the item.  A stretch about as long as a passage, with MIN_COMMON
+    of its words in order and MIN_ANSWER of its end, is found whatever its cosine; one
+    spread wider by insertions may need the cosine.  So is one with an item of under SHORT_WORDS words word for
     word; items under LEAST_WORDS words, and the short end of a long item, need the cosine.
     Empty tables give no rows.
     """
