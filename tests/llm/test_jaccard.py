@@ -2,9 +2,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from tracelake.llm import jaccard
+from tracelake.llm import common, jaccard
 from tracelake.llm.common import Workspace
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -80,3 +81,38 @@ def test_components_of_long_chains(spark):
 
 def test_no_rows(no_docs, workspace):
     assert jaccard.classes(no_docs, workspace).count() == 0
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    from tests.llm.test_tokens import alike
+
+    check(spark.createDataFrame([*enumerate(alike()), *((i + 2, t + " x y z") for i, t in enumerate(alike()))], "doc_id long, text string"), 4, 85)
+
+
+@pytest.mark.parametrize("auto", ["10MB", "-1"])
+def test_without_broadcasts(spark, monkeypatch, auto):
+    """The far side of the size guard gives the same classes."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    r, rows = random.Random(7), []
+    for group in range(6):
+        words = [f"w{r.randint(0, 30)}" for _ in range(r.randint(6, 40))]
+        for _ in range(10):
+            rows.append((len(rows), " ".join(words)))
+            words[r.randrange(len(words))] = f"n{r.randint(0, 3)}"
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+    try:
+        check(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_sets_of_one_node_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 7, 5), (1, 7, 5), (2, 7, 9), (3, 8, 1)], "doc_id long, node long, check long")
+    clashes = jaccard.settle_clashes(rows)
+    assert list(clashes) == [(7, 9)]
+    doc, h = np.array([0, 0, 1]), np.array([3, 4, 5], np.uint64)
+    n, node, tell = jaccard.sizes_and_nodes(doc, h, 3, {})
+    assert n.tolist() == [2, 1, 0] and len(set(node.tolist())) == 3
+    _, moved, _ = jaccard.sizes_and_nodes(doc, h, 3, {(int(node[1]), int(tell[1])): 77, (int(node[0]), 0): 78})
+    assert moved.tolist() == [node[0], 77, node[2]]

@@ -68,3 +68,39 @@ def test_no_labels_and_no_rows(spark, docs, no_docs, labelled):
     assert quality.quality(no_docs, labelled[1]).count() == 0
     one_class = spark.createDataFrame([(i, 1, 0) for i in range(20)], labelled[1].schema)
     assert quality.quality(docs, one_class).where("kept").count() > 0
+
+
+def test_lines_that_a_polynomial_hash_confuses(spark):
+    from tests.llm.test_tokens import alike
+
+    one, other = alike()
+    text = f"{one}\n{other}\n{one} {other} x {other} {one} x\n{one}"
+    for chunk in textvec.chunks(pa.array([text, other])):
+        starts, ends = chunk.words()
+        counts = quality.base_counts(chunk, starts, ends, chunk.doc_of(starts))
+        assert [tuple(counts[:, d]) for d in range(2)] == [brute(text), brute(other)]
+
+
+def test_chance_equals_plain_scoring(labelled):
+    """The same weights, applied by a loop over words and characters."""
+    docs, labels = labelled
+    weights = quality.fit(docs, labels)
+    w, (bias, slope, offset) = weights[:-3].reshape(-1, quality.BUCKETS), weights[-3:]
+    rows = {r["doc_id"]: r for r in quality.score(docs, weights).where("doc_id < 12").collect()}
+    for doc, text in [tuple(r) for r in docs.where("doc_id < 12").collect()] :
+        chunk = next(textvec.chunks(pa.array([text])))
+        starts, ends = chunk.words()
+        ids = [int(x) for x in chunk.span_hash(starts, ends, lower=False)]
+        words = [(x >> 8) % quality.BUCKETS for x in ids]
+        pairs = [int(textvec.shingles(np.array(ids[i : i + 2], np.uint64), np.zeros(2, int), 2)[0][0] >> np.uint64(8)) % quality.BUCKETS for i in range(len(ids) - 1)]
+        families = [words, pairs]
+        for n in quality.CHAR_N:
+            grams = []
+            for i in range(len(text) - n + 1):
+                h = n
+                for c in text[i : i + n]:
+                    h = (h * 0x01000193 ^ int.from_bytes(c.encode(), "little")) & 0xFFFFFFFF
+                grams.append((h * 0x9E3779B1 & 0xFFFFFFFF) >> 16)
+            families.append(grams)
+        margin = bias + sum(np.mean(w[f][b]) for f, b in enumerate(families) if b)
+        assert rows[doc]["quality_chance"] == pytest.approx(1 / (1 + np.exp(-(slope * margin + offset))), abs=1e-9)

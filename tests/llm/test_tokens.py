@@ -7,10 +7,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tracelake.llm import byte_bpe, records, token_count
+from tracelake.llm import byte_bpe, records, textvec, token_count
 from tracelake.llm.common import Workspace
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -132,3 +133,39 @@ def test_damage_is_found(tmp_path):
         place.write_bytes(framed[:at] + bytes([framed[at] ^ 1]) + framed[at + 1 :])
         with pytest.raises(ValueError), place.open("rb") as f:
             list(records.frames(f))
+
+
+def alike(n=10):
+    """Two unequal texts of 2 ** n letters that any polynomial hash modulo 2 ** 64 takes for one."""
+    text = "a"
+    for _ in range(n):
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
+def test_bulk_encoding_equals_the_library_on_random_texts(library):
+    from tracelake.llm.library_bpe import LibraryEncoder
+
+    r = random.Random(11)
+    words = ["the", "Thé", "a1.", "(x)", "don't", "'ll", "字", "…", "!!", "\U0001f600", "<|", "x\ny", "\n", "9.5,", "naïve?"]
+    texts = [*odd_texts(1500), *alike(), "", None, *(" ".join(r.choice(words) for _ in range(r.randint(0, 40))) for _ in range(1500))]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert list(byte_bpe.encoded(pa.array(texts), BPE)) == want
+    encoder, found = LibraryEncoder(BPE), []
+    encoder.max_pieces = 300  # so that the table is emptied again and again
+    for chunk in textvec.chunks(pa.array(texts), 2000):
+        ids, counts = encoder.encode(chunk)
+        found += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert found == want
+
+
+def test_colliding_pieces_keep_their_own_ids(spark, library):
+    one, other = alike()
+    wrap = lambda ids: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    want = [library.encode(t, add_special_tokens=False).ids for t in (one, other)]
+    assert want[0] != want[1]
+    assert list(byte_bpe.encoded(pa.array([one, other]), BPE)) == want
+    docs = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string").coalesce(1)
+    manifest = records.write(docs, Workspace(spark, "records").path("files"), BPE)
+    rows = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in records.read_digests(spark, manifest).collect()}
+    assert rows == {1: wrap([*want[0], 0]), 2: wrap([*want[1], 0])}

@@ -2,9 +2,9 @@
 
 Byte-level pre-tokens begin at a single space or line feed, and end between a word's last
 ASCII letter or digit and its closing punctuation.  So the ids of a text are those of such
-pieces end to end.  Pieces are found, hashed and looked up for whole chunks of documents
-at a time; an encoder gets the new ones.  Documents with other white space, or with what
-may be an added token or a space beyond ASCII, go to it whole.
+pieces end to end.  Pieces are found, and told apart by their bytes, for whole chunks of
+documents at a time; an encoder gets the new ones.  Documents with other white space, or
+with what may be an added token or a space beyond ASCII, go to it whole.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ import numpy as np
 
 from tracelake.llm import textvec
 
-MAX_PIECES = 1 << 20
+MAX_PIECES = 1 << 19
+#: Bytes of pieces in a table; with MAX_PIECES it bounds a worker's memory whatever the texts.
+MAX_PIECE_BYTES = 1 << 23
 
 WHITE = np.zeros(256, bool)
 WHITE[[32, 10]] = True
@@ -28,59 +30,27 @@ PUNCT = np.zeros(256, bool)
 PUNCT[[i for i in range(33, 127) if not ALNUM[i]]] = True
 # First two bytes of characters among which Unicode White_Space lies.
 LEADS = [(0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80), (ord("<"), ord("|"))]
-SPACED, BARE, FEED = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 class Pieces:
-    """Open-addressing table from piece hashes to runs of ids; emptied when it holds its encoder's most pieces."""
+    """Runs of ids by piece, told apart by their bytes; emptied when it holds its encoder's most pieces, or bytes."""
 
     def __init__(self):
-        self.reset(16)
+        self.reset()
 
-    def reset(self, bits: int) -> None:
-        self.bits, self.count = bits, 0
-        self.keys, self.entry = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+    def reset(self) -> None:
+        self.entry: dict[bytes, int] = {}
+        self.held = 0
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Entry of each key, -1 where it is not there."""
-        found = np.full(len(keys), -1, np.int32)
-        left, slot = np.arange(len(keys)), self._slot(keys)
-        while len(left):
-            here = self.keys[slot]
-            hit = here == keys[left]
-            found[left[hit]] = self.entry[slot[hit]]
-            on = ~hit & (here != 0)
-            left, slot = left[on], (slot[on] + 1) & ((1 << self.bits) - 1)
-        return found
-
-    def _place(self, keys: np.ndarray, entries: np.ndarray) -> None:
-        slot = self._slot(keys)
-        while len(keys):
-            free = np.flatnonzero(self.keys[slot] == 0)
-            at, first = np.unique(slot[free], return_index=True)
-            self.keys[at], self.entry[at] = keys[free[first]], entries[free[first]]
-            on = self.keys[slot] != keys
-            keys, entries, slot = keys[on], entries[on], (slot[on] + 1) & ((1 << self.bits) - 1)
-
-    def add(self, keys: np.ndarray, runs: list[array]) -> None:
-        """Add distinct new keys with their ids."""
+    def add(self, pieces: list[bytes], runs: list[array]) -> None:
+        """Add distinct new pieces with their ids."""
         lengths = np.array([len(r) for r in runs], np.int64)
         flat = np.frombuffer(b"".join([r.tobytes() for r in runs]), np.uint32)
-        entries = np.arange(self.count, self.count + len(keys), dtype=np.int32)
+        self.entry.update(zip(pieces, range(len(self.entry), len(self.entry) + len(pieces)), strict=True))
+        self.held += sum(map(len, pieces))
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])
         self.ids = np.concatenate([self.ids, flat])
-        self.count += len(keys)
-        if self.count > 1 << (self.bits - 1):
-            old_keys, old_entry = self.keys[self.keys != 0], self.entry[self.keys != 0]
-            while self.count > 1 << (self.bits - 1):
-                self.bits += 1
-            self.keys, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-            self._place(old_keys, old_entry)
-        self._place(keys, entries)
 
 
 class BulkEncoder:
@@ -126,14 +96,17 @@ class BulkEncoder:
         before = data[np.maximum(starts - 1, 0)]
         spaced, fed = headed & (before == 32), headed & (before == 10)
         closed = np.flatnonzero(cut)
-        keys = chunk.span_hash(starts, stem, lower=False) ^ np.where(spaced, SPACED, BARE)
-        ends_keys = chunk.span_hash(stem[closed], ends[closed], lower=False) ^ BARE
-        every = np.concatenate([keys, ends_keys, np.array([FEED])])
-        every[every == 0] = 1
-        entry = self._entries(data, every, np.concatenate([starts - spaced, stem[closed], [-1]]), np.concatenate([stem, ends[closed], [-1]]))
+        n = len(starts)
+        # in order of place: each word with the space before it, then its closing punctuation
+        place = np.arange(n) + np.cumsum(cut) - cut
+        begins, finishes = np.empty(n + len(closed), np.int64), np.empty(n + len(closed), np.int64)
+        begins[place], finishes[place] = starts - spaced, stem
+        begins[place[closed] + 1], finishes[place[closed] + 1] = stem[closed], ends[closed]
+        code, distinct = chunk.codes(begins, finishes, lower=False)
+        known = self._entries([*distinct.to_pylist(), b"\n"])
+        entry = np.concatenate([known[code[place]], known[code[place[closed] + 1]], known[-1:]])
         table = self.pieces
         length = table.start[entry + 1] - table.start[entry]
-        n = len(starts)
         feed, tail = np.where(fed, length[-1], 0), np.zeros(n, np.int64)
         tail[closed] = length[n:-1]
         size = feed + length[:n] + tail
@@ -146,9 +119,9 @@ class BulkEncoder:
         base = np.concatenate([[0], np.cumsum(counts)])
         run = np.cumsum(size) - size
         first_word = np.searchsorted(owner, np.arange(chunk.n_docs))
-        place = run - (np.append(run, 0)[first_word] if n else np.zeros(chunk.n_docs, np.int64))[owner] + base[owner] if n else run
+        at_word = run - (np.append(run, 0)[first_word] if n else np.zeros(chunk.n_docs, np.int64))[owner] + base[owner] if n else run
         out = np.empty(base[-1], np.uint32)
-        for at, which, here in ((place[fed], np.full(int(fed.sum()), entry[-1]), length[-1:].repeat(int(fed.sum()))), (place + feed, entry[:n], length[:n]), ((place + feed + length[:n])[closed], entry[n:-1], length[n:-1])):
+        for at, which, here in ((at_word[fed], np.full(int(fed.sum()), entry[-1]), length[-1:].repeat(int(fed.sum()))), (at_word + feed, entry[:n], length[:n]), ((at_word + feed + length[:n])[closed], entry[n:-1], length[n:-1])):
             if len(at):
                 step = np.arange(int(here.sum())) - np.repeat(np.cumsum(here) - here, here)
                 out[np.repeat(at, here) + step] = table.ids[np.repeat(table.start[which], here) + step]
@@ -156,17 +129,12 @@ class BulkEncoder:
             out[base[d] : base[d + 1]] = ids
         return out, counts
 
-    def _entries(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Entries of all pieces, new ones learnt; the last piece is the line feed."""
-        if self.pieces.count > self.max_pieces:
-            self.pieces.reset(16)
-        entry = self.pieces.find(keys)
-        missing = np.flatnonzero(entry < 0)
-        if len(missing):
-            new, first = np.unique(keys[missing], return_index=True)
-            at = missing[first]
-            raw = data.tobytes()
-            texts = ["\n" if a < 0 else raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            self.pieces.add(new, self.ask(texts))
-            entry[missing] = self.pieces.find(keys[missing])
-        return entry
+    def _entries(self, pieces: list[bytes]) -> np.ndarray:
+        """Entries of distinct pieces, new ones learnt."""
+        if len(self.pieces.entry) > self.max_pieces or self.pieces.held > MAX_PIECE_BYTES:
+            self.pieces.reset()
+        known = self.pieces.entry.get
+        new = [x for x in pieces if known(x) is None]
+        if new:
+            self.pieces.add(new, self.ask([x.decode() for x in new]))
+        return np.array([known(x) for x in pieces], np.int64)

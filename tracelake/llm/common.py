@@ -2,51 +2,65 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOCAL_FALLBACK = "file:///tmp/checkpoints/tracelake"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder named in spark.checkpoint.dir.
+
+    Where that is unset a local master gets a temporary folder of its own, set for the
+    session; a cluster has no folder that all its machines share, so it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or LOCAL_FALLBACK).rstrip("/")
+    if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        found = f"file://{tempfile.mkdtemp(prefix='tracelake-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
-BROADCAST_ROWS = 1_000_000
+#: Most bytes of a broadcast table whose size follows the data, and rows of an Arrow batch of texts.
+BROADCAST_BYTES = 32 << 20
 BATCH_ROWS = 500
 
 
-def broadcast_if_small(staged: DataFrame) -> DataFrame:
-    """A staged narrow table, to be broadcast if it has at most BROADCAST_ROWS rows and shuffled if more."""
-    return F.broadcast(staged) if staged.count() <= BROADCAST_ROWS else staged
+def broadcast_if_small(staged: DataFrame, row_bytes: int | None = None) -> DataFrame:
+    """A staged table, to be broadcast up to BROADCAST_BYTES and shuffled beyond.
+
+    A row takes ``row_bytes``, or what its fixed-width columns take in a hash table.
+    """
+    width = row_bytes or 16 + 8 * len(staged.columns)
+    return F.broadcast(staged) if staged.count() * width <= BROADCAST_BYTES else staged
 
 
 class Workspace:
     """Tables written to the shared folder, to cut lineage and to survive lost executors.
 
-    Each workspace has a folder of its own.  ``keep`` writes and rereads a frame;
-    ``drop`` deletes a table that no later step reads.  Texts are long rows, so Python
-    workers get them in Arrow batches of BATCH_ROWS at most from here on.
+    Each workspace has a folder of its own.  ``keep`` writes and rereads a frame, with
+    BATCH_ROWS texts at most in an Arrow batch meanwhile, as texts are long rows; ``drop``
+    deletes tables that no later step reads.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.read(name, df.schema)
 
     def read(self, name: str, schema=None) -> DataFrame:
@@ -58,3 +72,15 @@ class Workspace:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of BATCH_ROWS rows for the jobs begun inside; the session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -12,8 +12,10 @@ all of them, so no link is lost: a pair left unchecked is already in one class.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,7 +74,7 @@ def choose_boundary(rows_of_size: dict[int, int], list_length: float, percent: i
 def sets(chunk: textvec.Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, shingle) of each distinct k-word shingle, by document; a shorter text is one shingle."""
     starts, ends = chunk.words()
-    words, owner = chunk.span_hash(starts, ends, lower=True), chunk.doc_of(starts)
+    words, owner = chunk.word_ids(starts, ends, lower=True), chunk.doc_of(starts)
     n_words = np.bincount(owner, minlength=chunk.n_docs)
     h, first = textvec.shingles(words, owner, k)
     docs, hashes = [owner[first]], [h]
@@ -90,21 +92,38 @@ def sets(chunk: textvec.Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[fresh], h[fresh]
 
 
-def _sizes_and_nodes(doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Set sizes and an order-free 64-bit hash of each set."""
+def sizes_and_nodes(doc: np.ndarray, h: np.ndarray, n_docs: int, clashes: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set sizes, the 64-bit node of each set, and 64 bits more that tell sets of one node apart.
+
+    Both are halves of one BLAKE2b digest of the sorted shingles.  Sets in ``clashes``
+    (node, check) have the node named there.
+    """
     n = np.bincount(doc, minlength=n_docs)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(textvec.mix(h ^ np.uint64(0xA0761D6478BD642F)), out=total[1:])
-    at = np.concatenate([[0], np.cumsum(n)])
-    return n, textvec.mix(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64)).view(np.int64)
+    at, raw, make = np.concatenate([[0], np.cumsum(n)]) * 8, h.tobytes(), hashlib.blake2b
+    halves = np.frombuffer(b"".join([make(raw[a:b], digest_size=16, person=b"sets").digest() for a, b in itertools.pairwise(at.tolist())]), np.int64).reshape(-1, 2)
+    node, check = halves[:, 0].copy(), halves[:, 1]
+    if clashes:
+        for i in np.flatnonzero(np.isin(node, [x for x, _ in clashes])):
+            node[i] = clashes.get((int(node[i]), int(check[i])), node[i])
+    return n, node, check
+
+
+def settle_clashes(rows: DataFrame) -> dict[tuple[int, int], int]:
+    """Nodes for sets that share theirs with another set, by (node, check).
+
+    Of sets with equal nodes, one in 2 ** 64 pairs, all but that of the least check move.
+    """
+    twice = rows.groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low < high").select("node", "low")
+    moved = rows.join(twice, "node").where(F.col("check") > F.col("low")).select("node", "check").distinct().collect()
+    return {(r["node"], r["check"]): int.from_bytes(hashlib.blake2b(struct.pack("<qq", r["node"], r["check"]), digest_size=8).digest(), "little", signed=True) for r in moved}
 
 
 def survey(docs: DataFrame, k: int) -> DataFrame:
-    """One pass: kind 0 rows (doc_id, set size, node), and kind 1 rows (slot, documents) for shingles repeated among REPEATS_OF of a task."""
+    """One pass: kind 0 rows (doc_id, set size, node, check), and kind 1 rows (slot, documents) for shingles repeated among REPEATS_OF of a task."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(kind: int, a: pa.Array, b: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int32)), a, pa.array(b.astype(np.int64)), pa.array(node)], names=["kind", "a", "b", "node"])
+        def rows(kind: int, a: pa.Array, b: np.ndarray, node: np.ndarray, check: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int32)), a, pa.array(b.astype(np.int64)), pa.array(node), pa.array(check)], names=["kind", "a", "b", "node", "check"])
 
         def repeated(every: list[np.ndarray]) -> pa.RecordBatch:
             shingle = np.concatenate(every)
@@ -115,26 +134,24 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
             first = np.flatnonzero(~same[:-1] & same[1:])  # runs of two and more
             times = np.flatnonzero(same[:-1] & ~same[1:]) + 1 - first
             slots = (shingle[first] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-            return rows(1, pa.array(slots), times, np.zeros(len(slots), np.int64))
+            return rows(1, pa.array(slots), times, *[np.zeros(len(slots), np.int64)] * 2)
 
         every, held = [np.zeros(0, np.uint64)], 0
         for batch in batches:
-            sizes, nodes = [], []
+            found = []
             for chunk in textvec.chunks(batch.column(1)):
                 doc, h = sets(chunk, k)
-                n, node = _sizes_and_nodes(doc, h, chunk.n_docs)
-                sizes.append(n)
-                nodes.append(node)
+                found.append(sizes_and_nodes(doc, h, chunk.n_docs, {}))
                 every.append(h)
                 held += len(h)
-            if sizes:
-                yield rows(0, batch.column(0), np.concatenate(sizes), np.concatenate(nodes))
+            if found:
+                yield rows(0, batch.column(0), *map(np.concatenate, zip(*found, strict=True)))
             if held >= REPEATS_OF:
                 yield repeated(every)
                 every, held = [np.zeros(0, np.uint64)], 0
         yield repeated(every)
 
-    return docs.select("doc_id", "text").mapInArrow(seen, "kind int, a long, b long, node long")
+    return docs.select("doc_id", "text").mapInArrow(seen, "kind int, a long, b long, node long, check long")
 
 
 def frequency_classes(repeated: DataFrame) -> np.ndarray:
@@ -157,7 +174,7 @@ def frequency_classes(repeated: DataFrame) -> np.ndarray:
     return table
 
 
-def postings(docs: DataFrame, k: int, percent: int, frequency: np.ndarray, boundary: int) -> DataFrame:
+def postings(docs: DataFrame, k: int, percent: int, frequency: np.ndarray, boundary: int, clashes: dict[tuple[int, int], int]) -> DataFrame:
     """(key, node, n, pos) of every list entry; prefixes are in order of frequency class, then hash.
 
     Entries for subsets of small sets have the position -1.
@@ -170,7 +187,7 @@ def postings(docs: DataFrame, k: int, percent: int, frequency: np.ndarray, bound
         for batch in batches:
             for chunk in textvec.chunks(batch.column(0)):
                 doc, h = sets(chunk, k)
-                n, node = _sizes_and_nodes(doc, h, chunk.n_docs)
+                n, node, _ = sizes_and_nodes(doc, h, chunk.n_docs, clashes)
                 load = frequency[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
                 order = np.lexsort((h, load, doc))
                 first = np.concatenate([[0], np.cumsum(n)[:-1]])
@@ -193,14 +210,14 @@ def postings(docs: DataFrame, k: int, percent: int, frequency: np.ndarray, bound
     return docs.select("text").mapInArrow(listed, "key long, node long, n int, pos int")
 
 
-def node_sets(docs: DataFrame, k: int) -> DataFrame:
+def node_sets(docs: DataFrame, k: int, clashes: dict[tuple[int, int], int]) -> DataFrame:
     """(node, shingles) of each text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in textvec.chunks(batch.column(0)):
                 doc, h = sets(chunk, k)
-                n, node = _sizes_and_nodes(doc, h, chunk.n_docs)
+                n, node, _ = sizes_and_nodes(doc, h, chunk.n_docs, clashes)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(node), lists], names=["node", "shingles"])
 
@@ -289,11 +306,18 @@ def classes(docs: DataFrame, workspace: Workspace, words: int = WORDS, percent:
     union), itself included.  A null text, or one without words, has an empty set and is
     linked with nothing; a text of fewer words than a shingle is one shingle.  Equal
     texts, also under a repeated id, are one class.  A null id is never the least while
-    another id is there.  Set identities are 64-bit hashes.  An empty table gives no rows.
+    another id is there.  Words are known by 64-bit and sets by 128-bit BLAKE2b digests.
+    An empty table gives no rows.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     seen = workspace.keep("survey", survey(docs, words))
-    rows = seen.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "node")
+    rows = seen.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "node", "check")
+    clashes = settle_clashes(rows.where("n > 0"))
+    if clashes:
+        moved = spark.createDataFrame([(*k, v) for k, v in clashes.items()], "node long, check long, other long")
+        rows = rows.join(F.broadcast(moved), ["node", "check"], "left").withColumn("node", F.coalesce("other", "node")).drop("other")
+    rows = rows.drop("check")
     repeated = seen.where("kind = 1")
     frequency = frequency_classes(repeated)
     sizes = rows.groupBy(F.least("n", F.lit(MAX_SMALL + 1)).alias("n")).agg(F.count("*").alias("rows"), F.sum("n").alias("total")).collect()
@@ -303,7 +327,7 @@ def classes(docs: DataFrame, workspace: Workspace, words: int = WORDS, percent:
 
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     nodes = workspace.keep("nodes", nodes)
-    listed = workspace.keep("postings", postings(docs, words, percent, frequency, boundary))
+    listed = workspace.keep("postings", postings(docs, words, percent, frequency, boundary, clashes))
     shared = listed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("list")).where("low < high").select("key", "list")
     entries = listed.join(shared, "key").groupBy("key", "node").agg(*[F.first(c).alias(c) for c in ("n", "pos", "list")])
     own = Window.partitionBy("node")  # as many entries as a prefix has, or subsets of a small set
@@ -346,7 +370,8 @@ def classes(docs: DataFrame, workspace: Workspace, words: int = WORDS, percent:
         else:
             found = workspace.keep("found", counted.drop("times", "list"))
             near = active.join(broadcast_if_small(found.select(F.col("a").alias("node")).union(found.select("b")).distinct()), "node", "left_semi")
-            lists = near.groupBy("node").agg(F.collect_list("key").alias("entries"))  # as long as a prefix
+            # as long as a prefix; written, so that both sides of the joins have shuffles of their own and a hot node's pairs can be split
+            lists = workspace.keep("lists", near.groupBy("node").agg(F.collect_list("key").alias("entries")))
             both = found.join(lists.withColumnsRenamed({"node": "a", "entries": "x"}), "a").join(lists.withColumnsRenamed({"node": "b", "entries": "y"}), "b")
             both = both.withColumn("reach", F.col("n"))  # the places are of some common entries only
             counted = both.withColumn("times", F.size(F.array_intersect("x", "y"))).where(_enough_shared(percent))
@@ -356,7 +381,7 @@ def classes(docs: DataFrame, workspace: Workspace, words: int = WORDS, percent:
         asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(met, "node").select("node", "first_id")
         asked = workspace.keep(f"asked{n}", asked)
         texts = docs.join(broadcast_if_small(asked.select("first_id").distinct()), docs["doc_id"].eqNullSafe(F.col("first_id")), "left_semi")
-        shingle_sets = workspace.keep(f"sets{n}", node_sets(texts, words).join(broadcast_if_small(asked), "node", "left_semi"))
+        shingle_sets = workspace.keep(f"sets{n}", node_sets(texts, words, clashes).join(broadcast_if_small(asked), "node", "left_semi"))
         links = workspace.keep(f"links{n}", linked(pairs, shingle_sets, percent))
         workspace.drop(f"sets{n}")
         if links.limit(1).count():

@@ -29,9 +29,9 @@ SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _repeats(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _repeats(codes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which items have an equal one in their document, and which have an equal one before them."""
-    keyed = textvec.mix(hashes + docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    keyed = textvec.combine(docs, codes)
     order = np.argsort(keyed, kind="stable")
     same = keyed[order][1:] == keyed[order][:-1]
     some, later = np.zeros(len(keyed), bool), np.zeros(len(keyed), bool)
@@ -42,7 +42,7 @@ def _repeats(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def base_counts(chunk: textvec.Chunk, starts: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """The columns of COUNTS for each document of a chunk."""
+    """The columns of COUNTS for each document of a chunk; lines and words are compared byte by byte."""
     n = chunk.n_docs
     space = textvec.SPACE[chunk.data]
     n_words = np.bincount(docs, minlength=n)
@@ -54,9 +54,12 @@ def base_counts(chunk: textvec.Chunk, starts: np.ndarray, ends: np.ndarray, docs
     filled = words_before[to] > words_before[at]
     at, to = at[filled], to[filled]
     line_docs = chunk.doc_of(at)
-    _, later = _repeats(chunk.span_hash(at, to, lower=False), line_docs)
+    _, later = _repeats(chunk.codes(at, to, lower=False)[0], line_docs)
     n_dup_lines = np.bincount(line_docs[later], minlength=n)
-    windows, first = textvec.shingles(chunk.span_hash(starts, ends, lower=False), docs, 3)
+    words = chunk.codes(starts, ends, lower=False)[0]
+    m = max(len(words) - 2, 0)
+    first = np.flatnonzero(docs[:m] == docs[2:])
+    windows = textvec.combine(textvec.combine(words[first], words[first + 1]), words[first + 2])
     some, _ = _repeats(windows, docs[first])
     covered = np.zeros(len(docs), bool)
     for i in range(3):
@@ -65,19 +68,19 @@ def base_counts(chunk: textvec.Chunk, starts: np.ndarray, ends: np.ndarray, docs
 
 
 def features(chunk: textvec.Chunk, starts: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, document) of each word uni- and bigram and of each byte n-gram, by family."""
+    """(bucket, document) of each word uni- and bigram and of each character n-gram, by family."""
     words = chunk.span_hash(starts, ends, lower=False)
     found = [((words >> np.uint64(8)).astype(np.int64) % BUCKETS, docs)]
     pairs, first = textvec.shingles(words, docs, 2)
     found.append(((pairs >> np.uint64(8)).astype(np.int64) % BUCKETS, docs[first]))
-    data, owner = chunk.data.astype(np.uint32), np.repeat(np.arange(chunk.n_docs), np.diff(chunk.offsets))
+    chars, owner = chunk.characters()
     for n in CHAR_N:
-        m = len(data) - n + 1
+        m = len(chars) - n + 1
         if m <= 0:
             continue
         h = np.full(m, n, np.uint32)
         for i in range(n):
-            h = h * np.uint32(0x01000193) ^ data[i : i + m]
+            h = h * np.uint32(0x01000193) ^ chars[i : i + m]
         h *= np.uint32(0x9E3779B1)
         whole = owner[:m] == owner[n - 1 :]
         found.append(((h >> np.uint32(16)).astype(np.int64)[whole], owner[:m][whole]))
@@ -151,13 +154,16 @@ def _platt(margin: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Fit on at most ``rows`` labelled documents; one executor task holds that sample."""
+    """Fit on at most ``rows`` labelled documents; one executor task holds that sample.
+
+    Of rows that repeat an id the least text counts, so the same model comes of every run.
+    """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(rows)
     )
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "h").agg(F.min("text").alias("text"))
     fitted = sample.groupBy(F.lit(1).alias("one")).applyInPandas(
         lambda part: pd.DataFrame({"weights": [_fit(part)]}), "weights array<double>"
     ).collect()

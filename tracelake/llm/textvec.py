@@ -2,11 +2,14 @@
 
 A ``Chunk`` is a run of whole documents of an Arrow batch; documents are never cut.
 Words are maximal runs of bytes outside space and 0x09-0x0D, so on UTF-8 they equal
-``[^\\x20\\x09-\\x0D]+``.  Word and shingle identities are 64-bit hashes.
+``[^\\x20\\x09-\\x0D]+``.  Inside a chunk spans are told apart by their bytes (``codes``);
+beyond it by keyed BLAKE2b digests (``word_ids``).  ``span_hash`` is a bucketing hash only:
+it is linear in the bytes, so unequal spans can be made to collide.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,7 +79,7 @@ class Chunk:
         return np.searchsorted(self.offsets, positions, side="right") - 1
 
     def span_hash(self, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-        """Hash of each span's bytes (its length included)."""
+        """Bucketing hash of each span's bytes (its length included); no identity."""
         n = len(self.data)
         if not len(starts):
             return np.zeros(0, np.uint64)
@@ -89,6 +92,37 @@ class Chunk:
         h = (total[ends] - total[starts]) * _power("i", n)[starts]
         return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def codes(self, starts: np.ndarray, ends: np.ndarray, lower: bool) -> tuple[np.ndarray, pa.Array]:
+        """Number of each span among the chunk's distinct spans, and those (binary), compared byte by byte.
+
+        Spans are in order and do not overlap.
+        """
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        edge[starts] += 1
+        edge[ends] -= 1
+        held = self.data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)] if len(starts) else self.data[:0]
+        if lower:
+            held = LOWER[held]
+        offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+        packed = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(held))])
+        coded = packed.dictionary_encode()
+        return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+    def word_ids(self, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+        """64-bit digest of each span, the same in every chunk and worker."""
+        code, distinct = self.codes(starts, ends, lower)
+        return digests(distinct.to_pylist())[code]
+
+    def characters(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of each UTF-8 character as one number, and its document."""
+        first = np.flatnonzero((self.data & 0xC0) != 0x80)
+        length = np.diff(np.append(first, len(self.data)))
+        made = self.data[first].astype(np.uint32)
+        for i in range(1, 4):
+            more = np.flatnonzero(length > i)
+            made[more] |= self.data[first[more] + i].astype(np.uint32) << np.uint32(8 * i)
+        return made, self.doc_of(first)
+
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
         """Sum of a value per byte over each document."""
         total = np.zeros(len(flags) + 1, np.int64)
@@ -96,6 +130,21 @@ class Chunk:
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
 
+def digests(spans: list[bytes]) -> np.ndarray:
+    """Keyed BLAKE2b digest of each span as 64 bits."""
+    make = hashlib.blake2b
+    return np.frombuffer(b"".join([make(x, digest_size=8, person=b"words").digest() for x in spans]), np.uint64)
+
+
+def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair of numbers, equal for equal pairs only."""
+    if not len(a):
+        return a.astype(np.int64)
+    if (int(a.max()) + 1) * (int(b.max()) + 1) >= 1 << 62:
+        a, b = (np.unique(x, return_inverse=True)[1] for x in (a, b))
+    return a.astype(np.int64) * (int(b.max()) + 1) + b
+
+
 def shingles(words: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-word windows inside each document, and the index of their first word."""
     n = len(words) - k + 1
