@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -24,7 +25,7 @@ def test_bit_parallel_subsequence():
     r = random.Random(4)
     for _ in range(200):
         a, b = ([r.randint(0, 5) for _ in range(r.randint(1, 40))] for _ in range(2))
-        assert dc.common_length(dc.masks(np.array(a)), len(a), b) == lcs(a, b)
+        assert dc.common_length(dc.masks(a), len(a), b) == lcs(a, b)
 
 
 @pytest.fixture(scope="module")
@@ -76,6 +77,93 @@ def test_copies_beyond_the_rank(spark):
     assert len(found - leaks) <= len(leaks) // 100
 
 
+def words_of(text):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+
+
+def brute(docs, items):
+    """Every window of every document against every passage, by the plain subsequence table."""
+    found = set()
+    for n, (doc, text) in enumerate(docs):
+        t = words_of(text)
+        for item, body in items:
+            w = words_of(body)
+            if not w:
+                continue
+            low = (body or "").rstrip().lower()
+            marks = [[m.end() for m in re.finditer(p, low)] for p in (r"\b(?:answer|a)\s*:", r"\?", r"[.!?](?=\s)|\n")]
+            at = next((m[-1] for i, m in enumerate(marks) if m and (m[-1] < len(low) or i == 2)), 0)
+            answer = min(len(words_of(low[:at])), max(len(w) - 3, 0))
+            parts = -(-len(w) // 64)
+            edges = np.linspace(0, len(w), parts + 1).astype(int).tolist()
+            common = told = 0
+            for x, y in zip(edges, edges[1:], strict=False):
+                part, m, best = w[x:y], y - x, (0, 0)
+                for b in range(0, len(t), 16):
+                    lo, hi = max(0, b - m), min(len(t), b + 32 + m)
+                    text_here = t[lo:hi]
+                    if len(w) < 3:
+                        ok = (m, len(w) - answer) if t == w else (0, 0)
+                    elif len(w) < 8:
+                        ok = (m, len(w) - answer) if any(text_here[i : i + m] == part for i in range(len(text_here))) else (0, 0)
+                    else:
+                        n_common = lcs(part, text_here)
+                        tail = part[max(answer - x, 0) :]
+                        ok = (n_common, lcs(tail, text_here)) if n_common >= 0.6 * m - 1e-9 else (0, 0)
+                    best = max(best, ok)
+                common, told = common + best[0], told + best[1]
+            if common >= 0.6 * len(w) - 1e-9 and told >= 0.5 * (len(w) - answer):
+                found.add((n, item))
+    return found
+
+
+def test_equals_brute_force(spark):
+    """All pairs of windows and passages: nothing beyond them is found, and at least 0.9 of them."""
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    say = lambda n: " ".join(r.choice(vocabulary) + ("." if r.random() < 0.1 else "") for _ in range(n))
+    items = [(i, say(r.choice([1, 2, 4, 7, 9, 20, 40, 90, 150]))) for i in range(40)]
+    items += [(40, "What is it? Answer: " + say(4)), (41, "yes"), (42, " ".join(f"o{i}" for i in range(64)) + " zebra"), (43, say(20) + " who? " + say(5))]
+    docs = [(0, "yes we did"), (1, "Yes!"), (2, "my zebra ran"), (3, None), (4, "")]
+    for _ in range(150):
+        words = say(r.randint(0, 90)).split()
+        for _ in range(r.randint(0, 2)):
+            own = r.choice(items)[1].split()
+            share = r.choice([0, 0, 0.2, 0.35, 0.5])
+            own = [("z" + str(r.randint(0, 99)) if r.random() < share else w) for w in own][: r.choice([None, None, len(own) // 2 + 1])]
+            at = r.randint(0, len(words))
+            words[at:at] = own
+        docs.append((len(docs), " ".join(words).upper() if r.random() < 0.2 else " ".join(words)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = dc.leaks(frame, spark.createDataFrame(items, "item_id long, text string"), Workspace(spark, "leaks")).collect()
+    found, want = {(x["doc_id"], x["item_id"]) for x in rows}, brute(docs, items)
+    assert len(want) > 60 and found <= want
+    assert len(found) >= 0.9 * len(want)
+    assert (1, 41) in found and not any(d in (0, 2) for d, _ in found)
+
+
+def test_long_text_and_many_passages_stay_bounded():
+    """Cosines and postings of a long text come in blocks, and agree with the whole."""
+    r = np.random.default_rng(4)
+    vector, latent = r.normal(size=(3000, 8)).astype(np.float32), r.normal(size=(50, 8)).astype(np.float32)
+    latent /= np.linalg.norm(latent, axis=1, keepdims=True)
+    length = np.linalg.norm(vector, axis=1)
+    whole = [x.tolist() for x in np.nonzero(vector @ latent.T >= dc.MIN_COSINE * length[:, None])]
+    queries = [dc.Query(i, 0, [b"w%d" % x for x in r.integers(0, 60, 30)], 3, 30, 3) for i in range(50)]
+    postings = dc.rare_terms(queries, r.random(dc.TERMS).astype(np.float32))
+    words = [b"w%d" % x for x in r.integers(0, 90, 6000)]
+    term, block = dc.terms_of(words), np.arange(6000) // 16
+    args = (term, block, np.array([0, 200, 375]), np.repeat([0, 1], [200, 175]), postings, np.full(50, 2))
+    shared = {tuple(x) for x in np.stack(dc.sharing(*args), axis=1).tolist()}
+    before = dc.COSINE_BYTES, dc.SHARED_AT_ONCE, dc.RUN_BLOCKS
+    dc.COSINE_BYTES, dc.SHARED_AT_ONCE, dc.RUN_BLOCKS = 4000, 500, 3
+    try:
+        assert [x.tolist() for x in dc.near(vector, length, latent)] == whole
+        assert {tuple(x) for x in np.stack(dc.sharing(*args), axis=1).tolist()} == shared and len(shared) > 100
+    finally:
+        dc.COSINE_BYTES, dc.SHARED_AT_ONCE, dc.RUN_BLOCKS = before
+
+
 def test_blocks_of_queries_agree(tables, monkeypatch):
     docs, bench, leaks = tables
     monkeypatch.setattr(dc, "QUERY_BLOCK", 6)
@@ -88,10 +176,10 @@ def test_randomised_svd_spans_the_passages(tables):
     idf = dc.inverse_frequencies(docs)
     rows = dc.passages(bench)
     terms, vectors = dc.randomised_svd(rows, idf)
-    items = [np.array(r["words"], np.int64) for r in rows.collect()]
+    items = [[bytes(w) for w in r["words"]] for r in rows.collect()]
     dense = np.zeros((len(items), len(terms)))
     for i, words in enumerate(items):
-        term, times = np.unique(dc._terms(words.view(np.uint64)), return_counts=True)
+        term, times = np.unique(dc.terms_of(words), return_counts=True)
         dense[i, np.searchsorted(terms, term)] = times * idf[term]
         dense[i] /= np.linalg.norm(dense[i])
     assert np.allclose(vectors.T @ vectors, np.eye(vectors.shape[1]), atol=1e-4)
@@ -101,7 +189,7 @@ def test_randomised_svd_spans_the_passages(tables):
 def test_frequencies_count_blocks(spark):
     docs = spark.createDataFrame([("x y x " * 16,), ("x",), (None,)], "text string")
     idf = dc.inverse_frequencies(docs)
-    x = dc._terms(np.array(dc.passages(spark.createDataFrame([(1, "x y")], "item_id long, text string")).first()["words"], np.int64).view(np.uint64))
+    x = dc.terms_of([b"x", b"y"])
     assert np.allclose(idf[x], [np.log(5 / 5) + 1e-3, np.log(5 / 4) + 1e-3], atol=1e-5)
 
 

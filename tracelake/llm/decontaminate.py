@@ -4,14 +4,18 @@ Benchmark items are cut into passages.  Their TF-IDF matrix (inverse frequencies
 over the 16-word blocks of all documents) gets a randomised SVD whose products with the
 matrix are Spark jobs.  Every 32-word window of every document, 16 words apart, is
 compared with the passages' latent vectors; pairs of enough cosine are checked by the
-longest common subsequence of the passage and the text around the window, for the whole
-passage and for its end (the answer).  The basis holds few directions and a window few
+longest common subsequence of the passage and the text around the window, word by word,
+for the whole item and for its answer.  The basis holds few directions and a window few
 words, so pairs that share enough rare words are checked whatever their cosine.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm import textvec
-from tracelake.llm.common import Workspace
+from tracelake.llm.common import Workspace, small_batches
 
 TERMS = 1 << 17
 BLOCK_WORDS = 16
@@ -29,10 +33,14 @@ MIN_COSINE = 0.4
 MIN_COMMON = 0.6
 MIN_ANSWER = 0.5
 QUERY_BLOCK = 20_000
-#: Passages with fewer words must be there word for word where the cosine does not find them.
-SHORT_WORDS = 8
-#: Shorter ones are found by the cosine only; nearly every text holds them.
-LEAST_WORDS = 3
+#: Items with fewer words must be there word for word, and with fewer than LEAST_WORDS as a whole document.
+SHORT_WORDS, LEAST_WORDS = 8, 3
+MIN_ANSWER_WORDS = 3
+ANSWER_MARK = rb"(?i)\b(?:answer|a)\s*:"
+
+#: Bounds of what a task holds of one text: cosines in bytes, words' vectors, postings met, and blocks of a run of postings.
+COSINE_BYTES, WORDS_AT_ONCE, SHARED_AT_ONCE, RUN_BLOCKS = 16 << 20, 1 << 15, 1 << 22, 64
+FOUND = ["doc_id", "row", "item_id", "passage", "n", "n_item", "common", "answer", "n_answer", "cosine", "word_at"]
 
 #: Letters, digits and non-ASCII bytes make words here; punctuation parts them.
 INSIDE = np.zeros(256, bool)
@@ -40,7 +48,7 @@ INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tr
 
 
 def _words(chunk: textvec.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, document and place in the document of each word."""
+    """Bucketing hashes, document and place in the document of each word."""
     starts, ends = chunk.spans(INSIDE[chunk.data])
     owner = chunk.doc_of(starts)
     first = np.searchsorted(owner, np.arange(chunk.n_docs))
@@ -82,24 +90,59 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     return np.log((1 + n[terms < 0].sum()) / (1 + counts)).astype(np.float32) + np.float32(1e-3)
 
 
+def answer_start(text: bytes) -> int:
+    """Where the answer of an item begins: behind its last answer mark, else its last question mark, else at its last sentence."""
+    body = text.rstrip()
+    for mark in (ANSWER_MARK, b"?"):
+        at = [m.end() for m in re.finditer(mark if mark is ANSWER_MARK else rb"\?", body)]
+        if at and at[-1] < len(body):
+            return at[-1]
+    ends = [m.end() for m in re.finditer(rb"[.!?](?=\s)|\n", body)]
+    return ends[-1] if ends else 0
+
+
 def passages(benchmark: DataFrame) -> DataFrame:
-    """(item_id, passage, words array<long>) of each benchmark item, cut every PASSAGE_WORDS words."""
+    """(item_id, passage, words array<binary>, answer, n_item, n_answer) of each benchmark item.
+
+    An item of over PASSAGE_WORDS words is cut into passages of even length, so none is
+    short.  ``answer`` counts the words of the passage's end that belong to the item's
+    answer, which is MIN_ANSWER_WORDS long at least and where the item states it
+    (``answer_start``); a passage before the answer has none.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             out: list[tuple] = []
             for chunk in textvec.chunks(batch.column(1)):
-                words, owner, _ = _words(chunk)
+                starts, ends = chunk.spans(INSIDE[chunk.data])
+                raw = textvec.LOWER[chunk.data].tobytes()
+                first = np.searchsorted(chunk.doc_of(starts), np.arange(chunk.n_docs + 1))
                 for d in range(chunk.n_docs):
-                    own = words[owner == d].view(np.int64)
-                    out += [(ids[chunk.first_row + d], i, own[i : i + PASSAGE_WORDS]) for i in range(0, len(own), PASSAGE_WORDS)]
+                    a, b = starts[first[d] : first[d + 1]], ends[first[d] : first[d + 1]]
+                    n, begin = len(a), int(chunk.offsets[d])
+                    if not n:
+                        continue
+                    words = [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                    answer = min(int(np.searchsorted(a, begin + answer_start(raw[begin : chunk.offsets[d + 1]]))), max(n - MIN_ANSWER_WORDS, 0))
+                    edges = np.linspace(0, n, -(-n // PASSAGE_WORDS) + 1).astype(int).tolist()
+                    for i, (x, y) in enumerate(itertools.pairwise(edges)):
+                        out.append((ids[chunk.first_row + d], i, words[x:y], max(y - max(x, answer), 0), n, n - answer))
             if out:
-                a, b, c = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.list_(pa.int64()))], names=["item_id", "passage", "words"])
+                columns = zip(*out, strict=True)
+                kinds = [pa.int64(), pa.int32(), pa.list_(pa.binary()), *[pa.int32()] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["item_id", "passage", "words", "answer", "n_item", "n_answer"])
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, "item_id long, passage int, words array<long>")
+    return rows.mapInArrow(cut, "item_id long, passage int, words array<binary>, answer int, n_item int, n_answer int")
+
+
+def terms_of(words: list[bytes]) -> np.ndarray:
+    """Hashed term of each word (lower case), as in texts."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths)
+    chunk = textvec.Chunk(np.frombuffer(b"".join(words), np.uint8), np.array([0, int(lengths.sum())]))
+    return _terms(chunk.span_hash(ends - lengths, ends, lower=False))
 
 
 def _rows_of(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +150,7 @@ def _rows_of(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.nda
     lists = batch.column(batch.schema.get_field_index("words"))
     lengths = np.diff(lists.offsets.to_numpy())
     row = np.repeat(np.arange(len(lengths)), lengths)
-    key, times = np.unique(row * TERMS + _terms(lists.flatten().to_numpy().view(np.uint64)), return_counts=True)
+    key, times = np.unique(row * TERMS + terms_of(lists.flatten().to_pylist()), return_counts=True)
     row, term = key // TERMS, key % TERMS
     weight = times * idf[term]
     norm = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(lengths)))
@@ -147,12 +190,13 @@ def randomised_svd(rows: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(back.ravel()), width).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), lists], names=["term", "y"])
 
-        sums = rows.mapInArrow(product, "term int, y array<double>").groupBy("term").agg(F.array(*[F.sum(F.col("y")[i]) for i in range(width)]).alias("y")).toPandas()
-        if not len(sums):
+        sums = rows.mapInArrow(product, "term int, y array<double>").groupBy("term").agg(F.array(*[F.sum(F.col("y")[i]) for i in range(width)]).alias("y")).toArrow()
+        if not sums.num_rows:
             return np.zeros(0, np.int64), np.zeros((0, 0), np.float32)
-        sums = sums.sort_values("term")
-        terms = sums["term"].to_numpy(np.int64)
-        made = np.stack(sums["y"].to_numpy())
+        order = np.argsort(sums["term"].to_numpy())
+        terms = sums["term"].to_numpy()[order].astype(np.int64)
+        made = sums["y"].combine_chunks().flatten().to_numpy().reshape(-1, width)[order]
+        del sums
         basis, square = np.linalg.qr(made)
         if basis.shape[1] < width:
             basis = np.pad(basis, ((0, 0), (0, width - basis.shape[1])))
@@ -162,14 +206,15 @@ def randomised_svd(rows: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[
     return terms, (basis[:, : left.shape[0]] @ left)[:, :rank][:, keep].astype(np.float32)
 
 
-def masks(words: np.ndarray) -> dict[int, int]:
-    found: dict[int, int] = {}
-    for i, w in enumerate(words.tolist()):
+def masks(words: list) -> dict:
+    """The places of each word of a passage as bits."""
+    found: dict = {}
+    for i, w in enumerate(words):
         found[w] = found.get(w, 0) | 1 << i
     return found
 
 
-def common_length(bits: dict[int, int], n: int, text: list[int]) -> int:
+def common_length(bits: dict, n: int, text: list) -> int:
     """Length of the longest common subsequence with a passage of n words given as bit masks."""
     full = (1 << n) - 1
     row = full
@@ -181,141 +226,234 @@ def common_length(bits: dict[int, int], n: int, text: list[int]) -> int:
     return n - row.bit_count()
 
 
-def rare_terms(queries: list[tuple[int, np.ndarray, bool]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Query:
+    """A passage to search for; ``answer`` counts the words at its end that are of its item's answer of ``n_answer`` words."""
+
+    item: int
+    passage: int
+    words: list[bytes]
+    answer: int
+    n_item: int
+    n_answer: int
+
+    @property
+    def least(self) -> int:
+        """Words that a copy has in order: all of a short item, MIN_COMMON of another."""
+        n = len(self.words)
+        return n if self.n_item < SHORT_WORDS else math.ceil(MIN_COMMON * n - 1e-9)
+
+
+def rare_terms(queries: list[Query], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Postings of the rarest words of each passage, and how many of them a copy holds at least.
 
-    A text with ``least`` of the n words of a passage leaves out n - least, so of the
-    n - least + k rarest it has k.  Returns the first posting of each term (TERMS + 1
-    numbers), the passages posted, and k of each passage.
+    A text with ``least`` of the n words of a passage leaves out n - least, so of any
+    n - least + k of its words it has k.  Words rare in both documents and passages are
+    posted.  Returns the first posting of each term (TERMS + 1 numbers), the passages
+    posted, and k of each passage.
     """
     at, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     needed = np.zeros(len(queries), np.int64)
-    for q, (_, words, whole) in enumerate(queries):
-        n = len(words)
-        if n < LEAST_WORDS or n < SHORT_WORDS and not whole:
+    every = [terms_of(q.words) for q in queries]
+    held = np.bincount(np.concatenate([np.zeros(0, np.int64), *map(np.unique, every)]), minlength=TERMS)
+    weight = idf - np.log1p(held)
+    for i, (q, terms) in enumerate(zip(queries, every, strict=True)):
+        if q.n_item < LEAST_WORDS:
             continue
-        least = n if n < SHORT_WORDS else int(np.ceil(MIN_COMMON * n - 1e-9))
-        needed[q] = min(least, max(2, n // 6))
-        terms = _terms(words.view(np.uint64))
-        rare = np.unique(terms[np.argsort(-idf[terms], kind="stable")[: n - least + needed[q]]])
+        n = len(terms)
+        needed[i] = min(q.least, max(2, n // 6))
+        rare = np.unique(terms[np.argsort(-weight[terms], kind="stable")[: n - q.least + needed[i]]])
         at.append(rare)
-        of.append(np.full(len(rare), q, np.int32))
+        of.append(np.full(len(rare), i, np.int32))
     term, query = np.concatenate(at), np.concatenate(of)
     order = np.argsort(term, kind="stable")
     return np.concatenate([[0], np.cumsum(np.bincount(term, minlength=TERMS))]), query[order], needed
 
 
 def sharing(term: np.ndarray, block: np.ndarray, first: np.ndarray, block_doc: np.ndarray, postings: tuple, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(block, passage) where the text around a block has as many rare words of the passage as a copy."""
+    """(block, passage) where the text around a block has as many rare words of the passage as a copy.
+
+    Runs of blocks are worked on by themselves, with what lies in reach on both sides, so
+    that no more than SHARED_AT_ONCE postings (or those of one run's least part) are held.
+    """
     posted, query, needed = postings
     times = (posted[1:] - posted[:-1])[term]
     own = np.flatnonzero(times)
-    times = times[own]
-    inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    wide = len(block_doc) + 1
-    key, words = np.unique(query[np.repeat(posted[term[own]], times) + inside].astype(np.int64) * wide + np.repeat(block[own], times), return_counts=True)
-    q, b = key // wide, key % wide
-    total = np.concatenate([[0], np.cumsum(words)])
-    low, high = np.maximum(b - reach[q], first[block_doc[b]]), np.minimum(b + 2 + reach[q], first[block_doc[b] + 1])
-    around = total[np.searchsorted(key, q * wide + high)] - total[np.searchsorted(key, q * wide + low)]
-    enough = around >= needed[q]
-    return b[enough], q[enough]
-
-
-def _word_for_word(words: np.ndarray, text: np.ndarray) -> bool:
-    return len(text) >= len(words) and bool((np.lib.stride_tricks.sliding_window_view(text, len(words)) == words).all(axis=1).any())
-
-
-def search(docs: DataFrame, queries: list[tuple[int, np.ndarray, bool]], idf: np.ndarray, terms: np.ndarray, vectors: np.ndarray) -> DataFrame:
-    """Leaks of a bounded block of passages (item id, word hashes, whether it is the item's first) in all documents."""
+    times, at, wide, far = times[own], block[own], len(block_doc) + 1, int(reach.max(initial=0)) + 2
+    load = np.concatenate([[0], np.cumsum(times)])
+    found_b, found_q, low, n_blocks = [], [], 0, len(block_doc)
+    while low < n_blocks:
+        begin = np.searchsorted(at, low - far)
+        high = at[min(np.searchsorted(load, load[begin] + SHARED_AT_ONCE), len(at) - 1)] - far if len(at) else n_blocks
+        high = min(max(int(high), low + RUN_BLOCKS), n_blocks) if load[-1] - load[begin] > SHARED_AT_ONCE else n_blocks
+        part = slice(begin, np.searchsorted(at, high + far))
+        t = times[part]
+        inside = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+        key, words = np.unique(query[np.repeat(posted[term[own[part]]], t) + inside].astype(np.int64) * wide + np.repeat(at[part], t), return_counts=True)
+        q, b = key // wide, key % wide
+        total = np.concatenate([[0], np.cumsum(words)])
+        left, right = np.maximum(b - reach[q], first[block_doc[b]]), np.minimum(b + 2 + reach[q], first[block_doc[b] + 1])
+        around = total[np.searchsorted(key, q * wide + right)] - total[np.searchsorted(key, q * wide + left)]
+        enough = (around >= needed[q]) & (b >= low) & (b < high)
+        found_b.append(b[enough])
+        found_q.append(q[enough])
+        low = high
+    return np.concatenate([np.zeros(0, np.int64), *found_b]), np.concatenate([np.zeros(0, np.int64), *found_q])
+
+
+def latent_blocks(term: np.ndarray, block: np.ndarray, first: np.ndarray, idf: np.ndarray, rows: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Latent vector of each window (a block and the next of its document), and the length of its whole TF-IDF vector."""
+    n_blocks = int(first[-1])
+    energy = np.bincount(block, weights=idf[term] ** 2, minlength=n_blocks)
+    vector = np.zeros((n_blocks, weighted.shape[1]), np.float32)
+    known = np.flatnonzero(rows[term] >= 0)
+    for low in range(0, len(known), WORDS_AT_ONCE):
+        some = known[low : low + WORDS_AT_ONCE]
+        own = block[some]
+        cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        vector[own[cut]] += np.add.reduceat(weighted[rows[term[some]]], cut, axis=0)
+    inner = np.ones(n_blocks, bool)
+    inner[first[1:][np.diff(first) > 0] - 1] = False  # the last block of a document stands alone
+    has_next = np.flatnonzero(inner)
+    for low in range(0, len(has_next), WORDS_AT_ONCE):  # in order, so a next block is not summed yet
+        some = has_next[low : low + WORDS_AT_ONCE]
+        vector[some] += vector[some + 1]
+        energy[some] += energy[some + 1]
+    return vector, np.sqrt(np.maximum(energy, 1e-9)).astype(np.float32)
+
+
+def near(vector: np.ndarray, length: np.ndarray, latent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, passage) of cosine MIN_COSINE or more, in blocks of COSINE_BYTES."""
+    step, b, q = max(1, COSINE_BYTES // (4 * max(len(latent), 1))), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for low in range(0, len(vector), step):
+        x, y = np.nonzero(vector[low : low + step] @ latent.T >= MIN_COSINE * length[low : low + step, None])
+        b.append(x + low)
+        q.append(y)
+    return np.concatenate(b), np.concatenate(q)
+
+
+def _word_for_word(words: list[bytes], text: list[bytes]) -> bool:
+    n = len(words)
+    return any(text[i : i + n] == words for i in range(len(text) - n + 1))
+
+
+class Judge:
+    """Checks pairs of a passage and the text around a window."""
+
+    def __init__(self, queries: list[Query]):
+        self.queries = queries
+        self.parts = [(masks(q.words), len(q.words), masks(q.words[-q.answer :]) if q.answer else {}) for q in queries]
+
+    def __call__(self, i: int, text: list[bytes], whole: bool) -> tuple[int, int] | None:
+        """Words of passage i that the text has in order, and those of its answer part; None if it is no copy.
+
+        ``whole`` says whether the text is its document.  An item of under LEAST_WORDS
+        words counts only as a whole document, one of under SHORT_WORDS word for word.
+        """
+        q, (bits, n, tail) = self.queries[i], self.parts[i]
+        if q.n_item < SHORT_WORDS:
+            there = whole and text == q.words if q.n_item < LEAST_WORDS else _word_for_word(q.words, text)
+            return (n, q.answer) if there else None
+        common = common_length(bits, n, text)
+        if common < q.least:
+            return None
+        return common, common_length(tail, q.answer, text) if q.answer else 0
+
+
+def search(docs: DataFrame, queries: list[Query], idf: np.ndarray, terms: np.ndarray, vectors: np.ndarray) -> DataFrame:
+    """Passages of a bounded block found in all documents: doc_id, row, item_id, passage, n, n_item, common, answer, n_answer, cosine, word_at.
+
+    ``row`` tells rows of one id apart.
+    """
     rows = np.full(TERMS, -1, np.int32)
     rows[terms] = np.arange(len(terms))
     latent = np.zeros((len(queries), vectors.shape[1]), np.float32)
-    for q, (_, words, _) in enumerate(queries):
-        at = _terms(words.view(np.uint64))
-        latent[q] = (vectors[rows[at]] * idf[at][:, None]).sum(axis=0)
+    for i, q in enumerate(queries):
+        at = terms_of(q.words)
+        latent[i] = (vectors[rows[at]] * idf[at][:, None]).sum(axis=0)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     shared = docs.sparkSession.sparkContext.broadcast((queries, idf, rows, vectors * idf[terms][:, None], latent, rare_terms(queries, idf)))
-    names = ["doc_id", "item_id", "cosine", "common", "answer", "word_at"]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, idf, rows, weighted, latent, postings = shared.value
-        reach = np.array([-(-len(words) // BLOCK_WORDS) for _, words, _ in queries], np.int64)
-        parts = []
-        for _, words, _ in queries:
-            tail = max(3, len(words) // 4)
-            parts.append((masks(words), len(words), masks(words[-tail:]), min(tail, len(words))))
+        reach = np.array([-(-len(q.words) // BLOCK_WORDS) for q in queries], np.int64)
+        judge, n_queries = Judge(queries), max(len(queries), 1)
+        tiny: dict[tuple, list[int]] = {}
+        for i, q in enumerate(queries):
+            if q.n_item < LEAST_WORDS:
+                tiny.setdefault(tuple(q.words), []).append(i)
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), []
+            ids, keys, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
             for chunk in textvec.chunks(batch.column(1)):
-                words, owner, place = _words(chunk)
-                block, first = _blocks(owner, place, chunk.n_docs)
-                n_blocks = int(first[-1])
-                if not n_blocks:
+                starts, ends = chunk.spans(INSIDE[chunk.data])
+                owner = chunk.doc_of(starts)
+                word_first = np.searchsorted(owner, np.arange(chunk.n_docs + 1))
+                block, first = _blocks(owner, np.arange(len(owner)) - word_first[owner], chunk.n_docs)
+                if not int(first[-1]):
                     continue
-                term = _terms(words)
-                known = np.flatnonzero(rows[term] >= 0)
-                energy = np.bincount(block, weights=idf[term] ** 2, minlength=n_blocks)
-                vector = np.zeros((n_blocks, weighted.shape[1]), np.float32)
-                if len(known):
-                    own = block[known]
-                    cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                    vector[own[cut]] = np.add.reduceat(weighted[rows[term[known]]], cut, axis=0)
-                inner = np.ones(n_blocks, bool)
-                inner[first[1:][np.diff(first) > 0] - 1] = False  # the last block of a document stands alone
-                has_next = np.flatnonzero(inner)
-                vector[has_next] += vector[has_next + 1]
-                energy[has_next] += energy[has_next + 1]
-                cosine = (vector @ latent.T) / np.sqrt(np.maximum(energy, 1e-9))[:, None].astype(np.float32)
-                best: dict[tuple[int, int], tuple] = {}
+                term = _terms(chunk.span_hash(starts, ends, lower=True))
+                vector, length = latent_blocks(term, block, first, idf, rows, weighted)
                 block_doc = np.repeat(np.arange(chunk.n_docs), np.diff(first))
-                word_first = np.searchsorted(owner, np.arange(chunk.n_docs + 1))
-                near, rare = np.nonzero(cosine >= MIN_COSINE), sharing(term, block, first, block_doc, postings, reach)
-                pairs = np.unique(np.concatenate([near[0] * len(queries) + near[1], rare[0] * len(queries) + rare[1]]))
-                for b, q in zip(*divmod(pairs, max(len(queries), 1)), strict=True):
-                    d = int(block_doc[b])
-                    bits, n, tail, m = parts[q]
-                    at = (int(b) - int(first[d])) * BLOCK_WORDS
+                close, rare = near(vector, length, latent), sharing(term, block, first, block_doc, postings, reach)
+                pairs = np.unique(np.concatenate([close[0] * n_queries + close[1], rare[0] * n_queries + rare[1]]))
+                raw = textvec.LOWER[chunk.data].tobytes()
+                word = lambda lo, hi: [raw[x:y] for x, y in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)]
+                best: dict[tuple[int, int], tuple] = {}
+                for b, i in zip(*(x.tolist() for x in divmod(pairs, n_queries)), strict=True):
+                    d, n = int(block_doc[b]), len(queries[i].words)
+                    at = (b - int(first[d])) * BLOCK_WORDS
                     lo, hi = word_first[d] + max(0, at - n), min(word_first[d + 1], word_first[d] + at + 2 * BLOCK_WORDS + n)
-                    if n < SHORT_WORDS and cosine[b, q] < MIN_COSINE and not _word_for_word(queries[q][1], words[lo:hi].view(np.int64)):
-                        continue
-                    text = words[lo:hi].view(np.int64).tolist()
-                    common = common_length(bits, n, text) / n
-                    if common < MIN_COMMON:
-                        continue
-                    answer = common_length(tail, m, text) / m
-                    if answer >= MIN_ANSWER:
-                        key = (d, queries[q][0])
-                        best[key] = max(best.get(key, (0.0,)), (common, answer, float(cosine[b, q]), at))
-                out += [(ids[chunk.first_row + d], item, c, common, answer, at) for (d, item), (common, answer, c, at) in best.items()]
+                    seen = judge(i, word(lo, hi), lo == word_first[d] and hi == word_first[d + 1])
+                    if seen:
+                        best[d, i] = max(best.get((d, i), (0,)), (*seen, float(vector[b] @ latent[i] / length[b]), at))
+                if tiny:
+                    few = np.flatnonzero((np.diff(word_first) > 0) & (np.diff(word_first) < LEAST_WORDS))
+                    for d in few.tolist():
+                        for i in tiny.get(tuple(word(word_first[d], word_first[d + 1])), []):
+                            best[d, i] = (len(queries[i].words), queries[i].answer, float(vector[first[d]] @ latent[i] / length[first[d]]), 0)
+                for (d, i), (common, answer, cosine, at) in best.items():
+                    q = queries[i]
+                    out.append((ids[chunk.first_row + d], keys[chunk.first_row + d], q.item, q.passage, len(q.words), q.n_item, common, answer, q.n_answer, cosine, at))
             if out:
-                kinds = [batch.column(0).type, pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                kinds = [batch.column(0).type, *[pa.int64()] * 8, pa.float64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=FOUND)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(found, f"doc_id {kind}, item_id long, cosine double, common double, answer double, word_at long")
+    types = dict.fromkeys(FOUND, "long") | {"doc_id": kind, "cosine": "double"}
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row")).mapInArrow(found, ", ".join(f"{c} {types[c]}" for c in FOUND))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, workspace: Workspace) -> DataFrame:
-    """(doc_id, item_id, cosine, common, answer, word_at) of every benchmark passage found in a document.
+    """(doc_id, item_id, cosine, common, answer, word_at) of every benchmark item found in a document.
 
     Items are worked on in blocks of QUERY_BLOCK passages, each against all documents.
+    An item is found where passages of MIN_COMMON of its words are there in order, each
+    passage with that share of its own, and MIN_ANSWER of its answer (``passages``) with
+    them.  A stretch about as long as a passage is found whatever its cosine; one spread
+    wider by insertions may need the cosine.  Items of under SHORT_WORDS words must be
+    there word for word, those of under LEAST_WORDS words as a whole document.
+
     Null or empty documents and items match nothing; a repeated row gives its own leaks;
-    an item found twice in a document is reported where it fits best.  A passage of a
-    long item counts as the item.  A stretch about as long as a passage, with MIN_COMMON
-    of its words in order and MIN_ANSWER of its end, is found whatever its cosine; one
-    spread wider by insertions may need the cosine.  So is one with an item of under SHORT_WORDS words word for
-    word; items under LEAST_WORDS words, and the short end of a long item, need the cosine.
-    Empty tables give no rows.
+    an item found twice in a document is reported where its first passage fits best.
+    Equal items under several ids are each reported.  Very long texts are worked on whole,
+    in blocks of bounded size.  Empty tables give no rows.
     """
     rows = workspace.keep("passages", passages(benchmark))
-    idf = inverse_frequencies(docs)
-    terms, vectors = randomised_svd(rows, idf)
+    with small_batches(docs.sparkSession):
+        idf = inverse_frequencies(docs)
+        terms, vectors = randomised_svd(rows, idf)
     parts = max(1, -(-rows.count() // QUERY_BLOCK))
     placed = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "passage"), F.lit(parts)))
     found = None
     for part in range(parts):
-        block = [(r["item_id"], np.array(r["words"], np.int64), r["passage"] == 0) for r in placed.where(F.col("part") == part).collect()]
+        block = [Query(r["item_id"], r["passage"], [bytes(w) for w in r["words"]], r["answer"], r["n_item"], r["n_answer"]) for r in placed.where(F.col("part") == part).collect()]
         hits = search(docs, block, idf, terms, vectors)
         found = hits if found is None else found.unionByName(hits)
-    return found
+    # a repeated row may stand anywhere in the input, so rows are told apart by where they were read
+    kept = workspace.keep("found", found)
+    items = kept.groupBy("doc_id", "row", "item_id").agg(
+        F.sum("common").alias("words"), F.max("n_item").alias("n_item"), F.sum("answer").alias("told"), F.max("n_answer").alias("n_told"),
+        F.max("cosine").alias("cosine"), F.min_by("word_at", "passage").alias("word_at"),
+    )
+    common, answer = F.col("words") / F.col("n_item"), F.col("told") / F.col("n_told")
+    return items.where((common >= MIN_COMMON - 1e-9) & (answer >= MIN_ANSWER)).select("doc_id", "item_id", "cosine", common.alias("common"), answer.alias("answer"), "word_at")
