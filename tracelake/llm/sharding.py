@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_GROUP = 250_000
+#: Groups in which the slots of a shard are numbered; fixed, so slots do not depend on the table's size.
+SALTS = 4096
 
 
-def jump_shard(key: Column, shards: int) -> Column:
-    """Jump consistent hash of ``key`` into ``0 .. shards - 1``.
+def jump_shards(key: Column, shards: int) -> Column:
+    """Jump consistent hash of ``key``: struct of ``shard`` in ``0 .. shards - 1`` and ``grown`` with one shard more.
 
     From bucket b the key jumps to ``floor((b + 1) / r)``, r being a uniform draw in
     (0, 1] that depends on the key and b alone; the last bucket below ``shards`` is
     the result.  Adding a shard therefore moves a key only into the new one, with
-    chance 1 / (shards + 1), and no ring table is kept.  A null key is a key like others.
+    chance 1 / (shards + 1), and no ring table is kept.  The jump that leaves the shards
+    tells where the key goes when there is one more.  A null key is a key like others.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
@@ -27,8 +27,12 @@ def jump_shard(key: Column, shards: int) -> Column:
         ahead = F.least(F.floor((b.cast("double") + 1.0) / draw), F.lit(float(2**53))).cast("long")
         return F.when(b < shards, F.struct(b.alias("at"), ahead.alias("next"))).otherwise(state)
 
+    def finish(state: Column) -> Column:
+        shard = state["at"].cast("int")
+        return F.struct(shard.alias("shard"), F.when(state["next"] == shards, F.lit(shards)).otherwise(shard).alias("grown"))
+
     start = F.struct(F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("next"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step)["at"].cast("int")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, finish)
 
 
 def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -37,25 +41,24 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
     Returns id, size (UTF-8 bytes + 16), text_crc32, shard, slot, grown_shard.  Slots
     count from 0 in each shard.  They are numbered inside small groups (shard, salt of
     the id) and shifted by the rows of the groups before, so no task gets a whole
-    shard.  Null text: 0 bytes, CRC 0.  Null id: one key like others; repeated rows all
-    keep a slot of their own.  An empty table gives no rows.
+    shard; the table of groups has shards * SALTS rows at most and is broadcast.  Null
+    text: 0 bytes, CRC 0.  Null id: one key like others; repeated rows all keep a slot of
+    their own.  Rows of one id are one group, as the law puts them into one shard.  An
+    empty table gives no rows.
     """
     key = F.col(id_col)
-    salts = max(32, math.ceil(docs.count() / (shards * ROWS_PER_GROUP)))
-    salt = F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(SALTS)).cast("int").alias("_salt")
     rows = docs.select(
         key.alias(id_col),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
-        jump_shard(key, shards).alias("shard"),
-        jump_shard(key, shards + 1).alias("grown_shard"),
-        salt.alias("_salt"),
-    )
-    groups = docs.select(jump_shard(key, shards).alias("shard"), salt.alias("_salt")).groupBy("shard", "_salt").count()
+        jump_shards(key, shards).alias("_jump"), salt,
+    ).select(id_col, "size", "text_crc32", F.col("_jump.shard").alias("shard"), F.col("_jump.grown").alias("grown_shard"), "_salt")
+    groups = docs.select(jump_shards(key, shards)["shard"].alias("shard"), salt).groupBy("shard", "_salt").count()
     before = Window.partitionBy("shard").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.select("shard", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy("shard", "_salt").orderBy(id_col, "text_crc32", "size")
     numbered = rows.withColumn("_n", F.row_number().over(within) - 1)
-    return numbered.join(starts, ["shard", "_salt"]).select(
+    return numbered.join(F.broadcast(starts), ["shard", "_salt"]).select(
         id_col, "size", "text_crc32", "shard", (F.col("_start") + F.col("_n")).alias("slot"), "grown_shard"
     )
