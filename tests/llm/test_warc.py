@@ -1,9 +1,11 @@
 import base64
 import hashlib
+import io
+import zlib
 
 import pytest
 
-from tracelake.llm import warc
+from tracelake.llm import common, warc
 from tracelake.llm.common import Workspace
 from tracelake.llm.queries import op5_warc
 
@@ -36,9 +38,8 @@ def test_round_trip_equals_brute_force(pages, tmp_path):
 
 
 def test_transactions_hold_all_three_records(pages):
-    folder = Workspace(pages.sparkSession, "warc").path("archives")
-    warc.write(warc.captures(pages), folder)
-    rows = {r["metadata"]["page_id"]: r for r in warc.transactions(pages.sparkSession, folder).collect()}
+    work = Workspace(pages.sparkSession, "warc")
+    rows = {r["metadata"]["page_id"]: r for r in warc.transactions(warc.write(warc.captures(pages, work), work)).collect()}
     assert len(rows) == len(ROWS)
     for page, url, html, _ in ROWS:
         r = rows[page]
@@ -50,20 +51,37 @@ def test_transactions_hold_all_three_records(pages):
             assert r["response"]["refers_to_record"] == first["record_id"] and first["response"]["record_type"] == "response"
 
 
-def test_small_payloads_stay_responses(pages):
-    kinds = {r["page_id"]: r["refers_to"] for r in warc.captures(pages, min_revisit_bytes=5).collect()}
+def test_small_payloads_stay_responses(pages, workspace):
+    kinds = {r["page_id"]: r["refers_to"] for r in warc.captures(pages, workspace, min_revisit_bytes=5).collect()}
     assert kinds[3] is None and kinds[4] == 2
 
 
 def test_repeated_rows_keep_their_own_records(spark):
     rows = [(1, "u", "x"), (1, "u", "x"), (2, "u", "x"), (None, "u", "x")]
-    folder = Workspace(spark, "warc").path("archives")
-    warc.write(warc.captures(spark.createDataFrame(rows, "page_id long, url string, html string")), folder)
-    found = warc.transactions(spark, folder).collect()
+    work = Workspace(spark, "warc")
+    found = warc.transactions(warc.write(warc.captures(spark.createDataFrame(rows, "page_id long, url string, html string"), work), work)).collect()
     assert sorted((r["metadata"]["page_id"] or 0, r["response"]["record_type"]) for r in found) == [(0, "revisit"), (1, "response"), (1, "response"), (2, "revisit")]
 
 
 def test_no_rows(spark, workspace):
-    folder = workspace.path("archives")
-    warc.write(warc.captures(spark.createDataFrame([], "page_id long, url string, html string")), folder)
-    assert warc.transactions(spark, folder).count() == 0
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.transactions(warc.write(warc.captures(none, workspace), workspace)).count() == 0
+
+
+def test_records_are_gzip_members_and_archives_are_bounded(pages, workspace, monkeypatch):
+    """Any record can be read from its own offset; archives close beyond a size; large ones are read in pieces."""
+    monkeypatch.setattr(warc, "READ_BYTES", 7)
+    data = [x for _, x in warc.transaction(4, "u", b"abc" * 50, None, "<urn:uuid:1>", None)]
+    headers, block = next(warc.parse(zlib.decompress(data[1], 31)))
+    assert headers["warc-type"] == "request" and headers["warc-concurrent-to"] == "<urn:uuid:1>" and block.startswith(b"GET u ")
+    assert [next(warc.parse(m))[0]["warc-type"] for m in warc.members(io.BytesIO(b"".join(data)))] == ["response", "request", "metadata"]
+    with pytest.raises(ValueError):
+        list(warc.members(io.BytesIO(data[0][:-3])))
+    manifest = warc.write(warc.captures(pages, workspace), workspace)
+    assert {r["kind"]: r["n"] for r in manifest.groupBy("kind").sum("records").withColumnRenamed("sum(records)", "n").collect()} == dict.fromkeys(("main", "request", "metadata"), len(ROWS))
+
+
+def test_far_side_of_the_size_guard(pages, workspace, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    found = {r["page_id"]: r["refers_to"] for r in warc.captures(pages, workspace).collect()}
+    assert found == {page: refers for page, (*_, refers) in brute(ROWS).items()}

@@ -35,9 +35,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = Workspace(spark, "op5").path("archives")
-    warc.write(warc.captures(table(spark, sf_dir, "pages")), folder)
-    read = warc.transactions(spark, folder)
+    workspace = Workspace(spark, "op5")
+    read = warc.transactions(warc.write(warc.captures(table(spark, sf_dir, "pages"), workspace), workspace))
     revisit = F.col("response.record_type") == "revisit"
     return read.select(
         F.col("metadata.page_id").alias("page_id"),
