@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracelake.llm import pii
 from tracelake.llm.common import Workspace
@@ -70,6 +71,35 @@ def test_cues_are_learnt_and_find_unseen_values(rows):
     assert not {a for a in added if "12:30" in a or "plain" in a}
 
 
+def test_a_second_generation_is_found(spark):
+    """Secrets teach ``token =``; values seen there teach another place; a value known only from that place is found."""
+    hexes = [hashlib.md5(str(i).encode()).hexdigest() for i in range(30)]
+    unseen = [f"QX-{1000 + i}-zz" for i in range(12)]
+    texts = [f"the token = {h} was set" for h in hexes] + [f"the token = {u} was set" for u in unseen]
+    texts += [f"please use badge {u} at gate" for u in unseen] + ["please use badge KK-77-last at gate"]
+    texts += [f"measured in room b{100 + i}-{i} today" for i in range(40)]  # candidates like others, in a place that no seed teaches
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["text"][s["start"] : s["end"]] for r in pii.find(frame, Workspace(spark, "pii"), carry=("text",)).collect() for s in r["added"]}
+    assert found == {*hexes, *unseen, "KK-77-last"}
+
+
+def test_running_totals(spark):
+    for n in (0, 1, 63, 64, 65, 5000):
+        df = spark.createDataFrame([([i % 7 for i in range(n)],)], "x array<int>")
+        row = df.select(pii.running(F.col("x"), lambda a, b: a + b).alias("s"), pii.running(F.col("x"), lambda a, b: F.greatest(a, b)).alias("m")).first()
+        assert row["s"][:n] == [sum(i % 7 for i in range(k)) for k in range(min(n, 200))] + row["s"][min(n, 200) : n]
+        assert row["m"][:n] == [max((i % 7 for i in range(min(k, 8))), default=0) for k in range(n)]
+
+
+def test_many_matches_in_one_text_take_about_linear_time(spark, workspace):
+    n = 20_000
+    text = " ".join(f"u{i}@site{i % 9}.example é" for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.find(df, workspace, carry=("text",)).withColumn("clean", pii.redacted(F.col("text"), F.concat("base", "added"))).first()
+    assert [(s["start"], s["end"]) for s in row["base"]] == [m.span() for m in re.finditer(r"u\S+", text)]
+    assert row["clean"] == " ".join(["[EMAIL] é"] * n)
+
+
 def test_redaction(spark):
     text = "é a@b.example and 10.0.0.1 end"
     spans = [(0, 2, 13), (1, 18, 26)]

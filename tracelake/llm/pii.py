@@ -2,17 +2,22 @@
 
 Everything here is DataFrame functions.  Base matches of a kind are located by splitting
 the text at the pattern: matches and the gaps between them give every start and end.
-Seeds (base matches, and long hex strings as secrets) that stand behind a lexical cue such
-as ``token = "`` vote for that cue; cues and values form a bipartite graph whose scores
-Spark iterates, and values behind a trusted cue become spans too.
+Every word with a digit is a candidate; the words left and right of it make its lexical
+patterns.  Seeds (candidates that are base matches, or long hex strings as secrets) vote
+for patterns; patterns and candidates form a bipartite graph whose scores Spark iterates.
+Candidates in trusted patterns become seeds of the next generation, so identifiers found
+through one pattern bring in the next, until no pattern is added.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import Workspace
+from tracelake.llm.common import Workspace, broadcast_if_small
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
@@ -28,28 +33,60 @@ PATTERNS = {
 }
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
 
-#: A cue is a word and a connector; its value runs to white space, a quote or a bracket.
-CUE = r"(?<![\p{L}\p{N}_-])([\p{L}_][\p{L}_-]{1,23}+)[\x20\t]{0,2}([:=#])[\x20\t]{0,2}[\"']?"
-VALUE = r"[^\s\"'<>(){}\[\],;]{6,}+"
+#: A candidate is a run of letters, digits and inner marks; longer ones than MAX_VALUE are no identifiers.
+VALUE = r"[\p{L}\p{N}._+/@~-]{6,}+"
+MAX_VALUE = 128
 SECRET = r"^[0-9a-f]{32,64}$"
+#: Characters on each side that patterns are made of.
+CONTEXT = 64
 ITERATIONS = 3
 MIN_SEEDS = 3
 SHRINK = 1.0
 TRUST = 0.6
+BLOCK = 64
+CHUNK = 4096
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, also where lambdas inside refer to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, join: Callable[[Column, Column], Column], levels: int = 3) -> Column:
+    """Per element the joined elements before it (0 for none), in blocks of BLOCK, so that time is about linear."""
+    total = lambda block: F.aggregate(block, F.lit(0), join)
+    if not levels:
+        append = lambda done, x: F.concat(done, F.array(join(F.element_at(done, -1), x)))
+        return F.aggregate(values, F.array(F.lit(0)), append)
+    last = F.greatest(F.ceil(F.size(values) / BLOCK).cast("int") - 1, F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * BLOCK + 1, BLOCK))
+
+    def inside(found: Column) -> Column:
+        before = lambda own, b: F.transform(own, lambda _, i: join(F.get(found["before"], b), total(F.slice(own, 1, i))))
+        return F.flatten(F.transform(found["blocks"], before))
+
+    return let(blocks, lambda cut: let(F.struct(cut.alias("blocks"), running(F.transform(cut, total), join, levels - 1).alias("before")), inside))
 
 
 def located(text: Column, pattern: str, needs: str) -> Column:
-    """Array of (start, end, match) of a pattern's matches, leftmost and non-overlapping, in code points."""
-    match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    both = F.zip_with(F.slice(gaps, 1, F.size(match)), match, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), m.alias("m")))
-    ends = F.aggregate(
-        both, F.array().cast("array<struct<start:int,end:int,m:string>>"),
-        lambda done, x: F.concat(done, F.array(F.struct(
-            (F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + x["g"]).alias("start"),
-            (F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + x["g"] + x["n"]).alias("end"), x["m"].alias("m")))),
-    )
-    return F.when(text.rlike(needs), ends).otherwise(F.array().cast("array<struct<start:int,end:int,m:string>>"))
+    """Array of (start, end, m, left, right) of a pattern's matches, leftmost and non-overlapping, in code points.
+
+    ``left`` and ``right`` are up to CONTEXT characters between a match and its neighbours.
+    """
+    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+
+    def one(s: Column, m: Column, i: Column) -> Column:
+        gap = F.get(s["gaps"], i)
+        return F.struct(F.length(gap).alias("g"), F.length(m).alias("n"), m.alias("m"), F.right(gap, F.lit(CONTEXT)).alias("left"), F.left(F.get(s["gaps"], i + 1), F.lit(CONTEXT)).alias("right"))
+
+    def placed(pairs: Column) -> Column:
+        before = running(F.transform(pairs, lambda x: x["g"] + x["n"]), lambda a, b: a + b)
+        return F.zip_with(pairs, F.slice(before, 1, F.size(pairs)), lambda x, at: F.struct(
+            (at + x["g"]).alias("start"), (at + x["g"] + x["n"]).alias("end"), x["m"].alias("m"), x["left"].alias("left"), x["right"].alias("right")))
+
+    every = let(parts, lambda s: let(F.transform(s["found"], lambda m, i: one(s, m, i)), placed))
+    none = F.array().cast("array<struct<start:int,end:int,m:string,left:string,right:string>>")
+    return F.when(text.rlike(needs), every).otherwise(none)
 
 
 def _digits(match: Column) -> Column:
@@ -84,18 +121,28 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.transform(found, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
 
-def occurrences(text: Column) -> Column:
-    """Array of (cue, value, start, end) of every cue and the value behind it."""
-    whole = located(text, CUE + VALUE, CUE)
+def patterns_of(left: Column, right: Column) -> Column:
+    """Lexical patterns of a place: the last word, the last two words, the last and the next word, the next two words.
 
-    def cut(x: Column) -> Column:
-        lead = F.length(F.regexp_extract(x["m"], f"^{CUE}", 0))
-        raw = F.substring(x["m"], lead + 1, F.length(x["m"]))
-        value = F.regexp_replace(raw, r"[.:!?*#$%&|]+$", "")
-        cue = F.lower(F.concat(F.regexp_extract(x["m"], CUE, 1), F.regexp_extract(x["m"], CUE, 2)))
-        return F.struct(cue.alias("cue"), value.alias("value"), (x["start"] + lead).alias("start"), (x["start"] + lead + F.length(value)).alias("end"))
+    Words are in lower case with digits as 0; what stands between them and the place
+    counts without white space and quotes.  A place without the words lacks the pattern.
+    """
+    bare = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), r"[\s\"']+", " "), "[0-9]", "0")
+    tail = lambda words: F.regexp_extract(bare(left), rf"((?:[\p{{L}}\p{{N}}_]+[^\p{{L}}\p{{N}}_]*){{{words}}})$", 1)
+    head = lambda words: F.regexp_extract(bare(right), rf"^((?:[^\p{{L}}\p{{N}}_]*[\p{{L}}\p{{N}}_]+){{{words}}})", 1)
+    tight = lambda c: F.regexp_replace(F.trim(c), r" ?([^\p{L}\p{N}_ ]) ?", "$1")
+    one, two, next_one, next_two = tight(tail(1)), tight(tail(2)), tight(head(1)), tight(head(2))
+    full = lambda name, *parts: F.when(F.least(*[F.length(p) for p in (*parts, *parts)]) > 0, F.concat_ws(" ", F.lit(name), *parts))
+    return F.array_compact(F.array(full("L", one), full("LL", two), full("LR", one, next_one), full("RR", next_two)))
 
-    return F.transform(whole, cut)
+
+def occurrences(text: Column) -> Column:
+    """Array of (value, start, end, left, right) of every candidate: a word of 6 to MAX_VALUE characters with a digit."""
+    cut = lambda x: F.struct(
+        F.regexp_replace(x["m"], r"[.~/-]+$", "").alias("value"), x["start"].alias("start"), x["left"].alias("left"), x["right"].alias("right"))
+    likely = lambda x: x["value"].rlike("[0-9]") & F.length(x["value"]).between(6, MAX_VALUE)
+    found = F.filter(F.transform(located(text, VALUE, "[0-9]"), cut), likely)
+    return F.transform(found, lambda x: F.struct(x["value"].alias("value"), x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end"), x["left"].alias("left"), x["right"].alias("right")))
 
 
 def seed_kind(value: Column) -> Column:
@@ -107,53 +154,78 @@ def seed_kind(value: Column) -> Column:
     return F.coalesce(found, F.when(value.rlike(SECRET), F.lit(KINDS.index("secret"))))
 
 
-def bootstrap(graph: DataFrame, workspace: Workspace) -> DataFrame:
-    """Trusted cues (cue, cue_kind, trust) of a graph of distinct (cue, value, seed) rows.
+def generation(edges: DataFrame, workspace: Workspace, name: str) -> DataFrame:
+    """Trusted patterns (pattern, pattern_kind, trust) of distinct edges (pattern, value, kind); a null kind is not known yet.
 
-    A value's score for a kind is 1 for a seed of that kind, 0 for another kind's seed,
-    else the noisy-or of its cues.  A cue's score is the mean score of its distinct
-    values, shrunk by SHRINK, if MIN_SEEDS seeds stand behind it.  After ITERATIONS rounds
-    the cues of score TRUST and over are returned with their best kind.
+    A value's score for a kind is 1 if it is of that kind, 0 if of another, else the best
+    score of its patterns.  A pattern's score is the mean score of its values, shrunk by
+    SHRINK, if MIN_SEEDS of them are known.  After ITERATIONS rounds patterns of score
+    TRUST and over are returned with their best kind.
     """
     kinds = range(len(KINDS))
-    edges = workspace.keep("edges", graph)
-    scored = edges.select("cue", "value", "seed", *[(F.col("seed").eqNullSafe(F.lit(k))).cast("double").alias(f"v{k}") for k in kinds])
+    known = F.col("kind").isNotNull()
+    scored = edges.select("pattern", "value", "kind", *[F.when(known, (F.col("kind") == k).cast("double")).otherwise(0.0).alias(f"v{k}") for k in kinds])
     for n in range(ITERATIONS):
-        cues = scored.groupBy("cue").agg(
-            F.count("seed").alias("seeds"), *[(F.sum(f"v{k}") / (F.count("*") + SHRINK)).alias(f"c{k}") for k in kinds]
-        ).where(F.col("seeds") >= MIN_SEEDS).drop("seeds")
+        patterns = scored.groupBy("pattern").agg(
+            F.count("kind").alias("known"), *[(F.sum(f"v{k}") / (F.count("*") + SHRINK)).alias(f"c{k}") for k in kinds]
+        ).where(F.col("known") >= MIN_SEEDS).drop("known")
         if n == ITERATIONS - 1:
             break
-        free = edges.where(F.col("seed").isNull()).join(cues, "cue")
-        values = free.groupBy("value").agg(*[(1 - F.exp(F.sum(F.log(F.greatest(1 - F.col(f"c{k}"), F.lit(1e-9)))))).alias(f"n{k}") for k in kinds])
-        joined = edges.join(values, "value", "left")
-        scored = workspace.keep(f"scores{n}", joined.select("cue", "value", "seed", *[
-            F.when(F.col("seed").isNotNull(), (F.col("seed") == k).cast("double")).otherwise(F.coalesce(f"n{k}", F.lit(0.0))).alias(f"v{k}") for k in kinds
+        free = edges.where(~known).join(patterns, "pattern")
+        values = free.groupBy("value").agg(*[F.max(f"c{k}").alias(f"n{k}") for k in kinds])
+        scored = workspace.keep(f"{name}-scores{n}", edges.join(values, "value", "left").select("pattern", "value", "kind", *[
+            F.when(known, (F.col("kind") == k).cast("double")).otherwise(F.coalesce(f"n{k}", F.lit(0.0))).alias(f"v{k}") for k in kinds
         ]))
     top = F.greatest(*[f"c{k}" for k in kinds])
     kind = F.coalesce(*[F.when(F.col(f"c{k}") == top, F.lit(k)) for k in kinds])
-    return cues.where(top >= TRUST).select("cue", kind.alias("cue_kind"), top.alias("trust"))
+    return patterns.where(top >= TRUST).select("pattern", kind.alias("pattern_kind"), top.alias("trust"))
+
+
+def bootstrap(graph: DataFrame, workspace: Workspace) -> DataFrame:
+    """Trusted patterns (pattern, pattern_kind, trust) of a graph of distinct (pattern, value, seed) rows.
+
+    Generations follow until one adds no pattern: values in trusted patterns are seeds of
+    the next one, with the kind of the most trusted.  A pattern once trusted stays so.
+    Patterns of under MIN_SEEDS values can never be trusted and are left out.
+    """
+    enough = graph.groupBy("pattern").agg(F.count("*").alias("values")).where(F.col("values") >= MIN_SEEDS).select("pattern")
+    edges = workspace.keep("edges-0", graph.join(enough, "pattern", "left_semi").select("pattern", "value", F.col("seed").alias("kind")))
+    trusted, n_trusted = None, 0
+    for n in itertools.count(1):
+        now = generation(edges, workspace, f"generation{n}")
+        if trusted is not None:
+            now = trusted.unionByName(now.join(trusted, "pattern", "left_anti"))
+        trusted = workspace.keep(f"trusted-{n}", now)
+        before, n_trusted = n_trusted, trusted.count()
+        if n_trusted == before:
+            return trusted
+        best = F.max_by("pattern_kind", F.struct("trust", -F.col("pattern_kind")))
+        found = edges.where("kind is null").join(trusted, "pattern").groupBy("value").agg(best.alias("told"))
+        edges = workspace.keep(f"edges-{n}", edges.join(found, "value", "left").select("pattern", "value", F.coalesce("kind", "told").alias("kind")))
 
 
 def find(docs: DataFrame, workspace: Workspace, carry: tuple[str, ...] = ()) -> DataFrame:
     """Spans of every whole text: doc_id, base and added arrays of (kind, start, end), and ``carry`` columns.
 
-    Base spans of each kind are kept as they are; an added span is a value with a digit
-    behind a trusted cue that no base span overlaps, with the kind of its own form or
-    else of the cue.  Both are sorted by kind and start.  A null or empty text has none.
-    Repeated rows each give a row; columns outside ``carry`` are left out.
+    Base spans of each kind are kept as they are; an added span is a candidate in a
+    trusted pattern that no base span overlaps, with the kind of its own form or else of
+    its most trusted pattern.  Both are sorted by kind and start.  A null or empty text
+    has none.  Repeated rows each give a row; columns outside ``carry`` are left out.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.xxhash64("doc_id", text)
-    spoken = docs.select("doc_id", text.alias("text")).where(F.col("text").rlike(CUE))
-    cued = spoken.select("doc_id", F.xxhash64("doc_id", "text").alias("_key"), F.explode(occurrences(F.col("text"))).alias("o")).select("doc_id", "_key", "o.*")
-    cued = workspace.keep("cued", cued.where(F.length("value") >= 6).withColumn("seed", seed_kind(F.col("value"))))
-    trusted = bootstrap(cued.select("cue", "value", "seed").distinct(), workspace)
-    named = F.struct(F.coalesce("seed", "cue_kind").alias("kind"), "start", "end")
-    added = cued.where(F.col("value").rlike("[0-9]")).join(trusted, "cue").groupBy(F.col("_key").alias("_akey"), F.col("doc_id").alias("_adoc")).agg(F.collect_set(named).alias("_added"))
+    said = docs.where(F.col("text").rlike("[0-9]")).select("doc_id", key.alias("_key"), F.explode(occurrences(F.col("text"))).alias("o"))
+    said = said.select("doc_id", "_key", "o.value", "o.start", "o.end", patterns_of(F.col("o.left"), F.col("o.right")).alias("patterns")).distinct()
+    said = workspace.keep("candidates", said.withColumn("seed", seed_kind(F.col("value"))))
+    met = said.select("doc_id", "_key", "value", "seed", "start", "end", F.explode("patterns").alias("pattern"))
+    trusted = bootstrap(met.select("pattern", "value", "seed").distinct(), workspace)
+    best = F.coalesce("seed", F.max_by("pattern_kind", F.struct("trust", -F.col("pattern_kind")))).alias("kind")
+    spans = met.join(broadcast_if_small(trusted, 160), "pattern").groupBy("doc_id", "_key", "start", "end", "seed").agg(best)
+    added = spans.groupBy(F.col("_key").alias("_akey"), F.col("doc_id").alias("_adoc")).agg(F.collect_list(F.struct("kind", "start", "end")).alias("_added"))
     base = F.concat(*[base_spans(text, k) for k in BASE_KINDS])
     rows = docs.select("doc_id", *[c for c in carry if c != "doc_id"], key.alias("_key"), base.alias("base"))
-    joined = rows.join(added, (F.col("_key") == F.col("_akey")) & F.col("doc_id").eqNullSafe(F.col("_adoc")), "left")
+    staged = workspace.keep("added", added)
+    joined = rows.join(staged, (F.col("_key") == F.col("_akey")) & F.col("doc_id").eqNullSafe(F.col("_adoc")), "left")
     clear = F.filter("_added", lambda a: ~F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     return joined.select("doc_id", *[c for c in carry if c != "doc_id"], "base", F.coalesce(F.array_sort(clear), none).alias("added"))
@@ -166,22 +238,26 @@ def written(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the first counts for both."""
-    none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    last = lambda done: F.try_element_at(done, F.lit(-1))
-
-    def merge(done: Column, x: Column) -> Column:
-        wider = F.struct(last(done)["start"].alias("start"), F.greatest(last(done)["end"], x["end"]).alias("end"), last(done)["kind"].alias("kind"))
-        return F.when(F.coalesce(x["start"] < last(done)["end"], F.lit(False)), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(x)))
+    """The text with each span replaced by its kind in brackets; spans that overlap become one, of the first's kind.
 
-    merged = F.aggregate(ordered, none, merge)
+    Texts are cut into chunks of CHUNK characters, so a stretch is found without
+    counting from the start of the text.
+    """
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
 
-    def piece(x: Column, i: Column) -> Column:
-        begin = F.coalesce(F.try_element_at(merged, i)["end"], F.lit(0))
-        return F.concat(F.substring(text, begin + 1, x["start"] - begin), names[x["kind"]])
-
-    end = F.coalesce(last(merged)["end"], F.lit(0))
-    pieces = F.transform(merged, lambda x, i: F.when(i == 0, F.concat(F.substring(text, F.lit(1), x["start"]), names[x["kind"]])).otherwise(piece(x, i)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(pieces, ""), F.substring(text, end + 1, F.length(text))))
+    def between(chunks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / CHUNK).cast("int")
+        held = F.array_join(F.slice(chunks, first + 1, F.floor(end / CHUNK).cast("int") - first + 1), "")
+        return F.substring(held, start - first * CHUNK + 1, end - start)
+
+    def written(s: Column) -> Column:
+        joined = F.zip_with(s["spans"], F.slice(s["before"], 1, F.size(s["spans"])), lambda x, b: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), b.alias("before")))
+        first = F.filter(joined, lambda x: x["start"] >= x["before"])  # begins behind all before it
+        pieces = F.transform(first, lambda x: F.concat(between(s["chunks"], x["before"], x["start"]), F.get(names, x["kind"])))
+        end = F.array_max(F.transform(s["spans"], lambda x: x["end"]))
+        return F.concat(F.array_join(pieces, ""), between(s["chunks"], end, F.length(text)))
+
+    chunks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    state = let(ordered, lambda o: F.struct(o.alias("spans"), running(F.transform(o, lambda x: x["end"]), lambda a, b: F.greatest(a, b)).alias("before"), chunks.alias("chunks")))
+    return F.when(F.size(spans) == 0, text).otherwise(let(state, written))

@@ -69,7 +69,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == pii.KINDS.index(k))).cast("long").alias(f"n_{k}")
     return found.select(
         "doc_id", *[count(k) for k in pii.BASE_KINDS], F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"),
-        pii.written(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        pii.written(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size(F.concat("base", "added")).cast("long").alias("n_spans"),
     )
 
 
