@@ -40,8 +40,8 @@ SECRET = r"^[0-9a-f]{32,64}$"
 #: Characters on each side that patterns are made of.
 CONTEXT = 64
 ITERATIONS = 3
-MIN_SEEDS = 3
-SHRINK = 1.0
+MIN_SEEDS = 5
+SHRINK = 4.0
 TRUST = 0.6
 BLOCK = 64
 CHUNK = 4096
