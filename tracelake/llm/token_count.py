@@ -11,39 +11,44 @@ from pyspark.sql import functions as F
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 CACHE_ENTRIES = 400_000
+MARK = "▁"
 
 
 class Automaton:
     """Trie over word-initial and word-internal pieces with failure links.
 
     Node 0 stands behind the word mark, node 1 is the root of the inner pieces.
-    ``pops[v]`` is the number of pieces that following the link of v settles, worked
-    out once, so a word is counted in one pass and no piece is ever built.  Pieces with
-    a character that is no inner piece itself are left out, hence only node 1 lacks a
-    link; a character that no piece has counts as its UTF-8 bytes (byte fallback).
+    ``pops[v]`` is the number of tokens that following the link of v settles, worked
+    out once, so a word is counted in one pass and no piece is ever built.  A character
+    that is no piece counts as its UTF-8 bytes (byte fallback): where pieces hold it, it
+    stands below node 1 with that many tokens, so only node 1 lacks a link.
     """
 
     def __init__(self, initial: Iterable[str], inner: Iterable[str], mark_is_piece: bool = True):
         self.next: list[dict[str, int]] = [{}, {}]
-        ends: set[int] = set()
-        inner = set(inner)
-        chars = {c for c in inner if len(c) == 1}
-        for root, pieces in ((0, set(initial)), (1, inner)):
-            for piece in pieces:
-                if piece and chars.issuperset(piece):
-                    v = root
-                    for c in piece:
-                        if c not in self.next[v]:
-                            self.next[v][c] = len(self.next)
-                            self.next.append({})
-                        v = self.next[v][c]
-                    ends.add(v)
+        ends: dict[int, int] = {}
+        initial, inner = set(initial), set(inner)
+
+        def add(root: int, piece: str, tokens: int) -> None:
+            v = root
+            for c in piece:
+                if c not in self.next[v]:
+                    self.next[v][c] = len(self.next)
+                    self.next.append({})
+                v = self.next[v][c]
+            ends[v] = tokens
+
+        for c in {c for piece in initial | inner for c in piece} - inner:
+            add(1, c, len(c.encode()))
+        for root, pieces in ((0, initial), (1, inner)):
+            for piece in pieces - {""}:
+                add(root, piece, 1)
         self.fail, self.pops = [-1] * len(self.next), [0] * len(self.next)
-        self.fail[0], self.pops[0] = 1, int(mark_is_piece)
+        self.fail[0], self.pops[0] = 1, 1 if mark_is_piece else len(MARK.encode())
         queue = [(root, c, v) for root in (0, 1) for c, v in self.next[root].items()]
         for u, c, v in queue:  # grows while it is read: breadth first
             if v in ends:
-                self.fail[v], self.pops[v] = 1, 1
+                self.fail[v], self.pops[v] = 1, ends[v]
             else:
                 z, settled = self.fail[u], self.pops[u]
                 while c not in self.next[z]:
@@ -53,7 +58,7 @@ class Automaton:
             queue += [(v, d, w) for d, w in self.next[v].items()]
 
     def count(self, word: str) -> int:
-        """Pieces of the greedy longest match of one word."""
+        """Tokens of the greedy longest match of one word."""
         nexts, fail, pops = self.next, self.fail, self.pops
         v = total = 0
         for c in word:
@@ -78,8 +83,8 @@ def sentencepiece_vocabulary(path: str) -> tuple[list[str], list[str], bool]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(model.get_piece_size())
     pieces = {model.id_to_piece(i) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    initial = [p[1:] for p in pieces if p[0] == "▁" and "▁" not in p[1:]]
-    return initial, [p for p in pieces if "▁" not in p], "▁" in pieces
+    initial = [p[1:] for p in pieces if p[0] == MARK and MARK not in p[1:]]
+    return initial, [p for p in pieces if MARK not in p], MARK in pieces
 
 
 class _Counts(dict):
