@@ -25,6 +25,7 @@ from tracelake.llm.library_bpe import LibraryEncoder
 
 NULL_ID = -(1 << 63)
 MASK_DELTA = 0xA282EAD8
+PREFIX = 32
 
 HEAD, TAIL, OWN, ENTRY = "<QI", "<I", "<qB", "<qqq"
 HEAD_BYTES, TAIL_BYTES, OWN_BYTES, ENTRY_BYTES = map(struct.calcsize, (HEAD, TAIL, OWN, ENTRY))
@@ -75,7 +76,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
     Rows are range-partitioned by id, one file per partition.  A task writes under a name
     of its own and renames at its end, so a repeated task replaces its file.  Returns the
     manifest, one entry per file: part, path, docs, tokens.  A null text is empty (the end
-    id alone); a null id sorts first; equal ids stay together, in order of their text.
+    id alone); a null id sorts first; equal ids follow in order of their text, and may be
+    cut between files by its first PREFIX characters, so one id does not make one file.
     """
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +113,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
         yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), pa.array(row[1]), *[pa.array(x, pa.int64()) for x in row[2:]]], names=["part", "path", "docs", "tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    ordered = rows.repartitionByRange("id", F.substring("text", 1, PREFIX)).sortWithinPartitions("id", "text")
     manifest = ordered.mapInArrow(written, "part int, path string, docs long, tokens long").collect()
     return [r.asDict() for r in sorted(manifest, key=lambda r: r["part"])]
 
