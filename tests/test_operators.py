@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,7 +72,9 @@ def test_quiet_time_is_from_the_last_accepted(spark):
     assert [(r["ts"] - T0).total_seconds() / 60 for r in kept] == [0, 7, 12.5, 30]
 
 
-def test_quiet_time_of_dense_keys_collects_no_island(spark, monkeypatch):
+@pytest.mark.parametrize("size", [50, 1_000_000])
+def test_quiet_time_of_dense_keys_collects_no_island(spark, monkeypatch, size):
+    monkeypatch.setattr(ordered, "TIMES_PER_BUCKET", size)
     def refuse(*_):
         raise AssertionError("a key in one array")
 
@@ -89,6 +92,25 @@ def test_quiet_time_of_dense_keys_collects_no_island(spark, monkeypatch):
     assert len(found) == len(want) and set(found) == want
 
 
+def test_quiet_time_of_a_million_hits_without_a_gap(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "TIMES_PER_BUCKET", 100_000)
+    rows = spark.range(1_000_000).select(F.lit("k").alias("key"), F.timestamp_micros(F.col("id") * 700_000 + 1).alias("ts"))
+    found = ordered.accept_after_quiet(rows, ["key"], "ts", 300).select(F.unix_micros("ts")).collect()
+    assert sorted(r[0] for r in found) == [i * 700_000 + 1 for i in range(0, 1_000_000, 429)]  # 429 * 0.7 s is the first gap over 300 s
+
+
+def test_exact_median(spark):
+    r = random.Random(5)
+    rows = [(k, v) for k in ("a", "b", None) for v in [r.choice([r.gauss(0, 1), 3.0, None]) for _ in range(r.choice([1, 2, 501, 1000]))]] + [("none", None), ("two", 1.0), ("two", 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for by in (["k"], []):
+        for accuracy in (10_000, 50):
+            found = {x[0] if by else 0: x["m"] for x in ordered.exact_median(df, by, "v", "m", accuracy).collect()}
+            for k in {x[0] if by else 0 for x in rows}:
+                own = [v for x, v in rows if v is not None and (not by or x == k)]
+                assert found[k] == (statistics.median(own) if own else None)
+
+
 def state(log):
     """The findings state machine, row by row."""
     found = {}

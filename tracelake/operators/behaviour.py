@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import basename, hour_bucket
-from tracelake.operators.ordered import as_of, carry_last, seconds
+from tracelake.operators.ordered import as_of, carry_last, exact_median, seconds
 
 VIBE, LATE_HOUR, DAY = 5, 22, 86400.0
 
 
 def local(ts: str, zone: str) -> Column:
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col(ts).cast("timestamp_ntz"))
+    """Wall-clock time of an instant in a zone, whatever the session's zone is."""
+    return F.convert_timezone(None, F.lit(zone), F.col(ts).cast("timestamp_ntz"))
 
 
 def _ships(events: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def bimodal(sessions: DataFrame) -> DataFrame:
 
 
 def project_switch(sessions: DataFrame, zone: str = "UTC") -> DataFrame:
-    """Median distinct projects per active day; null under five days."""
+    """Median distinct projects per active day; null under five days.  The median's buffer holds distinct counts only."""
     rows = sessions.where(F.col("started_at").isNotNull()).select(F.to_date(local("started_at", zone)).alias("day"), basename(F.col("cwd")).alias("project")).where(F.col("project").isNotNull())
     daily = rows.groupBy("day").agg(F.count_distinct("project").alias("n"))
     return daily.agg(F.when(F.count("*") >= 5, F.median("n")).alias("median_projects"))
@@ -83,7 +84,7 @@ def ship_cadence(events: DataFrame, by: list[str]) -> DataFrame:
     """Median days between ships; null under two ships."""
     ships = _ships(events).select(*by, "ts")
     gaps = carry_last(ships, by, F.floor(seconds("ts") / DAY), ["ts"], F.col("ts"), "before").withColumn("gap", (F.unix_micros("ts") - F.unix_micros("before")).cast("double") / (DAY * 1e6))
-    return gaps.groupBy(*by).agg(F.median("gap").alias("median_days"))
+    return exact_median(gaps, by, "gap", "median_days")
 
 
 def plan_then_ship(events: DataFrame, by: list[str], window_seconds: float = 7 * DAY) -> DataFrame:

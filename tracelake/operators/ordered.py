@@ -7,8 +7,14 @@ bucket, carried over a small table.
 
 from __future__ import annotations
 
+import functools
+import tempfile
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 DAY = 86400
 
@@ -49,32 +55,119 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """The rows without their lineage, in the checkpoint folder where one is set."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+    """The rows without their lineage, written to the checkpoint folder; a local master without one gets a temporary one."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="tracelake-"))
+    return df.checkpoint()
+
+
+#: Times that one task folds at once, about; a bucket is a whole number of CELLS times to live.
+TIMES_PER_BUCKET = 1_000_000
+CELLS = 16
+
+
+def _chain(times: np.ndarray, micros: int) -> np.ndarray:
+    """For each time the place of the next one beyond the time to live; their number where there is none."""
+    return np.searchsorted(times, times + micros, side="right")
+
+
+def _lasts(table: pa.Table, micros: int, width: int) -> pa.Table:
+    """(_key, _t, _last): the last accepted time of a bucket for each time at which a chain may enter it.
+
+    A chain from an earlier bucket enters within a time to live of the bucket's start, or
+    else at the first time behind that.
+    """
+    t = np.unique(table["_t"].to_numpy())
+    after = _chain(t, micros).tolist()
+    last = list(range(len(t)))
+    for i in range(len(t) - 1, -1, -1):
+        if after[i] < len(t):
+            last[i] = last[after[i]]
+    start = int(t[0]) // width * width
+    n = min(int(np.searchsorted(t, start + micros, side="right")) + 1, len(t))
+    key = table["_key"].combine_chunks().take(pa.array(np.zeros(n, np.int64)))
+    return pa.table({"_key": key, "_t": t[:n], "_last": t[last[:n]]})
+
+
+def _accepted(table: pa.Table, micros: int) -> pa.Table:
+    """(_key, _t) of the chain that begins at a bucket's entry."""
+    t = np.unique(table["_t"].to_numpy())
+    after = _chain(t, micros)
+    at, found = int(np.searchsorted(t, table["_entry"][0].as_py())), []
+    while at < len(t):
+        found.append(at)
+        at = int(after[at])
+    return pa.table({"_key": table["_key"].combine_chunks().take(pa.array(np.zeros(len(found), np.int64))), "_t": t[found]})
 
 
 def accept_after_quiet(hits: DataFrame, by: list[str], ts: str, ttl_seconds: int) -> DataFrame:
     """The times (by, ts) of hits that a time-to-live from the last accepted hit lets through.
 
     The first hit of a key is accepted, and after an accepted hit the next one later than
-    the ttl.  Each time points to that successor; the chain from the first time is followed
-    by doubling: each round joins the accepted times with pointers twice as long.  So no
-    task holds a key or an island.  A gap of exactly the ttl is still suppressed.
+    the ttl; a gap of exactly the ttl is still suppressed.  Times are cut into buckets of
+    CELLS times to live or more, as many as hold about TIMES_PER_BUCKET times where they
+    are densest.  A bucket tells for each time at which a chain may enter it where the
+    chain leaves; these few rows are joined to the next bucket's entries and followed by
+    pointers that double in length; then each entered bucket marks its chain.  No task
+    holds a key or an island of hits.
     """
     micros = ttl_seconds * 1_000_000
-    times = _cut(hits.select(F.struct(F.lit(0).alias("_"), *by).alias("_key"), F.unix_micros(ts).alias("_t")).where("_t is not null").distinct())
-    # later times come first, and of equal ones the asking row: so it sees only times beyond its own
-    asks = times.select("_key", "_t", (-F.col("_t") - micros).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_to"))
-    tells = times.select("_key", "_t", (-F.col("_t")).alias("_at"), F.lit(1).alias("_side"), F.col("_t").alias("_to"))
-    seen = carry_last(asks.unionByName(tells), ["_key"], F.floor(F.col("_at") / (DAY * 1_000_000)), ["_at", "_side"], F.col("_to"), "_next")
-    hops = _cut(seen.where("_side = 0 and _next is not null").select("_key", "_t", "_next"))
-    kept = _cut(times.groupBy("_key").agg(F.min("_t").alias("_t")))
-    size = kept.count()
-    while True:
-        kept = _cut(kept.unionByName(kept.join(hops, ["_key", "_t"]).select("_key", F.col("_next").alias("_t"))))
-        before, size = size, kept.count()
-        if size == before:
-            break
-        further = hops.select("_key", F.col("_t").alias("_next"), F.col("_next").alias("_far"))
-        hops = _cut(hops.join(further, ["_key", "_next"]).select("_key", "_t", F.col("_far").alias("_next")))
+    key = F.struct(F.lit(0).alias("_"), *by).alias("_key")
+    times = hits.select(key, F.unix_micros(ts).alias("_t")).where("_t is not null").distinct()
+    if micros <= 0:
+        return times.select(*[F.col("_key")[b].alias(b) for b in by], F.timestamp_micros("_t").alias(ts))
+    times = _cut(times)
+    unit = micros * CELLS
+    dense = times.groupBy("_key", F.floor(F.col("_t") / unit).alias("c")).agg(F.count("*").alias("n")).agg(F.max("n"), F.min("c"), F.max("c")).first()
+    width = unit * max(1, min(TIMES_PER_BUCKET // (dense[0] or 1), (dense[2] or 0) - (dense[1] or 0) + 1))
+    placed = times.withColumn("_bucket", F.floor((F.col("_t") - (dense[1] or 0) * unit) / width))
+    origin = (dense[1] or 0) * unit
+    of = lambda *names: StructType([times.schema["_key"], *[StructField(n, LongType()) for n in names]])
+    entered = times.groupBy("_key").agg(F.min("_t").alias("_t"))
+    if (dense[2] or 0) * unit + unit - origin > width:
+        shifted = placed.select("_key", "_bucket", (F.col("_t") - origin).alias("_t"))
+        lasts = shifted.groupBy("_key", "_bucket").applyInArrow(lambda t: _lasts(t, micros, width), of("_t", "_last"))
+        lasts = _cut(lasts.select("_key", (F.col("_t") + origin).alias("_t"), (F.col("_last") + origin).alias("_last")))
+        # later times come first, and of equal ones the asking row: so it sees only entries beyond its own
+        asks = lasts.select("_key", "_t", (-F.col("_last") - micros).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_to"))
+        tells = lasts.select("_key", "_t", (-F.col("_t")).alias("_at"), F.lit(1).alias("_side"), F.col("_t").alias("_to"))
+        seen = carry_last(asks.unionByName(tells), ["_key"], F.floor(F.col("_at") / width), ["_at", "_side"], F.col("_to"), "_next")
+        hops = _cut(seen.where("_side = 0 and _next is not null").select("_key", "_t", "_next"))
+        entered = _cut(entered)
+        size = entered.count()
+        while True:
+            entered = _cut(entered.unionByName(entered.join(hops, ["_key", "_t"]).select("_key", F.col("_next").alias("_t"))))
+            before, size = size, entered.count()
+            if size == before:
+                break
+            further = hops.select("_key", F.col("_t").alias("_next"), F.col("_next").alias("_far"))
+            hops = _cut(hops.join(further, ["_key", "_next"]).select("_key", "_t", F.col("_far").alias("_next")))
+    entries = entered.select("_key", F.floor((F.col("_t") - origin) / width).alias("_bucket"), F.col("_t").alias("_entry"))
+    kept = placed.join(entries, ["_key", "_bucket"]).groupBy("_key", "_bucket").applyInArrow(lambda t: _accepted(t, micros), of("_t"))
     return kept.select(*[F.col("_key")[b].alias(b) for b in by], F.timestamp_micros("_t").alias(ts))
+
+
+def exact_median(df: DataFrame, by: list[str], value: str, name: str, accuracy: int = 10_000) -> DataFrame:
+    """Median of a column by keys without a buffer of all its values.
+
+    An approximate bracket of the middle comes first; only rows inside it are sorted, and
+    those below it are counted, so one key may hold all rows.  Null values do not count;
+    a key without values has a null.
+    """
+    rows = df.select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], F.lit(0).alias("_one"), F.col(value).cast("double").alias("_v"))
+    keys = [*[f"_k{i}" for i in range(len(by))], "_one"]
+    slack = 2.0 / accuracy
+    ends = F.percentile_approx("_v", [0.5 - slack, 0.5 + slack], accuracy)
+    near = rows.groupBy(*keys).agg(ends[0].alias("_low"), ends[1].alias("_high"), F.count("_v").alias("_n"))
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"b{k}")) for k in keys])
+    placed = rows.join(near.withColumnsRenamed({k: f"b{k}" for k in keys}), same)
+    below = F.count_if(F.col("_v") < F.col("_low"))
+    inside = F.collect_list(F.when((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high")), F.col("_v")))
+    found = placed.groupBy(*keys).agg(F.max("_n").alias("_n"), below.alias("_below"), F.array_sort(inside).alias("_in"))
+    at = lambda rank: F.get("_in", (rank - F.col("_below")).cast("int"))
+    middle = (at(F.floor((F.col("_n") - 1) / 2)) + at(F.floor(F.col("_n") / 2))) / 2
+    return found.select(*[F.col(f"_k{i}").alias(b) for i, b in enumerate(by)], F.when(F.col("_n") > 0, middle).alias(name))
