@@ -47,22 +47,24 @@ class Detector:
     category: str
     pattern: str
     confidence: int
+    needle: str  # a line without it (in lower case if the expression ignores case) has no match
     group: int = 0  # the group that holds the secret
 
 
 # Categories, expressions and confidences of the detectors, in order.
 DETECTORS = (
-    Detector("anthropic_key", r"sk-ant-[A-Za-z0-9_\-]{20,}", 10),
-    Detector("openai_key", r"sk-(?:proj-)?[A-Za-z0-9_\-]{20,}", 10),
-    Detector("github_pat", r"ghp_[A-Za-z0-9]{30,}", 10),
-    Detector("github_fine_grained_pat", r"github_pat_[A-Za-z0-9_]{40,}", 10),
-    Detector("github_app_token", r"ghs_[A-Za-z0-9]{30,}", 10),
-    Detector("aws_access_key", r"\bAKIA[0-9A-Z]{16}\b", 9),
-    Detector("slack_token", r"xox[baprs]-[A-Za-z0-9-]{10,}", 9),
-    Detector("jwt", r"\beyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\b", 8),
-    Detector("bearer_token", r"(?i)bearer\s+([A-Za-z0-9_\-\.]{20,})", 7, 1),
-    Detector("email", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", 7),
+    Detector("anthropic_key", r"sk-ant-[A-Za-z0-9_\-]{20,}", 10, "sk-ant-"),
+    Detector("openai_key", r"sk-(?:proj-)?[A-Za-z0-9_\-]{20,}", 10, "sk-"),
+    Detector("github_pat", r"ghp_[A-Za-z0-9]{30,}", 10, "ghp_"),
+    Detector("github_fine_grained_pat", r"github_pat_[A-Za-z0-9_]{40,}", 10, "github_pat_"),
+    Detector("github_app_token", r"ghs_[A-Za-z0-9]{30,}", 10, "ghs_"),
+    Detector("aws_access_key", r"\bAKIA[0-9A-Z]{16}\b", 9, "AKIA"),
+    Detector("slack_token", r"xox[baprs]-[A-Za-z0-9-]{10,}", 9, "xox"),
+    Detector("jwt", r"\beyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\b", 8, "eyJ"),
+    Detector("bearer_token", r"(?i)bearer\s+([A-Za-z0-9_\-\.]{20,})", 7, "bearer", 1),
+    Detector("email", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", 7, "@"),
 )
+# Anchors, entropy rule, suppressed domains and names, line limit, recommendation words.
 ANCHORS = ("sk-", "@", "ghp_", "AKIA", "eyJ", "ghs_", "github_pat_", "xox", "Bearer ", "bearer ")
 ENTROPY = r"[A-Za-z0-9+/=_\-]{40,200}"
 ENTROPY_SKIP = r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions import dims
 
-HIT = "array<struct<category:string,value:string,confidence:int,suppressed_by:string>>"
-
-
 def redact(c: Column) -> Column:
     """Short values become dots; others keep up to four characters at each end."""
     n = F.length(c)
@@ -21,20 +20,25 @@ def fingerprint(category: Column, snippet: Column) -> Column:
     return F.substring(F.sha1(F.concat(category, F.lit(":"), snippet).cast("binary")), 1, 16)
 
 
-def shannon_entropy(c: Column) -> Column:
-    """Bits per character."""
-    chars = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
-    n = F.size(chars).cast("double")
+def character_runs(c: Column) -> Column:
+    """How often each distinct character occurs, from the runs of the sorted characters."""
+    ordered = F.array_join(F.sort_array(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))), "")
+    return F.transform(F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1*"), F.lit(0)), lambda r: F.length(r))
+
+
+def entropy_of(runs: Column, length: Column) -> Column:
+    """Bits per character of a text with such runs."""
+    n = length.cast("double")
+    return F.aggregate(runs, F.lit(0.0), lambda total, r: total - r / n * F.log2(r / n))
 
-    def add(total: Column, x: Column) -> Column:
-        p = F.size(F.filter(chars, lambda y: y == x)) / n
-        return total - p * F.log2(p)
 
-    return F.aggregate(F.array_distinct(chars), F.lit(0.0), add)
+def shannon_entropy(c: Column) -> Column:
+    """Bits per character."""
+    return entropy_of(character_runs(c), F.length(c))
 
 
 def unique_chars(c: Column) -> Column:
-    return F.size(F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))))
+    return F.size(character_runs(c))
 
 
 def has_anchor(line: Column) -> Column:
@@ -58,40 +62,79 @@ def suppressed_by(value: Column, escaped: Column) -> Column:
     )
 
 
-def _hits(line: Column, d: dims.Detector) -> Column:
-    """All matches of a detector with the rule that suppresses each."""
-    def hit(value: Column, escaped: Column) -> Column:
-        return F.struct(F.lit(d.category).alias("category"), value.alias("value"), F.lit(d.confidence).alias("confidence"), suppressed_by(value, escaped).alias("suppressed_by"))
-
-    if d.group:
-        return F.transform(F.regexp_extract_all(line, F.lit(d.pattern), F.lit(d.group)), lambda m: hit(m, F.lit(False)))
-    found = F.regexp_extract_all(line, F.lit(rf"\\?(?:{d.pattern})"), F.lit(0))
-    return F.transform(found, lambda m: hit(F.regexp_replace(m, r"^\\", ""), m.startswith("\\")))
-
+def _matches(line: Column, d: dims.Detector) -> Column:
+    """Raw matches of a detector, with the backslash before them if there is one; not tried on lines without its needle."""
+    pattern = d.pattern if d.group else rf"\\?(?:{d.pattern})"
+    found = F.regexp_extract_all(line, F.lit(pattern), F.lit(d.group))
+    there = (F.lower(line) if d.pattern.startswith("(?i)") else line).contains(d.needle)
+    return F.when(there, F.transform(found, lambda m: F.struct(F.lit(d.category).alias("category"), F.lit(d.confidence).alias("confidence"), m.alias("raw"))))
 
-def _entropy_hits(line: Column, min_confidence: int) -> Column:
-    def band(bits: Column) -> Column:
-        out = F.lit(0)
-        for least, confidence in reversed(dims.ENTROPY_BANDS):
-            out = F.when(bits >= least, F.lit(confidence)).otherwise(out)
-        return out
 
-    found = F.regexp_extract_all(line, F.lit(rf"\\?{dims.ENTROPY}"), F.lit(0))
-    raw = F.transform(found, lambda m: F.struct(F.regexp_replace(m, r"^\\", "").alias("value"), m.startswith("\\").alias("escaped")))
-    likely = F.filter(raw, lambda x: ~x["value"].rlike(dims.ENTROPY_SKIP) & (unique_chars(x["value"]) >= dims.ENTROPY_MIN_UNIQUE))
-    hits = F.transform(likely, lambda x: F.struct(
-        F.lit("high_entropy").alias("category"), x["value"].alias("value"), band(shannon_entropy(x["value"])).alias("confidence"), suppressed_by(x["value"], x["escaped"]).alias("suppressed_by")))
-    return F.filter(hits, lambda h: h["confidence"] >= max(min_confidence, 4))
+def raw_matches(line: Column, min_confidence: int = 7) -> Column:
+    """Array of (category, confidence, raw) of every match; detectors below the threshold are not in the plan.
 
-
-def hits(line: Column, min_confidence: int = 7) -> Column:
-    """Every detector hit of a line, suppressed ones marked; detectors below the threshold are not in the plan."""
-    none = F.array().cast(HIT)
-    vendor = [_hits(line, d) for d in dims.DETECTORS if d.confidence >= min_confidence]
+    Strings that may be of high entropy come with confidence 0: their band is for ``judged``.
+    """
+    none = F.array().cast("array<struct<category:string,confidence:int,raw:string>>")
+    vendor = [F.coalesce(_matches(line, d), none) for d in dims.DETECTORS if d.confidence >= min_confidence]
     found = F.when(has_anchor(line), F.concat(*vendor)).otherwise(none) if vendor else none
-    return F.concat(found, _entropy_hits(line, min_confidence)) if min_confidence <= 6 else found
-
-
-def kept_hits(line: Column, min_confidence: int = 7) -> Column:
-    """Unsuppressed hits, each (category, value) once, in first-seen order."""
-    return F.array_distinct(F.filter(hits(line, min_confidence), lambda h: h["suppressed_by"].isNull()))
+    if min_confidence > 6:
+        return found
+    random = F.regexp_extract_all(line, F.lit(rf"\\?{dims.ENTROPY}"), F.lit(0))
+    return F.concat(found, F.transform(random, lambda m: F.struct(F.lit("high_entropy").alias("category"), F.lit(0).alias("confidence"), m.alias("raw"))))
+
+
+def pinned(df: DataFrame, *columns: Column) -> DataFrame:
+    """Adds columns that are worked out once per row: no filter or projection behind can be moved before them."""
+    one = F.explode(F.array(F.struct(*columns))).alias("_pinned")
+    return df.select("*", one).select("*", "_pinned.*").drop("_pinned")
+
+
+def judged(rows: DataFrame, min_confidence: int = 7) -> DataFrame:
+    """Rows of (category, confidence, raw) with value, final confidence and the rule that suppresses them, if any."""
+    escaped = F.col("raw").startswith("\\")
+    found = rows.withColumn("value", F.when(escaped, F.substring("raw", 2, dims.LINE_LIMIT)).otherwise(F.col("raw"))).withColumn("escaped", escaped)
+    if min_confidence > 6:
+        return found.withColumn("suppressed_by", suppressed_by(F.col("value"), F.col("escaped"))).drop("raw", "escaped")
+    random = F.col("category") == "high_entropy"
+    found = pinned(found, F.when(random & ~F.col("value").rlike(dims.ENTROPY_SKIP), character_runs(F.col("value"))).alias("runs"))
+    found = pinned(found, F.when(F.size("runs") >= dims.ENTROPY_MIN_UNIQUE, entropy_of(F.col("runs"), F.length("value"))).alias("bits"))
+    band = F.lit(0)
+    for least, confidence in reversed(dims.ENTROPY_BANDS):
+        band = F.when(F.col("bits") >= least, F.lit(confidence)).otherwise(band)
+    found = found.withColumn("confidence", F.when(random, band).otherwise(F.col("confidence"))).where(F.col("confidence") >= max(min_confidence, 4))
+    return found.withColumn("suppressed_by", suppressed_by(F.col("value"), F.col("escaped"))).drop("raw", "escaped", "runs", "bits")
+
+
+def hits(lines: DataFrame, min_confidence: int = 7, once: bool = False) -> DataFrame:
+    """A row (category, value, confidence, suppressed_by) beside the line's columns for each hit; ``once``: equal ones of a line count once."""
+    raw = raw_matches(F.col("line"), min_confidence)
+    each = lines.select("*", F.explode_outer(F.array_distinct(raw) if once else raw).alias("_hit")).where("_hit is not null")
+    return judged(each.select("*", "_hit.*").drop("_hit"), min_confidence)
+
+
+def contexts(lines: DataFrame, min_confidence: int = 7, around: int = 200) -> DataFrame:
+    """Unsuppressed vendor hits with the text around them: context_before, match_full, context_after, raw_line.
+
+    Offsets come of the gaps between matches, so of equal strings in a line each is met where it stands.
+    """
+    parts = []
+    for d in dims.DETECTORS:
+        if d.confidence < min_confidence:
+            continue
+        pattern = d.pattern if d.group else rf"\\?(?:{d.pattern})"
+        gaps, whole, own = F.split("line", pattern, -1), F.regexp_extract_all("line", F.lit(pattern), F.lit(0)), F.regexp_extract_all("line", F.lit(pattern), F.lit(d.group))
+        trio = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("g"), whole.alias("w"), own.alias("o"))
+        step = lambda done, x: F.struct(
+            (done["at"] + F.length(x["g"]) + F.length(x["w"])).alias("at"),
+            F.concat(done["out"], F.array(F.struct((done["at"] + F.length(x["g"]) + F.length(x["w"]) - F.length(x["o"])).alias("start"), x["o"].alias("raw")))).alias("out"))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,raw:string>>").alias("out"))
+        found = F.when(has_anchor(F.col("line")), F.aggregate(trio, begin, step)["out"])
+        parts.append(lines.select("*", F.lit(d.category).alias("category"), F.lit(d.confidence).alias("confidence"), F.explode_outer(found).alias("_hit")).where("_hit is not null").select("*", "_hit.*").drop("_hit"))
+    every = functools.reduce(DataFrame.unionByName, parts)
+    rows = judged(every.withColumn("start", F.col("start") + F.when(F.col("raw").startswith("\\"), 1).otherwise(0)), max(min_confidence, 7)).where("suppressed_by is null")
+    low = F.greatest(F.col("start") - around, F.lit(0))
+    return rows.select(
+        "*", F.substring("line", low + 1, F.col("start") - low).alias("context_before"), F.col("value").alias("match_full"),
+        F.substring("line", F.col("start") + F.length("value") + 1, F.lit(around)).alias("context_after"), F.col("line").alias("raw_line"),
+    ).drop("line", "value")

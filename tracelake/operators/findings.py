@@ -9,31 +9,54 @@ from tracelake.functions import dims, secrets
 from tracelake.operators.ordered import carry_last
 
 
-def clip(lines: DataFrame) -> DataFrame:
-    """Lines cut at the limit, with a mark."""
-    return lines.withColumn("line_truncated", F.length("line") > dims.LINE_LIMIT).withColumn("line", F.substring("line", 1, dims.LINE_LIMIT))
+def clip(lines: DataFrame, limit: int | None = dims.LINE_LIMIT) -> DataFrame:
+    """Lines cut at the limit of transcripts, with a mark; without a limit they stay whole."""
+    if limit is None:
+        return lines.withColumn("line_truncated", F.lit(False))
+    cut = F.substring("line", 1, limit).alias("_cut"), (F.length("line") > limit).alias("line_truncated")
+    return secrets.pinned(lines, *cut).withColumn("line", F.col("_cut")).drop("_cut")
 
 
-def scan(lines: DataFrame, min_confidence: int = 7) -> DataFrame:
+def lines_of(docs: DataFrame, id_col: str, text_col: str, min_confidence: int = 7) -> DataFrame:
+    """(file, line_no, line) of documents; over confidence 6 those without an anchor are not even split."""
+    rows = docs.where(secrets.has_anchor(F.col(text_col))) if min_confidence > 6 else docs
+    return rows.select(F.col(id_col).cast("string").alias("file"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
+
+
+def scan(lines: DataFrame, min_confidence: int = 7, limit: int | None = dims.LINE_LIMIT) -> DataFrame:
     """One row per unsuppressed hit of (file, line_no, line); raw values never leave this projection.
 
     With a threshold over 6 only lines with a vendor anchor reach the expressions.
     """
-    rows = clip(lines)
+    rows = clip(lines.select("file", "line_no", "line"), limit).drop("line_truncated")
     if min_confidence > 6:
         rows = rows.where(secrets.has_anchor(F.col("line")))
-    hit = rows.select("file", "line_no", F.explode(secrets.kept_hits(F.col("line"), min_confidence)).alias("h"))
-    snippet = secrets.redact(F.col("h.value"))
-    return hit.select(
-        "file", "line_no", "h.category", snippet.alias("snippet_redacted"), "h.confidence", F.length("h.value").alias("full_length"),
-        secrets.fingerprint(F.col("h.category"), snippet).alias("fingerprint"),
+    found = secrets.hits(rows, min_confidence, once=True).where("suppressed_by is null")
+    snippet = secrets.redact(F.col("value"))
+    return found.select(
+        "file", "line_no", "category", snippet.alias("snippet_redacted"), "confidence", F.length("value").alias("full_length"),
+        secrets.fingerprint(F.col("category"), snippet).alias("fingerprint"),
     )
 
 
+def scan_contexts(lines: DataFrame, min_confidence: int = 7, limit: int | None = dims.LINE_LIMIT, around: int = 200) -> DataFrame:
+    """Hits with the raw text around them, for a local viewer that must show it; other outputs are redacted."""
+    return secrets.contexts(clip(lines, limit), min_confidence, around)
+
+
 def audit(lines: DataFrame, min_confidence: int = 7, whole: bool = False) -> DataFrame:
     """Suppressed hits by category and rule; ``whole`` lines are not cut at the limit of transcripts."""
-    hit = (lines if whole else clip(lines)).select(F.explode(secrets.hits(F.col("line"), min_confidence)).alias("h")).where("h.suppressed_by is not null")
-    return hit.groupBy("h.category", "h.suppressed_by").agg(F.count("*").alias("hits"))
+    rows = clip(lines.select("line"), None if whole else dims.LINE_LIMIT).select("line")
+    if min_confidence > 6:
+        rows = rows.where(secrets.has_anchor(F.col("line")))
+    return secrets.hits(rows, min_confidence).where("suppressed_by is not null").groupBy("category", "suppressed_by").agg(F.count("*").alias("hits"))
+
+
+def by_danger(rows: DataFrame, *ties: str) -> DataFrame:
+    """Rows by their category's confidence, highest first: entropy after the vendors, unknown categories last; then by name."""
+    known = {d.category: d.confidence for d in dims.DETECTORS} | {"high_entropy": 6}
+    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), F.col("category")), F.lit(0))
+    return rows.orderBy(F.desc(rank), "category", *ties)
 
 
 def fold(log: DataFrame) -> DataFrame:
@@ -115,5 +138,5 @@ def payload(kind: str = "plain") -> Column:
 
 def catches_by_day(hits: DataFrame, start: str, end: str, zone: str = "UTC") -> DataFrame:
     """Accepted hits per local day in [start, end)."""
-    day = F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("ts").cast("timestamp_ntz")))
+    day = F.to_date(F.convert_timezone(None, F.lit(zone), F.col("ts").cast("timestamp_ntz")))
     return hits.select(day.alias("day")).where((F.col("day") >= F.lit(start).cast("date")) & (F.col("day") < F.lit(end).cast("date"))).groupBy("day").agg(F.count("*").alias("catches"))

@@ -29,22 +29,34 @@ def label(by: str) -> Column:
     raise ValueError(f"cannot group by {by}")
 
 
+def by_model(usage: DataFrame, *keys: str | Column) -> DataFrame:
+    """Token sums, events and exact cost (``nano``) by keys and model: prices are looked up once a group, not once a row."""
+    grouped = usage.groupBy(*keys, "model").agg(*[F.sum(c).alias(c) for c in TOKENS], F.count("*").alias("event_count"))
+    return grouped.withColumn("nano", nano_cost(F.col("model")))
+
+
 def cost(usage: DataFrame, by: str) -> DataFrame:
-    """Token sums, cost, events and model display by (label, provider); one hash aggregate."""
-    display = F.when(F.count_distinct("model") == 1, F.max("model")).when(F.count_distinct("model") > 1, F.concat(F.lit("mixed ("), F.count_distinct("model").cast("string"), F.lit(")")))
-    grouped = usage.groupBy(label(by).alias("label"), F.col("provider").alias("provider_name")).agg(
-        *[F.sum(c).alias(c) for c in TOKENS], usd(F.sum(nano_cost(F.col("model")))).alias("cost_usd"), F.count("*").alias("event_count"), display.alias("model")
+    """Token sums, cost, events and model display by (label, provider), from one row a model."""
+    display = F.when(F.count("model") == 1, F.max("model")).when(F.count("model") > 1, F.concat(F.lit("mixed ("), F.count("model").cast("string"), F.lit(")")))
+    models = by_model(usage, label(by).alias("label"), F.col("provider").alias("provider_name"))
+    grouped = models.groupBy("label", "provider_name").agg(
+        *[F.sum(c).alias(c) for c in TOKENS], usd(F.sum("nano")).alias("cost_usd"), F.sum("event_count").alias("event_count"), display.alias("model")
     )
     return grouped.withColumnRenamed("provider_name", "provider")
 
 
+def dearest_first(costs: DataFrame) -> DataFrame:
+    """Cost rows in the order of a report: cost descending, then label and provider."""
+    return costs.orderBy(F.desc("cost_usd"), *[c for c in ("label", "provider") if c in costs.columns])
+
+
 def cost_footer(usage: DataFrame) -> DataFrame:
     """Grand total with the part whose provider has verified prices."""
-    nano = nano_cost(F.col("model"))
     sure = F.col("provider") == "claude"
-    return usage.agg(
-        usd(F.coalesce(F.sum(nano), F.lit(0))).alias("total_usd"), F.count("*").alias("events"),
-        usd(F.coalesce(F.sum(F.when(sure, nano)), F.lit(0))).alias("verified_usd"), usd(F.coalesce(F.sum(F.when(~sure, nano)), F.lit(0))).alias("estimated_usd"),
+    part = lambda c: usd(F.coalesce(F.sum(c), F.lit(0)))
+    return by_model(usage, "provider").agg(
+        part("nano").alias("total_usd"), F.coalesce(F.sum("event_count"), F.lit(0)).alias("events"),
+        part(F.when(sure, F.col("nano"))).alias("verified_usd"), part(F.when(~sure, F.col("nano"))).alias("estimated_usd"),
     )
 
 
@@ -59,16 +71,21 @@ def in_window(df: DataFrame, start: str, end: str, ts: str = "ts") -> DataFrame:
     return df.where((F.col(ts) >= F.lit(start).cast("timestamp")) & (F.col(ts) < F.lit(end).cast("timestamp")))
 
 
+def by_session(usage: DataFrame) -> DataFrame:
+    """(provider, session_id, nano, tokens) sums by session and model, the rows that reports are made of."""
+    return by_model(usage, "provider", "session_id").select("provider", "session_id", "nano", total_tokens().alias("tokens"))
+
+
 def activity(usage: DataFrame) -> DataFrame:
     """One row: distinct (provider, session), cost and tokens."""
-    return usage.agg(
-        F.count_distinct(F.struct("provider", "session_id")).alias("session_count"), usd(F.coalesce(F.sum(nano_cost(F.col("model"))), F.lit(0))).alias("cost_usd"),
-        F.coalesce(F.sum(total_tokens()), F.lit(0)).alias("total_tokens"),
+    return by_session(usage).agg(
+        F.count_distinct(F.struct("provider", "session_id")).alias("session_count"), usd(F.coalesce(F.sum("nano"), F.lit(0))).alias("cost_usd"),
+        F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"),
     )
 
 
 def activity_by_provider(usage: DataFrame) -> DataFrame:
-    return usage.groupBy("provider").agg(F.count_distinct("session_id").alias("sessions"), usd(F.sum(nano_cost(F.col("model")))).alias("cost_usd"), F.sum(total_tokens()).alias("total_tokens"))
+    return by_session(usage).groupBy("provider").agg(F.count_distinct("session_id").alias("sessions"), usd(F.sum("nano")).alias("cost_usd"), F.sum("tokens").alias("total_tokens"))
 
 
 def top_counts(df: DataFrame, value: Column, name: str, k: int = 5) -> DataFrame:
@@ -85,12 +102,13 @@ def top_topics(usage: DataFrame, sessions: DataFrame, k: int = 5) -> DataFrame:
 
 def activity_diff(usage: DataFrame, start: str, end: str, previous_start: str) -> DataFrame:
     """This window against the one before it, in a single pass of conditional aggregates."""
-    now = F.col("ts") >= F.lit(start).cast("timestamp")
-    nano, key = nano_cost(F.col("model")), F.struct("provider", "session_id")
-    both = in_window(usage, previous_start, end).agg(
-        *[F.count_distinct(F.when(c, key)).alias(f"s{i}") for i, c in enumerate((now, ~now))],
-        *[F.coalesce(F.sum(F.when(c, nano)), F.lit(0)).alias(f"c{i}") for i, c in enumerate((now, ~now))],
-        *[F.coalesce(F.sum(F.when(c, total_tokens())), F.lit(0)).alias(f"t{i}") for i, c in enumerate((now, ~now))],
+    now = (F.col("ts") >= F.lit(start).cast("timestamp")).alias("now")
+    both = by_model(in_window(usage, previous_start, end), now, "provider", "session_id").withColumn("tokens", total_tokens())
+    sides, key = (F.col("now"), ~F.col("now")), F.struct("provider", "session_id")
+    both = both.agg(
+        *[F.count_distinct(F.when(c, key)).alias(f"s{i}") for i, c in enumerate(sides)],
+        *[F.coalesce(F.sum(F.when(c, F.col("nano"))), F.lit(0)).alias(f"c{i}") for i, c in enumerate(sides)],
+        *[F.coalesce(F.sum(F.when(c, F.col("tokens"))), F.lit(0)).alias(f"t{i}") for i, c in enumerate(sides)],
     )
     return both.select(
         ((F.col("s1") > 0) | (F.col("c1") > 0)).alias("has_prior"), usd(F.col("c0") - F.col("c1")).alias("cost_delta"),
@@ -100,17 +118,17 @@ def activity_diff(usage: DataFrame, start: str, end: str, previous_start: str) -
 
 def cost_trend(usage: DataFrame, start: str, end: str, previous_start: str) -> DataFrame:
     """(this - previous) / previous cost; null without previous cost."""
-    now, nano = F.col("ts") >= F.lit(start).cast("timestamp"), nano_cost(F.col("model"))
-    both = in_window(usage, previous_start, end).agg(F.sum(F.when(now, nano)).alias("a"), F.sum(F.when(~now, nano)).alias("b"))
+    now = (F.col("ts") >= F.lit(start).cast("timestamp")).alias("now")
+    both = by_model(in_window(usage, previous_start, end), now).agg(F.sum(F.when(F.col("now"), F.col("nano"))).alias("a"), F.sum(F.when(~F.col("now"), F.col("nano"))).alias("b"))
     return both.select(F.when(F.col("b") > 0, (F.coalesce("a", F.lit(0)) - F.col("b")).cast("double") / F.col("b").cast("double")).alias("trend"))
 
 
 def projection(usage: DataFrame, start: str, end: str) -> DataFrame:
     """Cost of the window carried to 30 days; not for windows under an hour."""
     hours = (F.unix_timestamp(F.lit(end)) - F.unix_timestamp(F.lit(start))).cast("double") / 3600.0
-    cost_usd = usd(F.coalesce(F.sum(nano_cost(F.col("model"))), F.lit(0)))
+    cost_usd = usd(F.coalesce(F.sum("nano"), F.lit(0)))
     enough = hours >= 1.0
-    return in_window(usage, start, end).agg(
+    return by_model(in_window(usage, start, end)).agg(
         F.first(enough).alias("enough_data"), F.when(F.first(enough), cost_usd / F.first(hours) * 24.0 * 30.0).otherwise(0.0).alias("monthly_usd"), F.first(hours).alias("hours_elapsed")
     )
 

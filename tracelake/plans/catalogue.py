@@ -206,7 +206,7 @@ def scan_audit(spark, d):
 @query("document_scan_audit", v.SEEDED_SQL.replace("FROM v_seeded, v_detectors", "FROM (SELECT CAST(doc_id AS VARCHAR) AS file, 0 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents), v_detectors"),
        "SELECT category, suppressed_by, count(*) AS hits FROM v_judged WHERE suppressed_by IS NOT NULL AND confidence >= 7 GROUP BY 1, 2")
 def document_scan_audit(spark, d):
-    return findings.audit(v.document_lines(spark, d), 7, whole=True)
+    return findings.audit(findings.lines_of(v.table(spark, d, "documents"), "doc_id", "text"), 7, whole=True)
 
 
 @query("scan_prefilter", "v_lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)", f"SELECT count(*) AS lines, count(*) FILTER (WHERE {' OR '.join(f'contains(line, {a!r})' for a in dims.ANCHORS)}) AS anchored FROM v_lines")
@@ -418,4 +418,4 @@ def wide_cost(spark, d):
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     q = F.col("l_quantity").cast("long")
     usage = rows.select("c_mktsegment", F.date_format("l_shipdate", "yyyy-MM").alias("month"), model.alias("model"), (q * 1000).alias("input_tokens"), q.alias("output_tokens"), *[F.lit(0).cast("long").alias(c) for c in u.TOKENS[2:]])
-    return usage.groupBy("c_mktsegment", "month").agg(u.usd(F.sum(u.nano_cost(F.col("model")))).alias("cost_usd"), F.count("*").alias("event_count"))
+    return u.by_model(usage, "c_mktsegment", "month").groupBy("c_mktsegment", "month").agg(u.usd(F.sum("nano")).alias("cost_usd"), F.sum("event_count").alias("event_count"))

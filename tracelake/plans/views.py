@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.functions.secrets import pinned
+
 PROVIDERS = ("claude", "codex", "opencode", "cursor")
 SKILLS = {"purchase": ("ship", "completed"), "signup": ("office-hours", "started"), "view": ("plan-eng-review", "completed"), "click": ("review", "completed"), "error": ("qa", "failed")}
 
@@ -131,7 +133,8 @@ def seeded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = forms[-1]
     for i in reversed(range(len(forms) - 1)):
         line = F.when(n == i, forms[i]).otherwise(line)
-    return table(spark, sf_dir, "orders").select(F.concat(F.lit("f"), F.col("o_orderkey") % 7).alias("file"), F.col("o_orderkey").alias("line_no"), line.alias("line"))
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("f"), F.col("o_orderkey") % 7).alias("file"), F.col("o_orderkey").alias("line_no"))
+    return pinned(rows.withColumn("o_orderkey", F.col("line_no")), line.alias("line")).drop("o_orderkey")
 
 
 SEEDED_SQL = r"""v_seeded AS (
