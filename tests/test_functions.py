@@ -19,11 +19,19 @@ def column(spark, value, expression):
     return spark.createDataFrame([(value,)], "c string").select(expression(F.col("c")).alias("r")).first()["r"]
 
 
+def kept(spark, lines, least=7):
+    """Unsuppressed (category, value, confidence) of each line."""
+    rows = secrets.hits(spark.createDataFrame(list(enumerate(lines)), "i int, line string").coalesce(1), least, once=True).where("suppressed_by is null").collect()
+    return [[(r["category"], r["value"], r["confidence"]) for r in rows if r["i"] == i] for i in range(len(lines))]
+
+
 def test_every_detector_sample_has_an_anchor_and_is_found(spark):
     assert {d.category for d in dims.DETECTORS} == set(SAMPLES)
     rows = spark.createDataFrame(list(SAMPLES.items()), "category string, line string")
-    for r in rows.select("category", secrets.has_anchor(F.col("line")).alias("anchored"), secrets.kept_hits(F.concat(F.lit("x "), "line", F.lit(" y"))).alias("hits")).collect():
-        assert r["anchored"] and r["category"] in {h["category"] for h in r["hits"]}, r
+    assert all(r["anchored"] for r in rows.select(secrets.has_anchor(F.col("line")).alias("anchored")).collect())
+    for category, hits in zip(SAMPLES, kept(spark, [f"x {line} y" for line in SAMPLES.values()]), strict=True):
+        assert category in {h[0] for h in hits}, category
+    assert all(d.needle in (SAMPLES[d.category].lower() if d.pattern.startswith("(?i)") else SAMPLES[d.category]) for d in dims.DETECTORS)
 
 
 def brute_hits(line, least=7):
@@ -50,20 +58,37 @@ LINES = [
 
 
 def test_hits_equal_the_expressions(spark):
-    rows = spark.createDataFrame(list(enumerate(LINES)), "i int, line string").select("i", secrets.kept_hits(F.col("line")).alias("hits")).collect()
-    for r in rows:
-        assert [(h["category"], h["value"]) for h in r["hits"]] == brute_hits(LINES[r["i"]]), LINES[r["i"]]
+    for line, hits in zip(LINES, kept(spark, LINES), strict=True):
+        assert [h[:2] for h in hits] == brute_hits(line), line
+
+
+def test_contexts_stand_where_the_matches_do(spark):
+    """Offsets and text around by Python's expressions."""
+    lines = [*LINES, "é" * 300 + " a@b.io " + "x" * 250 + " xa@b.io a@b.io"]
+    rows = secrets.contexts(spark.createDataFrame(list(enumerate(lines)), "i int, line string"), 7, 20).collect()
+    found = Counter((r["i"], r["category"], r["start"], r["context_before"], r["match_full"], r["context_after"]) for r in rows)
+    assert all(r["raw_line"] == lines[r["i"]] for r in rows)
+    want = Counter()
+    for i, line in enumerate(lines):
+        if any(a in line for a in dims.ANCHORS):
+            keep = {x[:2] for x in kept(spark, [line])[0]}
+            for d in dims.DETECTORS:
+                for m in re.finditer(d.pattern, line):
+                    a, b = m.span(d.group)
+                    if (d.category, m[d.group]) in keep and not (a and line[a - 1] == "\\"):
+                        want[i, d.category, a, line[max(0, a - 20) : a], line[a:b], line[b : b + 20]] += 1
+    assert found == want
 
 
 def test_entropy_layer(spark):
     blob = "Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8Qr9St0Uv+Wx/Yz=aB3"
     line = f"{blob} {'ab' * 30} {hashlib.sha256(b'x').hexdigest()} \\{blob}x"
-    hits = column(spark, line, lambda c: secrets.kept_hits(c, 4))
-    assert [(h["category"], h["value"]) for h in hits] == [("high_entropy", blob)]
+    hits = kept(spark, [line], 4)[0]
+    assert [h[:2] for h in hits] == [("high_entropy", blob)]
     counts = Counter(blob)
     bits = -sum(n / len(blob) * math.log2(n / len(blob)) for n in counts.values())
     assert column(spark, blob, secrets.shannon_entropy) == pytest.approx(bits)
-    assert hits[0]["confidence"] == (6 if bits >= 5.5 else 5 if bits >= 5 else 4)
+    assert hits[0][2] == (6 if bits >= 5.5 else 5 if bits >= 5 else 4)
     assert column(spark, "aabb", secrets.shannon_entropy) == 1.0
 
 
@@ -105,3 +130,42 @@ def test_names_titles_and_labels(spark):
     assert column(spark, "abcdef", lambda c: text.truncate(c, 4)) == "abc…"
     assert column(spark, "5400", text.countdown) == "1h30m" and column(spark, "7300", text.relative_time) == "2h ago"
     assert column(spark, "k", lambda c: text.unit_hash(c, 2)) == int(hashlib.md5(b"2:k").hexdigest()[:8], 16) / 2**32
+
+
+def test_text_helpers(spark):
+    from tracelake.functions import text as t
+
+    rows = [(r'a\n\"b\" \u00e9\u5b57 \x \\n', "https://host.example/own/repo.git", "file:///w/a b"), ("plain\\", "git@host.example:own/repo.git", "http://x"), (None, "host.example/repo", None)]
+    found = spark.createDataFrame(rows, "j string, u string, f string").select(t.json_unescape(F.col("j")), t.repository_slug(F.col("u")), t.local_path(F.col("f")), t.short_id(F.col("u"))).collect()
+    assert [tuple(r)[:3] for r in found] == [('a\n"b" é字 \\x \\n', "own-repo", "/w/a b"), ("plain\\", "own-repo", None), (None, None, None)]
+    assert found[0][3] == "https://"
+
+
+def test_windows():
+    import datetime as dt
+
+    from tracelake.functions import windows as w
+
+    zone = dt.timezone(dt.timedelta(hours=2))
+    now = dt.datetime(2024, 3, 31, 9, 30, tzinfo=zone)
+    assert w.today(now) == (dt.datetime(2024, 3, 31, tzinfo=zone), now) and w.weekly(now)[0] == now - dt.timedelta(days=7)
+    assert w.monthly(now)[0] == dt.datetime(2024, 3, 1, tzinfo=zone)
+    assert w.previous(w.weekly(now)) == (now - dt.timedelta(days=14), now - dt.timedelta(days=7))
+    assert w.custom(dt.datetime(2024, 3, 1), None, now) == (dt.datetime(2024, 3, 1, tzinfo=zone), now)
+    with pytest.raises(ValueError):
+        w.custom(now, now, now)
+    assert w.since("60d", 7, now) == now - dt.timedelta(days=60) and w.since("2024-01-02", 7, now) == dt.datetime(2024, 1, 2, tzinfo=zone)
+    assert w.since("soon", 7, now) == w.since(None, 7, now) == now - dt.timedelta(days=7)
+    assert w.elapsed_hours(w.today(now)) == 9.5 and w.elapsed_hours(w.weekly(now), now - dt.timedelta(days=6)) == 24
+    assert w.stamp(now) == "2024-03-31 07:30:00.000000"
+
+
+def test_json_objects_keep_fields_and_order(spark):
+    import json
+
+    from tracelake.sinks import json as sink
+
+    df = spark.sql("SELECT 'f2' AS fingerprint, TIMESTAMP '2024-01-02 00:00:00' AS first_seen, 3L AS count UNION ALL SELECT 'f1', TIMESTAMP '2024-01-01 00:00:00', 1L")
+    rows = [json.loads(r["json"]) for r in sink.export_findings(df).collect()]
+    assert [r["fingerprint"] for r in rows] == ["f1", "f2"] and tuple(rows[0]) == sink.FIELDS["findings"]
+    assert rows[0]["first_seen"] == "2024-01-01T00:00:00.000000+00:00" and rows[0]["notes"] is None

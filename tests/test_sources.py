@@ -186,7 +186,9 @@ def test_delivery_retries_and_dead_letters():
         return {"ok": 200, "bad": 404, "flaky": 200 if calls.count("flaky") > 1 else 503}[hook]
 
     part = pd.DataFrame([("ok", "f", "b"), ("bad", "f", "b"), ("flaky", "f", "b"), ("down", "f", "b")], columns=["hook_id", "fingerprint", "body"])
-    dead = pd.concat(watch.deliver(send)(iter([part])))
+    slept = []
+    dead = pd.concat(watch.deliver(send, sleep=slept.append)(iter([part])))
+    assert slept == [10, 60, 600]
     assert dead[["hook_id", "attempts"]].to_dict("records") == [{"hook_id": "bad", "attempts": 1}, {"hook_id": "down", "attempts": 4}]
 
 
@@ -194,7 +196,7 @@ def test_whole_watch_job(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src/a.jsonl").write_text(f"x {secret(5)}\n")
     hooks = spark.createDataFrame([("h", True, ["new_finding"], ["anthropic_key"])], "hook_id string, enabled boolean, kinds array<string>, categories array<string>")
-    q = watch.watch(spark, f"{tmp_path}/src", f"{tmp_path}/t", f"{tmp_path}/c", hooks, lambda hook, body: 500)
+    q = watch.watch(spark, f"{tmp_path}/src", f"{tmp_path}/t", f"{tmp_path}/c", hooks, lambda hook, body: 500, waits=(0, 0, 0, 0))
     q.awaitTermination(60)
     q.stop()
     assert {r["category"] for r in spark.read.parquet(f"{tmp_path}/t/hits").collect()} == {"anthropic_key", "openai_key"}
@@ -215,7 +217,7 @@ def test_watch_keeps_findings(spark, tmp_path):
         else:
             fingerprint = spark.read.parquet(f"{tmp_path}/t/hits").where("category = 'anthropic_key'").first()["fingerprint"]
             (tmp_path / f"said/{n}.json").write_text(json.dumps({"fingerprint": fingerprint, "kind": decision, "seen_at": "2026-06-01T10:00:00Z"}) + "\n")
-        q = watch.watch(spark, f"{tmp_path}/src", f"{tmp_path}/t", f"{tmp_path}/c", hooks, lambda hook, body: 404, said, dt.timedelta(0))
+        q = watch.watch(spark, f"{tmp_path}/src", f"{tmp_path}/t", f"{tmp_path}/c", hooks, lambda hook, body: 404, said, dt.timedelta(0), (0,))
         assert q.awaitTermination(60)
 
     for n, decision in enumerate([None, None, "mute", None, "resolve", None]):
@@ -223,3 +225,77 @@ def test_watch_keeps_findings(spark, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/t/findings").where("category = 'anthropic_key'").orderBy("batch").collect()
     assert [(r["kind"], r["status"], r["count"]) for r in rows] == [("new_finding", "new", 1), ("updated", "new", 2), ("updated", "muted", 2), ("updated", "muted", 3), ("updated", "resolved", 3), ("reopened", "new", 1)]
     assert [r["hook_id"] for r in spark.read.parquet(f"{tmp_path}/t/dead_letter").orderBy("hook_id").collect()] == ["n", "r"]
+    states = spark.read.parquet(f"{tmp_path}/t/findings")
+    assert [(r["status"], r["count"]) for r in watch.latest(states).where("category = 'anthropic_key'").collect()] == [("new", 1)]
+    lines = spark.createDataFrame([("f", 0, f"x {secret(5)}"), ("f", 9, f"y {secret(6)}")], "file string, byte_offset long, line string")
+    missed = watch.sweep(lines, watch.latest(states)).collect()
+    assert {r["byte_offset"] for r in missed} == {9}
+
+
+def test_requeue_of_dead_letters(spark):
+    rows = spark.createDataFrame([("ok", "f", "{}", 4, "x", None), ("bad", "f", "{}", 1, "x", None), ("ok", "g", "no json", 1, "x", None), ("other", "h", "{}", 2, "x", None)], watch.DEAD_LETTER)
+    send = lambda hook, body: 404 if hook == "bad" else 200
+    left = {(r["hook_id"], r["fingerprint"], r["attempts"]) for r in watch.requeue(rows, send, waits=(0,)).collect()}
+    assert left == {("bad", "f", 2), ("ok", "g", 1)}
+    one = {(r["hook_id"], r["fingerprint"], r["attempts"]) for r in watch.requeue(rows, send, "other", (0,)).collect()}
+    assert one == {("ok", "f", 4), ("bad", "f", 1), ("ok", "g", 1)}
+    assert watch.dead_letters(rows, 2).count() == 2
+
+
+def test_tail_spans_and_long_lines(tmp_path):
+    """Spans share a file out by line starts; a line longer than the batch limit is read all the same."""
+    from tracelake.sources.tail import TailReader
+
+    lines = [b"a" * 5, b"", b"b" * 90, b"c", b"\xff" * 7, b"d" * 200]
+    f = tmp_path / "x.jsonl"
+    f.write_bytes(b"".join(x + b"\n" for x in lines) + b"partial")
+    for span in (1, 7, 64, 10_000):
+        for limit in (1, 20, 10_000):
+            reader = TailReader({"path": str(tmp_path), "spanBytes": str(span), "maxBytesPerBatch": str(limit)})
+            start, found = reader.initialOffset(), []
+            for _ in range(20):
+                end = reader.latestOffset()
+                found += [r for p in reader.partitions(start, end) for r in reader.read(p)]
+                start = end
+            assert [x for _, _, x in found] == [x.decode("utf-8", "replace") for x in lines], (span, limit)
+            assert [at for _, at, _ in found] == [sum(len(x) + 1 for x in lines[:i]) for i in range(len(lines))]
+    f.write_bytes(b"new\n")  # a file that shrank begins anew
+    end = reader.latestOffset()
+    assert [r[2] for p in reader.partitions(start, end) for r in reader.read(p)] == ["new"]
+
+
+def test_providers_as_one_listing(spark, claude, tmp_path, recwarn):
+    from tracelake.sources import providers
+
+    db = sqlite3.connect(tmp_path / "o.db")
+    db.execute("CREATE TABLE session (id TEXT, directory TEXT, title TEXT, time_created INT, model TEXT, parent_id TEXT, tokens_input INT, tokens_output INT, tokens_reasoning INT, tokens_cache_read INT, tokens_cache_write INT)")
+    db.execute("INSERT INTO session VALUES ('o1', '/w/c', 'T', 1000, NULL, NULL, 5, 0, 0, 0, 0)")
+    db.commit()
+    root = str(claude) if isinstance(claude, (str, type(tmp_path))) else None
+    root = root or str(next(iter(claude.select("file").collect()))[0]).removeprefix("file:").rsplit("/", 2)[0]
+    registry = [providers.claude(root), providers.codex([f"{tmp_path}/none"]), providers.opencode(f"{tmp_path}/o.db"), providers.cursor(f"{tmp_path}/no.db", f"{tmp_path}/no")]
+    every = {(r["provider"], r["session_id"]) for r in providers.union(spark, registry, "sessions").collect()}
+    assert ("opencode", "o1") in every and ("claude", "s1") in every and {p for p, _ in every} == {"claude", "opencode"}
+    assert any("codex" in str(w.message) for w in recwarn) and any("cursor" in str(w.message) for w in recwarn)
+    assert {r["session_id"] for r in providers.union(spark, registry, "sessions", cwd="/w//c/").collect()} >= {"o1", "s2"}
+    assert providers.union(spark, registry, "sessions", cwd="/W/C").count() == 0 and providers.union(spark, registry, "sessions", cwd="/W/C", ignore_case=True).count() > 0
+    assert {r["provider"] for r in providers.union(spark, registry, "sessions", ["OpenCode"]).collect()} == {"opencode"}
+    assert providers.union(spark, registry, "questions", ["opencode"]).count() == 0
+    assert providers.run_query(spark, registry, "usage", sink=lambda df: df.count(), names=["opencode"]) == 1
+    first = lambda rows: providers.either(rows, lambda s, _: s.range(3))(spark, None).count()
+    assert first(lambda s, _: s.range(2)) == 2 and first(lambda s, _: s.read.parquet(f"{tmp_path}/gone")) == 3
+
+
+def test_prefixes_are_pushed_as_ranges(spark, tmp_path):
+    db = sqlite3.connect(tmp_path / "k.db")
+    db.execute("CREATE TABLE kv (key TEXT, value TEXT)")
+    db.executemany("INSERT INTO kv VALUES (?, ?)", [(k, "v") for k in ("a", "ab", "b:1", "b:2", "b;", "c", None)])
+    db.commit()
+    rows = sqlite.read_table(spark, f"{tmp_path}/k.db", "kv", "key string, value string").where(F.col("key").startswith("b:"))
+    assert sorted(r["key"] for r in rows.collect()) == ["b:1", "b:2"]
+    reader = sqlite.SqliteReader({"path": "x", "table": "kv"}, rows.schema)
+    from pyspark.sql.datasource import StringStartsWith
+
+    assert list(reader.pushFilters([StringStartsWith(("key",), "b:")])) and reader.where == [('"key" >= ?', "b:"), ('"key" < ?', "b;")]
+    db.execute("BEGIN EXCLUSIVE")
+    assert sqlite.read_table(spark, f"{tmp_path}/k.db", "kv", "key string", skip_locked=True).count() == 0

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tracelake.functions.dims import RECOMMENDED_WORDS
 
+# Beginnings of injected messages, and the suffix of a recommended label.
 INJECTED_PREFIXES = ("<command-", "<local-command-", "<system-reminder>", "Caveat:", "[Request interrupted")
 RECOMMENDED = r"(?iU)\s*[\(\[]\s*(?:" + "|".join(RECOMMENDED_WORDS) + r")\s*[\)\]]\s*\.?\s*$"
 
@@ -104,3 +107,44 @@ def hour_bucket(hour: Column, granularity: int) -> Column:
 def unit_hash(key: Column, salt: int) -> Column:
     """A stable number in [0, 1) from the first 32 bits of an md5."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}:"), key)), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+
+
+def short_id(c: Column) -> Column:
+    return F.left(c, F.lit(8))
+
+
+def local_path(url: Column) -> Column:
+    """Path of a file URL as it stands, null for other URLs."""
+    return F.when(url.startswith("file://"), F.substring(url, 8, 1 << 20))
+
+
+def repository_slug(url: Column) -> Column:
+    """owner-repository from the last two segments of a remote's URL; null where the owner looks like a host."""
+    parts = F.filter(F.split(F.regexp_replace(F.regexp_replace(F.trim(url), r"\.git$", ""), ":", "/"), "/"), lambda x: x != "")
+    owner, name = F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(-1))
+    return F.when(owner.isNotNull() & ~owner.contains("."), F.concat(owner, F.lit("-"), name))
+
+
+ESCAPES = {'"': '"', "\\": "\\", "/": "/", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
+
+
+def json_unescape(c: Column) -> Column:
+    """Text with its well-formed JSON escapes decoded; broken ones, as at a cut, stay as they are."""
+    escape = r'\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})'
+    gaps, found = F.split(c, escape, -1), F.regexp_extract_all(c, F.lit(escape), F.lit(0))
+    known = F.create_map(*[F.lit(x) for kv in ESCAPES.items() for x in kv])
+    code = lambda m: F.decode(F.unhex(F.substring(m, 3, 4)), "UTF-16BE")
+    plain = F.transform(found, lambda m: F.when(m.substr(2, 1) == "u", code(m)).otherwise(F.try_element_at(known, m.substr(2, 1))))
+    pairs = F.zip_with(gaps, plain, lambda g, p: F.concat(F.coalesce(g, F.lit("")), F.coalesce(p, F.lit(""))))
+    return F.when(F.size(found) == 0, c).otherwise(F.array_join(pairs, ""))
+
+
+def clean_folder(path: str) -> str:
+    return re.sub("(?<=.)/$", "", re.sub("/+", "/", path))
+
+
+def same_folder(cwd: Column, target: str, ignore_case: bool = False) -> Column:
+    """Whether a folder is the wanted one, apart from doubled and trailing slashes, and case where asked."""
+    clean = F.regexp_replace(F.regexp_replace(cwd, "/+", "/"), "(?<=.)/$", "")
+    wanted = clean_folder(target)
+    return F.lower(clean) == wanted.lower() if ignore_case else clean == wanted

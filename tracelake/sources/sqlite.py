@@ -1,8 +1,9 @@
 """A Python data source for tables of SQLite files, with filters pushed into the query.
 
 Options: ``path`` (a file), ``table`` (a table name or a parenthesised query), ``columns``
-(a DDL schema).  The file is opened read-only, with one retry while it is locked; each
-range of row ids is a partition.
+(a DDL schema), ``skip_locked`` (a store that stays locked gives no rows instead of an
+error).  The file is opened read-only, with one retry while it is locked; each range of row
+ids is a partition; a query is one partition.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import time
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith
 from pyspark.sql.types import StructType
 
 OPERATORS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
@@ -40,11 +41,17 @@ class RowIds(InputPartition):
 class SqliteReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.path, self.table, self.names = options["path"], options["table"], schema.names
+        self.skip_locked = options.get("skip_locked", "false").lower() == "true"
         self.where: list[tuple[str, object]] = []
 
     def pushFilters(self, filters: list[Filter]):
+        """Comparisons and prefixes go into the query; a prefix is a range of the column, so its index serves."""
         for f in filters:
-            if isinstance(f, IsNotNull) and len(f.attribute) == 1:
+            if isinstance(f, StringStartsWith) and len(f.attribute) == 1 and f.value and ord(f.value[-1]) < 0xD7FF:
+                name = f'"{f.attribute[0]}"'
+                self.where += [(f"{name} >= ?", f.value), (f"{name} < ?", f.value[:-1] + chr(ord(f.value[-1]) + 1))]
+                yield f  # numbers and blobs may stand in a text column of SQLite
+            elif isinstance(f, IsNotNull) and len(f.attribute) == 1:
                 self.where.append((f'"{f.attribute[0]}" IS NOT NULL', None))
             elif type(f) in OPERATORS and len(f.attribute) == 1 and isinstance(f.value, (str, int, float)):
                 self.where.append((f'"{f.attribute[0]}" {OPERATORS[type(f)]} ?', f.value))
@@ -52,6 +59,14 @@ class SqliteReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
+        try:
+            return self._ranges()
+        except sqlite3.OperationalError as error:
+            if self.skip_locked and "locked" in str(error):
+                return [RowIds(0, -2)]
+            raise
+
+    def _ranges(self) -> list[InputPartition]:
         if self.table.startswith("("):
             return [RowIds(0, -1)]
         with connect(self.path) as db:
@@ -85,7 +100,7 @@ class SqliteSource(DataSource):
         return SqliteReader(self.options, schema)
 
 
-def read_table(spark: SparkSession, path: str, table: str, columns: str):
+def read_table(spark: SparkSession, path: str, table: str, columns: str, skip_locked: bool = False):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteSource)
-    return spark.read.format("sqlite_table").option("path", path).option("table", table).option("columns", columns).load()
+    return spark.read.format("sqlite_table").option("path", path).option("table", table).option("columns", columns).option("skip_locked", str(skip_locked)).load()

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.functions.text import normalize_skill_name, is_suite_skill, opencode_model
+from tracelake.functions.text import is_suite_skill, local_path, normalize_skill_name, opencode_model
 from tracelake.operators.history import pick_title
 from tracelake.sources.jsonl import get, integer
 from tracelake.sources.sqlite import read_table
@@ -57,7 +57,7 @@ def cursor_sessions(spark: SparkSession, global_db: str, workspace_dir: str) ->
     headers = items.select(F.explode(get(F.try_parse_json("value"), "$.allComposers", "array<variant>")).alias("c")).select(get("c", "$.composerId").alias("session_id"), get("c", "$.workspaceIdentifier.id").alias("hash"))
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "workspace.json").text(workspace_dir, wholetext=True)
     folders = files.select(F.regexp_extract(F.col("_metadata.file_path"), r"/([0-9a-f]{32})/workspace\.json$", 1).alias("hash"), get(F.try_parse_json("value"), "$.folder").alias("folder")).where((F.col("hash") != "") & F.col("folder").startswith("file://"))
-    mapped = headers.join(folders.select("hash", F.substring("folder", 8, 4096).alias("cwd")), "hash", "left").select("session_id", "cwd")
+    mapped = headers.join(folders.select("hash", local_path(F.col("folder")).alias("cwd")), "hash", "left").select("session_id", "cwd")
     data = read_table(spark, global_db, "cursorDiskKV", "key string, value string").where(F.col("key").startswith("composerData:"))
     v = F.try_parse_json("value")
     known = data.select(F.split_part("key", F.lit(":"), F.lit(2)).alias("session_id"), get(v, "$.name").alias("title"), from_millis(integer(v, "$.createdAt")).alias("started_at"), integer(v, "$.tokenCount").alias("tokens"))
@@ -66,6 +66,21 @@ def cursor_sessions(spark: SparkSession, global_db: str, workspace_dir: str) ->
     return rows, rows.where("cwd is null")
 
 
+def cursor_usage(spark: SparkSession, global_db: str, workspace_dir: str) -> DataFrame:
+    """One row per real session with a token count; all tokens are input, and the model is unknown."""
+    rows, _ = cursor_sessions(spark, global_db, workspace_dir)
+    zero = F.lit(0).cast("long")
+    return rows.where("tokens > 0").select(
+        "provider", "session_id", "cwd", F.col("started_at").alias("ts"), F.lit(None).cast("string").alias("model"), F.col("tokens").alias("input_tokens"), zero.alias("output_tokens"),
+        zero.alias("cache_creation_input_tokens"), zero.alias("cache_read_input_tokens"), zero.alias("reasoning_output_tokens"), "source_path",
+    )
+
+
+def by_source(skills: DataFrame) -> DataFrame:
+    """Installed skills in the order of a listing: source, then name whatever its case."""
+    return skills.orderBy("source", F.lower("name"), "source_path")
+
+
 SKILL_FILE = "name string, description string, version string"
 
 

@@ -1,7 +1,9 @@
 """A streaming source that follows appended lines of files, by byte offset.
 
-Spark's file stream reads a file once; this one reads what was appended since.  Partial
-last lines are held back, a file that shrank is read from its start.
+Spark's file stream reads a file once; this one reads what was appended since.  The driver
+plans spans of files from their sizes; executors read the lines that begin in their spans,
+each to its end.  A line is read once it is complete; a file that shrank is read from its
+start.  The folder must be one that driver and executors share.
 """
 
 from __future__ import annotations
@@ -11,58 +13,97 @@ import json
 import os
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-BYTES_PER_BATCH = 64 << 20
+SPAN_BYTES = 16 << 20
+BYTES_PER_BATCH = 1 << 30
+BLOCK = 1 << 16
 
 
-class TailReader(SimpleDataSourceStreamReader):
+class Span(InputPartition):
+    """Lines that begin in [start, stop) of a file; ``stop`` lies behind a line's end."""
+
+    def __init__(self, path: str, start: int, stop: int, end: int):
+        super().__init__((path, start, stop, end))
+
+
+def last_line_end(path: str, low: int, high: int) -> int:
+    """Offset behind the last line feed in [low, high), or ``low``; read from the back in blocks."""
+    with open(path, "rb") as f:
+        while high > low:
+            begin = max(low, high - BLOCK)
+            f.seek(begin)
+            at = f.read(high - begin).rfind(b"\n")
+            if at >= 0:
+                return begin + at + 1
+            high = begin
+    return low
+
+
+def next_line_end(path: str, low: int, high: int) -> int:
+    """Offset behind the first line feed in [low, high), or ``low`` where there is none."""
+    with open(path, "rb") as f:
+        f.seek(low)
+        at = low
+        while at < high and (data := f.read(min(BLOCK, high - at))):
+            found = data.find(b"\n")
+            if found >= 0:
+                return at + found + 1
+            at += len(data)
+    return low
+
+
+class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.root, self.pattern = options["path"], options.get("pattern", "*.jsonl")
         self.limit = int(options.get("maxBytesPerBatch", BYTES_PER_BATCH))
+        self.span = int(options.get("spanBytes", SPAN_BYTES))
+        self.seen: dict[str, int] | None = None  # what is planned so far; after a restart the end of the last batch
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
-    def _files(self) -> list[str]:
-        return sorted(glob.glob(os.path.join(self.root, "**", self.pattern), recursive=True))
-
-    def _lines(self, path: str, start: int, end: int) -> Iterator[tuple]:
-        with open(path, "rb") as f:
-            f.seek(start)
-            data = f.read(end - start)
-        at = start
-        for line in data.split(b"\n")[:-1]:
-            yield path, at, line.decode("utf-8", "replace")
-            at += len(line) + 1
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        """Complete lines since the offsets, and the offsets behind them; at most the batch limit in bytes."""
-        seen = json.loads(start["files"])
-        after, spans, left = dict(seen), [], self.limit
-        for path in self._files():
+    def latestOffset(self) -> dict:
+        """Ends of the complete lines that the next batch takes: at most the limit, but one line at least."""
+        seen = self.seen or {}
+        after, left = dict(seen), self.limit
+        for path in sorted(glob.glob(os.path.join(self.root, "**", self.pattern), recursive=True)):
             size, begin = os.path.getsize(path), seen.get(path, 0)
             begin = 0 if size < begin else begin
-            with open(path, "rb") as f:
-                f.seek(begin)
-                data = f.read(min(size - begin, left))
-            whole = data.rfind(b"\n") + 1
-            if whole:
-                spans.append((path, begin, begin + whole))
-                left -= whole
-            after[path] = begin + whole
+            end = last_line_end(path, begin, min(size, begin + left))
+            if end == begin < size and begin + left < size:
+                end = next_line_end(path, begin, size)  # a line longer than what is left
+            after[path] = end
+            left -= end - begin
             if left <= 0:
                 break
-        rows = [row for span in spans for row in self._lines(*span)]  # at most the batch limit; Spark copies this iterator
-        return iter(rows), {"files": json.dumps(after, sort_keys=True)}
+        self.seen = after
+        return {"files": json.dumps(after, sort_keys=True)}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        """The same rows again, after a restart."""
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         before, after = json.loads(start["files"]), json.loads(end["files"])
+        if self.seen is None:  # Spark plans the last batch again when a query is started anew
+            self.seen = dict(after)
+        spans = []
         for path, stop in sorted(after.items()):
             begin = before.get(path, 0)
-            yield from self._lines(path, 0 if stop < begin else begin, stop)
+            begin = 0 if stop < begin else begin
+            spans += [Span(path, a, min(a + self.span, stop), stop) for a in range(begin, stop, self.span)]
+        return spans
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        path, start, stop, end = partition.value
+        with open(path, "rb") as f:
+            if start:
+                f.seek(start - 1)
+                if f.read(1) != b"\n":
+                    f.readline()  # this line began in the span before
+            while (at := f.tell()) < stop:
+                line = f.readline(end - at)
+                if not line:
+                    break
+                yield path, at, line.removesuffix(b"\n").decode("utf-8", "replace")
 
     def commit(self, end: dict) -> None:
         pass
@@ -76,5 +117,5 @@ class TailSource(DataSource):
     def schema(self) -> str:
         return "file string, byte_offset bigint, line string"
 
-    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return TailReader(self.options)

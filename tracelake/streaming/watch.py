@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -58,7 +59,7 @@ def drop_repeats(hits: DataFrame, ttl: dt.timedelta = TTL) -> DataFrame:
 
 
 DECISION = "fingerprint string, kind string, seen_at timestamp, muted_until timestamp"
-ORIGIN = "event string, file string, byte_offset long"
+ORIGIN = "event string, file string, byte_offset long, order_at long"
 
 
 def log_of(hits: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
@@ -121,48 +122,96 @@ def alerts(findings: DataFrame, hooks: DataFrame) -> DataFrame:
     return fan_out(fresh, hooks).select("hook_id", "fingerprint", "kind", payload().alias("body"))
 
 
-def deliver(send: Callable[[str, str], int], retries: int = 3) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+DEAD_LETTER = "hook_id string, fingerprint string, body string, attempts int, last_error string, attempted_at timestamp"
+#: Seconds before each attempt.
+WAITS = (0, 10, 60, 600)
+
+
+def deliver(send: Callable[[str, str], int], waits: tuple[float, ...] = WAITS, sleep: Callable[[float], None] = time.sleep) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """A mapInPandas function that posts each delivery and returns those that failed.
 
-    ``send(hook_id, body)`` gives an HTTP status; 4xx is final, others are tried again.
+    ``send(hook_id, body)`` gives an HTTP status; 4xx is final, others are tried again, all
+    open ones of a batch together after each wait.
     """
 
+    def attempt(r) -> tuple[str, bool]:
+        try:
+            status = send(r.hook_id, r.body)
+        except OSError as e:
+            return str(e), False
+        return ("" if 200 <= status < 300 else f"status {status}"), 400 <= status < 500
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            dead = []
-            for r in part.itertuples():
-                error, tries = "", 0
-                for tries in range(1, retries + 2):
-                    try:
-                        status = send(r.hook_id, r.body)
-                        error = "" if 200 <= status < 300 else f"status {status}"
-                        if not error or 400 <= status < 500:
-                            break
-                    except OSError as e:
-                        error = str(e)
-                if error:
-                    dead.append((r.hook_id, r.fingerprint, r.body, tries, error))
-            yield pd.DataFrame(dead, columns=["hook_id", "fingerprint", "body", "attempts", "last_error"])
+            pending, dead = list(part.itertuples()), []
+            for tries, wait in enumerate(waits, 1):
+                if wait and pending:
+                    sleep(wait)
+                again = []
+                for r in pending:
+                    error, final = attempt(r)
+                    if error and (final or tries == len(waits)):
+                        dead.append((r.hook_id, r.fingerprint, r.body, tries, error, pd.Timestamp.now("UTC").tz_localize(None)))
+                    elif error:
+                        again.append(r)
+                pending = again
+            yield pd.DataFrame(dead, columns=[c.split()[0] for c in DEAD_LETTER.split(", ")])
 
     return run
 
 
-DEAD_LETTER = "hook_id string, fingerprint string, body string, attempts int, last_error string"
+def dead_letters(rows: DataFrame, limit: int = 100) -> DataFrame:
+    """The latest failed deliveries."""
+    return rows.orderBy(F.desc("attempted_at"), "hook_id", "fingerprint").limit(limit)
+
+
+def requeue(rows: DataFrame, send: Callable[[str, str], int], hook_id: str | None = None, waits: tuple[float, ...] = WAITS) -> DataFrame:
+    """Deliver dead letters again, of one hook if given; returns those that are still dead, to be written as the new table.
+
+    Bodies that are no JSON are not sent and stay.  Attempts add up.
+    """
+    asked = F.try_parse_json("body").isNotNull() & (F.lit(True) if hook_id is None else F.col("hook_id") == hook_id)
+    failed = rows.where(asked).mapInPandas(_again(deliver(send, waits)), DEAD_LETTER)
+    return rows.where(~F.coalesce(asked, F.lit(False))).unionByName(failed)
+
+
+def _again(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def added(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            before = part.groupby(["hook_id", "fingerprint", "body"])["attempts"].max()
+            for dead in run(iter([part])):
+                dead["attempts"] += [int(before[k]) for k in zip(dead["hook_id"], dead["fingerprint"], dead["body"], strict=True)]
+                yield dead
+
+    return added
+
+
+def latest(states: DataFrame) -> DataFrame:
+    """The findings table: the last state of each fingerprint among those that the job has written."""
+    last = F.max_by(F.struct(*[c for c in states.columns if c != "fingerprint"]), F.struct("batch", "order_at", "byte_offset")).alias("s")
+    return states.groupBy("fingerprint").agg(last).select("fingerprint", "s.*").drop("batch", "order_at", "byte_offset", "event", "file", "kind")
+
+
+def sweep(lines: DataFrame, findings: DataFrame) -> DataFrame:
+    """Hits of a full scan of (file, byte_offset, line) whose finding is not known: what a watch has missed."""
+    return detect(lines).join(findings.select("fingerprint"), "fingerprint", "left_anti")
 
 
-def watch(spark: SparkSession, path: str, table_dir: str, checkpoint: str, hooks: DataFrame, send: Callable[[str, str], int], decisions: DataFrame | None = None, ttl: dt.timedelta = TTL):
-    """Start the whole job: accepted hits and the states of their findings are appended to tables, deliveries are made in each batch.
+def watch(spark: SparkSession, path: str, table_dir: str, checkpoint: str, hooks: DataFrame, send: Callable[[str, str], int], decisions: DataFrame | None = None, ttl: dt.timedelta = TTL, waits: tuple[float, ...] = WAITS):
+    """Start the whole job: accepted hits and the states of their findings go to tables, deliveries are made in each batch.
 
-    ``decisions`` is a stream of user decisions (DECISION).
+    ``decisions`` is a stream of user decisions (DECISION).  A batch has folders of its own,
+    so one that is run again after a failure replaces what it had written.
     """
 
     def batch(states: DataFrame, n: int) -> None:
-        kept = states.withColumn("batch", F.lit(n)).persist()
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{table_dir}/{name}/batch={n}")
+        kept = states.persist()
         try:
             hits = kept.where("event = 'obs'").withColumn("seen_at", F.col("last_seen"))
-            hits.select(*[c.split()[0] for c in HIT.split(", ")], "batch").write.mode("append").parquet(f"{table_dir}/hits")
-            kept.drop("file", "byte_offset").write.mode("append").parquet(f"{table_dir}/findings")
-            alerts(kept, hooks).mapInPandas(deliver(send), DEAD_LETTER).write.mode("append").parquet(f"{table_dir}/dead_letter")
+            put(hits.select(*[c.split()[0] for c in HIT.split(", ")]), "hits")
+            put(kept, "findings")
+            put(alerts(kept, hooks).mapInPandas(deliver(send, waits), DEAD_LETTER), "dead_letter")
         finally:
             kept.unpersist()
 
