@@ -16,7 +16,7 @@ import numpy as np
 
 from tracelake.llm import textvec
 
-MAX_PIECES = 1 << 19
+MAX_PIECES = 1 << 20
 #: Bytes of pieces in a table; with MAX_PIECES it bounds a worker's memory whatever the texts.
 MAX_PIECE_BYTES = 1 << 23
 
@@ -103,7 +103,7 @@ class BulkEncoder:
         begins[place], finishes[place] = starts - spaced, stem
         begins[place[closed] + 1], finishes[place[closed] + 1] = stem[closed], ends[closed]
         code, distinct = chunk.codes(begins, finishes, lower=False)
-        known = self._entries([*distinct.to_pylist(), b"\n"])
+        known = self._entries([*textvec.objects(distinct), b"\n"])
         entry = np.concatenate([known[code[place]], known[code[place[closed] + 1]], known[-1:]])
         table = self.pieces
         length = table.start[entry + 1] - table.start[entry]
@@ -134,7 +134,12 @@ class BulkEncoder:
         if len(self.pieces.entry) > self.max_pieces or self.pieces.held > MAX_PIECE_BYTES:
             self.pieces.reset()
         known = self.pieces.entry.get
-        new = [x for x in pieces if known(x) is None]
+        found = [known(x, -1) for x in pieces]
+        new = [i for i, x in enumerate(found) if x < 0]
         if new:
-            self.pieces.add(new, self.ask([x.decode() for x in new]))
-        return np.array([known(x) for x in pieces], np.int64)
+            first = len(self.pieces.entry)
+            learnt = [pieces[i] for i in new]
+            self.pieces.add(learnt, self.ask([x.decode() for x in learnt]))
+            for at, i in enumerate(new, first):
+                found[i] = at
+        return np.array(found, np.int64)

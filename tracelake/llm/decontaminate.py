@@ -38,8 +38,9 @@ SHORT_WORDS, LEAST_WORDS = 8, 3
 MIN_ANSWER_WORDS = 3
 ANSWER_MARK = rb"(?i)\b(?:answer|a)\s*:"
 
-#: Bounds of what a task holds of one text: cosines in bytes, words' vectors, postings met, and blocks of a run of postings.
-COSINE_BYTES, WORDS_AT_ONCE, SHARED_AT_ONCE, RUN_BLOCKS = 16 << 20, 1 << 15, 1 << 22, 64
+#: Bounds of what a task holds of one text: cosines in bytes, blocks' vectors, pairs, postings met, and blocks of a run of postings.
+COSINE_BYTES, BLOCKS_AT_ONCE, PAIRS_AT_ONCE, SHARED_AT_ONCE, RUN_BLOCKS = 16 << 20, 1 << 12, 1 << 12, 1 << 22, 64
+GROUP = 4
 FOUND = ["doc_id", "row", "item_id", "passage", "n", "n_item", "common", "answer", "n_answer", "cosine", "word_at"]
 
 #: Letters, digits and non-ASCII bytes make words here; punctuation parts them.
@@ -301,27 +302,68 @@ def sharing(term: np.ndarray, block: np.ndarray, first: np.ndarray, block_doc: n
     return np.concatenate([np.zeros(0, np.int64), *found_b]), np.concatenate([np.zeros(0, np.int64), *found_q])
 
 
-def latent_blocks(term: np.ndarray, block: np.ndarray, first: np.ndarray, idf: np.ndarray, rows: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Latent vector of each window (a block and the next of its document), and the length of its whole TF-IDF vector."""
+def latent_blocks(term: np.ndarray, block: np.ndarray, place: np.ndarray, first: np.ndarray, idf: np.ndarray, rows: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Latent vector of each window (a block and the next of its document), and the length of its whole TF-IDF vector.
+
+    ``weighted`` has a last row of zeros, for words that no passage has and for the rest of a short block.
+    """
     n_blocks = int(first[-1])
     energy = np.bincount(block, weights=idf[term] ** 2, minlength=n_blocks)
+    none = len(weighted) - 1
+    at = np.full((n_blocks, BLOCK_WORDS), none, np.int32)
+    at[block, place % BLOCK_WORDS] = np.where(rows[term] >= 0, rows[term], none)
     vector = np.zeros((n_blocks, weighted.shape[1]), np.float32)
-    known = np.flatnonzero(rows[term] >= 0)
-    for low in range(0, len(known), WORDS_AT_ONCE):
-        some = known[low : low + WORDS_AT_ONCE]
-        own = block[some]
-        cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        vector[own[cut]] += np.add.reduceat(weighted[rows[term[some]]], cut, axis=0)
+    for low in range(0, n_blocks, BLOCKS_AT_ONCE):
+        some = slice(low, low + BLOCKS_AT_ONCE)
+        for i in range(BLOCK_WORDS):
+            vector[some] += weighted[at[some, i]]
     inner = np.ones(n_blocks, bool)
     inner[first[1:][np.diff(first) > 0] - 1] = False  # the last block of a document stands alone
     has_next = np.flatnonzero(inner)
-    for low in range(0, len(has_next), WORDS_AT_ONCE):  # in order, so a next block is not summed yet
-        some = has_next[low : low + WORDS_AT_ONCE]
+    for low in range(0, len(has_next), BLOCKS_AT_ONCE):  # in order, so a next block is not summed yet
+        some = has_next[low : low + BLOCKS_AT_ONCE]
         vector[some] += vector[some + 1]
         energy[some] += energy[some + 1]
     return vector, np.sqrt(np.maximum(energy, 1e-9)).astype(np.float32)
 
 
+def likely_enough(b: np.ndarray, q: np.ndarray, term: np.ndarray, block: np.ndarray, block_doc: np.ndarray, reach: np.ndarray, places: tuple[np.ndarray, np.ndarray], least: np.ndarray) -> np.ndarray:
+    """As ``enough_words``, by a hashed table of terms in groups of GROUP blocks: cheap, and true wherever that one is."""
+    start, terms = places
+    bits = min(max(int(len(term) * 64).bit_length(), 16), 26)
+    slot = lambda t, group: ((t * np.uint32(0x9E3779B1) + group * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - bits)
+    seen = np.zeros(1 << bits, bool)
+    seen[slot(term.astype(np.uint32), (block // GROUP).astype(np.uint32))] = True
+    found, terms = np.zeros(len(b), bool), terms.astype(np.uint32)
+    for low in range(0, len(b), PAIRS_AT_ONCE):
+        x, y = b[low : low + PAIRS_AT_ONCE], q[low : low + PAIRS_AT_ONCE]
+        n = start[y + 1] - start[y]
+        own = terms[np.repeat(start[y], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        left, right = np.maximum(x - reach[y], 0) // GROUP, np.minimum(x + 1 + reach[y], len(block_doc) - 1) // GROUP
+        there = np.zeros(len(own), bool)
+        for i in range(int((right - left).max(initial=-1)) + 1):
+            there |= seen[slot(own, np.repeat(np.minimum(left + i, right).astype(np.uint32), n))]
+        found[low : low + PAIRS_AT_ONCE] = np.bincount(np.repeat(np.arange(len(x)), n), weights=there, minlength=len(x)) >= least[y]
+    return found
+
+
+def enough_words(b: np.ndarray, q: np.ndarray, term: np.ndarray, block: np.ndarray, first: np.ndarray, block_doc: np.ndarray, reach: np.ndarray, places: tuple[np.ndarray, np.ndarray], least: np.ndarray) -> np.ndarray:
+    """Whether the blocks around a window have the terms of ``least`` words of the passage, in any order; no copy lacks them."""
+    start, terms = places
+    wide = len(block_doc) + 1
+    key = np.sort(term * wide + block)
+    found = np.zeros(len(b), bool)
+    for low in range(0, len(b), PAIRS_AT_ONCE):
+        x, y = b[low : low + PAIRS_AT_ONCE], q[low : low + PAIRS_AT_ONCE]
+        n = start[y + 1] - start[y]
+        own = terms[np.repeat(start[y], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] * wide
+        left, right = np.maximum(x - reach[y], first[block_doc[x]]), np.minimum(x + 2 + reach[y], first[block_doc[x] + 1])
+        at = np.searchsorted(key, own + np.repeat(left, n))
+        there = (at < len(key)) & (key[np.minimum(at, len(key) - 1)] < own + np.repeat(right, n))
+        found[low : low + PAIRS_AT_ONCE] = np.bincount(np.repeat(np.arange(len(x)), n), weights=there, minlength=len(x)) >= least[y]
+    return found
+
+
 def near(vector: np.ndarray, length: np.ndarray, latent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(window, passage) of cosine MIN_COSINE or more, in blocks of COSINE_BYTES."""
     step, b, q = max(1, COSINE_BYTES // (4 * max(len(latent), 1))), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -372,12 +414,14 @@ def search(docs: DataFrame, queries: list[Query], idf: np.ndarray, terms: np.nda
         at = terms_of(q.words)
         latent[i] = (vectors[rows[at]] * idf[at][:, None]).sum(axis=0)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    shared = docs.sparkSession.sparkContext.broadcast((queries, idf, rows, vectors * idf[terms][:, None], latent, rare_terms(queries, idf)))
+    weighted = np.concatenate([vectors * idf[terms][:, None], np.zeros((1, vectors.shape[1]), np.float32)])
+    shared = docs.sparkSession.sparkContext.broadcast((queries, idf, rows, weighted, latent, rare_terms(queries, idf)))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, idf, rows, weighted, latent, postings = shared.value
         reach = np.array([-(-len(q.words) // BLOCK_WORDS) for q in queries], np.int64)
-        judge, n_queries = Judge(queries), max(len(queries), 1)
+        judge, n_queries, least = Judge(queries), max(len(queries), 1), np.array([q.least for q in queries], np.int64)
+        places = np.cumsum([0, *(len(q.words) for q in queries)]), terms_of([w for q in queries for w in q.words])
         tiny: dict[tuple, list[int]] = {}
         for i, q in enumerate(queries):
             if q.n_item < LEAST_WORDS:
@@ -388,14 +432,17 @@ def search(docs: DataFrame, queries: list[Query], idf: np.ndarray, terms: np.nda
                 starts, ends = chunk.spans(INSIDE[chunk.data])
                 owner = chunk.doc_of(starts)
                 word_first = np.searchsorted(owner, np.arange(chunk.n_docs + 1))
-                block, first = _blocks(owner, np.arange(len(owner)) - word_first[owner], chunk.n_docs)
+                place = np.arange(len(owner)) - word_first[owner]
+                block, first = _blocks(owner, place, chunk.n_docs)
                 if not int(first[-1]):
                     continue
                 term = _terms(chunk.span_hash(starts, ends, lower=True))
-                vector, length = latent_blocks(term, block, first, idf, rows, weighted)
+                vector, length = latent_blocks(term, block, place, first, idf, rows, weighted)
                 block_doc = np.repeat(np.arange(chunk.n_docs), np.diff(first))
                 close, rare = near(vector, length, latent), sharing(term, block, first, block_doc, postings, reach)
                 pairs = np.unique(np.concatenate([close[0] * n_queries + close[1], rare[0] * n_queries + rare[1]]))
+                pairs = pairs[likely_enough(pairs // n_queries, pairs % n_queries, term, block, block_doc, reach, places, least)]
+                pairs = pairs[enough_words(pairs // n_queries, pairs % n_queries, term, block, first, block_doc, reach, places, least)]
                 raw = textvec.LOWER[chunk.data].tobytes()
                 word = lambda lo, hi: [raw[x:y] for x, y in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)]
                 best: dict[tuple[int, int], tuple] = {}

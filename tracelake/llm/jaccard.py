@@ -306,8 +306,8 @@ def classes(docs: DataFrame, workspace: Workspace, words: int = WORDS, percent:
     union), itself included.  A null text, or one without words, has an empty set and is
     linked with nothing; a text of fewer words than a shingle is one shingle.  Equal
     texts, also under a repeated id, are one class.  A null id is never the least while
-    another id is there.  Words are known by 64-bit and sets by 128-bit BLAKE2b digests.
-    An empty table gives no rows.
+    another id is there.  Words are known by 64-bit SipHash and sets by 128-bit
+    BLAKE2b digests.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

@@ -3,19 +3,21 @@
 A ``Chunk`` is a run of whole documents of an Arrow batch; documents are never cut.
 Words are maximal runs of bytes outside space and 0x09-0x0D, so on UTF-8 they equal
 ``[^\\x20\\x09-\\x0D]+``.  Inside a chunk spans are told apart by their bytes (``codes``);
-beyond it by keyed BLAKE2b digests (``word_ids``).  ``span_hash`` is a bucketing hash only:
+beyond it by keyed SipHash digests (``word_ids``).  ``span_hash`` is a bucketing hash only:
 it is linear in the bytes, so unequal spans can be made to collide.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pandas.util import hash_array
 
 CHUNK_BYTES = 1 << 18
+#: Sixteen bytes that key the digests of words.
+KEY = "words of a corpus"[:16]
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -111,7 +113,7 @@ class Chunk:
     def word_ids(self, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
         """64-bit digest of each span, the same in every chunk and worker."""
         code, distinct = self.codes(starts, ends, lower)
-        return digests(distinct.to_pylist())[code]
+        return digests(objects(distinct))[code]
 
     def characters(self) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of each UTF-8 character as one number, and its document."""
@@ -130,10 +132,14 @@ class Chunk:
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
 
-def digests(spans: list[bytes]) -> np.ndarray:
-    """Keyed BLAKE2b digest of each span as 64 bits."""
-    make = hashlib.blake2b
-    return np.frombuffer(b"".join([make(x, digest_size=8, person=b"words").digest() for x in spans]), np.uint64)
+def objects(column: pa.Array) -> np.ndarray:
+    """The values of a binary column as an array of bytes objects."""
+    return column.to_numpy(zero_copy_only=False)
+
+
+def digests(spans: np.ndarray) -> np.ndarray:
+    """Keyed SipHash of each span (an array of bytes objects) as 64 bits."""
+    return hash_array(spans, hash_key=KEY, categorize=False) if len(spans) else np.zeros(0, np.uint64)
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
