@@ -8,7 +8,6 @@ bucket, carried over a small table.
 from __future__ import annotations
 
 import functools
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tracelake.functions.storage import shared_folder
+
 DAY = 86400
 
 
@@ -58,10 +59,7 @@ def _cut(df: DataFrame) -> DataFrame:
     """The rows without their lineage, written to the checkpoint folder; a local master without one gets a temporary one."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="tracelake-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

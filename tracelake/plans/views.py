@@ -96,15 +96,25 @@ INVOCATIONS_SQL = f"""v_invocations AS (
   FROM (SELECT *, ([{', '.join(repr(x) for x in RAW_SKILLS)}])[event_id % {len(RAW_SKILLS)} + 1] AS raw_name FROM v_events))"""
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three labels, one of which may carry a recommendation mark, and a choice that may be missing or manifold."""
+def question_labels() -> Column:
+    """Three labels of an event, one of which may carry a recommendation mark."""
     k, n = F.col("k"), F.col("event_id")
     marks = F.array(*map(F.lit, [" (recommended)", " [Recommended].", " (推荐)", ""]))
     label = lambda i: F.concat(F.lit(f"Option {i} of "), k % 9)
     mark = F.element_at(marks, (n % 4 + 1).cast("int"))
-    options = F.array(label(1), F.concat(label(2), F.when(k % 2 == 0, mark).otherwise("")), F.concat(label(3), F.when(k % 2 == 1, mark).otherwise("")))
-    chosen = F.when(n % 11 == 0, F.lit(None)).when(n % 5 == 0, F.concat(label(1), F.lit(", "), label(3))).when(n % 3 == 0, label(2)).otherwise(label(3))
-    return _events(spark, sf_dir).select("event_id", options.alias("raw_options"), chosen.alias("chosen_option"))
+    return F.array(label(1), F.concat(label(2), F.when(k % 2 == 0, mark).otherwise("")), F.concat(label(3), F.when(k % 2 == 1, mark).otherwise("")))
+
+
+def question_choice() -> Column:
+    """A choice that may be missing or manifold."""
+    k, n = F.col("k"), F.col("event_id")
+    label = lambda i: F.concat(F.lit(f"Option {i} of "), k % 9)
+    return F.when(n % 11 == 0, F.lit(None)).when(n % 5 == 0, F.concat(label(1), F.lit(", "), label(3))).when(n % 3 == 0, label(2)).otherwise(label(3))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and choices of all events."""
+    return _events(spark, sf_dir).select("event_id", question_labels().alias("raw_options"), question_choice().alias("chosen_option"))
 
 
 QUESTIONS_SQL = """v_questions AS (
