@@ -1,22 +1,28 @@
 import zlib
 from collections import Counter
 
-import xxhash
+from pyspark.sql import functions as F
 
-from tracelake.llm.sharding import assign_shards
+from tracelake.llm.sharding import assign_shards, next_key
 
 
 def jump(key, n):
-    """The published loop, with the operator's draws."""
+    """The published loop."""
+    key = (42 if key is None else key) & (1 << 64) - 1
     at, ahead = -1, 0
     while ahead < n:
         at = ahead
-        seed = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42) if key is not None else 42
-        draw = ((xxhash.xxh64_intdigest(at.to_bytes(8, "little", signed=True), seed) >> 11) + 1.0) / 2**53
-        ahead = int((at + 1) / draw)
+        key = (key * 2862933555777941757 + 1) % (1 << 64)
+        ahead = int((at + 1) * (float(1 << 31) / float((key >> 33) + 1)))
     return at
 
 
+def test_generator_wraps(spark):
+    keys = [0, 1, -1, 42, 2**63 - 1, -(2**63), 123456789012345678]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long").select("k", next_key(F.col("k")).alias("n")).collect()
+    assert all(r["n"] % (1 << 64) == (r["k"] * 2862933555777941757 + 1) % (1 << 64) for r in rows)
+
+
 def test_matches_the_loop_and_numbers_every_row(docs):
     rows = assign_shards(docs, 7).collect()
     assert len(rows) == docs.count()
@@ -41,3 +47,8 @@ def test_spread_and_moves(spark):
 def test_one_shard_and_no_rows(docs, no_docs):
     assert {r["shard"] for r in assign_shards(docs, 1).collect()} == {0}
     assert assign_shards(no_docs, 40).count() == 0
+
+
+def test_other_ids_are_hashed(spark):
+    rows = assign_shards(spark.createDataFrame([("a", "x"), ("b", "y"), (None, "z")], "doc_id string, text string"), 5).collect()
+    assert {r["doc_id"] for r in rows} == {"a", "b", None} and all(0 <= r["shard"] < 5 for r in rows)
