@@ -12,6 +12,7 @@ all of them, so no link is lost: a pair left unchecked is already in one class.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
@@ -60,6 +61,12 @@ def subset_count(n: int, percent: int) -> int:
     return sum(math.comb(n, c) for c in subset_sizes(n, percent))
 
 
+@functools.cache
+def subsets(n: int, c: int) -> np.ndarray:
+    """The places of each subset of c of n elements."""
+    return np.array(list(itertools.combinations(range(n), c)), np.int64)
+
+
 def choose_boundary(rows_of_size: dict[int, int], list_length: float, percent: int) -> int:
     """Largest small size: least sum of subsets listed below it and lists scanned above it."""
 
@@ -195,12 +202,16 @@ def postings(docs: DataFrame, k: int, percent: int, frequency: np.ndarray, bound
                 length = n - -(-percent * n // 100) + 1
                 use = (pos < length[doc]) & (n[doc] >= scanned_from)
                 keys, owner, place = [h[order][use].view(np.int64)], [doc[use]], [pos[use]]
-                for d in np.flatnonzero((n > 0) & (n <= boundary)):
-                    own = h[first[d] : first[d] + n[d]]
-                    made = [np.bitwise_xor.reduce(textvec.mix(np.array(s) + np.uint64(c))) for c in subset_sizes(int(n[d]), percent) for s in itertools.combinations(own, c)]
-                    keys.append(textvec.mix(np.array(made, np.uint64)).view(np.int64))
-                    owner.append(np.full(len(made), d))
-                    place.append(np.full(len(made), -1))
+                for size in range(1, boundary + 1):  # all sets of a size at once
+                    some = np.flatnonzero(n == size)
+                    if not len(some):
+                        continue
+                    own = h[first[some][:, None] + np.arange(size)]
+                    for c in subset_sizes(size, percent):
+                        made = textvec.mix(np.bitwise_xor.reduce(textvec.mix(own[:, subsets(size, c)] + np.uint64(c)), axis=2)).view(np.int64)
+                        keys.append(made.ravel())
+                        owner.append(np.repeat(some, made.shape[1]))
+                        place.append(np.full(made.size, -1))
                 owner = np.concatenate(owner)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys)), pa.array(node[owner]), pa.array(n[owner].astype(np.int32)), pa.array(np.concatenate(place).astype(np.int32))],
