@@ -129,6 +129,14 @@ def test_records_round_trip(spark, docs, no_docs, library):
     entry = next(e for e in manifest if e["docs"] > 1)
     before = sum(e["docs"] for e in manifest if e["part"] < entry["part"])
     assert len(records.lookup(entry, 1)) == rows[before + 1]["n_tokens"]
+    straight = Counter((r["doc_id"], tuple(r["ids"])) for r in records.read(spark, manifest).collect())
+    orders = []
+    for seed in (1, 2):
+        shuffled = records.read_shuffled(spark, manifest, seed, 3).collect()
+        assert Counter((r["doc_id"], tuple(r["ids"])) for r in shuffled) == straight
+        orders.append([r["doc_id"] for r in sorted(shuffled, key=lambda r: r["place"])])
+    assert orders[0] != orders[1]
+    assert sum(r["n_tokens"] for r in records.index(spark, manifest).collect()) == start
     empty = records.write(no_docs, Workspace(spark, "records").path("files"), BPE)
     assert records.read_digests(spark, empty).count() == 0
 

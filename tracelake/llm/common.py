@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +75,23 @@ class Workspace:
             path.getFileSystem(conf).delete(path, True)
 
 
+def clear_old(spark: SparkSession, hours: float) -> list[str]:
+    """Delete workspaces in the shared folder that were last written so many hours ago; returns their paths.
+
+    Results are read lazily from workspaces, so only the caller knows when they can go.
+    """
+    root, jvm = shared_dir(spark), spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for status in fs.listStatus(path) if fs.exists(path) else []:
+        name = status.getPath().getName()
+        if status.isDirectory() and re.search(r"-[0-9a-f]{12}$", name) and status.getModificationTime() <= (time.time() - 3600 * hours) * 1000:
+            fs.delete(status.getPath(), True)
+            gone.append(f"{root}/{name}")
+    return gone
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession):
     """Arrow batches of BATCH_ROWS rows for the jobs begun inside; the session's own setting comes back."""

@@ -26,6 +26,7 @@ from tracelake.llm.library_bpe import LibraryEncoder
 NULL_ID = -(1 << 63)
 MASK_DELTA = 0xA282EAD8
 PREFIX = 32
+OPEN_FILES = 64
 
 HEAD, TAIL, OWN, ENTRY = "<QI", "<I", "<qB", "<qqq"
 HEAD_BYTES, TAIL_BYTES, OWN_BYTES, ENTRY_BYTES = map(struct.calcsize, (HEAD, TAIL, OWN, ENTRY))
@@ -177,3 +178,54 @@ def lookup(folder_entry: dict, number: int) -> list[int]:
         records.seek(offset)
         payload = next(frames(records))
     return np.frombuffer(payload, f"<u{struct.unpack_from(OWN, payload)[1]}", offset=OWN_BYTES).tolist()
+
+
+def index(spark: SparkSession, manifest: list[dict]) -> DataFrame:
+    """The offset index as rows: path of the record file, doc_id, offset of the frame, n_tokens."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                fs, place = _open(path)
+                with fs.open_input_stream(place.removesuffix(".rec") + ".idx") as stream:
+                    while data := stream.read(ENTRY_BYTES << 16):
+                        entries = np.frombuffer(data, "<i8").reshape(-1, 3)
+                        doc = pa.array(entries[:, 0], mask=entries[:, 0] == NULL_ID)
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(entries)), doc, pa.array(entries[:, 1]), pa.array(entries[:, 2])], names=["path", "doc_id", "offset", "n_tokens"])
+
+    files = [(e["path"],) for e in manifest if e["docs"]]
+    return spark.createDataFrame(files, "path string").repartition(max(1, len(files))).mapInArrow(listed, "path string, doc_id long, offset long, n_tokens long")
+
+
+def read_shuffled(spark: SparkSession, manifest: list[dict], seed: int, parts: int | None = None) -> DataFrame:
+    """All records in an order drawn from ``seed``: place (a hash, ascending in each partition), doc_id, ids array<int>.
+
+    Only index entries are shuffled; tasks seek to the records of theirs, so sequences
+    are read once and never move between machines.
+    """
+    entries = index(spark, manifest).withColumn("place", F.xxhash64("path", "offset", F.lit(seed)))
+    dealt = (entries.repartition(parts, "place") if parts else entries.repartition("place")).sortWithinPartitions("place")
+
+    def sought(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple] = {}
+        try:
+            for batch in batches:
+                docs, places, values = [], [], []
+                for path, offset, place in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    if path not in held:
+                        if len(held) >= OPEN_FILES:
+                            held.pop(next(iter(held))).close()
+                        fs, at = _open(path)
+                        held[path] = fs.open_input_file(at)
+                    held[path].seek(offset)
+                    payload = next(frames(held[path]))
+                    doc, width = struct.unpack_from(OWN, payload)
+                    docs.append(None if doc == NULL_ID else doc)
+                    places.append(place)
+                    values.append(np.frombuffer(payload, f"<u{width}", offset=OWN_BYTES).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(docs, pa.int64()), pa.array(values, pa.list_(pa.int32()))], names=["place", "doc_id", "ids"])
+        finally:
+            for stream in held.values():
+                stream.close()
+
+    return dealt.select("path", "offset", "place").mapInArrow(sought, "place long, doc_id long, ids array<int>")
