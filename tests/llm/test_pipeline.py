@@ -67,3 +67,17 @@ def test_empty_documents(spark, tables, tmp_path):
     spark.read.parquet(f"{tables[0]}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{tables[0]}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_that_share_an_id(spark, tables):
+    """Different texts of one id, as the stages state it."""
+    stages, place = dict(corpus_pipeline.STAGES), tables[0]
+    clean, leak = speech("en", 5000, 120), speech("en", 5001, 60) + " " + prose(700, 30) + " " + speech("en", 5002, 60)
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, clean, "en", "h", 1), (1, leak, "en", "h", 1), (2, speech("en", 5003, 120), "en", "h", 1), (2, clean, "en", "h", 1), (3, clean, "en", "h", 1), (4, "12", "en", "h", 1), (4, speech("en", 5004, 120), "en", "h", 1)]
+    docs = spark.createDataFrame(rows, kind)
+    clean_ids = Counter(r["doc_id"] for r in stages["decontamination"](spark, docs, place).collect())
+    assert clean_ids == Counter({2: 2, 3: 1, 4: 2})
+    led = Counter((r["doc_id"], r["text"]) for r in stages["near_duplicates"](spark, docs, place).collect())
+    assert led == Counter((r[0], r[1]) for r in rows if r[0] != 3)  # 3 copies a text of 1; 2 leads a class of its own and keeps its copy
+    assert Counter(r["doc_id"] for r in stages["language_id"](spark, spark.read.parquet(f"{place}/documents.parquet").select(*corpus_pipeline.COLUMNS).unionByName(docs.where("doc_id = 4").withColumn("doc_id", docs["doc_id"] + 900)), place).collect())[904] == 2
