@@ -3,6 +3,11 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result
 as Parquet in the shared folder and reads it again as the next stage's documents.  Only
 the columns of ``documents`` pass between stages, whatever else the input carries.
+
+Ids are meant to be unique.  Rows that share one are judged together where a stage says
+so: they are kept by the language stage if one of them is, the near-duplicate stage keeps
+the different texts of an id that leads a class, and the decontamination stage drops all
+rows of an id in one of which an item is found.
 """
 
 from __future__ import annotations
@@ -47,7 +52,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of five-word-shingle sets linked at a Jaccard of 0.8 or more.
 
-    The one with the class's least id stays.  Rows equal in id and text are one document.
+    The one with the class's least id stays.  Rows equal in id and text are one document;
+    other texts under an id that leads a class stay with it.
     """
     docs, workspace = _documents(docs), Workspace(spark, "stage-jaccard")
     found = workspace.keep("classes", jaccard.classes(docs, workspace))
@@ -59,7 +65,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which a benchmark passage is found."""
+    """Drop documents in which a benchmark item is found, with all rows of the same id."""
     docs, workspace = _documents(docs), Workspace(spark, "stage-decontaminate")
     leaks = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"), workspace)
     leaking = leaks.groupBy("doc_id").agg(F.lit(True).alias("_leak"))
