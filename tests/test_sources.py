@@ -299,3 +299,19 @@ def test_prefixes_are_pushed_as_ranges(spark, tmp_path):
     assert list(reader.pushFilters([StringStartsWith(("key",), "b:")])) and reader.where == [('"key" >= ?', "b:"), ('"key" < ?', "b;")]
     db.execute("BEGIN EXCLUSIVE")
     assert sqlite.read_table(spark, f"{tmp_path}/k.db", "kv", "key string", skip_locked=True).count() == 0
+
+
+def test_lines_of_a_file_in_many_blocks_are_numbered_through(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (i % 50) if i % 7 else "" for i in range(4000)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.jsonl").write_text("one\n\nthree")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 5000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 100)
+    try:
+        rows = jsonl.read_lines(spark, str(tmp_path))
+        found = {(r["file"][-7], r["line_no"]): r["line"] for r in rows.collect()}
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
+    assert found == {("a", i + 1): x for i, x in enumerate(lines) if x} | {("b", 1): "one", ("b", 3): "three"}

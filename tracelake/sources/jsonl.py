@@ -14,11 +14,19 @@ from tracelake.functions.text import answer_map, command_names, is_recommended,
 
 
 def read_lines(spark: SparkSession, *paths: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(file, line_no, line) of every non-blank line under the paths; numbers start at 1 in each file."""
+    """(file, line_no, line) of every non-blank line under the paths; numbers start at 1 in each file.
+
+    Lines are numbered inside the block of a file that one task reads, and shifted by the
+    lines of the blocks before, so a long file is not one task's work.
+    """
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(list(paths))
     rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    number = F.row_number().over(Window.partitionBy("file").orderBy("block", "at"))
-    return rows.select("file", number.alias("line_no"), "line").where(F.trim("line") != "")
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("lines"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file", "block", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
+    numbered = rows.withColumn("n", inside).join(starts, ["file", "block"])
+    return numbered.select("file", (F.col("start") + F.col("n")).cast("int").alias("line_no"), "line").where(F.trim("line") != "")
 
 
 def get(v: str | Column, path: str, kind: str = "string") -> Column:
