@@ -2,8 +2,8 @@
 
 Byte-level pre-tokens begin at a single space or line feed, and end between a word's last
 ASCII letter or digit and its closing punctuation.  So the ids of a text are those of such
-pieces end to end.  Pieces are found, and told apart by their bytes, for whole chunks of
-documents at a time; an encoder gets the new ones.  Documents with other white space, or
+pieces end to end.  Pieces are found, hashed, looked up and compared with the bytes in the
+table for whole chunks of documents at a time; an encoder gets the new ones.  Documents with other white space, or
 with what may be an added token or a space beyond ASCII, go to it whole.
 """
 
@@ -33,24 +33,71 @@ LEADS = [(0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (
 
 
 class Pieces:
-    """Runs of ids by piece, told apart by their bytes; emptied when it holds its encoder's most pieces, or bytes."""
+    """Open-addressing table from piece hashes to runs of ids, with the pieces' bytes, as hashes alone are no identity."""
 
     def __init__(self):
-        self.reset()
+        self.reset(16)
 
-    def reset(self) -> None:
-        self.entry: dict[bytes, int] = {}
-        self.held = 0
+    def reset(self, bits: int) -> None:
+        self.bits, self.count = bits, 0
+        self.keys, self.entry = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def add(self, pieces: list[bytes], runs: list[array]) -> None:
-        """Add distinct new pieces with their ids."""
-        lengths = np.array([len(r) for r in runs], np.int64)
-        flat = np.frombuffer(b"".join([r.tobytes() for r in runs]), np.uint32)
-        self.entry.update(zip(pieces, range(len(self.entry), len(self.entry) + len(pieces)), strict=True))
-        self.held += sum(map(len, pieces))
+        self.text_start, self.text = np.zeros(1, np.int64), np.zeros(0, np.uint8)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of each key, -1 where it is not there."""
+        found = np.full(len(keys), -1, np.int32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            here = self.keys[slot]
+            hit = here == keys[left]
+            found[left[hit]] = self.entry[slot[hit]]
+            on = ~hit & (here != 0)
+            left, slot = left[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return found
+
+    def unlike(self, entry: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places of spans whose bytes are not those of their entries."""
+        length = (ends - starts).astype(np.int32)
+        begin = self.text_start[entry]
+        other = length != self.text_start[entry + 1] - begin
+        length = np.where(other, 0, length)
+        step = np.arange(int(length.sum()), dtype=np.int32)
+        first = np.cumsum(length, dtype=np.int32) - length
+        differ = data[step + np.repeat((starts - first).astype(np.int32), length)] != self.text[step + np.repeat((begin - first).astype(np.int32), length)]
+        if differ.any():
+            other[np.unique(np.repeat(np.arange(len(length)), length)[differ])] = True
+        return np.flatnonzero(other)
+
+    def _place(self, keys: np.ndarray, entries: np.ndarray) -> None:
+        slot = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            at, first = np.unique(slot[free], return_index=True)
+            self.keys[at], self.entry[at] = keys[free[first]], entries[free[first]]
+            on = self.keys[slot] != keys
+            keys, entries, slot = keys[on], entries[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+
+    def add(self, keys: np.ndarray, pieces: list[bytes], runs: list[array]) -> np.ndarray:
+        """Add pieces with their ids under distinct new keys; without keys they get entries that are not found again."""
+        lengths, sizes = np.array([len(r) for r in runs], np.int64), np.array([len(x) for x in pieces], np.int64)
+        entries = np.arange(self.count, self.count + len(pieces), dtype=np.int32)
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])
-        self.ids = np.concatenate([self.ids, flat])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join([r.tobytes() for r in runs]), np.uint32)])
+        self.text_start = np.concatenate([self.text_start, self.text_start[-1] + np.cumsum(sizes)])
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(pieces), np.uint8)])
+        self.count += len(pieces)
+        if self.count > 1 << (self.bits - 1):
+            old_keys, old_entry = self.keys[self.keys != 0], self.entry[self.keys != 0]
+            while self.count > 1 << (self.bits - 1):
+                self.bits += 1
+            self.keys, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self._place(old_keys, old_entry)
+        self._place(keys, entries[: len(keys)])
+        return entries
 
 
 class BulkEncoder:
@@ -97,14 +144,8 @@ class BulkEncoder:
         spaced, fed = headed & (before == 32), headed & (before == 10)
         closed = np.flatnonzero(cut)
         n = len(starts)
-        # in order of place: each word with the space before it, then its closing punctuation
-        place = np.arange(n) + np.cumsum(cut) - cut
-        begins, finishes = np.empty(n + len(closed), np.int64), np.empty(n + len(closed), np.int64)
-        begins[place], finishes[place] = starts - spaced, stem
-        begins[place[closed] + 1], finishes[place[closed] + 1] = stem[closed], ends[closed]
-        code, distinct = chunk.codes(begins, finishes, lower=False)
-        known = self._entries([*textvec.objects(distinct), b"\n"])
-        entry = np.concatenate([known[code[place]], known[code[place[closed] + 1]], known[-1:]])
+        begins, finishes = np.concatenate([starts - spaced, stem[closed]]), np.concatenate([stem, ends[closed]])
+        entry = self._entries(chunk, begins, finishes)
         table = self.pieces
         length = table.start[entry + 1] - table.start[entry]
         feed, tail = np.where(fed, length[-1], 0), np.zeros(n, np.int64)
@@ -129,17 +170,29 @@ class BulkEncoder:
             out[base[d] : base[d + 1]] = ids
         return out, counts
 
-    def _entries(self, pieces: list[bytes]) -> np.ndarray:
-        """Entries of distinct pieces, new ones learnt."""
-        if len(self.pieces.entry) > self.max_pieces or self.pieces.held > MAX_PIECE_BYTES:
-            self.pieces.reset()
-        known = self.pieces.entry.get
-        found = [known(x, -1) for x in pieces]
-        new = [i for i, x in enumerate(found) if x < 0]
-        if new:
-            first = len(self.pieces.entry)
-            learnt = [pieces[i] for i in new]
-            self.pieces.add(learnt, self.ask([x.decode() for x in learnt]))
-            for at, i in enumerate(new, first):
-                found[i] = at
-        return np.array(found, np.int64)
+    def _entries(self, chunk: textvec.Chunk, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Entries of all pieces, new ones learnt, and of the line feed at the end."""
+        table = self.pieces
+        if table.count > self.max_pieces or len(table.text) > MAX_PIECE_BYTES:
+            table.reset(16)
+        if not table.count:
+            table.add(np.zeros(0, np.uint64), [b"\n"], self.ask(["\n"]))
+        keys = chunk.span_hash(starts, ends, lower=False)
+        keys[keys == 0] = 1
+        entry = table.find(keys)
+        missing = np.flatnonzero(entry < 0)
+        raw = chunk.data.tobytes() if len(missing) else b""
+        if len(missing):
+            new, first = np.unique(keys[missing], return_index=True)
+            at = missing[first]
+            pieces = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            table.add(new, pieces, self.ask([x.decode() for x in pieces]))
+            entry[missing] = table.find(keys[missing])
+        other = table.unlike(entry, chunk.data, starts, ends)
+        if len(other):  # pieces that share a hash with another one
+            raw = raw or chunk.data.tobytes()
+            pieces = [raw[a:b] for a, b in zip(starts[other].tolist(), ends[other].tolist(), strict=True)]
+            distinct = list(dict.fromkeys(pieces))
+            own = dict(zip(distinct, table.add(np.zeros(0, np.uint64), distinct, self.ask([x.decode() for x in distinct])).tolist(), strict=True))
+            entry[other] = [own[x] for x in pieces]
+        return np.append(entry, np.int32(0))
