@@ -93,6 +93,7 @@ def test_words_that_a_polynomial_hash_confuses(spark):
 def test_without_broadcasts(spark, monkeypatch, auto):
     """The far side of the size guard gives the same classes."""
     monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(jaccard, "PAIRS_PER_TASK", 3)  # and lists are dealt over tasks
     r, rows = random.Random(7), []
     for group in range(6):
         words = [f"w{r.randint(0, 30)}" for _ in range(r.randint(6, 40))]

@@ -37,6 +37,7 @@ CHECK_COST = 20.0
 STAR_ROUNDS = 2
 PIVOTS = 4
 SALTS = 8
+PAIRS_PER_TASK = 4_000_000
 
 
 def ceil_div(a: int, b: int) -> int:
@@ -358,11 +359,14 @@ def classes(docs: DataFrame, workspace: Workspace, words: int = WORDS, percent:
             chosen = placed.join(pivots, "key").where((F.col("root") != F.col("cb")) & _possible(percent))
         else:
             members = placed.groupBy("key", "root").agg(F.count("*").alias("times"))
-            largest = members.groupBy("key").agg(F.max(F.struct("times", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
-            mixed = placed.join(largest, "key")
-            others = mixed.where("root != main").select(*mate("b", "cb"))
+            largest = members.groupBy("key").agg(F.max(F.struct("times", "root")).alias("first"), F.count("*").alias("roots"), F.sum("times").alias("entries")).where("roots > 1")
+            # a list of many pairs is dealt over as many tasks: one side by its nodes, the other to each
+            pieces = F.ceil(F.col("entries") * (F.col("entries") - F.col("first.times")) / F.lit(PAIRS_PER_TASK)).cast("int")
+            mixed = placed.join(largest.select("key", F.col("first.root").alias("main"), pieces.alias("pieces")), "key")
+            others = mixed.where("root != main").select(*mate("b", "cb"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+            mixed = mixed.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
             across = (F.col("root") != F.col("cb")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("b")))
-            chosen = mixed.join(others, "key").where(across & _possible(percent) & _early(percent))
+            chosen = mixed.join(others, ["key", "piece"]).where(across & _possible(percent) & _early(percent))
         sides = ("node", "root", "b", "cb")
         if n == STAR_ROUNDS:  # each pair one way round
             first = F.col("node") < F.col("b")

@@ -87,6 +87,17 @@ QUERIES = {
     "pages_language_id": pages_language_id,
 }
 SQL: dict[str, str] = {
+    "op6_ngram_jaccard": r"""
+WITH RECURSIVE words_ AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets_ AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words_),
+entries_ AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets_),
+links_ AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM entries_ a JOIN entries_ b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach_(a, b) AS (SELECT doc_id, doc_id FROM sets_ UNION SELECT r.a, l.b FROM reach_ r JOIN links_ l ON r.b = l.a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets_ JOIN (SELECT a, min(b) AS component_id FROM reach_ GROUP BY 1) ON a = doc_id""",
     "op5_warc": """
 WITH pages_ AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 firsts AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS h, min(page_id) OVER (PARTITION BY body) AS first_id FROM pages_)
