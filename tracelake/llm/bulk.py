@@ -81,12 +81,12 @@ class Pieces:
             on = self.keys[slot] != keys
             keys, entries, slot = keys[on], entries[on], (slot[on] + 1) & ((1 << self.bits) - 1)
 
-    def add(self, keys: np.ndarray, pieces: list[bytes], runs: list[array]) -> np.ndarray:
-        """Add pieces with their ids under distinct new keys; without keys they get entries that are not found again."""
-        lengths, sizes = np.array([len(r) for r in runs], np.int64), np.array([len(x) for x in pieces], np.int64)
+    def add(self, keys: np.ndarray, pieces: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Add pieces with their ids end to end under distinct new keys; without keys they get entries that are not found again."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         entries = np.arange(self.count, self.count + len(pieces), dtype=np.int32)
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join([r.tobytes() for r in runs]), np.uint32)])
+        self.ids = np.concatenate([self.ids, ids])
         self.text_start = np.concatenate([self.text_start, self.text_start[-1] + np.cumsum(sizes)])
         self.text = np.concatenate([self.text, np.frombuffer(b"".join(pieces), np.uint8)])
         self.count += len(pieces)
@@ -108,6 +108,12 @@ class BulkEncoder:
             raise ValueError("an added token that does not start with <| is not provided for")
         self.ask, self.pieces, self.max_pieces = ask, Pieces(), max_pieces
 
+    def learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces end to end, and how many each has."""
+        runs = self.ask([x.decode() for x in pieces])
+        flat = np.frombuffer(b"".join([r.tobytes() for r in runs]), np.uint32)
+        return flat, np.fromiter(map(len, runs), np.int64, len(runs))
+
     def _odd_docs(self, chunk: textvec.Chunk, white: np.ndarray) -> np.ndarray:
         """Documents that are encoded whole."""
         data, odd = chunk.data, np.zeros(chunk.n_docs, bool)
@@ -176,7 +182,7 @@ class BulkEncoder:
         if table.count > self.max_pieces or len(table.text) > MAX_PIECE_BYTES:
             table.reset(16)
         if not table.count:
-            table.add(np.zeros(0, np.uint64), [b"\n"], self.ask(["\n"]))
+            table.add(np.zeros(0, np.uint64), [b"\n"], *self.learn([b"\n"]))
         keys = chunk.span_hash(starts, ends, lower=False)
         keys[keys == 0] = 1
         entry = table.find(keys)
@@ -186,13 +192,13 @@ class BulkEncoder:
             new, first = np.unique(keys[missing], return_index=True)
             at = missing[first]
             pieces = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            table.add(new, pieces, self.ask([x.decode() for x in pieces]))
+            table.add(new, pieces, *self.learn(pieces))
             entry[missing] = table.find(keys[missing])
         other = table.unlike(entry, chunk.data, starts, ends)
         if len(other):  # pieces that share a hash with another one
             raw = raw or chunk.data.tobytes()
             pieces = [raw[a:b] for a, b in zip(starts[other].tolist(), ends[other].tolist(), strict=True)]
             distinct = list(dict.fromkeys(pieces))
-            own = dict(zip(distinct, table.add(np.zeros(0, np.uint64), distinct, self.ask([x.decode() for x in distinct])).tolist(), strict=True))
+            own = dict(zip(distinct, table.add(np.zeros(0, np.uint64), distinct, *self.learn(distinct)).tolist(), strict=True))
             entry[other] = [own[x] for x in pieces]
         return np.append(entry, np.int32(0))
