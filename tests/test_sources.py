@@ -315,3 +315,12 @@ def test_lines_of_a_file_in_many_blocks_are_numbered_through(spark, tmp_path):
         for k, value in before.items():
             spark.conf.set(k, value)
     assert found == {("a", i + 1): x for i, x in enumerate(lines) if x} | {("b", 1): "one", ("b", 3): "three"}
+
+
+def test_missing_roots_are_skipped(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("x\n")
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/b.jsonl").write_text("y\n")
+    found = jsonl.scan_lines(spark, f"{tmp_path}/a.jsonl", f"{tmp_path}/d", f"{tmp_path}/gone")
+    assert {r["line"] for r in found.collect()} == {"x", "y"}
+    assert jsonl.scan_lines(spark, f"{tmp_path}/gone").count() == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,18 +49,29 @@ def has_anchor(line: Column) -> Column:
     return found
 
 
+def _reserved(value: Column, domain: Column) -> Column:
+    found = domain.isin(*dims.RESERVED_DOMAINS)
+    for suffix in (*[f".{d}" for d in dims.RESERVED_DOMAINS], *dims.RESERVED_SUFFIXES):
+        found = found | domain.endswith(suffix)
+    return found
+
+
+#: Rules by name, the first that holds counts: from a value, its domain, its local part (lower case), and whether a backslash stands before it.
+SUPPRESSORS: tuple[tuple[str, Callable[[Column, Column, Column, Column], Column]], ...] = (
+    ("escape_prefix", lambda value, domain, local, escaped: escaped),
+    ("reserved_email_domain", lambda value, domain, local, escaped: value.contains("@") & _reserved(value, domain)),
+    ("noreply_local_part", lambda value, domain, local, escaped: value.contains("@") & local.isin(*dims.NOREPLY)),
+    ("placeholder_email_domain", lambda value, domain, local, escaped: value.contains("@") & domain.isin(*dims.PLACEHOLDER_DOMAINS)),
+)
+
+
 def suppressed_by(value: Column, escaped: Column) -> Column:
     """Name of the first rule that takes a match for a false positive, or null."""
-    domain = F.lower(F.substring_index(value, "@", -1))
-    local = F.lower(F.substring_index(value, "@", 1))
-    mail = value.contains("@")
-    reserved = domain.isin(*dims.RESERVED_DOMAINS)
-    for suffix in (*[f".{d}" for d in dims.RESERVED_DOMAINS], *dims.RESERVED_SUFFIXES):
-        reserved = reserved | domain.endswith(suffix)
-    return (
-        F.when(escaped, "escape_prefix").when(mail & reserved, "reserved_email_domain")
-        .when(mail & local.isin(*dims.NOREPLY), "noreply_local_part").when(mail & domain.isin(*dims.PLACEHOLDER_DOMAINS), "placeholder_email_domain")
-    )
+    domain, local = (F.lower(F.substring_index(value, "@", n)) for n in (-1, 1))
+    found = F.lit(None).cast("string")
+    for name, rule in reversed(SUPPRESSORS):
+        found = F.when(rule(value, domain, local, escaped), name).otherwise(found)
+    return found
 
 
 def _matches(line: Column, d: dims.Detector) -> Column:

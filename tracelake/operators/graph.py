@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.text import basename, unit_hash
 
+# Spread around a hub, least size of a long session, least size and factor of nodes, colours.
 SPREAD = 0.32
 VIBE = 5
-# Node colours.
+HUB_SIZE, OWN_SIZE = (2.5, 1.8), (1.1, 0.85)
 COOL, WARM, HUB = "#4f9dff", "#ff6b4f", "#9b8cff"
 
 
@@ -52,5 +53,5 @@ def points(sessions: DataFrame) -> DataFrame:
         at = F.round(F.when(is_hub, centre).otherwise(centre + (unit_hash(F.col("id"), salt) - 0.5) * SPREAD), 3)
         place.append(F.when(at == 0, 0.0).otherwise(at).alias(axis))  # no negative zero
     colour = F.when(is_hub, HUB).when(F.col("vibe"), COOL).otherwise(WARM)
-    size = F.when(is_hub, F.greatest(F.lit(2.5), F.sqrt("size") * 1.8)).otherwise(F.greatest(F.lit(1.1), F.sqrt(F.col("size") + 1) * 0.85))
+    size = F.when(is_hub, F.greatest(F.lit(HUB_SIZE[0]), F.sqrt("size") * HUB_SIZE[1])).otherwise(F.greatest(F.lit(OWN_SIZE[0]), F.sqrt(F.col("size") + 1) * OWN_SIZE[1]))
     return every.select("id", *place, colour.alias("c"), F.round(size, 2).alias("s"))

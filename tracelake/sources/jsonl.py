@@ -13,6 +13,18 @@ from pyspark.sql import functions as F
 from tracelake.functions.text import answer_map, command_names, is_recommended, normalize_skill_name, normalize_title, real_title, recommended_label, is_suite_skill
 
 
+def existing(spark: SparkSession, *paths: str) -> list[str]:
+    """The paths, files or folders, that are there."""
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    return [p for p in paths if path(p).getFileSystem(conf).exists(path(p))]
+
+
+def scan_lines(spark: SparkSession, *roots: str) -> DataFrame:
+    """Lines of transcripts under roots that may be files or folders; missing ones are skipped."""
+    found = existing(spark, *roots)
+    return read_lines(spark, *found) if found else spark.createDataFrame([], "file string, line_no int, line string")
+
+
 def read_lines(spark: SparkSession, *paths: str, pattern: str = "*.jsonl") -> DataFrame:
     """(file, line_no, line) of every non-blank line under the paths; numbers start at 1 in each file.
 

@@ -37,13 +37,17 @@ def detect(lines: DataFrame, now=None) -> DataFrame:
 def drop_repeats(hits: DataFrame, ttl: dt.timedelta = TTL) -> DataFrame:
     """Hits that come more than the ttl after the last one let through of their fingerprint.
 
-    The state of a fingerprint is one time, as many as the findings table has rows.
+    The state of a fingerprint is one time.  It goes once the ttl has passed without a hit,
+    as the next one is let through anyway.
     """
 
     columns = hits.columns
     micros_ttl = ttl // dt.timedelta(microseconds=1)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(parts)).sort_values(["seen_at", "byte_offset"], kind="stable")
         kept = []
@@ -53,9 +57,10 @@ def drop_repeats(hits: DataFrame, ttl: dt.timedelta = TTL) -> DataFrame:
                 last = micros
                 kept.append(at)
         state.update((last,))
+        state.setTimeoutDuration(max(micros_ttl // 1000, 1))
         yield rows.iloc[kept][columns]
 
-    return hits.groupBy("fingerprint").applyInPandasWithState(step, hits.schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
+    return hits.groupBy("fingerprint").applyInPandasWithState(step, hits.schema, "last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 DECISION = "fingerprint string, kind string, seen_at timestamp, muted_until timestamp"
