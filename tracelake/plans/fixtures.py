@@ -188,6 +188,19 @@ def skill_files(spark: SparkSession, sf_dir: str) -> str:
     return mounted(root)
 
 
+def logs(spark: SparkSession, sf_dir: str) -> str:
+    """Behaviour logs: a time under one of three names, or none; fields that may be missing; lines that are no JSON."""
+    e = v._events(spark, sf_dir)
+    n = F.col("event_id")
+    when = F.struct(F.when(n % 5 == 0, iso()).alias("ts"), F.when(n % 5 == 1, iso()).alias("timestamp"), F.when(n % 5 == 2, F.date_format("ts", "yyyy-MM-dd")).alias("date"))
+    entry = F.struct(when["ts"].alias("ts"), when["timestamp"].alias("timestamp"), when["date"].alias("date"), F.concat(F.lit("s"), F.col("k") % 7).alias("skill"), F.col("event_type").alias("event"), F.when(F.col("k") % 3 > 0, "clean").alias("outcome"),
+                     F.concat(F.lit("q"), n).alias("question_id"), F.when(F.col("k") % 2 == 0, "yes").alias("user_choice"), F.when(F.col("k") % 4 == 0, "yes").otherwise("no").alias("recommended"))
+    root = new_folder(spark, "logs")
+    line = F.when(n % 11 == 10, F.lit("{cut")).otherwise(F.to_json(entry))
+    write_files(e.select(F.concat(F.lit("log-"), F.col("user_id") % 16, F.lit(".jsonl")).alias("path"), n.alias("n"), line.alias("line")), root)
+    return mounted(root)
+
+
 def registry(spark: SparkSession, sf_dir: str) -> list[providers.Provider]:
     """All four assistants, and one whose store is not there."""
     db, spaces = cursor(spark, sf_dir)

@@ -6,8 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tracelake.functions import windows
-from tracelake.operators import findings, report
+from tracelake.functions import dims, text, windows
+from tracelake.operators import findings, history, report
 from tracelake.operators import usage as u
 from tracelake.plans import views as v
 from tracelake.plans.catalogue import BEFORE, END, PRICED_SQL, START, STAMP, USD, WINDOW, query
@@ -125,3 +125,71 @@ def reflection(spark, d):
     q = history.question_options(v.questions(spark, d)).join(v._events(spark, d).select("event_id", "ts"), "event_id")
     entries = q.select("ts", F.col("chosen_option").alias("user_choice"), F.col("recommended_option").alias("recommended"))
     return report.reflection(v.usage(spark, d), v.sessions(spark, d), entries, v.skill_events(spark, d), START, END, BEFORE)
+
+
+@query("top_skills_first_met", v.INVOCATIONS_SQL, "SELECT skill_name AS skill, count(*) AS count FROM v_invocations WHERE ts IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, min(ts), 1 LIMIT 5")
+def top_skills_first_met(spark, d):
+    return report.first_met_top(v.invocations(spark, d), text.normalize_skill_name(F.col("raw_name")), F.col("ts"), "skill")
+
+
+@query("display_texts", """v_ages AS (SELECT o_orderkey, o_orderkey * 37 AS s FROM orders)""", """SELECT o_orderkey, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' ELSE (s // 86400) || 'd ago' END AS age,
+  (s // 3600) || 'h' || (s % 3600 // 60) || 'm' AS left_over, left(md5(CAST(o_orderkey AS VARCHAR)), 8) AS short_id, left(md5(CAST(o_orderkey AS VARCHAR)), 11) || '…' AS shown FROM v_ages""")
+def display_texts(spark, d):
+    rows = v.table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 37).alias("s"), F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("h"))
+    return rows.select("o_orderkey", text.relative_time(F.col("s")).alias("age"), text.countdown(F.col("s")).alias("left_over"), text.short_id(F.col("h")).alias("short_id"), text.truncate(F.col("h"), 12).alias("shown"))
+
+
+@query("repository_slugs", """SELECT c_custkey, CASE WHEN c_custkey % 4 < 3 THEN 'own' || (c_custkey % 9) || '-repo' || c_custkey END AS slug FROM customer""")
+def repository_slugs(spark, d):
+    n, tail = F.col("c_custkey"), F.concat(F.lit("own"), F.col("c_custkey") % 9, F.lit("/repo"), F.col("c_custkey"))
+    url = F.when(n % 4 == 0, F.concat(F.lit("https://host.example/"), tail, F.lit(".git"))).when(n % 4 == 1, F.concat(F.lit("git@host.example:"), tail)).when(n % 4 == 2, F.concat(F.lit("ssh://git@host.example/"), tail, F.lit(".git"))).otherwise(F.concat(F.lit("https://host.example/"), n))
+    return v.table(spark, d, "customer").select("c_custkey", text.repository_slug(url).alias("slug"))
+
+
+@query("json_texts", """SELECT c_custkey, c_name || chr(10) || '"' || c_custkey || '"' || chr(9) || 'é/' || '\\' AS plain FROM customer""")
+def json_texts(spark, d):
+    escaped = F.concat("c_name", F.lit('\\n\\"'), "c_custkey", F.lit('\\"\\t\\u00e9\\/\\'))
+    return v.table(spark, d, "customer").select("c_custkey", text.json_unescape(escaped).alias("plain"))
+
+
+@query("sessions_newest", v.SESSIONS_SQL, f"""SELECT provider, session_id, CASE WHEN user_id % 13 > 0 THEN strftime(started_at, {STAMP}) END AS started_at FROM v_sessions ORDER BY CASE WHEN user_id % 13 > 0 THEN v_sessions.started_at END DESC NULLS FIRST, provider, session_id LIMIT 40""")
+def sessions_newest(spark, d):
+    """A page of a listing: sessions without a time lead."""
+    rows = v.sessions(spark, d).withColumn("started_at", F.when(F.col("user_id") % 13 > 0, F.col("started_at")))
+    return history.newest_first(rows, "started_at", 40, True, "provider", "session_id").select("provider", "session_id", v.stamp("started_at").alias("started_at"))
+
+
+@query("sessions_newest_timed", v.SESSIONS_SQL, f"""SELECT provider, session_id, strftime(started_at, {STAMP}) AS started_at FROM v_sessions WHERE user_id % 13 > 0 ORDER BY v_sessions.started_at DESC, provider, session_id LIMIT 40""")
+def sessions_newest_timed(spark, d):
+    rows = v.sessions(spark, d).withColumn("started_at", F.when(F.col("user_id") % 13 > 0, F.col("started_at")))
+    return history.newest_first(rows, "started_at", 40, False, "provider", "session_id").select("provider", "session_id", v.stamp("started_at").alias("started_at"))
+
+
+@query("first_source", "SELECT user_id, CASE WHEN a > 0 THEN 'first' ELSE 'second' END AS origin, CASE WHEN a > 0 THEN a ELSE b END AS n FROM (SELECT user_id, count(*) FILTER (WHERE k % 40 = 0) AS a, count(*) FILTER (WHERE k % 3 = 1) AS b FROM v_events GROUP BY 1) WHERE a > 0 OR b > 0")
+def first_source(spark, d):
+    """Rows of the first source that has an id; the second one serves the rest."""
+    e = v._events(spark, d)
+    made = [e.where(c).groupBy("user_id").agg(F.count("*").alias("n")).withColumn("origin", F.lit(name)) for c, name in (("k % 40 = 0", "first"), ("k % 3 = 1", "second"))]
+    return history.first_per_id(made, "user_id").select("user_id", "origin", "n")
+
+
+@query("picked_titles", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN 'a b' END, CASE WHEN event_id % 5 = 0 THEN 'c' END, event_type) AS title FROM v_events")
+def picked_titles(spark, d):
+    n = F.col("event_id")
+    first, second = F.when(n % 3 == 0, F.lit(" a\n b ")).otherwise(" "), F.when(n % 5 == 0, F.lit("c"))
+    return v._events(spark, d).select("event_id", history.pick_title(first, second, F.col("event_type")).alias("title"))
+
+
+_books = ", ".join(f"('{c}', '{s}', '{a}')" for c, (s, a) in dims.PLAYBOOKS.items())
+_LEVEL = "CASE severity WHEN 'critical' THEN 'critical' WHEN 'high' THEN 'error' WHEN 'low' THEN 'info' ELSE 'warning' END"
+
+
+@query("alert_payloads", v.SEEDED_SQL, f"v_books(category, severity, advice) AS (VALUES {_books})", f"""v_alerts AS (
+  SELECT DISTINCT s.category, left(sha1(s.category || ':' || snippet_redacted), 16) AS fingerprint, snippet_redacted AS snip, coalesce(severity, '{dims.PLAYBOOK_FALLBACK[0]}') AS severity, coalesce(advice, '{dims.PLAYBOOK_FALLBACK[1]}') AS advice
+  FROM v_scan s LEFT JOIN v_books b ON s.category = b.category WHERE confidence >= 7)""", f"""SELECT fingerprint,
+  '{{"event":"new_finding","fingerprint":"' || fingerprint || '","category":"' || category || '","snippet_redacted":"' || snip || '","first_seen":"2024-01-02T03:04:05.000Z","count":1,"rotation":{{"severity":"' || severity || '","advice":"' || advice || '"}}}}' AS plain,
+  '{{"event_action":"trigger","dedup_key":"' || fingerprint || '","payload":{{"summary":"' || category || ' leaked","severity":"' || {_LEVEL} || '","custom_details":{{"snippet_redacted":"' || snip || '","advice":"' || advice || '","count":1}}}}}}' AS incident FROM v_alerts""")
+def alert_payloads(spark, d):
+    hits = findings.scan(v.seeded_lines(spark, d), 7).select("category", "fingerprint", "snippet_redacted").distinct()
+    rows = findings.with_playbook(hits).withColumns({"kind": F.lit("new_finding"), "count": F.lit(1), "first_seen": F.lit("2024-01-02 03:04:05").cast("timestamp")})
+    return rows.select("fingerprint", findings.payload().alias("plain"), findings.payload("incident").alias("incident"))

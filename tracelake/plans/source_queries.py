@@ -144,6 +144,20 @@ def read_installed_skills(spark, d):
     return stores.by_source(stores.installed_skills(spark, {"user": f.skill_files(spark, d)})).select("name", "description", "source", "version")
 
 
+LOGGED = """v_logged AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN ts WHEN 1 THEN ts END AS at_time, CASE WHEN event_id % 5 = 2 THEN date_trunc('day', ts) END AS at_day, 's' || (k % 7) AS skill, event_type AS event,
+  CASE WHEN k % 3 > 0 THEN 'clean' END AS outcome, CASE WHEN k % 2 = 0 THEN 'yes' END AS user_choice, CASE WHEN k % 4 = 0 THEN 'yes' ELSE 'no' END AS recommended FROM v_events WHERE event_id % 11 <> 10)"""
+
+
+@query("read_timeline", LOGGED, f"SELECT strftime(at_time, {STAMP}) AS ts, skill, event, outcome FROM v_logged WHERE at_time IS NOT NULL")
+def read_timeline(spark, d):
+    return jsonl.timeline(jsonl.read_lines(spark, f.logs(spark, d))).withColumn("ts", v.stamp("ts"))
+
+
+@query("read_question_log", LOGGED, f"SELECT strftime(coalesce(at_time, at_day), {STAMP}) AS ts, skill, 'q' || event_id AS question_id, user_choice, recommended FROM v_logged WHERE at_time IS NOT NULL OR at_day IS NOT NULL")
+def read_question_log(spark, d):
+    return jsonl.question_log(jsonl.read_lines(spark, f.logs(spark, d))).withColumn("ts", v.stamp("ts"))
+
+
 @query("provider_sessions", *ALL_SESSIONS, f"SELECT provider, {SESSION_COLUMNS} FROM v_every")
 def provider_sessions(spark, d):
     """All assistants in one listing; one whose store is missing is left out."""
