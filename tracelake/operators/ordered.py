@@ -152,20 +152,26 @@ def accept_after_quiet(hits: DataFrame, by: list[str], ts: str, ttl_seconds: int
 def exact_median(df: DataFrame, by: list[str], value: str, name: str, accuracy: int = 10_000) -> DataFrame:
     """Median of a column by keys without a buffer of all its values.
 
-    An approximate bracket of the middle comes first; only rows inside it are sorted, and
-    those below it are counted, so one key may hold all rows.  Null values do not count;
-    a key without values has a null.
+    Equal values are counted first.  An approximate bracket of the middle is asked for;
+    only the distinct values inside it are sorted, and those below it are counted, so one
+    key may hold all rows, and one value too.  Null values do not count; a key without
+    values has a null.
     """
     rows = df.select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], F.lit(0).alias("_one"), F.col(value).cast("double").alias("_v"))
     keys = [*[f"_k{i}" for i in range(len(by))], "_one"]
+    same = lambda other: functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{other}{k}")) for k in keys])
     slack = 2.0 / accuracy
     ends = F.percentile_approx("_v", [0.5 - slack, 0.5 + slack], accuracy)
     near = rows.groupBy(*keys).agg(ends[0].alias("_low"), ends[1].alias("_high"), F.count("_v").alias("_n"))
-    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"b{k}")) for k in keys])
-    placed = rows.join(near.withColumnsRenamed({k: f"b{k}" for k in keys}), same)
-    below = F.count_if(F.col("_v") < F.col("_low"))
-    inside = F.collect_list(F.when((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high")), F.col("_v")))
-    found = placed.groupBy(*keys).agg(F.max("_n").alias("_n"), below.alias("_below"), F.array_sort(inside).alias("_in"))
-    at = lambda rank: F.get("_in", (rank - F.col("_below")).cast("int"))
+    counted = rows.where("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    placed = counted.join(near.withColumnsRenamed({k: f"n{k}" for k in keys}), same("n"))
+    inside = F.when((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high")), F.struct("_v", "_c"))
+    found = placed.groupBy(*[F.col(k).alias(f"f{k}") for k in keys]).agg(
+        F.coalesce(F.sum(F.when(F.col("_v") < F.col("_low"), F.col("_c"))), F.lit(0)).alias("_below"), F.array_sort(F.collect_list(inside)).alias("_in"))
+
+    def at(rank: Column) -> Column:
+        step = lambda s, x: F.struct((s["seen"] + x["_c"]).alias("seen"), F.when(s["hit"].isNull() & (s["seen"] + x["_c"] > rank), x["_v"]).otherwise(s["hit"]).alias("hit"))
+        return F.aggregate("_in", F.struct(F.col("_below").alias("seen"), F.lit(None).cast("double").alias("hit")), step)["hit"]
+
     middle = (at(F.floor((F.col("_n") - 1) / 2)) + at(F.floor(F.col("_n") / 2))) / 2
-    return found.select(*[F.col(f"_k{i}").alias(b) for i, b in enumerate(by)], F.when(F.col("_n") > 0, middle).alias(name))
+    return near.join(found, same("f"), "left").select(*[F.col(f"_k{i}").alias(b) for i, b in enumerate(by)], middle.alias(name))
