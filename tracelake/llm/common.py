@@ -59,8 +59,8 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, name: str, df: DataFrame) -> DataFrame:
-        with small_batches(self.spark):
+    def keep(self, name: str, df: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
+        with small_batches(self.spark, batch_rows):
             df.write.mode("overwrite").parquet(self.path(name))
         return self.read(name, df.schema)
 
@@ -93,11 +93,11 @@ def clear_old(spark: SparkSession, hours: float) -> list[str]:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession):
-    """Arrow batches of BATCH_ROWS rows for the jobs begun inside; the session's own setting comes back."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Arrow batches of so many rows for the jobs begun inside; the session's own setting comes back."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
     try:
         yield
     finally:

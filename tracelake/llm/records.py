@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import textvec
+from tracelake.llm.common import small_batches
 from tracelake.llm.library_bpe import LibraryEncoder
 
 NULL_ID = -(1 << 63)
@@ -115,7 +116,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("id", F.substring("text", 1, PREFIX)).sortWithinPartitions("id", "text")
-    manifest = ordered.mapInArrow(written, "part int, path string, docs long, tokens long").collect()
+    with small_batches(docs.sparkSession):
+        manifest = ordered.mapInArrow(written, "part int, path string, docs long, tokens long").collect()
     return [r.asDict() for r in sorted(manifest, key=lambda r: r["part"])]
 
 

@@ -27,6 +27,8 @@ from tracelake.llm.common import Workspace, broadcast_if_small
 ARCHIVE_BYTES = 256 << 20
 BATCH_BYTES = 4 << 20
 READ_BYTES = 1 << 20
+#: Pages of an Arrow batch: a page may have megabytes, and a batch 2 GB at most.
+BATCH_ROWS = 32
 CRLF = "\r\n"
 MAIN, REQUEST, METADATA = "main", "request", "metadata"
 DATE = "2024-01-01T00:00:00Z"
@@ -145,7 +147,7 @@ def write(captured: DataFrame, workspace: Workspace) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [[]] * 4, kinds, strict=True)], names=["kind", "path", "records", "bytes"])
 
     rows = captured.select("page_id", "url", F.col("html").cast("binary").alias("html"), "refers_to", "record_id", "refers_to_record")
-    return workspace.keep("manifest", rows.mapInArrow(written, MANIFEST))
+    return workspace.keep("manifest", rows.mapInArrow(written, MANIFEST), BATCH_ROWS)
 
 
 def members(stream) -> Iterator[bytes]:
