@@ -105,7 +105,7 @@ def pinned(df: DataFrame, *columns: Column) -> DataFrame:
 def judged(rows: DataFrame, min_confidence: int = 7) -> DataFrame:
     """Rows of (category, confidence, raw) with value, final confidence and the rule that suppresses them, if any."""
     escaped = F.col("raw").startswith("\\")
-    found = rows.withColumn("value", F.when(escaped, F.substring("raw", 2, dims.LINE_LIMIT)).otherwise(F.col("raw"))).withColumn("escaped", escaped)
+    found = rows.withColumn("value", F.when(escaped, F.substring("raw", 2, 1 << 30)).otherwise(F.col("raw"))).withColumn("escaped", escaped)
     if min_confidence > 6:
         return found.withColumn("suppressed_by", suppressed_by(F.col("value"), F.col("escaped"))).drop("raw", "escaped")
     random = F.col("category") == "high_entropy"
