@@ -20,6 +20,11 @@ from tracelake.functions.storage import shared_folder
 DAY = 86400
 
 
+def bucket_width(by: list[str]) -> int:
+    """Seconds of a time bucket: a day of one key's history, a minute of everybody's, so that no task gets a day of all."""
+    return DAY if by else 60
+
+
 def seconds(ts: str) -> Column:
     """Epoch seconds with microseconds, as double."""
     return F.unix_micros(ts).cast("double") / 1e6
@@ -43,7 +48,7 @@ def carry_last(df: DataFrame, by: list[str], bucket: Column, order: list[str], v
     return local.join(per, match, "left").withColumn(name, F.coalesce("_inside", "_before")).drop("_bucket", "_value", "_inside", "_b", "_before", *keys)
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, payload: Column, name: str, forward: bool = False, bucket_seconds: int = DAY) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, payload: Column, name: str, forward: bool = False, bucket_seconds: int | None = None) -> DataFrame:
     """Left rows with the payload of the nearest right row at or before (``forward``: at or after) their time.
 
     Rows without a time on the left get null; ties on the right go to the greatest payload.
@@ -51,7 +56,7 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_
     sign = -1 if forward else 1
     a = left.select(*by, F.lit(1).alias("_side"), (sign * seconds(left_ts)).alias("_t"), F.struct(*[F.col(c) for c in left.columns]).alias("_row"), F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("_p"))
     b = right.where(F.col(right_ts).isNotNull()).select(*by, F.lit(0).alias("_side"), (sign * seconds(right_ts)).alias("_t"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), payload.alias("_p"))
-    both = carry_last(a.unionByName(b), by, F.floor(F.col("_t") / bucket_seconds), ["_t", "_side", "_p"], F.col("_p"), "_near")
+    both = carry_last(a.unionByName(b), by, F.floor(F.col("_t") / (bucket_seconds or bucket_width(by))), ["_t", "_side", "_p"], F.col("_p"), "_near")
     return both.where("_side = 1").select("_row.*", F.when(F.col("_t").isNotNull(), F.col("_near")).alias(name))
 
 
