@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,3 +29,18 @@ def mounted(uri: str) -> str:
     if "://" in uri and not uri.startswith("file://"):
         raise ValueError(f"{uri} is no folder that every machine has mounted")
     return uri.removeprefix("file://")
+
+
+#: Files of so many bytes a core are small enough to be dealt out.
+DEAL_BYTES = 32 << 20
+
+
+def dealt(table: DataFrame) -> DataFrame:
+    """Rows of a few small files, dealt over the cores, as a row group is one task's work; other tables as they are."""
+    spark = table.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, table.inputFiles()
+    if len(files) >= cores:
+        return table
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    size = sum(path(f).getFileSystem(conf).getFileStatus(path(f)).getLen() for f in files)
+    return table.repartition(cores) if size <= cores * DEAL_BYTES else table

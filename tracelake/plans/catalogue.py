@@ -206,7 +206,7 @@ def scan_audit(spark, d):
 @query("document_scan_audit", v.SEEDED_SQL.replace("FROM v_seeded, v_detectors", "FROM (SELECT CAST(doc_id AS VARCHAR) AS file, 0 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents), v_detectors"),
        "SELECT category, suppressed_by, count(*) AS hits FROM v_judged WHERE suppressed_by IS NOT NULL AND confidence >= 7 GROUP BY 1, 2")
 def document_scan_audit(spark, d):
-    return findings.audit(findings.lines_of(v.table(spark, d, "documents"), "doc_id", "text"), 7, whole=True)
+    return findings.audit(findings.lines_of(v.dealt(v.table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text"), 7, whole=True)
 
 
 @query("scan_prefilter", "v_lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)", f"SELECT count(*) AS lines, count(*) FILTER (WHERE {' OR '.join(f'contains(line, {a!r})' for a in dims.ANCHORS)}) AS anchored FROM v_lines")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.secrets import pinned
+from tracelake.functions.storage import dealt
 
 PROVIDERS = ("claude", "codex", "opencode", "cursor")
 SKILLS = {"purchase": ("ship", "completed"), "signup": ("office-hours", "started"), "view": ("plan-eng-review", "completed"), "click": ("review", "completed"), "error": ("qa", "failed")}
@@ -143,7 +144,7 @@ def seeded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = forms[-1]
     for i in reversed(range(len(forms) - 1)):
         line = F.when(n == i, forms[i]).otherwise(line)
-    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("f"), F.col("o_orderkey") % 7).alias("file"), F.col("o_orderkey").alias("line_no"))
+    rows = dealt(table(spark, sf_dir, "orders").select("o_orderkey")).select(F.concat(F.lit("f"), F.col("o_orderkey") % 7).alias("file"), F.col("o_orderkey").alias("line_no"))
     return pinned(rows.withColumn("o_orderkey", F.col("line_no")), line.alias("line")).drop("o_orderkey")
 
 
@@ -186,7 +187,7 @@ v_scan AS (
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
