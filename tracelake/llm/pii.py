@@ -43,6 +43,8 @@ ITERATIONS = 3
 MIN_SEEDS = 5
 SHRINK = 4.0
 TRUST = 0.6
+#: What a pattern and its scores take in a hash table, at most.
+PATTERN_BYTES = 512
 BLOCK = 64
 CHUNK = 4096
 
@@ -171,6 +173,7 @@ def generation(edges: DataFrame, workspace: Workspace, name: str) -> DataFrame:
         ).where(F.col("known") >= MIN_SEEDS).drop("known")
         if n == ITERATIONS - 1:
             break
+        patterns = broadcast_if_small(workspace.keep(f"{name}-patterns{n}", patterns), PATTERN_BYTES)
         free = edges.where(~known).join(patterns, "pattern")
         values = free.groupBy("value").agg(*[F.max(f"c{k}").alias(f"n{k}") for k in kinds])
         scored = workspace.keep(f"{name}-scores{n}", edges.join(values, "value", "left").select("pattern", "value", "kind", *[
@@ -188,7 +191,9 @@ def bootstrap(graph: DataFrame, workspace: Workspace) -> DataFrame:
     the next one, with the kind of the most trusted.  A pattern once trusted stays so.
     Patterns of under MIN_SEEDS values can never be trusted and are left out.
     """
+    graph = workspace.keep("graph", graph)
     enough = graph.groupBy("pattern").agg(F.count("*").alias("values")).where(F.col("values") >= MIN_SEEDS).select("pattern")
+    enough = broadcast_if_small(workspace.keep("enough", enough), PATTERN_BYTES)
     edges = workspace.keep("edges-0", graph.join(enough, "pattern", "left_semi").select("pattern", "value", F.col("seed").alias("kind")))
     trusted, n_trusted = None, 0
     for n in itertools.count(1):
@@ -200,7 +205,7 @@ def bootstrap(graph: DataFrame, workspace: Workspace) -> DataFrame:
         if n_trusted == before:
             return trusted
         best = F.max_by("pattern_kind", F.struct("trust", -F.col("pattern_kind")))
-        found = edges.where("kind is null").join(trusted, "pattern").groupBy("value").agg(best.alias("told"))
+        found = edges.where("kind is null").join(broadcast_if_small(trusted, PATTERN_BYTES), "pattern").groupBy("value").agg(best.alias("told"))
         edges = workspace.keep(f"edges-{n}", edges.join(found, "value", "left").select("pattern", "value", F.coalesce("kind", "told").alias("kind")))
 
 
@@ -220,7 +225,7 @@ def find(docs: DataFrame, workspace: Workspace, carry: tuple[str, ...] = ()) ->
     met = said.select("doc_id", "_key", "value", "seed", "start", "end", F.explode("patterns").alias("pattern"))
     trusted = bootstrap(met.select("pattern", "value", "seed").distinct(), workspace)
     best = F.coalesce("seed", F.max_by("pattern_kind", F.struct("trust", -F.col("pattern_kind")))).alias("kind")
-    spans = met.join(broadcast_if_small(trusted, 160), "pattern").groupBy("doc_id", "_key", "start", "end", "seed").agg(best)
+    spans = met.join(broadcast_if_small(trusted, PATTERN_BYTES), "pattern").groupBy("doc_id", "_key", "start", "end", "seed").agg(best)
     added = spans.groupBy(F.col("_key").alias("_akey"), F.col("doc_id").alias("_adoc")).agg(F.collect_list(F.struct("kind", "start", "end")).alias("_added"))
     base = F.concat(*[base_spans(text, k) for k in BASE_KINDS])
     rows = docs.select("doc_id", *[c for c in carry if c != "doc_id"], key.alias("_key"), base.alias("base"))
