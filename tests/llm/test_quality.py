@@ -87,7 +87,7 @@ def test_chance_equals_plain_scoring(labelled):
     weights = quality.fit(docs, labels)
     w, (bias, slope, offset) = weights[:-3].reshape(-1, quality.BUCKETS), weights[-3:]
     rows = {r["doc_id"]: r for r in quality.score(docs, weights).where("doc_id < 12").collect()}
-    for doc, text in [tuple(r) for r in docs.where("doc_id < 12").collect()] :
+    for doc, text in [tuple(r) for r in docs.where("doc_id < 12").collect()]:
         chunk = next(textvec.chunks(pa.array([text])))
         starts, ends = chunk.words()
         ids = [int(x) for x in chunk.span_hash(starts, ends, lower=False)]
