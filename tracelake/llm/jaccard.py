@@ -38,6 +38,8 @@ STAR_ROUNDS = 2
 PIVOTS = 4
 SALTS = 8
 PAIRS_PER_TASK = 4_000_000
+#: Pairs of an Arrow batch: each brings two whole sets.
+PAIR_BATCH = 32
 
 
 def ceil_div(a: int, b: int) -> int:
@@ -397,7 +399,7 @@ def classes(docs: DataFrame, workspace: Workspace, words: int = WORDS, percent:
         asked = workspace.keep(f"asked{n}", asked)
         texts = docs.join(broadcast_if_small(asked.select("first_id").distinct()), docs["doc_id"].eqNullSafe(F.col("first_id")), "left_semi")
         shingle_sets = workspace.keep(f"sets{n}", node_sets(texts, words, clashes).join(broadcast_if_small(asked), "node", "left_semi"))
-        links = workspace.keep(f"links{n}", linked(pairs, shingle_sets, percent))
+        links = workspace.keep(f"links{n}", linked(pairs, shingle_sets, percent), PAIR_BATCH)
         workspace.drop(f"sets{n}")
         if links.limit(1).count():
             tops = components(links, workspace, f"components{n}").select(F.col("member").alias("root"), F.col("root").alias("top"))

@@ -8,6 +8,8 @@ import numpy as np
 
 from tracelake.llm.bulk import BulkEncoder
 
+MAX_PIECES = 1 << 20
+
 
 class LibraryEncoder(BulkEncoder):
     def __init__(self, path: str):
@@ -21,7 +23,7 @@ class LibraryEncoder(BulkEncoder):
         a, feed, b, joined = found
         #: The id of a line feed, if it parts pieces: then many are asked for in one text.
         self.feed = feed[0] if len(feed) == 1 and joined == [*a, *feed, *b, *feed, *a] else None
-        super().__init__(self._ask, [t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
+        super().__init__(self._ask, [t.content for t in self.tokenizer.get_added_tokens_decoder().values()], MAX_PIECES)
 
     def _ask(self, texts: list[str]) -> list[array]:
         return [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
