@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import byte_bpe, decontaminate, jaccard, language, pii, quality, records, sharding, token_count, warc
+from tracelake.llm import byte_bpe, decontaminate, filter_audit, jaccard, language, pii, quality, records, sharding, token_count, warc
 from tracelake.llm.common import Workspace, table
 
 SHARDS = 40
@@ -73,6 +73,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark, "op13"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -84,6 +88,7 @@ QUERIES = {
     "op8_token_records": op8_token_records,
     "op9_sharding": op9_sharding,
     "op10_pii": op10_pii,
+    "op13_filter_audit": op13_filter_audit,
     "pages_language_id": pages_language_id,
 }
 SQL: dict[str, str] = {
@@ -106,4 +111,29 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
     CAST((CAST('0x' || substr(h, CAST(10 * (i // 8) + 1 AS INT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM firsts""",
+    "op13_filter_audit": r"""
+WITH texts_ AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+words_ AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first_id FROM texts_),
+failed_ AS (
+  SELECT doc_id, part, concat(CASE WHEN len(w) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END,
+    CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 'C' ELSE '' END,
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN doc_id > first_id THEN 'E' ELSE '' END) AS failed FROM words_),
+told_ AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+classes_ AS (
+  SELECT part, failed, count(*) AS n, coalesce(sum(good), 0) AS n_good, coalesce(sum(bad), 0) AS n_toxic FROM failed_ LEFT JOIN told_ ON failed_.doc_id = told_.doc_id GROUP BY part, failed),
+letters_ AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders_ AS (
+  SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order FROM letters_ a, letters_ b, letters_ c, letters_ d, letters_ e
+  WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+steps_ AS (SELECT filter_order, CAST(s AS INTEGER) AS step, substr(filter_order, s, 1) AS f, substr(filter_order, 1, s - 1) AS before_ FROM orders_, range(1, 6) r(s)),
+judged_ AS (
+  SELECT part, filter_order, step, f, n, n_good, n_toxic, failed = f AS alone, contains(failed, f) AS fails,
+    len(translate(failed, before_, '')) < len(failed) AS gone FROM classes_, steps_),
+counts_ AS (
+  SELECT part, filter_order, step, f, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails AND NOT gone THEN n_good ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT gone THEN n_toxic ELSE 0 END) AS toxic_lost
+  FROM judged_ GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM counts_""",
 }
