@@ -20,6 +20,7 @@ CONTRACT = {
     "op5_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], "op6_ngram_jaccard": ["doc_id", "n_shingles", "component_id"],
     "op7_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], "op8_token_records": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op9_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"], "op10_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+    "op12_license_scan": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
     "op13_filter_audit": ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"],
     "pages_language_id": ["page_id", "language", "kept"],
 }
