@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import byte_bpe, decontaminate, filter_audit, jaccard, language, licenses, pii, quality, records, sharding, token_count, warc
+from tracelake.llm import byte_bpe, decontaminate, filter_audit, jaccard, language, licenses, pii, quality, records, sharding, spelling, token_count, warc
 from tracelake.llm.common import Workspace, table
 
 SHARDS = 40
@@ -73,6 +73,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), Workspace(spark, "op11"))
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), Workspace(spark, "op12"))
 
@@ -92,6 +96,7 @@ QUERIES = {
     "op8_token_records": op8_token_records,
     "op9_sharding": op9_sharding,
     "op10_pii": op10_pii,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_license_scan": op12_license_scan,
     "op13_filter_audit": op13_filter_audit,
     "pages_language_id": pages_language_id,
