@@ -1,12 +1,13 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.functions import dims, money, secrets, text
+from tracelake.functions import automaton, dims, money, secrets, text
 
 SAMPLES = {
     "anthropic_key": "sk-ant-" + "a1B2" * 6, "openai_key": "sk-proj-" + "Zx9_" * 6, "github_pat": "ghp_" + "A1b2C3" * 6, "github_fine_grained_pat": "github_pat_" + "a1_B2" * 9,
@@ -27,8 +28,8 @@ def kept(spark, lines, least=7):
 
 def test_every_detector_sample_has_an_anchor_and_is_found(spark):
     assert {d.category for d in dims.DETECTORS} == set(SAMPLES)
-    rows = spark.createDataFrame(list(SAMPLES.items()), "category string, line string")
-    assert all(r["anchored"] for r in rows.select(secrets.has_anchor(F.col("line")).alias("anchored")).collect())
+    rows = spark.createDataFrame([*SAMPLES.items(), ("none", "plain\nwords"), ("null", None)], "category string, line string")
+    assert tuple(automaton.anchored(rows, "line").first()) == (len(SAMPLES) + 2, len(SAMPLES))
     for category, hits in zip(SAMPLES, kept(spark, [f"x {line} y" for line in SAMPLES.values()]), strict=True):
         assert category in {h[0] for h in hits}, category
     assert all(d.needle in (SAMPLES[d.category].lower() if d.pattern.startswith("(?i)") else SAMPLES[d.category]) for d in dims.DETECTORS)
@@ -62,6 +63,37 @@ def test_hits_equal_the_expressions(spark):
         assert [h[:2] for h in hits] == brute_hits(line), line
 
 
+def test_automaton_equals_the_expressions_on_random_lines(spark):
+    """Lines made of pieces of matches, as lines and as texts of many lines, against Python's expressions at every place."""
+    r = random.Random(4)
+    pieces = [*SAMPLES.values(), "sk-", "sk-ant-", "proj-", "@", "a@b.io", ".", "%", "\\", "é", "字", " ", " ", "bearer", "Bearer ", "BEARER  ", "eyJ", "AKIA", "A1" * 9, "x" * 45, "Qq9+/" * 50, "a.a" * 20, "xoxb-", "..", "_", "-", "noreply@x.test", ",", "\t"]
+    lines = ["".join(r.choice(pieces) for _ in range(r.randint(0, 14))) for _ in range(400)]
+
+    def brute(line, limit):
+        line, found = line[:limit], []
+        if any(a in line for a in dims.ANCHORS):
+            for d in dims.DETECTORS:
+                for m in re.finditer(d.pattern if d.group else rf"\\?(?:{d.pattern})", line):
+                    found.append((d.category, d.confidence, m[d.group], m.start(d.group) + m[d.group].startswith("\\")))
+        return found + [("high_entropy", 0, m[0], m.start() + m[0].startswith("\\")) for m in re.finditer(r"\\?[A-Za-z0-9+/=_\-]{40,200}", line)]
+
+    hit = lambda x: (x["category"], x["confidence"], x["raw"], x["start"])
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, line string").coalesce(1)
+    for limit in (None, 60):
+        found = automaton.raw_hits(rows, "line", ["i"], 4, limit=limit).collect()
+        assert Counter((x["i"], *hit(x)) for x in found) == Counter((i, *h) for i, line in enumerate(lines) for h in brute(line, limit))
+    texts = [(i, "\n".join(lines[i : i + 40])) for i in range(0, 400, 40)] + [(1, None), (2, ""), (3, "\n")]
+    found = automaton.raw_hits(spark.createDataFrame(texts, "i int, text string").coalesce(1), "text", ["i"], 4, split=True).collect()
+    assert Counter((x["i"] + x["line_no"], *hit(x)) for x in found) == Counter((i, *h) for i, line in enumerate(lines) for h in brute(line, None))
+    once = automaton.raw_hits(rows, "line", ["i"], 4, once=True).collect()
+    assert Counter((x["i"], x["category"], x["raw"]) for x in once) == Counter({(i, *h[:3:2]) for i, line in enumerate(lines) for h in brute(line, None)})
+
+
+def test_one_long_line_of_near_matches_takes_linear_time(spark):
+    line = "a.a" * 200_000 + "@" + "b@" * 200_000 + "\\sk-" * 100_000
+    assert automaton.raw_hits(spark.createDataFrame([(line,)], "line string"), "line", [], 7).count() == 0
+
+
 def test_contexts_stand_where_the_matches_do(spark):
     """Offsets and text around by Python's expressions."""
     lines = [*LINES, "é" * 300 + " a@b.io " + "x" * 250 + " xa@b.io a@b.io"]

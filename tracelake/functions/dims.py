@@ -49,6 +49,7 @@ class Detector:
     confidence: int
     needle: str  # a line without it (in lower case if the expression ignores case) has no match
     group: int = 0  # the group that holds the secret
+    before: str = ""  # characters that may stand before the needle in a match
 
 
 # Categories, expressions and confidences of the detectors, in order.
@@ -62,11 +63,12 @@ DETECTORS = (
     Detector("slack_token", r"xox[baprs]-[A-Za-z0-9-]{10,}", 9, "xox"),
     Detector("jwt", r"\beyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\b", 8, "eyJ"),
     Detector("bearer_token", r"(?i)bearer\s+([A-Za-z0-9_\-\.]{20,})", 7, "bearer", 1),
-    Detector("email", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", 7, "@"),
+    Detector("email", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", 7, "@", before="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"),
 )
 # Anchors, entropy rule, suppressed domains and names, line limit, recommendation words.
 ANCHORS = ("sk-", "@", "ghp_", "AKIA", "eyJ", "ghs_", "github_pat_", "xox", "Bearer ", "bearer ")
-ENTROPY = r"[A-Za-z0-9+/=_\-]{40,200}"
+ENTROPY_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
+ENTROPY_LENGTHS = (40, 200)
 ENTROPY_SKIP = r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
 ENTROPY_BANDS = ((5.5, 6), (5.0, 5), (4.5, 4))
 ENTROPY_MIN_UNIQUE = 23

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions import dims
+from tracelake.functions.automaton import raw_hits
 
 def redact(c: Column) -> Column:
     """Short values become dots; others keep up to four characters at each end."""
@@ -42,13 +42,6 @@ def unique_chars(c: Column) -> Column:
     return F.size(character_runs(c))
 
 
-def has_anchor(line: Column) -> Column:
-    found = F.lit(False)
-    for anchor in dims.ANCHORS:
-        found = found | line.contains(anchor)
-    return found
-
-
 def _reserved(value: Column, domain: Column) -> Column:
     found = domain.isin(*dims.RESERVED_DOMAINS)
     for suffix in (*[f".{d}" for d in dims.RESERVED_DOMAINS], *dims.RESERVED_SUFFIXES):
@@ -74,28 +67,6 @@ def suppressed_by(value: Column, escaped: Column) -> Column:
     return found
 
 
-def _matches(line: Column, d: dims.Detector) -> Column:
-    """Raw matches of a detector, with the backslash before them if there is one; not tried on lines without its needle."""
-    pattern = d.pattern if d.group else rf"\\?(?:{d.pattern})"
-    found = F.regexp_extract_all(line, F.lit(pattern), F.lit(d.group))
-    there = (F.lower(line) if d.pattern.startswith("(?i)") else line).contains(d.needle)
-    return F.when(there, F.transform(found, lambda m: F.struct(F.lit(d.category).alias("category"), F.lit(d.confidence).alias("confidence"), m.alias("raw"))))
-
-
-def raw_matches(line: Column, min_confidence: int = 7) -> Column:
-    """Array of (category, confidence, raw) of every match; detectors below the threshold are not in the plan.
-
-    Strings that may be of high entropy come with confidence 0: their band is for ``judged``.
-    """
-    none = F.array().cast("array<struct<category:string,confidence:int,raw:string>>")
-    vendor = [F.coalesce(_matches(line, d), none) for d in dims.DETECTORS if d.confidence >= min_confidence]
-    found = F.when(has_anchor(line), F.concat(*vendor)).otherwise(none) if vendor else none
-    if min_confidence > 6:
-        return found
-    random = F.regexp_extract_all(line, F.lit(rf"\\?{dims.ENTROPY}"), F.lit(0))
-    return F.concat(found, F.transform(random, lambda m: F.struct(F.lit("high_entropy").alias("category"), F.lit(0).alias("confidence"), m.alias("raw"))))
-
-
 def pinned(df: DataFrame, *columns: Column) -> DataFrame:
     """Adds columns that are worked out once per row: no filter or projection behind can be moved before them."""
     one = F.explode(F.array(F.struct(*columns))).alias("_pinned")
@@ -118,33 +89,17 @@ def judged(rows: DataFrame, min_confidence: int = 7) -> DataFrame:
     return found.withColumn("suppressed_by", suppressed_by(F.col("value"), F.col("escaped"))).drop("raw", "escaped", "runs", "bits")
 
 
-def hits(lines: DataFrame, min_confidence: int = 7, once: bool = False) -> DataFrame:
-    """A row (category, value, confidence, suppressed_by) beside the line's columns for each hit; ``once``: equal ones of a line count once."""
-    raw = raw_matches(F.col("line"), min_confidence)
-    each = lines.select("*", F.explode_outer(F.array_distinct(raw) if once else raw).alias("_hit")).where("_hit is not null")
-    return judged(each.select("*", "_hit.*").drop("_hit"), min_confidence)
+def hits(lines: DataFrame, min_confidence: int = 7, once: bool = False, text: str = "line", carry: list[str] | None = None, limit: int | None = None, split: bool = False) -> DataFrame:
+    """A row (category, value, confidence, start, suppressed_by) beside the columns ``carry`` (all) for each hit; see ``raw_hits``."""
+    return judged(raw_hits(lines, text, lines.columns if carry is None else carry, min_confidence, once, limit, split), min_confidence)
 
 
 def contexts(lines: DataFrame, min_confidence: int = 7, around: int = 200) -> DataFrame:
     """Unsuppressed vendor hits with the text around them: context_before, match_full, context_after, raw_line.
 
-    Offsets come of the gaps between matches, so of equal strings in a line each is met where it stands.
+    Of equal strings in a line each is met where it stands.
     """
-    parts = []
-    for d in dims.DETECTORS:
-        if d.confidence < min_confidence:
-            continue
-        pattern = d.pattern if d.group else rf"\\?(?:{d.pattern})"
-        gaps, whole, own = F.split("line", pattern, -1), F.regexp_extract_all("line", F.lit(pattern), F.lit(0)), F.regexp_extract_all("line", F.lit(pattern), F.lit(d.group))
-        trio = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("g"), whole.alias("w"), own.alias("o"))
-        step = lambda done, x: F.struct(
-            (done["at"] + F.length(x["g"]) + F.length(x["w"])).alias("at"),
-            F.concat(done["out"], F.array(F.struct((done["at"] + F.length(x["g"]) + F.length(x["w"]) - F.length(x["o"])).alias("start"), x["o"].alias("raw")))).alias("out"))
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,raw:string>>").alias("out"))
-        found = F.when(has_anchor(F.col("line")), F.aggregate(trio, begin, step)["out"])
-        parts.append(lines.select("*", F.lit(d.category).alias("category"), F.lit(d.confidence).alias("confidence"), F.explode_outer(found).alias("_hit")).where("_hit is not null").select("*", "_hit.*").drop("_hit"))
-    every = functools.reduce(DataFrame.unionByName, parts)
-    rows = judged(every.withColumn("start", F.col("start") + F.when(F.col("raw").startswith("\\"), 1).otherwise(0)), max(min_confidence, 7)).where("suppressed_by is null")
+    rows = hits(lines, max(min_confidence, 7)).where("suppressed_by is null")
     low = F.greatest(F.col("start") - around, F.lit(0))
     return rows.select(
         "*", F.substring("line", low + 1, F.col("start") - low).alias("context_before"), F.col("value").alias("match_full"),

@@ -17,21 +17,9 @@ def clip(lines: DataFrame, limit: int | None = dims.LINE_LIMIT) -> DataFrame:
     return secrets.pinned(lines, *cut).withColumn("line", F.col("_cut")).drop("_cut")
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_confidence: int = 7) -> DataFrame:
-    """(file, line_no, line) of documents; over confidence 6 those without an anchor are not even split."""
-    rows = docs.where(secrets.has_anchor(F.col(text_col))) if min_confidence > 6 else docs
-    return rows.select(F.col(id_col).cast("string").alias("file"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-
-
 def scan(lines: DataFrame, min_confidence: int = 7, limit: int | None = dims.LINE_LIMIT) -> DataFrame:
-    """One row per unsuppressed hit of (file, line_no, line); raw values never leave this projection.
-
-    With a threshold over 6 only lines with a vendor anchor reach the expressions.
-    """
-    rows = clip(lines.select("file", "line_no", "line"), limit).drop("line_truncated")
-    if min_confidence > 6:
-        rows = rows.where(secrets.has_anchor(F.col("line")))
-    found = secrets.hits(rows, min_confidence, once=True).where("suppressed_by is null")
+    """One row per unsuppressed hit of (file, line_no, line); raw values never leave this projection."""
+    found = secrets.hits(lines, min_confidence, once=True, carry=["file", "line_no"], limit=limit).where("suppressed_by is null")
     snippet = secrets.redact(F.col("value"))
     return found.select(
         "file", "line_no", "category", snippet.alias("snippet_redacted"), "confidence", F.length("value").alias("full_length"),
@@ -44,12 +32,10 @@ def scan_contexts(lines: DataFrame, min_confidence: int = 7, limit: int | None =
     return secrets.contexts(clip(lines, limit), min_confidence, around)
 
 
-def audit(lines: DataFrame, min_confidence: int = 7, whole: bool = False) -> DataFrame:
-    """Suppressed hits by category and rule; ``whole`` lines are not cut at the limit of transcripts."""
-    rows = clip(lines.select("line"), None if whole else dims.LINE_LIMIT).select("line")
-    if min_confidence > 6:
-        rows = rows.where(secrets.has_anchor(F.col("line")))
-    return secrets.hits(rows, min_confidence).where("suppressed_by is not null").groupBy("category", "suppressed_by").agg(F.count("*").alias("hits"))
+def audit(rows: DataFrame, min_confidence: int = 7, text: str = "line", limit: int | None = dims.LINE_LIMIT, split: bool = False) -> DataFrame:
+    """Suppressed hits by category and rule, of lines or of whole texts that are ``split`` into lines."""
+    found = secrets.hits(rows, min_confidence, text=text, carry=[], limit=limit, split=split).where("suppressed_by is not null")
+    return found.groupBy("category", "suppressed_by").agg(F.count("*").alias("hits"))
 
 
 def by_danger(rows: DataFrame, *ties: str) -> DataFrame:

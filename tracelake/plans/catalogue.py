@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.functions import dims, secrets, text
+from tracelake.functions import automaton, dims, secrets, text
 from tracelake.operators import behaviour, findings, graph, history, ordered
 from tracelake.operators import usage as u
 from tracelake.plans import views as v
@@ -206,12 +206,12 @@ def scan_audit(spark, d):
 @query("document_scan_audit", v.SEEDED_SQL.replace("FROM v_seeded, v_detectors", "FROM (SELECT CAST(doc_id AS VARCHAR) AS file, 0 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents), v_detectors"),
        "SELECT category, suppressed_by, count(*) AS hits FROM v_judged WHERE suppressed_by IS NOT NULL AND confidence >= 7 GROUP BY 1, 2")
 def document_scan_audit(spark, d):
-    return findings.audit(findings.lines_of(v.dealt(v.table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text"), 7, whole=True)
+    return findings.audit(v.dealt(v.table(spark, d, "documents").select("text")), 7, "text", limit=None, split=True)
 
 
 @query("scan_prefilter", "v_lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)", f"SELECT count(*) AS lines, count(*) FILTER (WHERE {' OR '.join(f'contains(line, {a!r})' for a in dims.ANCHORS)}) AS anchored FROM v_lines")
 def scan_prefilter(spark, d):
-    return v.document_lines(spark, d).agg(F.count("*").alias("lines"), F.count_if(secrets.has_anchor(F.col("line"))).alias("anchored"))
+    return automaton.anchored(v.dealt(v.table(spark, d, "documents").select("text")), "text")
 
 
 @query("redact", "SELECT c_custkey, CASE WHEN length(c_name) <= 8 THEN repeat('…', length(c_name)) ELSE left(c_name, least(4, length(c_name) // 4)) || '…REDACTED…' || right(c_name, least(4, length(c_name) // 4)) END AS redacted, left(sha1('name:' || c_name), 16) AS fingerprint FROM customer")

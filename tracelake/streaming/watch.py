@@ -28,8 +28,7 @@ def follow(spark: SparkSession, path: str) -> DataFrame:
 
 def detect(lines: DataFrame, now=None) -> DataFrame:
     """Hits of (file, byte_offset, line) rows; works on streams and tables alike."""
-    rows = lines.where(secrets.has_anchor(F.col("line")))
-    hit = secrets.hits(rows.select("file", "byte_offset", "line"), once=True).where("suppressed_by is null")
+    hit = secrets.hits(lines, once=True, carry=["file", "byte_offset"]).where("suppressed_by is null")
     snippet = secrets.redact(F.col("value"))
     return hit.select("category", secrets.fingerprint(F.col("category"), snippet).alias("fingerprint"), snippet.alias("snippet_redacted"), "file", "byte_offset", (F.current_timestamp() if now is None else now).alias("seen_at"))
 
