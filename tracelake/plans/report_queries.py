@@ -73,7 +73,7 @@ def scan_category_order(spark, d):
     return spark.createDataFrame(places, "category string, hits long, place long")
 
 
-@query("scan_contexts", v.SEEDED_SQL, "SELECT file, line_no, category, value AS match_full, substr(line, greatest(at - 200, 1), least(at - 1, 200)) AS context_before, substr(line, at + length(value), 200) AS context_after FROM (SELECT *, unnest(list_filter(range(1, length(line) + 1), lambda i: substr(line, CAST(i AS INT), length(value)) = value)) AS at FROM v_scan JOIN v_seeded USING (file, line_no) WHERE confidence >= 7)")
+@query("scan_contexts", v.SEEDED_SQL, "SELECT file, line_no, category, value AS match_full, substr(line, greatest(place - 200, 1), least(place - 1, 200)) AS context_before, substr(line, place + length(value), 200) AS context_after FROM (SELECT *, unnest(list_filter(range(1, length(line) + 1), lambda i: substr(line, CAST(i AS INT), length(value)) = value)) AS place FROM v_scan JOIN v_seeded USING (file, line_no) WHERE confidence >= 7)")
 def scan_contexts(spark, d):
     """Matches with the text around them, each where it stands."""
     return findings.scan_contexts(v.seeded_lines(spark, d), 7).select("file", "line_no", "category", "match_full", "context_before", "context_after")
