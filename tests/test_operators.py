@@ -3,6 +3,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 
 from tracelake.operators import behaviour, findings, graph, history, ordered, usage
@@ -26,10 +27,13 @@ def history_rows(spark):
     )
 
 
-def test_as_of_equals_a_scan(history_rows):
+@pytest.mark.parametrize("size", [7, 1_000_000])
+def test_as_of_equals_a_scan(history_rows, monkeypatch, size):
+    """As one window, and cut into pieces of a few rows."""
+    monkeypatch.setattr(ordered, "ROWS_PER_PIECE", size)
     events, e, sessions, s = history_rows
     for forward in (False, True):
-        near = ordered.as_of(events, sessions, ["user_id"], "ts", "started_at", F.struct("started_at", "session_id"), "hit", forward=forward, bucket_seconds=3600 * 50)
+        near = ordered.as_of(events, sessions, ["user_id"], "ts", "started_at", F.struct("started_at", "session_id"), "hit", forward=forward)
         rows = near.collect()
         assert len(rows) == len(e)
         for r in rows:
@@ -38,7 +42,9 @@ def test_as_of_equals_a_scan(history_rows):
             assert (r["hit"] and (r["hit"]["started_at"], r["hit"]["session_id"])) == want
 
 
-def test_measures_equal_loops(history_rows):
+@pytest.mark.parametrize("size", [40, 1_000_000])
+def test_measures_equal_loops(history_rows, monkeypatch, size):
+    monkeypatch.setattr(ordered, "ROWS_PER_PIECE", size)
     events, e, sessions, s = history_rows
     ships = [(x[0], x[1]) for x in e if x[2] == "ship" and x[3] == "completed"]
     plans = [x[1] for x in e if x[2] == "plan-eng-review" and x[3] == "completed"]
@@ -72,9 +78,17 @@ def test_quiet_time_is_from_the_last_accepted(spark):
     assert [(r["ts"] - T0).total_seconds() / 60 for r in kept] == [0, 7, 12.5, 30]
 
 
-@pytest.mark.parametrize("size", [50, 1_000_000])
-def test_quiet_time_of_dense_keys_collects_no_island(spark, monkeypatch, size):
-    monkeypatch.setattr(ordered, "TIMES_PER_BUCKET", size)
+def accepted(times, ttl):
+    found = []
+    for t in sorted(times):
+        if not found or t - found[-1] > ttl:
+            found.append(t)
+    return found
+
+
+@pytest.mark.parametrize("size,ttl", [(50, 300), (1_000_000, 300), (30, 86_400), (50, 20)])
+def test_quiet_time_of_dense_keys_collects_no_island(spark, monkeypatch, size, ttl):
+    monkeypatch.setattr(ordered, "ROWS_PER_PIECE", size)
     def refuse(*_):
         raise AssertionError("a key in one array")
 
@@ -82,29 +96,65 @@ def test_quiet_time_of_dense_keys_collects_no_island(spark, monkeypatch, size):
     monkeypatch.setattr(F, "collect_list", refuse)
     r = random.Random(8)
     rows = [(k, T0 + dt.timedelta(seconds=r.randint(0, n * 60))) for k, n in (("a", 3000), ("b", 40), (None, 500)) for _ in range(1500)]
-    want = set()
-    for key in ("a", "b", None):
-        last = None
-        for t in sorted(t for k, t in rows if k == key):
-            if last is None or (t - last).total_seconds() > 300:
-                want.add((key, last := t))
-    found = [tuple(x) for x in ordered.accept_after_quiet(spark.createDataFrame([*rows, ("c", None)], "key string, ts timestamp"), ["key"], "ts", 300).collect()]
+    want = {(key, t) for key in ("a", "b", None) for t in accepted((t for k, t in rows if k == key), dt.timedelta(seconds=ttl))}
+    found = [tuple(x) for x in ordered.accept_after_quiet(spark.createDataFrame([*rows, ("c", None)], "key string, ts timestamp"), ["key"], "ts", ttl).collect()]
     assert len(found) == len(want) and set(found) == want
 
 
-def test_quiet_time_of_a_million_hits_without_a_gap(spark, monkeypatch):
-    monkeypatch.setattr(ordered, "TIMES_PER_BUCKET", 100_000)
-    rows = spark.range(1_000_000).select(F.lit("k").alias("key"), F.timestamp_micros(F.col("id") * 700_000 + 1).alias("ts"))
-    found = ordered.accept_after_quiet(rows, ["key"], "ts", 300).select(F.unix_micros("ts")).collect()
-    assert sorted(r[0] for r in found) == [i * 700_000 + 1 for i in range(0, 1_000_000, 429)]  # 429 * 0.7 s is the first gap over 300 s
-
-
-def test_exact_median(spark):
+@pytest.mark.parametrize("ttl", [300, 7 * 86_400])
+def test_no_task_gets_a_dense_key(spark, monkeypatch, ttl):
+    """400,000 hits of one key, and a burst of as many: pieces stay near their size for a short and a long time to live."""
+    monkeypatch.setattr(ordered, "ROWS_PER_PIECE", 20_000)
+    sizes = spark.sparkContext.accumulator(0)
+    largest = spark.sparkContext.accumulator(0, Largest())
+
+    def measured(f):
+        def run(table, *rest):
+            sizes.add(1)
+            largest.add(len(table))
+            return f(table, *rest)
+        return run
+
+    monkeypatch.setattr(ordered, "_lasts", measured(ordered._lasts))
+    monkeypatch.setattr(ordered, "_accepted", measured(ordered._accepted))
+    # a hit each 10 seconds, and then one each microsecond
+    micros = F.when(F.col("id") < 400_000, F.col("id") * 10_000_000).otherwise(4_000_000_000_000 + F.col("id"))
+    rows = spark.range(800_000).select(F.lit("k").alias("key"), F.timestamp_micros(micros).alias("ts"))
+    found = sorted(r[0] for r in ordered.accept_after_quiet(rows, ["key"], "ts", ttl).select(F.unix_micros("ts")).collect())
+    assert found == accepted([i * 10_000_000 if i < 400_000 else 4_000_000_000_000 + i for i in range(800_000)], ttl * 1_000_000)
+    assert sizes.value > 40 and largest.value <= 2 * 20_000
+
+
+class Largest(AccumulatorParam):
+    def zero(self, value):
+        return 0
+
+    def addInPlace(self, a, b):
+        return max(a, b)
+
+
+def test_a_burst_is_cut_into_pieces(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_PIECE", 5_000)
+    rows = spark.range(100_000).select(F.lit(1).alias("k"), (F.col("id") % 7).alias("t"), "id", F.when(F.col("id") % 1000 == 0, F.col("id")).alias("v"))
+    pieces = [r["count"] for r in ordered.in_pieces(rows, 100_000, "k", "t", "id").groupBy("_piece").count().collect()]
+    assert sum(pieces) == 100_000 and max(pieces) <= 10_000
+    found = {r["id"]: r["p"] for r in ordered.carry_last(rows, [], ["t", "id"], F.col("v"), "p").collect()}
+    last = None
+    for t, i in sorted((i % 7, i) for i in range(100_000)):
+        assert found[i] == last
+        last = i if i % 1000 == 0 else last
+
+
+@pytest.mark.parametrize("listed,parts", [(10_000, 64), (20, 4)])
+def test_exact_median(spark, monkeypatch, listed, parts):
+    """Also where brackets must be narrowed again and again."""
+    monkeypatch.setattr(ordered, "LISTED_VALUES", listed)
+    monkeypatch.setattr(ordered, "PARTS", parts)
     r = random.Random(5)
     rows = [(k, v) for k in ("a", "b", None) for v in [r.choice([r.gauss(0, 1), 3.0, None]) for _ in range(r.choice([1, 2, 501, 1000]))]] + [("none", None), ("two", 1.0), ("two", 2.0)]
     df = spark.createDataFrame(rows, "k string, v double")
     for by in (["k"], []):
-        for accuracy in (10_000, 50):
+        for accuracy in (10_000, 50, 5):
             found = {x[0] if by else 0: x["m"] for x in ordered.exact_median(df, by, "v", "m", accuracy).collect()}
             for k in {x[0] if by else 0 for x in rows}:
                 own = [v for x, v in rows if v is not None and (not by or x == k)]

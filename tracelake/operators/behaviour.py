@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import basename, hour_bucket
-from tracelake.operators.ordered import as_of, bucket_width, carry_last, exact_median, seconds
+from tracelake.operators.ordered import as_of, carry_last, exact_median, seconds
 
 VIBE, LATE_HOUR, DAY = 5, 22, 86400.0
 
@@ -83,7 +83,7 @@ def wins(events: DataFrame, k: int = 3) -> DataFrame:
 def ship_cadence(events: DataFrame, by: list[str]) -> DataFrame:
     """Median days between ships; null under two ships."""
     ships = _ships(events).select(*by, "ts")
-    gaps = carry_last(ships, by, F.floor(seconds("ts") / bucket_width(by)), ["ts"], F.col("ts"), "before").withColumn("gap", (F.unix_micros("ts") - F.unix_micros("before")).cast("double") / (DAY * 1e6))
+    gaps = carry_last(ships, by, ["ts"], F.col("ts"), "before").withColumn("gap", (F.unix_micros("ts") - F.unix_micros("before")).cast("double") / (DAY * 1e6))
     return exact_median(gaps, by, "gap", "median_days")
 
 

@@ -51,10 +51,10 @@ def fold(log: DataFrame) -> DataFrame:
     Kinds: obs, ack, mute, resolve.  An observation whose predecessor is a resolve opens
     the finding anew and counts from one.  The last decision since the last (re)opening
     is the status.  Decisions on unknown fingerprints do nothing.  ``seq`` is unique
-    within a fingerprint; all steps are partial aggregates or bucketed windows.
+    within a fingerprint; all steps are partial aggregates, or windows over pieces of bounded length.
     """
     key = ["fingerprint"]
-    rows = carry_last(log, key, F.floor(F.col("seq") / 100_000), ["seq"], F.col("kind"), "before")
+    rows = carry_last(log, key, ["seq"], F.col("kind"), "before")
     obs = F.col("kind") == "obs"
     opened = rows.groupBy("fingerprint").agg(
         F.coalesce(F.max(F.when(obs & (F.col("before") == "resolve"), F.col("seq"))), F.min(F.when(obs, F.col("seq")))).alias("opened"),
