@@ -38,6 +38,8 @@ LETTER[[*range(65, 91), *range(97, 123), 0xC3]] = True
 SYMBOL = np.zeros(256, np.int64)
 SYMBOL[[*range(97, 123), *range(0xC0, 0x100)]] = np.arange(1, 91)
 SYMBOLS = 91
+#: A gram at a place is one number: its code, and so much more for each place.
+PLACE = SYMBOLS**Q
 
 
 def runs(chunk: textvec.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +136,11 @@ def gram_counts(words: DataFrame) -> np.ndarray:
 
 
 def listed(words: DataFrame, frequency: np.ndarray) -> DataFrame:
-    """(key, word, n, entry): lists that a word is an entry of, and lists of the next length that it asks."""
+    """(key, size, word, n, entry): lists of words of a size that a word is an entry of, and lists of the next size that it asks.
+
+    Two words of sizes a <= b share b - 1 grams, so all but q (a < b) or q + 1 of the
+    first of a word's grams in one order can be left out of its lists.
+    """
     shared = words.sparkSession.sparkContext.broadcast(frequency)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,15 +152,19 @@ def listed(words: DataFrame, frequency: np.ndarray) -> DataFrame:
                 word, place, code = positional(own)
                 order = np.lexsort((place, code, frequency[code], word))
                 length = np.fromiter(map(len, own), np.int64, len(own))
-                first = np.cumsum(length + Q - 1) - (length + Q - 1)
-                rare = order[np.arange(len(word)) - first[word] <= Q]  # the first Q + 1 of each word
-                w, p, g = word[rare], place[rare], code[rare]
-                keys = [textvec.mix((textvec.mix((g * (1 << 32) + at).astype(np.uint64)) + n.astype(np.uint64))).view(np.int64) for at, n in ((p, length[w]), (p, length[w] + 1), (p + 1, length[w] + 1))]
-                of = pa.array(np.concatenate([w, w, w]))
-                entry = np.repeat([True, False, False], len(w))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column(0).take(of), part.column(1).take(of), pa.array(entry)], names=["key", "word", "n", "entry"])
+                rank = np.arange(len(word)) - (np.cumsum(length + Q - 1) - (length + Q - 1))[word]
+                entry, asks = order[rank <= Q], order[rank < Q]
+                w = np.concatenate([word[entry], word[asks], word[asks]])
+                p = np.concatenate([place[entry], place[asks], place[asks] + 1])
+                size = length[w] + (np.arange(len(w)) >= len(entry))
+                keys = textvec.mix((np.concatenate([code[entry], code[asks], code[asks]]) + p * PLACE).astype(np.uint64) + textvec.mix(size.astype(np.uint64)))
+                of = pa.array(w)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.view(np.int64)), pa.array(size.astype(np.int32)), part.column(0).take(of), part.column(1).take(of), pa.array(np.arange(len(w)) < len(entry))],
+                    names=["key", "size", "word", "n", "entry"],
+                )
 
-    return words.select("word", "n").mapInArrow(made, "key long, word string, n long, entry boolean")
+    return words.select("word", "n").mapInArrow(made, "key long, size int, word string, n long, entry boolean")
 
 
 def merged(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
@@ -192,81 +202,70 @@ def one_edit(a: bytes, b: bytes) -> bool:
 
 
 class Index:
-    """Inverted index of positional q-grams over some words."""
+    """Inverted index of positional q-grams over words of one size."""
 
     def __init__(self):
         self.words: list[tuple[bytes, int]] = []
-        self.postings: dict[tuple[int, int], list[int]] = {}
+        self.postings: dict[int, list[int]] = {}
 
     def add(self, word: bytes, n: int, grams: list[int]) -> None:
-        for place, gram in enumerate(grams):
-            self.postings.setdefault((gram, place), []).append(len(self.words))
+        at, postings = len(self.words), self.postings
+        for g in grams:
+            if (here := postings.get(g)) is None:
+                postings[g] = [at]
+            else:
+                here.append(at)
         self.words.append((word, n))
 
-    def near(self, word: bytes, grams: list[int]) -> Iterator[tuple[bytes, int]]:
-        """Indexed words one edit from a word: those as long that follow it in order, and those one longer."""
-        shared = [x for place, gram in enumerate(grams) for at in (place, place + 1) if (x := self.postings.get((gram, at)))]
-        length = len(word)
-        for i, common in merged(shared, length - 1):
-            other, n = self.words[i]
-            longer = len(other) - length
-            if common >= len(other) - 1 and (longer == 1 or (longer == 0 and word < other)) and one_edit(word, other):
-                yield other, n
+    def near(self, word: bytes, grams: list[int], same: bool) -> Iterator[tuple[bytes, int]]:
+        """Indexed words one edit from a word of their size (``same``), or from one that is shorter by one."""
+        get, least = self.postings.get, len(word) - same
+        places = grams if same else [at for g in grams for at in (g, g + PLACE)]
+        shared = [x for g in places if (x := get(g))]
+        if len(shared) >= least:
+            for i, _ in merged(shared, least):
+                if one_edit(word, self.words[i][0]):
+                    yield self.words[i]
 
 
 def near_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, na, nb) of words one edit apart in rows (key, piece, word, n, entry), by lists sorted with entries first."""
+    """(a, b, na, nb), the shorter or lesser word first, of words one edit apart in rows (key, size, piece, word, n, entry), by lists sorted with entries first."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        list_of, index, waiting = None, Index(), []
-        out: list[tuple] = []
-
-        def ask(word: bytes, n: int, grams: list[int]) -> None:
-            out.extend((word.decode("latin-1"), other.decode("latin-1"), n, m) for other, m in index.near(word, grams))
-
-        def told() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["a", "b", "na", "nb"])
-
+        list_of, index = None, Index()
         for batch in batches:
             for low in range(0, batch.num_rows, WORD_ROWS):
-                part = batch.slice(low, WORD_ROWS)
-                words = latin(part.column(2))
-                word, _, code = positional(words)
-                grams = np.split(code, np.flatnonzero(np.diff(word)) + 1)
-                keys, pieces, ns, entries = (part.column(i).to_pylist() for i in (0, 1, 3, 4))
-                for key, piece, w, n, entry, g in zip(keys, pieces, words, ns, entries, grams, strict=True):
-                    if list_of != (key, piece):
-                        for x in waiting:
-                            ask(*x)
-                        list_of, index, waiting = (key, piece), Index(), []
-                    g = g.tolist()
+                part, out = batch.slice(low, WORD_ROWS), []
+                words = latin(part.column(3))
+                word, place, code = positional(words)
+                grams, edges = (code + place * PLACE).tolist(), [0, *np.cumsum(np.bincount(word, minlength=len(words))).tolist()]
+                lists = zip(*(part.column(i).to_pylist() for i in range(3)), strict=True)
+                for own, w, n, entry, begin, end in zip(lists, words, part.column(4).to_pylist(), part.column(5).to_pylist(), edges, edges[1:], strict=False):
+                    if list_of != own:
+                        list_of, index = own, Index()
+                    g, same = grams[begin:end], len(w) == own[1]
+                    for other, m in index.near(w, g, same):
+                        if not same or w < other:
+                            out.append((w, other, n, m))
+                        elif entry:  # an entry asks those before it, once; others of its size ask the entries of other pieces, and so do these
+                            out.append((other, w, m, n))
                     if entry:
                         index.add(w, n, g)
-                        waiting.append((w, n, g))  # entries ask once all are there
-                    else:
-                        for x in waiting:
-                            ask(*x)
-                        waiting = []
-                        ask(w, n, g)
                 if out:
-                    yield told()
-        for x in waiting:
-            ask(*x)
-        yield told()
+                    a, b, na, nb = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([*[pa.array([x.decode("latin-1") for x in c], pa.string()) for c in (a, b)], *[pa.array(c, pa.int64()) for c in (na, nb)]], names=["a", "b", "na", "nb"])
 
-    placed = rows.repartition("key", "piece").sortWithinPartitions("key", "piece", F.desc("entry"))
-    return placed.select("key", "piece", "word", "n", "entry").mapInArrow(found, "a string, b string, na long, nb long")
+    placed = rows.repartition("key", "size", "piece").sortWithinPartitions("key", "size", "piece", F.desc("entry"))
+    return placed.select("key", "size", "piece", "word", "n", "entry").mapInArrow(found, "a string, b string, na long, nb long")
 
 
 def dealt(lists: DataFrame, workspace: Workspace) -> DataFrame:
     """Rows of lists that can hold a pair; a long list in pieces, each with some of its entries and asked by all its words."""
     lists = workspace.keep("lists", lists)
     characters = F.sum(F.when(F.col("entry"), F.length("word")).otherwise(0))
-    sizes = lists.groupBy("key").agg(F.count("*").alias("rows"), characters.alias("characters")).where("rows > 1 and characters > 0")
-    sizes = workspace.keep("sizes", sizes.select("key", F.ceil(F.col("characters") / LIST_CHARACTERS).cast("int").alias("pieces")))
-    rows = lists.join(broadcast_if_small(sizes), "key").select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    sizes = lists.groupBy("key", "size").agg(F.count("*").alias("rows"), characters.alias("characters")).where("rows > 1 and characters > 0")
+    sizes = workspace.keep("sizes", sizes.select("key", "size", F.ceil(F.col("characters") / LIST_CHARACTERS).cast("int").alias("pieces")))
+    rows = lists.join(broadcast_if_small(sizes), ["key", "size"]).select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
     return rows.withColumn("entry", F.col("entry") & (F.pmod(F.xxhash64("word"), F.col("pieces")) == F.col("piece")))
 
 
