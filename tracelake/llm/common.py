@@ -44,6 +44,20 @@ def broadcast_if_small(staged: DataFrame, row_bytes: int | None = None) -> DataF
     return F.broadcast(staged) if staged.count() * width <= BROADCAST_BYTES else staged
 
 
+def plain_reads(spark: SparkSession) -> None:
+    """Read Parquet without vectored reads, unless the session says how.
+
+    A vectored read takes whole column chunks into buffers outside the heap that the JVM
+    keeps by thread; chunks of texts are long.  Results are read lazily, so it holds for
+    the session.
+    """
+    if spark.conf.get(VECTORED, None) is None:
+        spark.conf.set(VECTORED, "false")
+
+
+VECTORED = "parquet.hadoop.vectored.io.enabled"
+
+
 class Workspace:
     """Tables written to the shared folder, to cut lineage and to survive lost executors.
 
@@ -54,6 +68,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        plain_reads(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
