@@ -1,11 +1,14 @@
 import datetime as dt
 import json
+import random
 import sqlite3
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from tracelake.operators import report
+from tracelake.sinks.tables import LastStates
 from tracelake.sources import jsonl, sqlite, stores
 from tracelake.streaming import watch
 
@@ -130,7 +133,7 @@ def test_tail_detect_and_restart(spark, tmp_path):
     f.write_text(f"k {secret(1)}\npartial {secret(2)}")
 
     def drain():
-        rows = watch.detect(watch.follow(spark, str(src)))
+        rows = watch.detect(watch.follow(spark, str(src), f"{tmp_path}/plans"))
         q = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(processingTime="0 seconds").start()
         try:
             deadline = time.time() + 40
@@ -149,58 +152,121 @@ def test_tail_detect_and_restart(spark, tmp_path):
     assert drain() == [0, first, first + len(f"partial {secret(2)} end\n")]  # after a restart, only what is new
 
 
-def memory_stream(spark, tmp_path, schema, batches, build):
+def memory_stream(spark, tmp_path, schema, batches, build, pause=0.0):
     """Run a streaming build over one file per batch, restarted for each; all rows it gives."""
     src, rows = tmp_path / "in", []
     src.mkdir()
     for i, batch in enumerate(batches):
-        (src / f"{i}.json").write_text("".join(json.dumps(r) + "\n" for r in batch))
-        built = build(spark.readStream.schema(schema).json(str(src)))
-        q = built.writeStream.foreachBatch(lambda df, n: rows.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        if i:
+            time.sleep(pause)
+        if batch is not None:
+            (src / f"{i}.json").write_text("".join(json.dumps(r) + "\n" for r in batch))
+        with watch.stateful(spark):
+            built = build(spark.readStream.schema(schema).json(str(src)))
+            q = built.writeStream.foreachBatch(lambda df, n: rows.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
         assert q.awaitTermination(60)
     return rows
 
 
+def hit(m):
+    return {"category": "c", "fingerprint": "f", "snippet_redacted": "s", "file": "x", "byte_offset": int(m * 60), "seen_at": f"2026-06-01T10:{int(m):02d}:{int(m * 60) % 60:02d}Z"}
+
+
 def test_repeats_are_dropped_for_five_minutes_from_the_first(spark, tmp_path):
-    hit = lambda m: {"category": "c", "fingerprint": "f", "snippet_redacted": "s", "file": "x", "byte_offset": int(m * 60), "seen_at": f"2026-06-01T10:{int(m):02d}:{int(m * 60) % 60:02d}Z"}
     rows = memory_stream(spark, tmp_path, watch.HIT, [[hit(0), hit(2)], [hit(5), hit(7)], [hit(9), hit(12.5)]], watch.drop_repeats)
     assert [r["byte_offset"] / 60 for r in rows] == [0, 7, 12.5]
+    assert rows[1]["seen_at"].minute == 7 and rows[1]["category"] == "c"
+
+
+def test_the_state_of_repeats_is_gone_after_the_time_to_live(spark, tmp_path):
+    """Hits of one moment: the second is let through only because nothing is known of the first any more."""
+    ttl = lambda rows: watch.drop_repeats(rows, dt.timedelta(seconds=2))
+    began = time.time()
+    rows = memory_stream(spark, tmp_path, watch.HIT, [[hit(1)], [hit(1)]], ttl, pause=2.5)
+    assert len(rows) == 2 and time.time() - began < 60
+
+
+LOG = "fingerprint string, category string, snippet_redacted string, kind string, order_at long, muted_until long, note string, file string, byte_offset long"
+
+
+def said(n, kind, **more):
+    return {"fingerprint": "f", "category": "c", "snippet_redacted": "s", "kind": kind, "order_at": n, "byte_offset": n, **more}
 
 
 def test_findings_reopen(spark, tmp_path):
-    row = lambda n, kind: {"fingerprint": "f", "category": "c", "snippet_redacted": "s", "kind": kind, "seen_at": f"2026-06-01T10:00:{n:02d}Z", "order_at": n}
-    schema = "fingerprint string, category string, snippet_redacted string, kind string, seen_at timestamp, muted_until timestamp, order_at long"
-    rows = memory_stream(spark, tmp_path, schema, [[row(0, "ack"), row(1, "obs"), row(2, "obs")], [row(3, "resolve")], [row(4, "obs"), row(5, "mute"), row(6, "obs")]], watch.keep_findings)
-    assert [(r["kind"], r["status"], r["count"]) for r in rows] == [("new_finding", "new", 1), ("updated", "new", 2), ("updated", "resolved", 2), ("reopened", "new", 1), ("updated", "muted", 1), ("updated", "muted", 2)]
+    batches = [[said(0, "ack"), said(1, "obs"), said(2, "obs")], [said(3, "resolve"), said(3, "odd")], [said(4, "obs"), said(5, "mute"), said(6, "obs"), said(7, "note", note="n")]]
+    rows = memory_stream(spark, tmp_path, LOG, batches, watch.keep_findings)
+    assert [(r["kind"], r["status"], r["count"], r["note"]) for r in rows] == [
+        ("new_finding", "new", 1, None), ("updated", "new", 2, None), ("updated", "resolved", 2, None), ("reopened", "new", 1, None), ("updated", "muted", 1, None), ("updated", "muted", 2, None), ("updated", "muted", 2, "n")]
+
+
+def test_a_mute_ends_without_new_input(spark, tmp_path):
+    """The timer of a mute makes the finding new again in a batch that only the clock gives; a mute taken back has none."""
+    now = int(time.time() * 1e6)
+    mute = said(2, "mute", muted_until=now + 1_500_000)
+    other = lambda r: {**r, "fingerprint": "g"}
+    batches = [[said(1, "obs"), mute, other(said(1, "obs")), other(mute), other(said(3, "ack"))], None, None]
+    with_clock = lambda rows: watch.keep_findings(rows.unionByName(watch.ticks(spark).selectExpr("'' AS fingerprint", "'tick' AS kind", "micros AS order_at"), allowMissingColumns=True))
+    rows = memory_stream(spark, tmp_path, LOG, batches, with_clock, pause=2.5)
+    mine = [(r["event"], r["status"], r["muted_until"] is None) for r in rows if r["fingerprint"] == "f"]
+    assert mine == [("obs", "new", True), ("mute", "muted", False), ("expire", "new", True)]
+    assert [r["event"] for r in rows if r["fingerprint"] == "g"] == ["obs", "mute", "ack"]
+
+
+def test_drops_are_counted(spark, tmp_path):
+    rows = memory_stream(spark, tmp_path, LOG, [[said(i, "obs") for i in range(5)], [said(5, "obs")]], lambda rows: watch.keep_findings(rows, dt.timedelta(seconds=60)))
+    assert [(r["kind"], r["count"]) for r in rows] == [("new_finding", 1), ("dropped", 4), ("dropped", 1)]
 
 
-def test_delivery_retries_and_dead_letters():
+def delivery_frame(*hooks):
     import pandas as pd
 
-    calls = []
+    return pd.DataFrame([(f"{h}-{i}", h, "f", "b", tries, None, None, "open", None) for i, (h, tries) in enumerate(hooks)], columns=[c.split()[0] for c in watch.DELIVERY.split(", ")])
 
-    def send(hook, body):
+
+def test_deliveries_are_tried_once_and_due_again():
+    import pandas as pd
+
+    calls, at = [], dt.datetime(2026, 6, 1)
+
+    def send(hook, body, key):
         calls.append(hook)
         if hook == "down":
             raise OSError("no route")
-        return {"ok": 200, "bad": 404, "flaky": 200 if calls.count("flaky") > 1 else 503}[hook]
+        return {"ok": 200, "bad": 404, "flaky": 503}[hook]
+
+    part = delivery_frame(("down", 0), ("ok", 0), ("bad", 0), ("flaky", 2), ("down", 0), ("down", 0), ("down", 1), ("flaky", 3), ("ok", 1))
+    out = pd.concat(watch.attempt(send, now=lambda: at)(iter([part])))
+    seen = [(r.hook_id, r.attempts, r.status, None if pd.isna(r.due_at) else (r.due_at - at).total_seconds()) for r in out.itertuples()]
+    assert seen == [
+        ("down", 1, "open", 10), ("ok", 1, "done", None), ("bad", 1, "dead", None), ("flaky", 3, "open", 600), ("down", 1, "open", 10), ("down", 1, "open", 10),
+        ("down", 1, "open", 60), ("flaky", 4, "dead", None), ("ok", 2, "done", None)]
+    assert calls.count("down") == watch.TIRED  # a dead hook is left alone for the rest of the task
+
 
-    part = pd.DataFrame([("ok", "f", "b"), ("bad", "f", "b"), ("flaky", "f", "b"), ("down", "f", "b")], columns=["hook_id", "fingerprint", "body"])
-    slept = []
-    dead = pd.concat(watch.deliver(send, sleep=slept.append)(iter([part])))
-    assert slept == [10, 60, 600]
-    assert dead[["hook_id", "attempts"]].to_dict("records") == [{"hook_id": "bad", "attempts": 1}, {"hook_id": "down", "attempts": 4}]
+def counted_send(folder, status):
+    """A ``send`` that notes its calls in a folder, as it runs in workers."""
+    def send(hook, body, key):
+        (folder / f"{hook}-{key}-{time.time_ns()}").write_text(body)
+        return status[hook]
+    return send
 
 
 def test_whole_watch_job(spark, tmp_path):
-    (tmp_path / "src").mkdir()
+    for name in ("src", "calls"):
+        (tmp_path / name).mkdir()
     (tmp_path / "src/a.jsonl").write_text(f"x {secret(5)}\n")
-    hooks = spark.createDataFrame([("h", True, ["new_finding"], ["anthropic_key"])], "hook_id string, enabled boolean, kinds array<string>, categories array<string>")
-    q = watch.watch(spark, f"{tmp_path}/src", f"{tmp_path}/t", f"{tmp_path}/c", hooks, lambda hook, body: 500, waits=(0, 0, 0, 0))
-    q.awaitTermination(60)
-    q.stop()
+    hooks = spark.createDataFrame([("h", True, ["new_finding"], ["anthropic_key"]), ("ok", True, ["new_finding"], ["anthropic_key"])], "hook_id string, enabled boolean, kinds array<string>, categories array<string>")
+    send = counted_send(tmp_path / "calls", {"h": 500, "ok": 200})
+    for _ in range(4):
+        q = watch.watch(spark, f"{tmp_path}/src", f"{tmp_path}/t", f"{tmp_path}/c", hooks, send, waits=(0, 0.5, 0.5), compact_every=2)
+        assert q.awaitTermination(60)
+        time.sleep(1.1)
     assert {r["category"] for r in spark.read.parquet(f"{tmp_path}/t/hits").collect()} == {"anthropic_key", "openai_key"}
-    assert [(r["hook_id"], r["attempts"]) for r in spark.read.parquet(f"{tmp_path}/t/dead_letter").collect()] == [("h", 4)]
+    queue = watch.queue_of(spark, f"{tmp_path}/t")
+    assert [(r["hook_id"], r["attempts"], r["last_error"]) for r in watch.dead_letter(queue).collect()] == [("h", 3, "status 500")]
+    names = sorted(p.name.rsplit("-", 1)[0] for p in (tmp_path / "calls").iterdir())
+    assert len(names) == 4 and len(set(names)) == 2  # three tries of one delivery under one key, and one of the other hook
 
 
 def test_watch_keeps_findings(spark, tmp_path):
@@ -208,7 +274,7 @@ def test_watch_keeps_findings(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "said").mkdir()
     hooks = spark.createDataFrame([("n", True, ["new_finding"], ["anthropic_key"]), ("r", True, ["reopened"], ["anthropic_key"])], "hook_id string, enabled boolean, kinds array<string>, categories array<string>")
-    said = spark.readStream.schema(watch.DECISION).json(f"{tmp_path}/said")
+    decisions = spark.readStream.schema(watch.DECISION).json(f"{tmp_path}/said")
 
     def turn(n, decision=None):
         if decision is None:
@@ -217,27 +283,61 @@ def test_watch_keeps_findings(spark, tmp_path):
         else:
             fingerprint = spark.read.parquet(f"{tmp_path}/t/hits").where("category = 'anthropic_key'").first()["fingerprint"]
             (tmp_path / f"said/{n}.json").write_text(json.dumps({"fingerprint": fingerprint, "kind": decision, "seen_at": "2026-06-01T10:00:00Z"}) + "\n")
-        q = watch.watch(spark, f"{tmp_path}/src", f"{tmp_path}/t", f"{tmp_path}/c", hooks, lambda hook, body: 404, said, dt.timedelta(0), (0,))
+        q = watch.watch(spark, f"{tmp_path}/src", f"{tmp_path}/t", f"{tmp_path}/c", hooks, lambda hook, body, key: 404, decisions, dt.timedelta(0), (0,))
         assert q.awaitTermination(60)
 
     for n, decision in enumerate([None, None, "mute", None, "resolve", None]):
         turn(n, decision)
-    rows = spark.read.parquet(f"{tmp_path}/t/findings").where("category = 'anthropic_key'").orderBy("batch").collect()
+    findings = watch.findings_of(spark, f"{tmp_path}/t")
+    rows = findings.log().where("category = 'anthropic_key'").orderBy("batch").collect()
     assert [(r["kind"], r["status"], r["count"]) for r in rows] == [("new_finding", "new", 1), ("updated", "new", 2), ("updated", "muted", 2), ("updated", "muted", 3), ("updated", "resolved", 3), ("reopened", "new", 1)]
-    assert [r["hook_id"] for r in spark.read.parquet(f"{tmp_path}/t/dead_letter").orderBy("hook_id").collect()] == ["n", "r"]
-    states = spark.read.parquet(f"{tmp_path}/t/findings")
-    assert [(r["status"], r["count"]) for r in watch.latest(states).where("category = 'anthropic_key'").collect()] == [("new", 1)]
+    assert [r["hook_id"] for r in watch.dead_letter(watch.queue_of(spark, f"{tmp_path}/t")).orderBy("hook_id").collect()] == ["n", "r"]
+    assert [(r["status"], r["count"]) for r in findings.read().where("category = 'anthropic_key'").collect()] == [("new", 1)]
+    total = report.watch_totals(spark.read.parquet(f"{tmp_path}/t/counters"), "2026-06-01").first()
+    assert (total["total_catches"], total["dropped"], total["reopened"]) == (8, 0, 1)
     lines = spark.createDataFrame([("f", 0, f"x {secret(5)}"), ("f", 9, f"y {secret(6)}")], "file string, byte_offset long, line string")
-    missed = watch.sweep(lines, watch.latest(states)).collect()
+    missed = watch.sweep(lines, findings.read()).collect()
     assert {r["byte_offset"] for r in missed} == {9}
 
 
+def test_last_states(spark, tmp_path):
+    """Snapshots and deltas give the last row of each key; a batch that runs again changes nothing, and only touched buckets are rewritten."""
+    r, want = random.Random(3), {}
+    table = LastStates(spark, f"{tmp_path}/t", "k string, v long, order_at long", "k", ["order_at"], buckets=8, over="v < 0")
+
+    def put(n):
+        rows = [(f"k{r.randint(0, 30)}", r.randint(0, 99), i) for i in range(r.randint(0, 6))]
+        table.put(n, spark.createDataFrame(rows, "k string, v long, order_at long"))
+        want.update({k: v for k, v, _ in rows})
+        return rows
+
+    now = lambda: {x["k"]: x["v"] for x in table.read().collect()}
+    assert now() == {} and not table.has(0)
+    for n in range(7):
+        rows = put(n)
+        table.put(n, spark.createDataFrame(rows, "k string, v long, order_at long"))  # again, as after a failure
+        assert table.has(n) and now() == want
+        if n in (2, 5):
+            table.compact()
+            table.put(n, spark.createDataFrame([("k0", -5, 9)], "k string, v long, order_at long"))  # too late: it is in the snapshot
+            assert table.upto() == n and now() == want
+    table.compact()
+    table.vacuum()
+    assert now() == want and table.log().count() == 0
+    old = dict(table._versions())
+    table.put(7, spark.createDataFrame([("k1", -1, 0), ("k2", 5, 0)], "k string, v long, order_at long"))
+    table.compact()
+    want.pop("k1", None)
+    assert now() == want | {"k2": 5}  # what is over has left
+    assert sum(v == 7 for v in table._versions().values()) <= 2 and {b for b, v in old.items() if table._versions().get(b) == v}
+
+
 def test_requeue_of_dead_letters(spark):
     rows = spark.createDataFrame([("ok", "f", "{}", 4, "x", None), ("bad", "f", "{}", 1, "x", None), ("ok", "g", "no json", 1, "x", None), ("other", "h", "{}", 2, "x", None)], watch.DEAD_LETTER)
-    send = lambda hook, body: 404 if hook == "bad" else 200
-    left = {(r["hook_id"], r["fingerprint"], r["attempts"]) for r in watch.requeue(rows, send, waits=(0,)).collect()}
+    send = lambda hook, body, key: 404 if hook == "bad" else 200
+    left = {(r["hook_id"], r["fingerprint"], r["attempts"]) for r in watch.requeue(rows, send).collect()}
     assert left == {("bad", "f", 2), ("ok", "g", 1)}
-    one = {(r["hook_id"], r["fingerprint"], r["attempts"]) for r in watch.requeue(rows, send, "other", (0,)).collect()}
+    one = {(r["hook_id"], r["fingerprint"], r["attempts"]) for r in watch.requeue(rows, send, "other").collect()}
     assert one == {("ok", "f", 4), ("bad", "f", 1), ("ok", "g", 1)}
     assert watch.dead_letters(rows, 2).count() == 2
 
@@ -251,9 +351,12 @@ def test_tail_spans_and_long_lines(tmp_path):
     f.write_bytes(b"".join(x + b"\n" for x in lines) + b"partial")
     for span in (1, 7, 64, 10_000):
         for limit in (1, 20, 10_000):
-            reader = TailReader({"path": str(tmp_path), "spanBytes": str(span), "maxBytesPerBatch": str(limit)})
+            options = {"path": str(tmp_path), "spanBytes": str(span), "maxBytesPerBatch": str(limit), "plans": f"{tmp_path}/plans-{span}-{limit}"}
+            reader = TailReader(options)
             start, found = reader.initialOffset(), []
-            for _ in range(20):
+            for turn in range(20):
+                if turn % 3 == 2:
+                    reader = TailReader(options)  # a restart goes on from the log of plans
                 end = reader.latestOffset()
                 found += [r for p in reader.partitions(start, end) for r in reader.read(p)]
                 start = end
@@ -264,6 +367,35 @@ def test_tail_spans_and_long_lines(tmp_path):
     assert [r[2] for p in reader.partitions(start, end) for r in reader.read(p)] == ["new"]
 
 
+def test_tail_of_many_files_has_small_offsets_and_starves_none(tmp_path):
+    """100,000 files: offsets stay a number, a quick early file does not keep the others waiting, and old plans are forgotten."""
+    from tracelake.sources import tail
+
+    src = tmp_path / "src"
+    for i in range(100):
+        (src / f"{i:02d}").mkdir(parents=True)
+        for j in range(1000):
+            (src / f"{i:02d}/{j:03d}.jsonl").write_text(f"line {i} {j}\n")
+    reader = tail.TailReader({"path": str(src), "plans": f"{tmp_path}/plans", "maxBytesPerBatch": "400000"})
+    first, seen, start = src / "00/000.jsonl", set(), reader.initialOffset()
+    for _ in range(8):
+        with first.open("a") as f:
+            f.write("again and again\n" * 100_000)  # over the limit of a batch by itself
+        end = reader.latestOffset()
+        assert len(json.dumps(end)) < 100
+        taken = [p.value for p in reader.partitions(start, end)]
+        seen |= {v[0] for v in taken}
+        assert sum(v[2] - v[1] for v in taken) <= 2 * 400_000
+        reader.commit(end)
+        start = end
+    assert len(seen) == 100_000
+    log = tail.PlanLog(f"{tmp_path}/plans")
+    for n in range(start["plan"] + 1, start["plan"] + 2 * tail.PLANS_PER_LIST + 1):
+        log.add(n, [(str(first), n, n + 1)], {str(first): n + 1})
+    log.forget(n)
+    assert len(log.numbers()) < tail.PLANS_PER_LIST and log.state() == (n, {str(first): n + 1})
+
+
 def test_providers_as_one_listing(spark, claude, tmp_path, recwarn):
     from tracelake.sources import providers
 

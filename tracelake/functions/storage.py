@@ -44,3 +44,19 @@ def dealt(table: DataFrame) -> DataFrame:
     conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
     size = sum(path(f).getFileSystem(conf).getFileStatus(path(f)).getLen() for f in files)
     return table.repartition(cores) if size <= cores * DEAL_BYTES else table
+
+
+def _at(spark: SparkSession, uri: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, uri: str) -> list[str]:
+    """Names in a folder; none where it is missing."""
+    path, fs = _at(spark, uri)
+    return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def delete(spark: SparkSession, uri: str) -> None:
+    path, fs = _at(spark, uri)
+    fs.delete(path, True)

@@ -108,3 +108,12 @@ def watch_status(hits: DataFrame, day: str, zone: str = "UTC") -> DataFrame:
     """One row over accepted hits: total_catches, catches_today (a local day), tracked_files."""
     own = F.to_date(F.convert_timezone(None, F.lit(zone), F.col("seen_at").cast("timestamp_ntz"))) == F.lit(day).cast("date")
     return hits.agg(F.count("*").alias("total_catches"), F.count_if(own).alias("catches_today"), F.count_distinct("file").alias("tracked_files"))
+
+
+def watch_totals(counters: DataFrame, day: str, zone: str = "UTC") -> DataFrame:
+    """One row over the counters of all batches: total_catches, catches_today (a local day), dropped, new_findings, reopened, expired."""
+    own = F.to_date(F.convert_timezone(None, F.lit(zone), F.col("seen_at").cast("timestamp_ntz"))) == F.lit(day).cast("date")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return counters.agg(
+        total("catches").alias("total_catches"), total(F.when(own, F.col("catches"))).alias("catches_today"),
+        *[total(c).alias(c) for c in ("dropped", "new_findings", "reopened", "expired")])

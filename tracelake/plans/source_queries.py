@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.storage import mounted, new_folder
+from tracelake.operators import report
 from tracelake.operators import usage as u
 from tracelake.plans import fixtures as f
 from tracelake.plans import views as v
@@ -187,7 +190,7 @@ def _transcripts(spark, d) -> str:
 def watch_tail(spark, d):
     """A stream that follows files, with detection, drained into a table."""
     out = new_folder(spark, "tailed")
-    rows = watch.detect(watch.follow(spark, _transcripts(spark, d)))
+    rows = watch.detect(watch.follow(spark, _transcripts(spark, d), f"{mounted(out)}/plans"))
     rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
     name = F.regexp_extract("file", r"([^/]+)\.jsonl$", 1)
     return spark.read.schema(watch.HIT).parquet(f"{out}/rows").groupBy(name.alias("file"), "category").agg(F.count("*").alias("hits"))
@@ -198,5 +201,50 @@ def watch_findings(spark, d):
     """The whole watch job over one batch: repeats within the time to live count once."""
     hooks = spark.createDataFrame([("h", True, ["new_finding"], ["jwt"])], "hook_id string, enabled boolean, kinds array<string>, categories array<string>")
     out = new_folder(spark, "watch")
-    watch.watch(spark, _transcripts(spark, d), f"{out}/tables", f"{out}/log", hooks, lambda hook, body: 200, waits=(0,)).awaitTermination()
-    return watch.latest(spark.read.parquet(f"{out}/tables/findings")).select("fingerprint", "category", "snippet_redacted", "status", "count")
+    watch.watch(spark, _transcripts(spark, d), f"{out}/tables", f"{out}/log", hooks, lambda hook, body, key: 200, waits=(0,)).awaitTermination()
+    return watch.findings_of(spark, f"{out}/tables").read().select("fingerprint", "category", "snippet_redacted", "status", "count")
+
+
+SCANNED = "v_found AS (SELECT left(sha1(category || ':' || snippet_redacted), 16) AS fingerprint, category, count(*) AS n FROM v_scan WHERE confidence >= 7 GROUP BY 1, 2)"
+
+
+def _watched_twice(spark, d) -> str:
+    """Tables of a watch over three runs: lines, then decisions by the fingerprint's first digit, then the same lines in new files."""
+    out = new_folder(spark, "watched_twice")
+    root, hooks = mounted(f"{out}/lines"), spark.createDataFrame([("h", True, ["reopened"], [])], "hook_id string, enabled boolean, kinds array<string>, categories array<string>")
+    lines = v.seeded_lines(spark, d)
+    spark.createDataFrame([], watch.DECISION).write.parquet(f"{out}/said")
+    said = spark.readStream.schema(watch.DECISION).parquet(f"{out}/said")
+
+    def run(n: int) -> None:
+        f.write_files(lines.select(F.concat(F.lit(f"{n}/"), "file", F.lit(".jsonl")).alias("path"), F.col("line_no").alias("n"), "line"), f"{out}/lines")
+
+    def drain() -> None:
+        watch.watch(spark, root, f"{out}/tables", f"{out}/log", hooks, lambda hook, body, key: 404, said, ttl=dt.timedelta(0)).awaitTermination()
+
+    run(1)
+    drain()
+    digit = F.left("fingerprint", F.lit(1))
+    kind = F.when(digit < "4", "resolve").when(digit < "8", "mute").when(digit < "c", "ack").otherwise("note")
+    found = watch.findings_of(spark, f"{out}/tables").read()
+    found.select("fingerprint", kind.alias("kind"), F.current_timestamp().alias("seen_at"), F.lit(None).cast("timestamp").alias("muted_until"), F.lit("looked at").alias("note")).write.mode("append").parquet(f"{out}/said")
+    drain()
+    run(2)
+    drain()
+    return f"{out}/tables"
+
+
+@query("watch_transitions", v.SEEDED_SQL, SCANNED, """SELECT fingerprint, category, CASE WHEN left(fingerprint, 1) < '4' THEN 'new' WHEN left(fingerprint, 1) < '8' THEN 'muted' WHEN left(fingerprint, 1) < 'c' THEN 'ack' ELSE 'new' END AS status,
+  CAST(CASE WHEN left(fingerprint, 1) < '4' THEN 1 ELSE 2 END AS BIGINT) AS count, CASE WHEN left(fingerprint, 1) >= 'c' THEN 'looked at' END AS note, CASE WHEN left(fingerprint, 1) < '4' THEN 'dead' END AS delivery FROM v_found""")
+def watch_transitions(spark, d):
+    """Resolved findings open anew and are told to a hook that refuses; muted and acknowledged ones count on; a note stays."""
+    tables = _watched_twice(spark, d)
+    told = watch.queue_of(spark, tables).read().select("fingerprint", F.col("status").alias("delivery"))
+    return watch.findings_of(spark, tables).read().join(told, "fingerprint", "left").select("fingerprint", "category", "status", "count", "note", "delivery")
+
+
+@query("watch_totals", v.SEEDED_SQL, SCANNED, "SELECT CAST(2 * count(*) AS BIGINT) AS total_catches, CAST(2 * sum(n - 1) AS BIGINT) AS dropped, count(*) AS new_findings, count(*) FILTER (WHERE left(fingerprint, 1) < '4') AS reopened, CAST(0 AS BIGINT) AS expired FROM v_found")
+def watch_totals(spark, d):
+    """Counters that the stream has kept over its batches, drops included."""
+    rows = spark.read.schema(watch.COUNTER).parquet(f"{_watched_twice(spark, d)}/counters/batch=*")
+    return report.watch_totals(rows, "2024-01-01").drop("catches_today")
