@@ -6,7 +6,11 @@ matrix are Spark jobs.  Every 32-word window of every document, 16 words apart,
 compared with the passages' latent vectors; pairs of enough cosine are checked by the
 longest common subsequence of the passage and the text around the window, word by word,
 for the whole item and for its answer.  The basis holds few directions and a window few
-words, so pairs that share enough rare words are checked whatever their cosine.
+words, so pairs that share enough rare words are checked for a copy whatever their cosine.
+
+Paraphrases that move words about, or replace half of them, are no subsequence.  What the
+latent search finds may therefore lack more words, and counts as well if the rarer half of
+the passage's words is there clause by clause, in whatever order the clauses stand.
 """
 
 from __future__ import annotations
@@ -29,9 +33,11 @@ TERMS = 1 << 17
 BLOCK_WORDS = 16
 PASSAGE_WORDS = 64
 RANK, OVERSAMPLE, POWERS = 96, 8, 2
-MIN_COSINE = 0.4
+MIN_COSINE = 0.3
 MIN_COMMON = 0.6
 MIN_ANSWER = 0.5
+#: Paraphrases: words in any order for a check at all, of the rarer half of the words, of the item, and words of a clause.
+MIN_KEPT, MIN_RARE, MIN_LOOSE, CLAUSE = 0.4, 0.4, 0.45, 6
 QUERY_BLOCK = 20_000
 #: Items with fewer words must be there word for word, and with fewer than LEAST_WORDS as a whole document.
 SHORT_WORDS, LEAST_WORDS = 8, 3
@@ -41,7 +47,7 @@ ANSWER_MARK = rb"(?i)\b(?:answer|a)\s*:"
 #: Bounds of what a task holds of one text: cosines in bytes, blocks' vectors, pairs, postings met, and blocks of a run of postings.
 COSINE_BYTES, BLOCKS_AT_ONCE, PAIRS_AT_ONCE, SHARED_AT_ONCE, RUN_BLOCKS = 16 << 20, 1 << 12, 1 << 12, 1 << 22, 64
 GROUP = 4
-FOUND = ["doc_id", "row", "item_id", "passage", "n", "n_item", "common", "answer", "n_answer", "cosine", "word_at"]
+FOUND = ["doc_id", "row", "item_id", "passage", "n", "n_item", "common", "answer", "loose", "loose_answer", "n_answer", "cosine", "word_at"]
 
 #: Letters, digits and non-ASCII bytes make words here; punctuation parts them.
 INSIDE = np.zeros(256, bool)
@@ -244,6 +250,11 @@ class Query:
         n = len(self.words)
         return n if self.n_item < SHORT_WORDS else math.ceil(MIN_COMMON * n - 1e-9)
 
+    @property
+    def least_kept(self) -> int:
+        """Words that a paraphrase has in any order."""
+        return self.least if self.n_item < SHORT_WORDS else math.ceil(MIN_KEPT * len(self.words) - 1e-9)
+
 
 def rare_terms(queries: list[Query], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Postings of the rarest words of each passage, and how many of them a copy holds at least.
@@ -364,11 +375,11 @@ def enough_words(b: np.ndarray, q: np.ndarray, term: np.ndarray, block: np.ndarr
     return found
 
 
-def near(vector: np.ndarray, length: np.ndarray, latent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window, passage) of cosine MIN_COSINE or more, in blocks of COSINE_BYTES."""
+def near(vector: np.ndarray, length: np.ndarray, latent: np.ndarray, cosine: float = MIN_COSINE) -> tuple[np.ndarray, np.ndarray]:
+    """(window, passage) of that cosine or more, in blocks of COSINE_BYTES."""
     step, b, q = max(1, COSINE_BYTES // (4 * max(len(latent), 1))), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for low in range(0, len(vector), step):
-        x, y = np.nonzero(vector[low : low + step] @ latent.T >= MIN_COSINE * length[low : low + step, None])
+        x, y = np.nonzero(vector[low : low + step] @ latent.T >= cosine * length[low : low + step, None])
         b.append(x + low)
         q.append(y)
     return np.concatenate(b), np.concatenate(q)
@@ -379,31 +390,61 @@ def _word_for_word(words: list[bytes], text: list[bytes]) -> bool:
     return any(text[i : i + n] == words for i in range(len(text) - n + 1))
 
 
+def clauses(words: list[bytes]) -> list[tuple[dict, int]]:
+    """Runs of CLAUSE words (the last one shorter) as bit masks and lengths."""
+    runs = [words[i : i + CLAUSE] for i in range(0, len(words), CLAUSE)]
+    return [(masks(run), len(run)) for run in runs]
+
+
+def loose_length(parts: list[tuple[dict, int]], text: list) -> int:
+    """Words of clauses that a text has in order inside each clause, whatever the clauses' order."""
+    return sum(common_length(bits, n, text) for bits, n in parts)
+
+
 class Judge:
     """Checks pairs of a passage and the text around a window."""
 
-    def __init__(self, queries: list[Query]):
+    def __init__(self, queries: list[Query], idf: np.ndarray):
         self.queries = queries
         self.parts = [(masks(q.words), len(q.words), masks(q.words[-q.answer :]) if q.answer else {}) for q in queries]
+        self.idf, self.loose = idf, {}
+
+    def _clauses(self, i: int) -> tuple[list, int, list, list]:
+        """Clauses of the rarer half of a passage's words and their number, those of all words, and those of its answer part."""
+        if i not in self.loose:
+            words, n = self.queries[i].words, len(self.queries[i].words)
+            weight = self.idf[terms_of(words)]
+            half = np.sort(np.argsort(-weight, kind="stable")[: -(-n // 2)]).tolist()
+            self.loose[i] = clauses([words[j] for j in half]), len(half), clauses(words), clauses(words[n - self.queries[i].answer :])
+        return self.loose[i]
 
-    def __call__(self, i: int, text: list[bytes], whole: bool) -> tuple[int, int] | None:
-        """Words of passage i that the text has in order, and those of its answer part; None if it is no copy.
+    def __call__(self, i: int, text: list[bytes], whole: bool, latent: bool) -> tuple[int, int, int, int] | None:
+        """Words of passage i that the text has in order and those of its answer part, and both clause by clause; None if it is neither copy nor paraphrase.
 
         ``whole`` says whether the text is its document.  An item of under LEAST_WORDS
         words counts only as a whole document, one of under SHORT_WORDS word for word.
+        Only a ``latent`` neighbour can be a paraphrase; one that is no copy has no words
+        in order.
         """
         q, (bits, n, tail) = self.queries[i], self.parts[i]
         if q.n_item < SHORT_WORDS:
             there = whole and text == q.words if q.n_item < LEAST_WORDS else _word_for_word(q.words, text)
-            return (n, q.answer) if there else None
+            return (n, q.answer, n, q.answer) if there else None
         common = common_length(bits, n, text)
-        if common < q.least:
-            return None
-        return common, common_length(tail, q.answer, text) if q.answer else 0
+        copy = common >= q.least
+        told = common_length(tail, q.answer, text) if copy and q.answer else 0
+        if not latent:
+            return (common, told, common, told) if copy else None
+        rarer, n_rarer, every, answer = self._clauses(i)
+        known = [w for w in text if w in bits]
+        if loose_length(rarer, known) < MIN_RARE * n_rarer - 1e-9:
+            return (common, told, common, told) if copy else None
+        loose, loose_told = loose_length(every, known), loose_length(answer, known)
+        return (common, told, max(loose, common), max(loose_told, told)) if copy else (0, 0, loose, loose_told)
 
 
-def search(docs: DataFrame, queries: list[Query], idf: np.ndarray, terms: np.ndarray, vectors: np.ndarray) -> DataFrame:
-    """Passages of a bounded block found in all documents: doc_id, row, item_id, passage, n, n_item, common, answer, n_answer, cosine, word_at.
+def search(docs: DataFrame, queries: list[Query], idf: np.ndarray, terms: np.ndarray, vectors: np.ndarray, cosine: float = MIN_COSINE) -> DataFrame:
+    """Passages of a bounded block found in all documents: doc_id, row, item_id, passage, n, n_item, common, answer, loose, loose_answer, n_answer, cosine, word_at.
 
     ``row`` tells rows of one id apart.
     """
@@ -420,7 +461,8 @@ def search(docs: DataFrame, queries: list[Query], idf: np.ndarray, terms: np.nda
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, idf, rows, weighted, latent, postings = shared.value
         reach = np.array([-(-len(q.words) // BLOCK_WORDS) for q in queries], np.int64)
-        judge, n_queries, least = Judge(queries), max(len(queries), 1), np.array([q.least for q in queries], np.int64)
+        judge, n_queries = Judge(queries, idf), max(len(queries), 1)
+        least, kept = (np.array([of(q) for q in queries], np.int64) for of in (lambda q: q.least, lambda q: q.least_kept))
         places = np.cumsum([0, *(len(q.words) for q in queries)]), terms_of([w for q in queries for w in q.words])
         tiny: dict[tuple, list[int]] = {}
         for i, q in enumerate(queries):
@@ -439,30 +481,35 @@ def search(docs: DataFrame, queries: list[Query], idf: np.ndarray, terms: np.nda
                 term = _terms(chunk.span_hash(starts, ends, lower=True))
                 vector, length = latent_blocks(term, block, place, first, idf, rows, weighted)
                 block_doc = np.repeat(np.arange(chunk.n_docs), np.diff(first))
-                close, rare = near(vector, length, latent), sharing(term, block, first, block_doc, postings, reach)
-                pairs = np.unique(np.concatenate([close[0] * n_queries + close[1], rare[0] * n_queries + rare[1]]))
-                pairs = pairs[likely_enough(pairs // n_queries, pairs % n_queries, term, block, block_doc, reach, places, least)]
-                pairs = pairs[enough_words(pairs // n_queries, pairs % n_queries, term, block, first, block_doc, reach, places, least)]
+                close, rare = near(vector, length, latent, cosine), sharing(term, block, first, block_doc, postings, reach)
+                enough = []
+                for (b, q), words in ((close, kept), (rare, least)):  # a rare neighbour is asked for a copy's words, a latent one for a paraphrase's
+                    likely = likely_enough(b, q, term, block, block_doc, reach, places, words)
+                    b, q = b[likely], q[likely]
+                    sure = enough_words(b, q, term, block, first, block_doc, reach, places, words)
+                    enough.append(np.unique(b[sure] * n_queries + q[sure]))
+                pairs = np.union1d(*enough)
+                latent_pair = np.isin(pairs, enough[0]).tolist()
                 raw = textvec.LOWER[chunk.data].tobytes()
                 word = lambda lo, hi: [raw[x:y] for x, y in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)]
                 best: dict[tuple[int, int], tuple] = {}
-                for b, i in zip(*(x.tolist() for x in divmod(pairs, n_queries)), strict=True):
+                for b, i, is_latent in zip(*(x.tolist() for x in divmod(pairs, n_queries)), latent_pair, strict=True):
                     d, n = int(block_doc[b]), len(queries[i].words)
                     at = (b - int(first[d])) * BLOCK_WORDS
                     lo, hi = word_first[d] + max(0, at - n), min(word_first[d + 1], word_first[d] + at + 2 * BLOCK_WORDS + n)
-                    seen = judge(i, word(lo, hi), lo == word_first[d] and hi == word_first[d + 1])
+                    seen = judge(i, word(lo, hi), lo == word_first[d] and hi == word_first[d + 1], is_latent)
                     if seen:
                         best[d, i] = max(best.get((d, i), (0,)), (*seen, float(vector[b] @ latent[i] / length[b]), at))
                 if tiny:
                     few = np.flatnonzero((np.diff(word_first) > 0) & (np.diff(word_first) < LEAST_WORDS))
                     for d in few.tolist():
                         for i in tiny.get(tuple(word(word_first[d], word_first[d + 1])), []):
-                            best[d, i] = (len(queries[i].words), queries[i].answer, float(vector[first[d]] @ latent[i] / length[first[d]]), 0)
-                for (d, i), (common, answer, cosine, at) in best.items():
+                            best[d, i] = (*[len(queries[i].words), queries[i].answer] * 2, float(vector[first[d]] @ latent[i] / length[first[d]]), 0)
+                for (d, i), (*words, closest, at) in best.items():
                     q = queries[i]
-                    out.append((ids[chunk.first_row + d], keys[chunk.first_row + d], q.item, q.passage, len(q.words), q.n_item, common, answer, q.n_answer, cosine, at))
+                    out.append((ids[chunk.first_row + d], keys[chunk.first_row + d], q.item, q.passage, len(q.words), q.n_item, *words, q.n_answer, closest, at))
             if out:
-                kinds = [batch.column(0).type, *[pa.int64()] * 8, pa.float64(), pa.int64()]
+                kinds = [batch.column(0).type, *[pa.int64()] * 10, pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=FOUND)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -470,14 +517,17 @@ def search(docs: DataFrame, queries: list[Query], idf: np.ndarray, terms: np.nda
     return docs.select("doc_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row")).mapInArrow(found, ", ".join(f"{c} {types[c]}" for c in FOUND))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, workspace: Workspace) -> DataFrame:
-    """(doc_id, item_id, cosine, common, answer, word_at) of every benchmark item found in a document.
+def leaks(docs: DataFrame, benchmark: DataFrame, workspace: Workspace, min_cosine: float = MIN_COSINE) -> DataFrame:
+    """(doc_id, item_id, kind, cosine, common, answer, word_at) of every benchmark item found in a document.
 
     Items are worked on in blocks of QUERY_BLOCK passages, each against all documents.
     An item is found where passages of MIN_COMMON of its words are there in order, each
     passage with that share of its own, and MIN_ANSWER of its answer (``passages``) with
-    them.  A stretch about as long as a passage is found whatever its cosine; one spread
-    wider by insertions may need the cosine.  Items of under SHORT_WORDS words must be
+    them (kind copy).  A stretch about as long as a passage is found whatever its cosine;
+    one spread wider by insertions may need the cosine.  Or passages whose windows have
+    the cosine ``min_cosine`` and MIN_RARE of the rarer half of their words have MIN_LOOSE of
+    the item's words and MIN_ANSWER of its answer, in order inside each clause of CLAUSE
+    words (kind paraphrase).  ``common`` and ``answer`` are these shares.  Items of under SHORT_WORDS words must be
     there word for word, those of under LEAST_WORDS words as a whole document.
 
     Null or empty documents and items match nothing; a repeated row gives its own leaks;
@@ -494,13 +544,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, workspace: Workspace) -> DataFr
     found = None
     for part in range(parts):
         block = [Query(r["item_id"], r["passage"], [bytes(w) for w in r["words"]], r["answer"], r["n_item"], r["n_answer"]) for r in placed.where(F.col("part") == part).collect()]
-        hits = search(docs, block, idf, terms, vectors)
+        hits = search(docs, block, idf, terms, vectors, min_cosine)
         found = hits if found is None else found.unionByName(hits)
     # a repeated row may stand anywhere in the input, so rows are told apart by where they were read
     kept = workspace.keep("found", found)
     items = kept.groupBy("doc_id", "row", "item_id").agg(
-        F.sum("common").alias("words"), F.max("n_item").alias("n_item"), F.sum("answer").alias("told"), F.max("n_answer").alias("n_told"),
+        *[F.sum(c).alias(c) for c in ("common", "answer", "loose", "loose_answer")], F.max("n_item").alias("n_item"), F.max("n_answer").alias("n_answer"),
         F.max("cosine").alias("cosine"), F.min_by("word_at", "passage").alias("word_at"),
     )
-    common, answer = F.col("words") / F.col("n_item"), F.col("told") / F.col("n_told")
-    return items.where((common >= MIN_COMMON - 1e-9) & (answer >= MIN_ANSWER)).select("doc_id", "item_id", "cosine", common.alias("common"), answer.alias("answer"), "word_at")
+    share = lambda c, of: F.col(c) / F.col(of)
+    copy = (share("common", "n_item") >= MIN_COMMON - 1e-9) & (share("answer", "n_answer") >= MIN_ANSWER)
+    paraphrase = (share("loose", "n_item") >= MIN_LOOSE - 1e-9) & (share("loose_answer", "n_answer") >= MIN_ANSWER)
+    which = lambda a, b, of: F.when(copy, share(a, of)).otherwise(share(b, of))
+    return items.where(copy | paraphrase).select(
+        "doc_id", "item_id", F.when(copy, "copy").otherwise("paraphrase").alias("kind"), "cosine", which("common", "loose", "n_item").alias("common"),
+        which("answer", "loose_answer", "n_answer").alias("answer"), "word_at")
