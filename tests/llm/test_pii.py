@@ -83,6 +83,45 @@ def test_a_second_generation_is_found(spark):
     assert found == {*hexes, *unseen, "KK-77-last"}
 
 
+def extracted(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = pii.find(frame, Workspace(spark, "pii"), carry=("text",)).collect()
+    return {r["text"][s["start"] : s["end"]] for r in rows for s in r["added"]}
+
+
+@pytest.mark.parametrize("share", [0.05, 0.2, 0.5])
+def test_the_share_of_seeds_is_no_cliff(spark, share):
+    """Known identifiers are few or many of a pattern's values: the others are found all the same, and no values of other places are.
+
+    Beside them stand places where seeds are as few, but whose other values are met all over.
+    """
+    known = 20
+    hexes = [hashlib.md5(str(i).encode()).hexdigest() for i in range(known)]
+    unseen = [f"QX-{1000 + i}-zz" for i in range(round(known * (1 - share) / share))]
+    texts = [f"the {w} token = {v} was set" for i, v in enumerate([*hexes, *unseen]) for w in [("old", "new", "first")[i % 3]]]
+    versions = [f"v{i}.{j}.0-rc" for i in range(40) for j in range(4)]
+    texts += [f"it runs build {v} here" for v in versions] + [f"it runs build 10.1.{i}.7 here" for i in range(max(5, round(len(versions) * share / (1 - share) / 4)))]
+    texts += [f"we saw {v} again" for v in versions] + [f"{v} came after {w} today" for v, w in zip(versions, versions[1:], strict=False)]
+    texts += [f"in room b{100 + i}-{i} today" for i in range(60)]
+    found = extracted(spark, texts)
+    recall = len(found & set(unseen)) / len(unseen)
+    wrong = found - set(unseen) - set(hexes)
+    assert set(hexes) <= found and recall >= 0.9
+    assert len(wrong) <= 0.05 * len(found), sorted(wrong)[:5]
+
+
+def test_spans_apart(spark):
+    import random
+
+    r = random.Random(6)
+    span = lambda: (lambda a: (r.randint(0, 4), a, a + r.randint(1, 9)))(r.randint(0, 200))
+    rows = [([span() for _ in range(r.randint(0, 12))], [span() for _ in range(r.randint(0, 12))]) for _ in range(120)]
+    df = spark.createDataFrame(rows, "a array<struct<kind:int,start:int,end:int>>, b array<struct<kind:int,start:int,end:int>>")
+    found = df.select("a", "b", F.array_sort(pii.apart(F.col("a"), F.col("b"))).alias("c")).collect()
+    for x in found:
+        assert [tuple(y) for y in x["c"]] == sorted(tuple(a) for a in x["a"] if not any(a["start"] < b["end"] and b["start"] < a["end"] for b in x["b"]))
+
+
 def test_running_totals(spark):
     for n in (0, 1, 63, 64, 65, 5000):
         df = spark.createDataFrame([([i % 7 for i in range(n)],)], "x array<int>")

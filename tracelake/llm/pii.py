@@ -3,10 +3,12 @@
 Everything here is DataFrame functions.  Base matches of a kind are located by splitting
 the text at the pattern: matches and the gaps between them give every start and end.
 Every word with a digit is a candidate; the words left and right of it make its lexical
-patterns.  Seeds (candidates that are base matches, or long hex strings as secrets) vote
-for patterns; patterns and candidates form a bipartite graph whose scores Spark iterates.
-Candidates in trusted patterns become seeds of the next generation, so identifiers found
-through one pattern bring in the next, until no pattern is added.
+patterns.  Seeds (candidates that are base matches, or long hex strings as secrets) speak
+for patterns; seeds of other kinds, and unknown candidates that are also met where no seed
+is, speak against them.  Patterns and candidates form a bipartite graph whose scores Spark
+iterates to their fixed point.  Candidates in trusted patterns become seeds of the next
+generation, so identifiers found through one pattern bring in the next, until no pattern
+is added.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm import common
 from tracelake.llm.common import Workspace, broadcast_if_small
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -39,10 +42,16 @@ MAX_VALUE = 128
 SECRET = r"^[0-9a-f]{32,64}$"
 #: Characters on each side that patterns are made of.
 CONTEXT = 64
-ITERATIONS = 3
+#: Seeds that a trusted pattern has at least.
 MIN_SEEDS = 5
 SHRINK = 4.0
+#: What an unknown value that is met nowhere else counts against its pattern, of a seed: patterns of which a twentieth are seeds are still trusted.
+PRIOR = 0.02
+#: Values of a pattern without seeds from which on it is a place of doubt rather than a gap in what is known.
+DOUBT = 10.0
 TRUST = 0.6
+#: Scores that change by less are at their fixed point.
+CHANGE = 0.01
 #: What a pattern and its scores take in a hash table, at most.
 PATTERN_BYTES = 512
 BLOCK = 64
@@ -156,45 +165,62 @@ def seed_kind(value: Column) -> Column:
     return F.coalesce(found, F.when(value.rlike(SECRET), F.lit(KINDS.index("secret"))))
 
 
-def generation(edges: DataFrame, workspace: Workspace, name: str) -> DataFrame:
-    """Trusted patterns (pattern, pattern_kind, trust) of distinct edges (pattern, value, kind); a null kind is not known yet.
+def _scores(pairs: DataFrame) -> DataFrame:
+    """(pattern, seeds, values, c0...) of rows (pattern, value, kind, against): seeds against other seeds, doubts and the prior."""
+    kinds = range(len(KINDS))
+    own = lambda k: F.count_if(F.col("kind") == k)
+    sums = pairs.groupBy("pattern").agg(
+        F.count("kind").alias("seeds"), F.count("*").alias("values"), F.coalesce(F.sum(F.when(F.col("kind").isNull(), F.greatest("against", F.lit(PRIOR)))), F.lit(0.0)).alias("doubts"), *[own(k).alias(f"s{k}") for k in kinds])
+    return sums.select("pattern", "seeds", "values", *[(F.col(f"s{k}") / (F.col("seeds") + F.col("doubts") + SHRINK)).alias(f"c{k}") for k in kinds])
+
 
-    A value's score for a kind is 1 if it is of that kind, 0 if of another, else the best
-    score of its patterns.  A pattern's score is the mean score of its values, shrunk by
-    SHRINK, if MIN_SEEDS of them are known.  After ITERATIONS rounds patterns of score
-    TRUST and over are returned with their best kind.
+def generation(edges: DataFrame, workspace: Workspace, name: str) -> DataFrame:
+    """Trusted patterns (pattern, pattern_kind, trust) of distinct edges (pattern, value, kind, left); a null kind is not known yet.
+
+    A pattern's score for a kind is the share of that kind's seeds in all that it holds:
+    other seeds count whole, an unknown value counts as much as it is doubtful, PRIOR at
+    least, and SHRINK is added.  A value is as doubtful as the worst of the places where
+    it is met otherwise.  A place is the word to the left of a value (``left``, the
+    pattern of one word); its doubt is what its best score lacks, times the weight of its
+    number of values.  Scores and doubts depend on each other and are iterated: scores
+    only fall from round to round, so they end at a fixed point, up to CHANGE.
     """
     kinds = range(len(KINDS))
-    known = F.col("kind").isNotNull()
-    scored = edges.select("pattern", "value", "kind", *[F.when(known, (F.col("kind") == k).cast("double")).otherwise(0.0).alias(f"v{k}") for k in kinds])
-    for n in range(ITERATIONS):
-        patterns = scored.groupBy("pattern").agg(
-            F.count("kind").alias("known"), *[(F.sum(f"v{k}") / (F.count("*") + SHRINK)).alias(f"c{k}") for k in kinds]
-        ).where(F.col("known") >= MIN_SEEDS).drop("known")
-        if n == ITERATIONS - 1:
-            break
-        patterns = broadcast_if_small(workspace.keep(f"{name}-patterns{n}", patterns), PATTERN_BYTES)
-        free = edges.where(~known).join(patterns, "pattern")
-        values = free.groupBy("value").agg(*[F.max(f"c{k}").alias(f"n{k}") for k in kinds])
-        scored = workspace.keep(f"{name}-scores{n}", edges.join(values, "value", "left").select("pattern", "value", "kind", *[
-            F.when(known, (F.col("kind") == k).cast("double")).otherwise(F.coalesce(f"n{k}", F.lit(0.0))).alias(f"v{k}") for k in kinds
-        ]))
-    top = F.greatest(*[f"c{k}" for k in kinds])
+    top = F.greatest(*[F.col(f"c{k}") for k in kinds])
+    scores, before = None, None
+    for n in itertools.count():
+        if scores is None:
+            pairs = edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.lit(0.0).alias("against"))
+        else:
+            places = scores.where(F.col("pattern").startswith("L ")).select(F.col("pattern").alias("left"), ((1 - top) * F.col("values") / (F.col("values") + DOUBT)).alias("doubt"))
+            free = workspace.keep(f"{name}-free{n}", edges.where("kind is null and left is not null").select("value", "left").distinct().join(broadcast_if_small(places, PATTERN_BYTES), "left"))
+            worst = free.groupBy("value").agg(F.max(F.struct("doubt", "left")).alias("w"))
+            other = free.join(worst, "value").where(F.col("left") != F.col("w.left")).groupBy("value").agg(F.max("doubt").alias("next"))
+            worst = workspace.keep(f"{name}-worst{n}", worst.join(other, "value", "left").select("value", F.col("w.doubt").alias("doubt"), F.col("w.left").alias("worst"), F.coalesce("next", F.lit(0.0)).alias("next")))
+            met = edges.join(worst, "value", "left")
+            against = F.when(F.col("left") == F.col("worst"), F.col("next")).otherwise(F.col("doubt"))  # not by its own place
+            pairs = met.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.coalesce(F.min(against), F.lit(0.0)).alias("against"))
+        before, scores = scores, workspace.keep(f"{name}-scores{n}", _scores(pairs))
+        if before is not None:
+            old = before.select("pattern", *[F.col(f"c{k}").alias(f"o{k}") for k in kinds])
+            moved = scores.join(old, "pattern").where(F.greatest(*[F.abs(F.col(f"c{k}") - F.col(f"o{k}")) for k in kinds]) >= CHANGE)
+            if not moved.limit(1).count():
+                break
     kind = F.coalesce(*[F.when(F.col(f"c{k}") == top, F.lit(k)) for k in kinds])
-    return patterns.where(top >= TRUST).select("pattern", kind.alias("pattern_kind"), top.alias("trust"))
+    return scores.where((F.col("seeds") >= MIN_SEEDS) & (top >= TRUST)).select("pattern", kind.alias("pattern_kind"), top.alias("trust"))
 
 
 def bootstrap(graph: DataFrame, workspace: Workspace) -> DataFrame:
-    """Trusted patterns (pattern, pattern_kind, trust) of a graph of distinct (pattern, value, seed) rows.
+    """Trusted patterns (pattern, pattern_kind, trust) of a graph of distinct (pattern, value, seed, left) rows.
 
     Generations follow until one adds no pattern: values in trusted patterns are seeds of
     the next one, with the kind of the most trusted.  A pattern once trusted stays so.
     Patterns of under MIN_SEEDS values can never be trusted and are left out.
     """
     graph = workspace.keep("graph", graph)
-    enough = graph.groupBy("pattern").agg(F.count("*").alias("values")).where(F.col("values") >= MIN_SEEDS).select("pattern")
+    enough = graph.groupBy("pattern").agg(F.count_distinct("value").alias("values")).where(F.col("values") >= MIN_SEEDS).select("pattern")
     enough = broadcast_if_small(workspace.keep("enough", enough), PATTERN_BYTES)
-    edges = workspace.keep("edges-0", graph.join(enough, "pattern", "left_semi").select("pattern", "value", F.col("seed").alias("kind")))
+    edges = workspace.keep("edges-0", graph.join(enough, "pattern", "left_semi").select("pattern", "value", F.col("seed").alias("kind"), "left"))
     trusted, n_trusted = None, 0
     for n in itertools.count(1):
         now = generation(edges, workspace, f"generation{n}")
@@ -206,7 +232,28 @@ def bootstrap(graph: DataFrame, workspace: Workspace) -> DataFrame:
             return trusted
         best = F.max_by("pattern_kind", F.struct("trust", -F.col("pattern_kind")))
         found = edges.where("kind is null").join(broadcast_if_small(trusted, PATTERN_BYTES), "pattern").groupBy("value").agg(best.alias("told"))
-        edges = workspace.keep(f"edges-{n}", edges.join(found, "value", "left").select("pattern", "value", F.coalesce("kind", "told").alias("kind")))
+        edges = workspace.keep(f"edges-{n}", edges.join(found, "value", "left").select("pattern", "value", F.coalesce("kind", "told").alias("kind"), "left"))
+
+
+def apart(added: Column, base: Column) -> Column:
+    """The added spans that no base span overlaps, by one sweep over both in order of their starts."""
+    far = 1 << 30
+    item = lambda kind: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.lit(kind).alias("added"))
+    items = F.array_sort(F.concat(F.transform(base, item(0)), F.transform(added, item(1))))
+    largest = lambda a, b: F.greatest(a, b)
+
+    def swept(s: Column) -> Column:
+        ends = running(F.transform(s, lambda x: F.when(x["added"] == 0, x["end"]).otherwise(0)), largest)  # of base spans before
+        behind = running(F.transform(F.reverse(s), lambda x: F.when(x["added"] == 0, far - x["start"]).otherwise(0)), largest)
+        begins = F.reverse(F.slice(behind, 1, F.size(s)))  # of base spans behind
+        return let(F.struct(s.alias("s"), ends.alias("ends"), begins.alias("begins")), clear)
+
+    def clear(state: Column) -> Column:
+        trio = F.transform(state["s"], lambda x, i: F.struct(x.alias("x"), F.get(state["ends"], i).alias("end"), (far - F.get(state["begins"], i)).alias("begin")))
+        kept = F.filter(trio, lambda t: (t["x"]["added"] == 1) & (t["end"] <= t["x"]["start"]) & (t["begin"] >= t["x"]["end"]))
+        return F.transform(kept, lambda t: F.struct(t["x"]["kind"].alias("kind"), t["x"]["start"].alias("start"), t["x"]["end"].alias("end")))
+
+    return F.when(F.size(added) == 0, added).when(F.size(base) == 0, added).otherwise(let(items, swept))
 
 
 def find(docs: DataFrame, workspace: Workspace, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -215,23 +262,27 @@ def find(docs: DataFrame, workspace: Workspace, carry: tuple[str, ...] = ()) ->
     Base spans of each kind are kept as they are; an added span is a candidate in a
     trusted pattern that no base span overlaps, with the kind of its own form or else of
     its most trusted pattern.  Both are sorted by kind and start.  A null or empty text
-    has none.  Repeated rows each give a row; columns outside ``carry`` are left out.
+    has none.  Repeated rows each give a row, and rows of one id keep their own spans, as
+    texts are told apart by SHA-256; columns outside ``carry`` are left out.  Long texts
+    are worked on whole.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.xxhash64("doc_id", text)
+    key = F.unhex(F.sha2(text, 256))
     said = docs.where(F.col("text").rlike("[0-9]")).select("doc_id", key.alias("_key"), F.explode(occurrences(F.col("text"))).alias("o"))
     said = said.select("doc_id", "_key", "o.value", "o.start", "o.end", patterns_of(F.col("o.left"), F.col("o.right")).alias("patterns")).distinct()
     said = workspace.keep("candidates", said.withColumn("seed", seed_kind(F.col("value"))))
-    met = said.select("doc_id", "_key", "value", "seed", "start", "end", F.explode("patterns").alias("pattern"))
-    trusted = bootstrap(met.select("pattern", "value", "seed").distinct(), workspace)
+    left = F.get(F.filter("patterns", lambda p: p.startswith("L ")), 0).alias("left")
+    met = said.select("doc_id", "_key", "value", "seed", "start", "end", left, F.explode("patterns").alias("pattern"))
+    trusted = bootstrap(met.select("pattern", "value", "seed", "left").distinct(), workspace)
     best = F.coalesce("seed", F.max_by("pattern_kind", F.struct("trust", -F.col("pattern_kind")))).alias("kind")
     spans = met.join(broadcast_if_small(trusted, PATTERN_BYTES), "pattern").groupBy("doc_id", "_key", "start", "end", "seed").agg(best)
     added = spans.groupBy(F.col("_key").alias("_akey"), F.col("doc_id").alias("_adoc")).agg(F.collect_list(F.struct("kind", "start", "end")).alias("_added"))
     base = F.concat(*[base_spans(text, k) for k in BASE_KINDS])
     rows = docs.select("doc_id", *[c for c in carry if c != "doc_id"], key.alias("_key"), base.alias("base"))
     staged = workspace.keep("added", added)
-    joined = rows.join(staged, (F.col("_key") == F.col("_akey")) & F.col("doc_id").eqNullSafe(F.col("_adoc")), "left")
-    clear = F.filter("_added", lambda a: ~F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
+    size = staged.agg(F.sum(F.size("_added") * 24 + 128)).first()[0] or 0
+    joined = rows.join(F.broadcast(staged) if size <= common.BROADCAST_BYTES else staged, (F.col("_key") == F.col("_akey")) & F.col("doc_id").eqNullSafe(F.col("_adoc")), "left")
+    clear = apart(F.col("_added"), F.col("base"))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     return joined.select("doc_id", *[c for c in carry if c != "doc_id"], "base", F.coalesce(F.array_sort(clear), none).alias("added"))
 
