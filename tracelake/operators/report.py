@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.money import usd
@@ -85,6 +89,41 @@ def reflection(used: DataFrame, sessions: DataFrame, entries: DataFrame, events:
     return reduce(DataFrame.unionByName, parts)
 
 
+QUESTION_LOG = "ts timestamp, skill string, question_id string, user_choice string, recommended string"
+SKILL_EVENTS = "ts timestamp, skill string, event string, outcome string"
+
+
+@dataclass(frozen=True)
+class ReflectionSource:
+    """Where answers and skill events of a reflection come from: two builders, either of which may be missing."""
+
+    name: str
+    questions: Callable[[SparkSession], DataFrame] | None = None
+    skills: Callable[[SparkSession], DataFrame] | None = None
+
+    def read(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """Answers (QUESTION_LOG) and skill events (SKILL_EVENTS); empty where there is no builder."""
+        pairs = ((self.questions, QUESTION_LOG), (self.skills, SKILL_EVENTS))
+        return tuple(build(spark).select([c.split()[0] for c in schema.split(", ")]) if build else spark.createDataFrame([], schema) for build, schema in pairs)
+
+
+def first_available(spark: SparkSession, sources: list[ReflectionSource]) -> ReflectionSource | None:
+    """The first source that has any rows; one that cannot be read is passed over."""
+    for source in sources:
+        try:
+            if any(not rows.isEmpty() for rows in source.read(spark)):
+                return source
+        except (PySparkException, OSError, ValueError) as error:
+            warnings.warn(f"reflection source {source.name} is left out: {str(error).splitlines()[0]}", stacklevel=2)
+    return None
+
+
+def reflect(spark: SparkSession, sources: list[ReflectionSource], used: DataFrame, sessions: DataFrame, start: str, end: str, previous_start: str, zone: str = "UTC") -> DataFrame:
+    """``reflection`` over the first source that is available; without one the measures of usage and sessions remain."""
+    questions, events = (first_available(spark, sources) or ReflectionSource("none")).read(spark)
+    return reflection(used, sessions, questions, events, start, end, previous_start, zone)
+
+
 def habits(sessions: DataFrame, events: DataFrame, start: str, end: str, zone: str = "UTC") -> DataFrame:
     """The habits of a period as rows (measure, label, value)."""
     own, done = usage.in_window(sessions, start, end, "started_at"), usage.in_window(events, start, end)

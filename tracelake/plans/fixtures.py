@@ -92,7 +92,7 @@ def codex(spark: SparkSession, sf_dir: str) -> str:
     message = F.to_json(obj(timestamp=iso(), type="event_msg", payload=obj(type="user_message", message=F.concat(F.lit("Fix  it "), F.col("k")))))
     model = F.to_json(obj(type="turn_context", payload=obj(model="gpt-5-codex")))
     line = F.when(counted, counter).when(F.col("event_type") == "click", message).otherwise(model)
-    path = F.concat(F.lit("2024/rollout-"), "user_id", F.lit(".jsonl"))
+    path = F.concat(F.when(F.col("user_id") % 8 < 4, "sessions").otherwise("archived_sessions"), F.lit("/2024/rollout-"), "user_id", F.lit(".jsonl"))
     first = e.groupBy("user_id", "cwd").agg(F.min("ts").alias("ts"))
     meta = F.to_json(obj(timestamp=iso(), type="session_meta", payload=obj(id=F.col("user_id").cast("string"), timestamp=iso(), cwd=F.col("cwd"))))
     root = new_folder(spark, "codex")
@@ -100,32 +100,38 @@ def codex(spark: SparkSession, sf_dir: str) -> str:
     return mounted(root)
 
 
-def write_sqlite(tables: dict[str, tuple[str, DataFrame]], path: str) -> None:
-    """Write small tables (columns in SQL, rows) into one SQLite file, by one task."""
+#: Users of one store, so the number of stores grows with that of users.
+USERS_PER_STORE = 32
+
+
+def write_sqlite(tables: dict[str, tuple[str, DataFrame]], root: str) -> None:
+    """Write tables (columns in SQL, rows with their ``store``) into SQLite files ``store.db`` under a root, each by the task that gets it."""
     rows = None
     for name, (_, df) in tables.items():
-        one = df.select(F.lit(name).alias("name"), F.to_json(F.array(*[F.col(c).cast("string") for c in df.columns]), {"ignoreNullFields": "false"}).alias("row"))
+        values = [F.col(c).cast("string") for c in df.columns if c != "store"]
+        one = df.select("store", F.lit(name).alias("name"), F.to_json(F.array(*values), {"ignoreNullFields": "false"}).alias("row"))
         rows = one if rows is None else rows.unionByName(one)
     columns = {name: sql for name, (sql, _) in tables.items()}
 
-    def written(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def one_store(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         import json
+        import os
         import shutil
 
         with tempfile.NamedTemporaryFile(suffix=".db") as own:
             db = sqlite3.connect(own.name)
             for name, sql in columns.items():
                 db.execute(f"CREATE TABLE {name} ({sql})")
-            for part in parts:
-                for r in part.itertuples():
-                    values = json.loads(r.row)
-                    db.execute(f"INSERT INTO {r.name} VALUES ({', '.join('?' * len(values))})", values)
+                values = [json.loads(x) for x in part.loc[part["name"] == name, "row"]]
+                if values:
+                    db.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(values[0]))})", values)
             db.commit()
             db.close()
-            shutil.copy(own.name, path)
-        yield pd.DataFrame({"files": [1]})
+            os.makedirs(root, exist_ok=True)
+            shutil.copy(own.name, f"{root}/{key[0]}.db")
+        return pd.DataFrame({"files": [1]})
 
-    rows.coalesce(1).mapInPandas(written, "files long").count()
+    rows.groupBy("store").applyInPandas(one_store, "files long").count()
 
 
 def _sql(ddl: str) -> str:
@@ -134,7 +140,8 @@ def _sql(ddl: str) -> str:
 
 def _users(spark: SparkSession, sf_dir: str, assistant: int) -> DataFrame:
     """One row a user: first time in milliseconds, events, sums."""
-    return doings(spark, sf_dir, assistant).groupBy("user_id", "cwd").agg(
+    store = F.floor(F.col("user_id") / USERS_PER_STORE).alias("store")
+    return doings(spark, sf_dir, assistant).groupBy("user_id", "cwd", store).agg(
         F.min(F.unix_millis("ts")).alias("ms"), F.count("*").alias("n"), F.sum("k").alias("sum_k"), F.sum(F.floor(F.col("value") * 10)).alias("sum_value"), F.max("k").alias("k"))
 
 
@@ -144,8 +151,8 @@ def threads(spark: SparkSession, sf_dir: str) -> str:
     rest = {"id": F.col("user_id").cast("string"), "rollout_path": F.lit("/r"), "cwd": F.col("cwd"), "title": F.when(F.col("user_id") % 3 == 0, F.concat(F.lit(" T "), "user_id")).otherwise(""),
             "first_user_message": F.when(F.col("user_id") % 5 == 0, "[$gstack-qa](x) go").otherwise("hello"), "preview": F.when(F.col("user_id") % 2 == 0, "seen"),
             "created_at_ms": F.when(F.col("user_id") % 7 != 0, F.col("ms")).otherwise(0), "archived": F.col("user_id") % 2}
-    path = mounted(new_folder(spark, "threads")) + ".sqlite"
-    write_sqlite({"threads": (_sql(THREADS), u.select(*[rest[c.split()[0]].alias(c.split()[0]) for c in THREADS.split(", ")]))}, path)
+    path = mounted(new_folder(spark, "threads"))
+    write_sqlite({"threads": (_sql(THREADS), u.select("store", *[rest[c.split()[0]].alias(c.split()[0]) for c in THREADS.split(", ")]))}, path)
     return path
 
 
@@ -155,8 +162,8 @@ def opencode(spark: SparkSession, sf_dir: str) -> str:
     some = lambda c: F.when(F.col("user_id") % 10 != 0, c).otherwise(0)
     rest = {"id": F.concat(F.lit("o"), "user_id"), "directory": F.col("cwd"), "title": F.lit("  A  title"), "time_created": F.col("ms"), "model": model, "parent_id": F.lit(None), "tokens_input": some(F.col("sum_value")),
             "tokens_output": some(F.col("sum_k")), "tokens_reasoning": F.lit(1), "tokens_cache_read": F.col("n"), "tokens_cache_write": F.lit(2)}
-    path = mounted(new_folder(spark, "opencode")) + ".db"
-    write_sqlite({"session": (_sql(SESSIONS), u.select(*[rest[c.split()[0]].cast("string").alias(c.split()[0]) for c in SESSIONS.split(", ")]))}, path)
+    path = mounted(new_folder(spark, "opencode"))
+    write_sqlite({"session": (_sql(SESSIONS), u.select("store", *[rest[c.split()[0]].cast("string").alias(c.split()[0]) for c in SESSIONS.split(", ")]))}, path)
     return path
 
 
@@ -164,27 +171,29 @@ def cursor(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """Two stores: sessions with and without bubbles, headers with and without a known workspace."""
     u = _users(spark, sf_dir, CURSOR)
     sid, hash_ = F.concat(F.lit("c"), "user_id"), F.md5(F.col("cwd"))
-    bubbles = u.where(F.col("user_id") % 10 != 0).select(F.explode(F.sequence(F.lit(1), (F.col("n") % 5 + 1).cast("int"))).alias("i"), sid.alias("sid")).select(F.concat(F.lit("bubbleId:"), "sid", F.lit(":"), "i").alias("key"), F.lit("{}").alias("value"))
-    data = u.select(F.concat(F.lit("composerData:"), sid).alias("key"), F.to_json(F.struct(F.concat(F.lit("Chat "), "user_id").alias("name"), F.col("ms").alias("createdAt"), F.when(F.col("user_id") % 3 == 0, F.col("sum_k")).alias("tokenCount"))).alias("value"))
+    bubbles = u.where(F.col("user_id") % 10 != 0).select("store", F.explode(F.sequence(F.lit(1), (F.col("n") % 5 + 1).cast("int"))).alias("i"), sid.alias("sid")).select("store", F.concat(F.lit("bubbleId:"), "sid", F.lit(":"), "i").alias("key"), F.lit("{}").alias("value"))
+    data = u.select("store", F.concat(F.lit("composerData:"), sid).alias("key"), F.to_json(F.struct(F.concat(F.lit("Chat "), "user_id").alias("name"), F.col("ms").alias("createdAt"), F.when(F.col("user_id") % 3 == 0, F.col("sum_k")).alias("tokenCount"))).alias("value"))
     header = F.struct(sid.alias("composerId"), F.when(F.col("user_id") % 4 == 3, F.struct(F.when(F.col("user_id") % 5 != 0, hash_).otherwise("17").alias("id"))).alias("workspaceIdentifier"))
-    heads = u.agg(F.collect_list(header).alias("allComposers")).select(F.lit("composer.composerHeaders").alias("key"), F.to_json(F.struct("allComposers")).alias("value"))
+    heads = u.groupBy("store").agg(F.collect_list(header).alias("allComposers")).select("store", F.lit("composer.composerHeaders").alias("key"), F.to_json(F.struct("allComposers")).alias("value"))
     root = new_folder(spark, "cursor")
     folders = u.select("cwd").distinct().select(F.concat(F.md5("cwd"), F.lit("/workspace.json")).alias("path"), F.lit(0).alias("n"), F.to_json(F.struct(F.concat(F.lit("file://"), "cwd").alias("folder"))).alias("line"))
     write_files(folders, root)
-    path = mounted(root) + "-state.vscdb"
+    path = mounted(new_folder(spark, "cursor-state"))
     text = "key TEXT, value TEXT"
     write_sqlite({"cursorDiskKV": (text, bubbles.unionByName(data)), "ItemTable": (text, heads)}, path)
     return path, mounted(root)
 
 
-def skill_files(spark: SparkSession, sf_dir: str) -> str:
-    """A SKILL.md of each nation: some with a block of data before the text, quoted or folded, some without."""
+def skill_files(spark: SparkSession, sf_dir: str, rooted: bool = False) -> str:
+    """A SKILL.md of each nation: some with a block of data before the text, quoted or folded, some without; ``rooted`` under a user's, plugins' and a system's folder."""
     n = v.table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     name = F.concat(F.lit("name: "), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit('"'), "n_name", F.lit('"'))).otherwise(F.col("n_name")))
     about = F.when(F.col("n_nationkey") % 5 == 0, F.lit("description: |\n  One\n  two")).otherwise(F.lit("description: >\n  One\n  two"))
     text = F.when(F.col("n_nationkey") % 3 != 0, F.concat_ws("\n", F.lit("---"), name, about, F.concat(F.lit("version: 1."), "n_nationkey"), F.lit("tags:\n- a\n---\nbody"))).otherwise("# no data")
     root = new_folder(spark, "skills")
-    write_files(n.select(F.concat(F.lit("s"), "n_nationkey", F.lit("/SKILL.md")).alias("path"), F.lit(0).alias("n"), text.alias("line")), root)
+    k = F.col("n_nationkey")
+    above = F.when(k % 4 == 0, "user/skills/").when(k % 4 == 1, F.concat(F.lit("plugins/plug"), k % 3, F.lit("/1.0/skills/"))).otherwise("system/skills/") if rooted else F.lit("")
+    write_files(n.select(F.concat(above, F.lit("s"), "n_nationkey", F.lit("/SKILL.md")).alias("path"), F.lit(0).alias("n"), text.alias("line")), root)
     return mounted(root)
 
 

@@ -193,3 +193,13 @@ def alert_payloads(spark, d):
     hits = findings.scan(v.seeded_lines(spark, d), 7).select("category", "fingerprint", "snippet_redacted").distinct()
     rows = findings.with_playbook(hits).withColumns({"kind": F.lit("new_finding"), "count": F.lit(1), "first_seen": F.lit("2024-01-02 03:04:05").cast("timestamp")})
     return rows.select("fingerprint", findings.payload().alias("plain"), findings.payload("incident").alias("incident"))
+
+
+@query("real_titles", """v_said AS (SELECT *, CASE c_custkey % 7 WHEN 0 THEN '<command-name>x' WHEN 1 THEN '<local-command-stdout>' WHEN 2 THEN ' <system-reminder> ' || c_name WHEN 3 THEN 'Caveat: ' || c_name WHEN 4 THEN '[Request interrupted by user]'
+  WHEN 5 THEN '  ' ELSE ' My ' || chr(10) || ' ' || c_name END AS said FROM customer)""", "SELECT c_custkey, CASE WHEN c_custkey % 7 = 6 THEN 'My ' || c_name END AS title FROM v_said")
+def real_titles(spark, d):
+    """Prompts that a tool has put in, and blank ones, are no titles."""
+    n, name = F.col("c_custkey"), F.col("c_name")
+    forms = [F.lit("<command-name>x"), F.lit("<local-command-stdout>"), F.concat(F.lit(" <system-reminder> "), name), F.concat(F.lit("Caveat: "), name), F.lit("[Request interrupted by user]"), F.lit("  "), F.concat(F.lit(" My \n "), name)]
+    said = F.element_at(F.array(*forms), (n % 7 + 1).cast("int"))
+    return v.table(spark, d, "customer").select("c_custkey", text.real_title(said).alias("title"))

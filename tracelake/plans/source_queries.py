@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.storage import mounted, new_folder
-from tracelake.operators import report
+from tracelake.operators import findings, report
 from tracelake.operators import usage as u
 from tracelake.plans import fixtures as f
 from tracelake.plans import views as v
-from tracelake.plans.catalogue import PRICED_SQL, STAMP, USD, query
+from tracelake.plans.catalogue import BEFORE, END, PRICED_SQL, START, STAMP, USD, query
+from tracelake.sinks import json as sink
 from tracelake.sources import jsonl, providers, stores
 from tracelake.streaming import watch
 
@@ -147,6 +148,96 @@ def read_installed_skills(spark, d):
     return stores.by_source(stores.installed_skills(spark, {"user": f.skill_files(spark, d)})).select("name", "description", "source", "version")
 
 
+@query("read_skill_roots", """SELECT CASE WHEN n_nationkey % 3 <> 0 THEN n_name ELSE 's' || n_nationkey END AS name, CASE n_nationkey % 4 WHEN 0 THEN 'user' WHEN 1 THEN 'plugin' ELSE 'system' END AS source,
+  CASE WHEN n_nationkey % 4 = 1 THEN 'plug' || (n_nationkey % 3) END AS plugin, row_number() OVER (ORDER BY 2, lower(name)) AS place FROM nation""".replace("ORDER BY 2, lower(name)", "ORDER BY CASE n_nationkey % 4 WHEN 0 THEN 'user' WHEN 1 THEN 'plugin' ELSE 'system' END, lower(CASE WHEN n_nationkey % 3 <> 0 THEN n_name ELSE 's' || n_nationkey END)"))
+def read_skill_roots(spark, d):
+    """Skills of a user's, the plugins' and the system's folders as one listing, in its order."""
+    root = f.skill_files(spark, d, rooted=True)
+    rows = stores.by_source(stores.installed_skills(spark, {"user": f"{root}/user", "plugin": f"{root}/plugins", "system": f"{root}/system"}))
+    places = [(r["name"], r["source"], r["plugin"], i) for i, r in enumerate(rows.collect(), 1)]  # a row a nation
+    return spark.createDataFrame(places, "name string, source string, plugin string, place long")
+
+
+@query("read_claude_flat", OF, CLAUDE_SESSIONS, f"SELECT {SESSION_COLUMNS} FROM v_claude_sessions WHERE cwd = '/w/u4/p4'")
+def read_claude_flat(spark, d):
+    """Only the files right in a directory."""
+    root = f.claude(spark, d)
+    above = jsonl.read_lines(spark, root, recursive=False)  # the root itself holds directories only
+    return _sessions(jsonl.claude_sessions(jsonl.read_lines(spark, f"{root}/-w-u4-p4", recursive=False).unionByName(above)))
+
+
+@query("read_codex_roots", OF, CODEX_SESSIONS, f"SELECT {SESSION_COLUMNS} FROM v_codex_sessions")
+def read_codex_roots(spark, d):
+    """Rollouts under two roots, live and archived."""
+    root = f.codex(spark, d)
+    return _sessions(providers.union(spark, [providers.codex([f"{root}/sessions", f"{root}/archived_sessions"])], "sessions"))
+
+
+@query("read_codex_broken_store", OF, CODEX_SESSIONS, f"SELECT {SESSION_COLUMNS} FROM v_codex_sessions")
+def read_codex_broken_store(spark, d):
+    """One of the thread stores is broken, which shows half-way: all sessions come from the rollouts, none from both."""
+    path = f.threads(spark, d)
+    with open(f"{path}/broken.db", "wb") as store:
+        store.write(b"SQLite format 3\0" + bytes(2000))
+    return _sessions(providers.union(spark, [providers.codex([f.codex(spark, d)], threads=path)], "sessions"))
+
+
+@query("read_cursor_locked_store", OF, USERS, CURSOR_SESSIONS, f"SELECT {SESSION_COLUMNS} FROM v_cursor_sessions")
+def read_cursor_locked_store(spark, d):
+    """A store that another program has locked is skipped; the others are read."""
+    import sqlite3
+
+    path, spaces = f.cursor(spark, d)
+    lock = sqlite3.connect(f"{path}/locked.db", isolation_level=None)
+    lock.execute("CREATE TABLE cursorDiskKV (key TEXT, value TEXT)")
+    lock.execute("BEGIN EXCLUSIVE")
+    try:
+        rows = _sessions(stores.cursor_sessions(spark, path, spaces)[0])
+        kept = new_folder(spark, "unlocked")
+        rows.write.parquet(kept)
+    finally:
+        lock.close()
+    return spark.read.schema(rows.schema).parquet(kept)
+
+
+@query("provider_skills", OF, USERS, f"""SELECT 'claude' AS provider, CASE WHEN k % 2 = 0 THEN 'ship' ELSE 'review' END AS skill_name, folder AS cwd, strftime(ts, {STAMP}) AS ts, k % 2 = 0 AS is_gstack FROM v_of WHERE assistant = 0 AND event_type = 'signup'
+UNION ALL SELECT 'codex', 'qa', folder, CASE WHEN user_id % 7 <> 0 THEN strftime(begun, {STAMP}) END, true FROM v_users WHERE assistant = 1 AND user_id % 5 = 0""")
+def provider_skills(spark, d):
+    """Skills of all assistants that keep them, through the union."""
+    every = [providers.claude(f.claude(spark, d)), providers.codex([f.codex(spark, d)], threads=f.threads(spark, d)), providers.opencode(f.opencode(spark, d))]
+    return providers.union(spark, every, "skills").select("provider", "skill_name", "cwd", v.stamp("ts").alias("ts"), "is_gstack")
+
+
+@query("provider_questions", OF, v.QUESTIONS_SQL, f"""SELECT 'claude' AS provider, 'Which of ' || k || '?' AS question, recommended_option, chosen_option, CAST(user_id AS VARCHAR) AS session_id
+FROM v_of JOIN v_questions USING (event_id) WHERE assistant = 0 AND event_type = 'view' AND user_id IN (SELECT user_id FROM v_of WHERE placed)""")
+def provider_questions(spark, d):
+    rows = providers.union(spark, [providers.claude(f.claude(spark, d)), providers.codex([f.codex(spark, d)])], "questions")
+    return rows.select("provider", "question", "recommended_option", "chosen_option", "session_id")
+
+
+@query("provider_installed", """v_names AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 3 <> 0 THEN n_name ELSE 's' || n_nationkey END AS name FROM nation)""",
+       "SELECT 'claude' AS provider, CASE k % 4 WHEN 0 THEN 'user' ELSE 'plugin' END AS source, name FROM v_names WHERE k % 4 < 2 UNION ALL SELECT 'codex', 'system', name FROM v_names WHERE k % 4 >= 2")
+def provider_installed(spark, d):
+    root = f.skill_files(spark, d, rooted=True)
+    every = [providers.claude(f"{root}/none", {"user": f"{root}/user", "plugin": f"{root}/plugins"}), providers.codex([], skill_roots={"system": f"{root}/system"})]
+    return providers.union(spark, every, "installed").select("provider", "source", "name")
+
+
+@query("sessions_json", OF, CLAUDE_SESSIONS, """SELECT '{"provider":"claude","session_id":"' || session_id || '","cwd":"' || cwd || '","started_at":' || coalesce('"' || strftime(started_at, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00"', 'null')
+  || ',"event_count":' || event_count || ',"title":' || coalesce('"' || title || '"', 'null') || '}' AS json FROM v_claude_sessions""")
+def sessions_json(spark, d):
+    """Sessions as lines of JSON with their fixed fields but the path, which differs from run to run."""
+    rows = jsonl.claude_sessions(jsonl.read_lines(spark, f.claude(spark, d)))
+    return sink.objects(rows, tuple(c for c in sink.FIELDS["sessions"] if c != "source_path"))
+
+
+@query("scan_roots", v.SEEDED_SQL, "SELECT category, count(*) AS hits FROM v_scan WHERE confidence >= 7 GROUP BY 1")
+def scan_roots(spark, d):
+    """A scan of transcripts under roots of which one is missing."""
+    lines = jsonl.scan_lines(spark, _transcripts(spark, d), mounted(new_folder(spark, "missing")))
+    return findings.scan(lines, 7).groupBy("category").agg(F.count("*").alias("hits"))
+
+
 LOGGED = """v_logged AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN ts WHEN 1 THEN ts END AS at_time, CASE WHEN event_id % 5 = 2 THEN date_trunc('day', ts) END AS at_day, 's' || (k % 7) AS skill, event_type AS event,
   CASE WHEN k % 3 > 0 THEN 'clean' END AS outcome, CASE WHEN k % 2 = 0 THEN 'yes' END AS user_choice, CASE WHEN k % 4 = 0 THEN 'yes' ELSE 'no' END AS recommended FROM v_events WHERE event_id % 11 <> 10)"""
 
@@ -161,6 +252,17 @@ def read_question_log(spark, d):
     return jsonl.question_log(jsonl.read_lines(spark, f.logs(spark, d))).withColumn("ts", v.stamp("ts"))
 
 
+@query("reflection_from_logs", LOGGED, """SELECT 'compliance' AS measure, NULL AS label, avg(CAST(CAST(user_choice = recommended AS INT) AS DOUBLE)) AS value FROM v_logged
+  WHERE coalesce(at_time, at_day) >= TIMESTAMP '{start}' AND coalesce(at_time, at_day) < TIMESTAMP '{end}' AND user_choice IS NOT NULL AND recommended IS NOT NULL""".replace("{start}", START).replace("{end}", END))
+def reflection_from_logs(spark, d):
+    """Of several sources the first one with rows serves: logs under a folder, behind a source that has none."""
+    root = f.logs(spark, d)
+    logs = report.ReflectionSource("logs", lambda s: jsonl.question_log(jsonl.read_lines(s, root)), lambda s: jsonl.timeline(jsonl.read_lines(s, root)))
+    gone = report.ReflectionSource("gone", lambda s: jsonl.question_log(jsonl.read_lines(s, f"{root}-gone")))
+    rows = report.reflect(spark, [report.ReflectionSource("none"), gone, logs], v.usage(spark, d), v.sessions(spark, d), START, END, BEFORE)
+    return rows.where("measure = 'compliance'")
+
+
 @query("provider_sessions", *ALL_SESSIONS, f"SELECT provider, {SESSION_COLUMNS} FROM v_every")
 def provider_sessions(spark, d):
     """All assistants in one listing; one whose store is missing is left out."""
@@ -248,3 +350,24 @@ def watch_totals(spark, d):
     """Counters that the stream has kept over its batches, drops included."""
     rows = spark.read.schema(watch.COUNTER).parquet(f"{_watched_twice(spark, d)}/counters/batch=*")
     return report.watch_totals(rows, "2024-01-01").drop("catches_today")
+
+
+@query("watch_sweep", v.SEEDED_SQL, "SELECT file, line_no, left(sha1(category || ':' || snippet_redacted), 16) AS fingerprint FROM v_scan WHERE confidence >= 7 AND left(sha1(category || ':' || snippet_redacted), 1) >= '8'")
+def watch_sweep(spark, d):
+    """What a full scan finds beyond the findings that a watch knows."""
+    lines = v.seeded_lines(spark, d)
+    known = findings.scan(lines, 7).where(F.left("fingerprint", F.lit(1)) < "8")
+    rows = watch.sweep(lines.withColumn("byte_offset", F.col("line_no").cast("long")), known)
+    return rows.select("file", F.col("byte_offset").alias("line_no"), "fingerprint")
+
+
+@query("requeue_dead", """SELECT 'h' || (o_orderkey % 3) AS hook_id, CAST(o_orderkey AS VARCHAR) AS fingerprint, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 1 + CAST(o_orderkey % 3 = 1 AS INT) END AS attempts FROM orders WHERE o_orderkey % 3 > 0 OR o_orderkey % 5 = 0""")
+def requeue_dead(spark, d):
+    """Dead letters sent once more: hook h0 takes them now, h1 still refuses, h2 is not asked; bodies that are no JSON stay."""
+    n, none = F.col("o_orderkey"), F.lit(None)
+    dead = v.table(spark, d, "orders").select(
+        F.concat(F.lit("h"), n % 3).alias("hook_id"), n.cast("string").alias("fingerprint"), F.when(n % 5 == 0, "no json").otherwise("{}").alias("body"), F.lit(1).alias("attempts"),
+        none.cast("string").alias("last_error"), none.cast("timestamp").alias("attempted_at"))
+    send = lambda hook, body, key: 200 if hook == "h0" else 404
+    first, second = (watch.requeue(dead.where(F.col("hook_id") == h), send, h) for h in ("h0", "h1"))
+    return first.unionByName(second).unionByName(dead.where("hook_id = 'h2'")).select("hook_id", "fingerprint", "attempts")

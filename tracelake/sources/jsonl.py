@@ -25,13 +25,13 @@ def scan_lines(spark: SparkSession, *roots: str) -> DataFrame:
     return read_lines(spark, *found) if found else spark.createDataFrame([], "file string, line_no int, line string")
 
 
-def read_lines(spark: SparkSession, *paths: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(file, line_no, line) of every non-blank line under the paths; numbers start at 1 in each file.
+def read_lines(spark: SparkSession, *paths: str, pattern: str = "*.jsonl", recursive: bool = True) -> DataFrame:
+    """(file, line_no, line) of every non-blank line under the paths, or right in them; numbers start at 1 in each file.
 
     Lines are numbered inside the block of a file that one task reads, and shifted by the
     lines of the blocks before, so a long file is not one task's work.
     """
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(list(paths))
+    raw = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).text(list(paths))
     rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
     blocks = rows.groupBy("file", "block").agg(F.count("*").alias("lines"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

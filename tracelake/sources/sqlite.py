@@ -1,13 +1,16 @@
 """A Python data source for tables of SQLite files, with filters pushed into the query.
 
-Options: ``path`` (a file), ``table`` (a table name or a parenthesised query), ``columns``
-(a DDL schema), ``skip_locked`` (a store that stays locked gives no rows instead of an
-error).  The file is opened read-only, with one retry while it is locked; each range of row
-ids is a partition; a query is one partition.
+Options: ``path`` (a file, or a folder of files with the same tables, as of many machines),
+``table`` (a table name or a parenthesised query), ``columns`` (a DDL schema),
+``skip_locked`` (a store that stays locked gives no rows instead of an error, the others
+stay).  Files are opened read-only, with one retry while they are locked.  A range of row
+ids of a large file is a partition, as are some small files together; a query is not cut.
 """
 
 from __future__ import annotations
 
+import glob
+import os
 import sqlite3
 import time
 from collections.abc import Iterator
@@ -18,6 +21,8 @@ from pyspark.sql.types import StructType
 
 OPERATORS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 ROWS_PER_PARTITION = 200_000
+#: Files of under so many bytes are read whole, so many in one partition.
+SMALL_BYTES, FILES_PER_PARTITION = 32 << 20, 32
 
 
 def connect(path: str) -> sqlite3.Connection:
@@ -33,9 +38,11 @@ def connect(path: str) -> sqlite3.Connection:
     raise AssertionError
 
 
-class RowIds(InputPartition):
-    def __init__(self, low: int, high: int):
-        super().__init__((low, high))
+class Parts(InputPartition):
+    """Stores, or ranges of row ids of them: (file, low, high), without ids for all rows."""
+
+    def __init__(self, parts: list[tuple[str, int | None, int | None]]):
+        super().__init__(parts)
 
 
 class SqliteReader(DataSourceReader):
@@ -59,33 +66,42 @@ class SqliteReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
+        files = sorted(f for f in glob.glob(f"{self.path}/**", recursive=True) if os.path.isfile(f)) if os.path.isdir(self.path) else [self.path]
+        if len(files) == 1:
+            self._open(files[0])  # a single store that is not there fails at once
+        large = [] if self.table.startswith("(") else [f for f in files if os.path.getsize(f) >= SMALL_BYTES]
+        small = [(f, None, None) for f in files if f not in set(large)]
+        found = [Parts(small[i : i + FILES_PER_PARTITION]) for i in range(0, len(small), FILES_PER_PARTITION)]
+        return [*found, *[Parts([x]) for f in large for x in self._ranges(f)]]
+
+    def _open(self, path: str) -> sqlite3.Connection | None:
+        """A connection, or nothing for a locked store that may be skipped."""
         try:
-            return self._ranges()
+            return connect(path)
         except sqlite3.OperationalError as error:
             if self.skip_locked and "locked" in str(error):
-                return [RowIds(0, -2)]
+                return None
             raise
 
-    def _ranges(self) -> list[InputPartition]:
-        if self.table.startswith("("):
-            return [RowIds(0, -1)]
-        with connect(self.path) as db:
+    def _ranges(self, path: str) -> list[tuple[str, int, int]]:
+        db = self._open(path)
+        if db is None:
+            return []
+        with db:
             low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
-        if low is None:
-            return [RowIds(0, -2)]
-        return [RowIds(a, min(a + ROWS_PER_PARTITION - 1, high)) for a in range(low, high + 1, ROWS_PER_PARTITION)]
+        return [] if low is None else [(path, a, min(a + ROWS_PER_PARTITION - 1, high)) for a in range(low, high + 1, ROWS_PER_PARTITION)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        low, high = partition.value
-        if high == -2:
-            return
         source = self.table if self.table.startswith("(") else f'"{self.table}"'
-        terms, values = [t for t, _ in self.where], [v for t, v in self.where if "?" in t]
-        if high >= low:
-            terms, values = [*terms, "rowid BETWEEN ? AND ?"], [*values, low, high]
         columns = ", ".join(f'"{n}"' for n in self.names)
-        with connect(self.path) as db:
-            yield from db.execute(f"SELECT {columns} FROM {source}" + (f" WHERE {' AND '.join(terms)}" if terms else ""), values)
+        for path, low, high in partition.value:
+            terms, values = [t for t, _ in self.where], [v for t, v in self.where if "?" in t]
+            if low is not None:
+                terms, values = [*terms, "rowid BETWEEN ? AND ?"], [*values, low, high]
+            db = self._open(path)
+            if db is not None:
+                with db:
+                    yield from db.execute(f"SELECT {columns} FROM {source}" + (f" WHERE {' AND '.join(terms)}" if terms else ""), values)
 
 
 class SqliteSource(DataSource):
