@@ -94,6 +94,7 @@ def test_without_broadcasts(spark, monkeypatch, auto):
     """The far side of the size guard gives the same classes."""
     monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(jaccard, "PAIRS_PER_TASK", 3)  # and lists are dealt over tasks
+    monkeypatch.setattr(jaccard, "HOT_COPIES", 1)
     r, rows = random.Random(7), []
     for group in range(6):
         words = [f"w{r.randint(0, 30)}" for _ in range(r.randint(6, 40))]
@@ -117,3 +118,32 @@ def test_sets_of_one_node_are_told_apart(spark):
     assert n.tolist() == [2, 1, 0] and len(set(node.tolist())) == 3
     _, moved, _ = jaccard.sizes_and_nodes(doc, h, 3, {(int(node[1]), int(tell[1])): 77, (int(node[0]), 0): 78})
     assert moved.tolist() == [node[0], 77, node[2]]
+
+
+PLACED = "key long, node long, n int, pos int, list long, rank int, degree long, root long, main long"
+
+
+@pytest.mark.parametrize("tasks", [5, 4_000_000])
+def test_long_lists_give_the_same_pairs(spark, monkeypatch, tasks):
+    monkeypatch.setattr(jaccard, "PAIRS_PER_TASK", tasks)
+    r = random.Random(11)
+    rows = []
+    for key in range(3):
+        for node in range(60):
+            n = r.randint(3, 60)
+            length = jaccard.prefix_length(n, 80)
+            pos, degree = (r.randrange(length) if key else -1), r.randint(1, 9)  # subsets have lists of their own
+            rows.append((key, node, n, pos, 60, r.randint(1, degree), degree, r.choice([1, 1, 2, 3, node]), 1))
+    mixed = spark.createDataFrame(rows, PLACED)
+    pair = lambda df: {(x["key"], *sorted((x["node"], x["b"]))) for x in df.collect() if 100 * min(x["n"], x["m"]) >= 80 * max(x["n"], x["m"])
+                       and (min(x["pos"], x["mpos"]) < 0 or min(x["n"] - x["pos"], x["m"] - x["mpos"]) >= jaccard.needed(x["n"], x["m"], 80))}
+    every, few = jaccard.pairs_of_list(mixed, 80), jaccard.pairs_of_long_list(mixed, 80)
+    assert pair(every) == pair(few) and len(pair(few)) > 50
+    assert few.count() <= every.count()
+    assert few.count() == len({(x["key"], *sorted((x["node"], x["b"]))) for x in few.collect()})  # each once
+
+
+def test_a_list_of_50_000_unlinked_nodes_gives_no_candidates(spark):
+    """Sets that share a passage in the last seventh of their prefixes and are else different: no pair is made."""
+    rows = spark.range(50_000).selectExpr("1L AS key", "id AS node", "100 AS n", "13 + CAST(id % 8 AS INT) AS pos", "50000L AS list", "1 AS rank", "9L AS degree", "id AS root", "0L AS main")
+    assert jaccard.pairs_of_long_list(rows, 80).count() == 0

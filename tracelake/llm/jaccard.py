@@ -36,8 +36,11 @@ MAX_SMALL = 20
 CHECK_COST = 20.0
 STAR_ROUNDS = 2
 PIVOTS = 4
-SALTS = 8
+#: Copies from which on the rows of a node are joined by a broadcast, so no task gets more rows of one.
+HOT_COPIES = 100_000
 PAIRS_PER_TASK = 4_000_000
+#: Bands of set sizes of one long list: sizes of a band differ by a fiftieth.
+BANDS = 50.0
 #: Pairs of an Arrow batch: each brings two whole sets.
 PAIR_BATCH = 32
 
@@ -313,6 +316,50 @@ def _enough_shared(percent: int) -> Column:
     return (F.col("low") < 0) | ((F.col("reach") >= need) & (F.col("times") >= need - _beyond(n, m, percent)))
 
 
+MATE = {"node": "b", "root": "cb", "n": "m", "pos": "mpos", "degree": "mdegree", "rank": "mrank"}
+
+
+def _mate(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("key", *more, *[F.col(c).alias(to) for c, to in MATE.items()])
+
+
+def pairs_of_list(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of entries of different roots in the lists of rows ``mixed`` with their ``main`` root, each pair once."""
+    across = (F.col("root") != F.col("cb")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("b")))
+    return mixed.join(_mate(mixed.where("root != main")), "key").where(across & _possible(percent) & _early(percent))
+
+
+def pairs_of_long_list(mixed: DataFrame, percent: int) -> DataFrame:
+    """As ``pairs_of_list`` for long lists: sizes that no link allows are not joined at all.
+
+    An entry of a set of size n with r shingles from it on shares r at most, so a partner
+    of size m needs percent * (n + m) <= (100 + percent) * r, and 100 * m >= percent * n.
+    The larger set asks the bands of the sizes m <= n that this leaves, often none.  Within
+    a band both sides are dealt over a square of tasks of PAIRS_PER_TASK pairs.
+    """
+    n, r = F.col("n"), F.col("n") - F.col("pos")
+    band = lambda size: F.floor(F.log(size.cast("double")) * BANDS).cast("int")
+    # an entry for a subset of a small set (position -1) has no rest to count
+    most = F.when(F.col("pos") < 0, n).otherwise(F.least(n, F.floor(F.lit(100 + percent) * r / F.lit(percent)) - n))
+    low = F.ceil(F.lit(percent) * n / F.lit(100))
+    asks = mixed.withColumn("most", most).where(F.col("most") >= low).withColumn("band", F.explode(F.sequence(band(low), band(F.col("most")))))
+    tells = mixed.withColumn("band", band(n))
+    number = lambda rows, name: rows.groupBy("key", "band").agg(F.count("*").alias(name))
+    sides = number(asks, "a").join(number(tells, "t"), ["key", "band"])
+    sides = sides.select("key", "band", F.ceil(F.sqrt(F.col("a") * F.col("t") / F.lit(PAIRS_PER_TASK))).cast("int").alias("side"))
+    spread = F.explode(F.sequence(F.lit(0), F.col("side") - 1))
+    own = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col("side")).cast("int")
+    asks = asks.join(sides, ["key", "band"]).withColumn("row", own(1)).withColumn("column", spread)
+    tells = tells.join(sides, ["key", "band"]).withColumn("column", own(2)).withColumn("row", spread)
+    cell = ["key", "band", "row", "column"]
+    smaller = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("b") < F.col("node")))
+    fits = (F.col("root") != F.col("cb")) & smaller & (F.col("m") <= F.col("most")) & _possible(percent) & _early(percent)
+    # the entries of the main root are not joined with each other
+    asking, telling = asks.drop("side"), lambda rows: _mate(rows, *cell[1:])
+    found = [asking.where("root != main").join(telling(tells), cell), asking.where("root = main").join(telling(tells.where("root != main")), cell)]
+    return found[0].unionByName(found[1]).where(fits).drop(*cell[1:], "most")
+
+
 def classes(docs: DataFrame, workspace: Workspace, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Linked classes of the rows' sets: doc_id, n_shingles, component_id for every row.
 
@@ -320,7 +367,8 @@ def classes(docs: DataFrame, workspace: Workspace, words: int = WORDS, percent:
     union), itself included.  A null text, or one without words, has an empty set and is
     linked with nothing; a text of fewer words than a shingle is one shingle.  Equal
     texts, also under a repeated id, are one class.  A null id is never the least while
-    another id is there.  Words are known by 64-bit SipHash and sets by 128-bit
+    another id is there.  Ids are whole numbers, or are cast to them; other columns are not
+    read.  Texts of any length are worked on whole.  Words are known by 64-bit SipHash and sets by 128-bit
     BLAKE2b digests.  An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -353,22 +401,21 @@ def classes(docs: DataFrame, workspace: Workspace, words: int = WORDS, percent:
 
     for n in range(STAR_ROUNDS + 1):
         placed = active.join(broadcast_if_small(roots), "node")
-        mate = lambda node, root: [F.col("key"), F.col("node").alias(node), F.col("root").alias(root), F.col("n").alias("m"), F.col("pos").alias("mpos"), F.col("degree").alias("mdegree"), F.col("rank").alias("mrank")]
+        mates = [F.col(c).alias(to) for c, to in MATE.items()]
         if n < STAR_ROUNDS:
             # a node with many shared entries has few shingles of its own: it stands near the middle of its group
-            order = F.struct((-F.shiftright("degree", n)).alias("d"), F.xxhash64("node", F.lit(n)).alias("h"), *mate("b", "cb")[1:])
+            order = F.struct((-F.shiftright("degree", n)).alias("d"), F.xxhash64("node", F.lit(n)).alias("h"), *mates)
             pivots = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(order).alias("p")).where("low < high").select("key", "p.b", "p.cb", "p.m", "p.mpos", "p.mdegree")
             chosen = placed.join(pivots, "key").where((F.col("root") != F.col("cb")) & _possible(percent))
         else:
             members = placed.groupBy("key", "root").agg(F.count("*").alias("times"))
             largest = members.groupBy("key").agg(F.max(F.struct("times", "root")).alias("first"), F.count("*").alias("roots"), F.sum("times").alias("entries")).where("roots > 1")
-            # a list of many pairs is dealt over as many tasks: one side by its nodes, the other to each
-            pieces = F.ceil(F.col("entries") * (F.col("entries") - F.col("first.times")) / F.lit(PAIRS_PER_TASK)).cast("int")
-            mixed = placed.join(largest.select("key", F.col("first.root").alias("main"), pieces.alias("pieces")), "key")
-            others = mixed.where("root != main").select(*mate("b", "cb"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
-            mixed = mixed.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
-            across = (F.col("root") != F.col("cb")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("b")))
-            chosen = mixed.join(others, ["key", "piece"]).where(across & _possible(percent) & _early(percent))
+            long = F.col("entries") * (F.col("entries") - F.col("first.times")) > PAIRS_PER_TASK
+            mixed = placed.join(largest.select("key", F.col("first.root").alias("main"), long.alias("long")), "key")
+            chosen = pairs_of_list(mixed.where("NOT long").drop("long"), percent)
+            hot = workspace.keep("long", mixed.where("long").drop("long"))  # few, and read several times
+            if hot.limit(1).count():
+                chosen = chosen.unionByName(pairs_of_long_list(hot, percent).select(chosen.columns))
         sides = ("node", "root", "b", "cb")
         if n == STAR_ROUNDS:  # each pair one way round
             first = F.col("node") < F.col("b")
@@ -407,6 +454,10 @@ def classes(docs: DataFrame, workspace: Workspace, words: int = WORDS, percent:
 
     least = nodes.join(roots, "node", "left").select("node", "first_id", "copies", F.coalesce("root", "node").alias("root"))
     tops = least.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("members")).where("members > 1").drop("members")
-    named = least.join(tops, "root").select("node", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).withColumn("node", F.when(F.col("n") > 0, F.col("node")))
-    return salted.join(named, ["node", "_salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = workspace.keep("named", least.join(tops, "root").select("node", "component_id", "copies"))
+    hot = broadcast_if_small(workspace.keep("hot", named.where(F.col("copies") > HOT_COPIES).select("node", F.col("component_id").alias("hot_id"))))
+    worded = rows.where("n > 0").join(hot, "node", "left")
+    shown = lambda df, of: df.select("doc_id", F.col("n").alias("n_shingles"), of.alias("component_id"))
+    cold = worded.where("hot_id is null").join(named.where(F.col("copies") <= HOT_COPIES).drop("copies"), "node", "left")
+    parts = shown(rows.where("n = 0"), F.col("doc_id")), shown(worded.where("hot_id is not null"), F.col("hot_id")), shown(cold, F.coalesce("component_id", "doc_id"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
