@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tracelake.llm import textvec
 
 TRAIN_ROWS = 4000
+#: Bytes of a text in the training sample; with TRAIN_ROWS it bounds what the fitting task holds.
+TRAIN_BYTES = 1 << 17
 BUCKETS = 1 << 16
 CHAR_N = (3, 4)
 MIN_WORDS = 50
@@ -154,7 +156,7 @@ def _platt(margin: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Fit on at most ``rows`` labelled documents; one executor task holds that sample.
+    """Fit on at most ``rows`` labelled documents of up to TRAIN_BYTES; one executor task holds that sample.
 
     Of rows that repeat an id the least text counts, so the same model comes of every run.
     """
@@ -163,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarra
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(rows)
     )
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "h").agg(F.min("text").alias("text"))
+    sample = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "h").agg(F.min("text").alias("text"))
     fitted = sample.groupBy(F.lit(1).alias("one")).applyInPandas(
         lambda part: pd.DataFrame({"weights": [_fit(part)]}), "weights array<double>"
     ).collect()

@@ -75,9 +75,10 @@ def _open(uri: str):
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Encode, append ``end_id``, and write record and index files under ``folder`` (a URI).
 
-    Rows are range-partitioned by id, one file per partition.  A task writes under a name
-    of its own and renames at its end, so a repeated task replaces its file.  Returns the
-    manifest, one entry per file: part, path, docs, tokens.  A null text is empty (the end
+    Rows are range-partitioned by id, one file per partition.  A task writes under names of
+    its attempt's own, and the manifest names the files of attempts that ended; what others
+    have written is never read.  Returns the manifest, one entry per file: part, path,
+    docs, tokens.  Ids are cast to whole numbers; other columns are not read.  A null text is empty (the end
     id alone); a null id sorts first; equal ids follow in order of their text, and may be
     cut between files by its first PREFIX characters, so one id does not make one file.
     """
@@ -87,12 +88,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
         part = context.partitionId()
         fs, base = _open(folder)
         fs.create_dir(base, recursive=True)
-        final = f"{base}/part-{part:06d}"
-        own = f"{base}/.part-{part:06d}-{context.taskAttemptId()}"
+        name = f"part-{part:06d}-{context.taskAttemptId()}"
         encoder = _encoder(tokenizer)
         end = int(end_id).to_bytes(encoder.width, "little")
         n_docs = n_tokens = offset = 0
-        with fs.open_output_stream(f"{own}.rec") as records, fs.open_output_stream(f"{own}.idx") as index:
+        with fs.open_output_stream(f"{base}/{name}.rec") as records, fs.open_output_stream(f"{base}/{name}.idx") as index:
             for batch in batches:
                 docs = batch.column(0).to_pylist()
                 for chunk in textvec.chunks(batch.column(1)):
@@ -109,9 +109,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
                     n_docs, n_tokens = n_docs + chunk.n_docs, n_tokens + len(ids) + chunk.n_docs
                     records.write(b"".join(out))
                     index.write(b"".join(entries))
-        for kind in ("rec", "idx"):
-            fs.move(f"{own}.{kind}", f"{final}.{kind}")
-        row = [[part], [f"{folder}/part-{part:06d}.rec"], [n_docs], [n_tokens]]
+        row = [[part], [f"{folder}/{name}.rec"], [n_docs], [n_tokens]]
         yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), pa.array(row[1]), *[pa.array(x, pa.int64()) for x in row[2:]]], names=["part", "path", "docs", "tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

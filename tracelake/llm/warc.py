@@ -52,7 +52,8 @@ def captures(pages: DataFrame, workspace: Workspace, id_col: str = "page_id", mi
 
     Of rows with equal payloads of at least ``min_revisit_bytes``, the one with the
     smallest id is the response.  A null html is an empty payload.  Rows that repeat both
-    that id and the payload are all responses; a null id is larger than others.
+    that id and the payload are all responses; a null id is larger than others.  Ids are
+    cast to whole numbers; other columns are not read; pages of any length stay whole.
 
     Payloads that occur once are decided by a narrow table of digests: pages themselves
     are not shuffled while the table of repeated digests is small enough to broadcast.
@@ -216,8 +217,8 @@ def read_records(manifest: DataFrame, kind: str, types: tuple[str, ...]) -> Data
         names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    files = manifest.where(F.col("kind") == kind)
-    return files.repartition(max(1, files.count()), "path").select("path").mapInArrow(parsed, RECORD_SCHEMA)
+    files = manifest.where(F.col("kind") == kind).select("path")
+    return files.repartitionByRange(max(1, files.count()), "path").mapInArrow(parsed, RECORD_SCHEMA)  # by range, so that no two large archives meet
 
 
 def transactions(manifest: DataFrame) -> DataFrame:
