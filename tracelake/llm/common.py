@@ -58,17 +58,23 @@ def plain_reads(spark: SparkSession) -> None:
 VECTORED = "parquet.hadoop.vectored.io.enabled"
 
 
+def let_go(spark: SparkSession) -> None:
+    """A collection in the driver's JVM, as Spark's cleaner asks for now and then: plans, broadcasts and shuffles that are done with go."""
+    spark._jvm.System.gc()
+
+
 class Workspace:
     """Tables written to the shared folder, to cut lineage and to survive lost executors.
 
     Each workspace has a folder of its own.  ``keep`` writes and rereads a frame, with
     BATCH_ROWS texts at most in an Arrow batch meanwhile, as texts are long rows; ``drop``
-    deletes tables that no later step reads.
+    deletes tables that no later step reads, and ends what the driver held for them.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         plain_reads(spark)
+        let_go(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
@@ -88,6 +94,7 @@ class Workspace:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
+        let_go(self.spark)
 
 
 def clear_old(spark: SparkSession, hours: float) -> list[str]:
