@@ -167,7 +167,8 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     Returns id, n_tokens, ids_sha256, decoded_sha256.  The digests are made where the
     ids are, so the ids (several times the text) cross no process.  A null text is
-    empty: no tokens, the digests of the empty string.  Repeated rows stay.
+    empty: no tokens, the digests of the empty string.  Repeated rows stay; texts of any
+    length are encoded whole; other columns are not carried.
     """
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

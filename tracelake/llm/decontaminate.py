@@ -532,7 +532,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, workspace: Workspace, min_cosin
 
     Null or empty documents and items match nothing; a repeated row gives its own leaks;
     an item found twice in a document is reported where its first passage fits best.
-    Equal items under several ids are each reported.  Very long texts are worked on whole,
+    Equal items under several ids are each reported.  Items' ids are cast to whole numbers,
+    documents' are not; other columns are not read.  Very long texts are worked on whole,
     in blocks of bounded size.  Empty tables give no rows.
     """
     rows = workspace.keep("passages", passages(benchmark))

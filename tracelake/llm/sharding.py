@@ -71,7 +71,7 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
     shard; the table of groups has shards * SALTS rows at most and is broadcast.  Null
     text: 0 bytes, CRC 0.  Null id: one key like others; repeated rows all keep a slot of
     their own.  Rows of one id are one group, as the law puts them into one shard.  An
-    empty table gives no rows.
+    empty table gives no rows.  Other columns are not carried; texts of any length count.
     """
     key, jump_key = F.col(id_col), key_of(docs, id_col)
     salt = F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(SALTS)).cast("int").alias("_salt")
