@@ -29,7 +29,7 @@ Q = 3
 DAMAGE = 97
 MIN_LENGTH, MIN_COUNT, FORM_RATIO = 5, 3, 2
 #: Bounds of a task's table of counts in words and bytes, of a list's part in characters, and of words in an Arrow batch.
-HELD_WORDS, HELD_BYTES, LIST_CHARACTERS, WORD_ROWS = 1 << 18, 1 << 24, 1 << 17, 4096
+HELD_WORDS, HELD_BYTES, LIST_CHARACTERS, WORD_ROWS = 1 << 18, 1 << 24, 1 << 17, 2048
 
 #: A-Z, a-z and the first byte of U+00C0 to U+00FF in UTF-8.
 LETTER = np.zeros(256, bool)
@@ -72,7 +72,7 @@ def counts(docs: DataFrame) -> DataFrame:
             for chunk in textvec.chunks(batch.column(1)):
                 starts, ends = runs(chunk)
                 code, distinct = chunk.codes(starts, ends, lower=True)
-                words, n_words = distinct.to_pylist(), max(len(distinct), 1)
+                words, n_words = textvec.objects(distinct).tolist(), max(len(distinct), 1)
                 pair, times = np.unique(chunk.doc_of(starts) * n_words + code, return_counts=True)
                 begun = [crc32(f"{x}:".encode()) for x in ids[chunk.first_row : chunk.first_row + chunk.n_docs]]
                 doc, word = pair // n_words, pair % n_words
@@ -219,6 +219,8 @@ class Index:
 
     def near(self, word: bytes, grams: list[int], same: bool) -> Iterator[tuple[bytes, int]]:
         """Indexed words one edit from a word of their size (``same``), or from one that is shorter by one."""
+        if not self.words:
+            return
         get, least = self.postings.get, len(word) - same
         places = grams if same else [at for g in grams for at in (g, g + PLACE)]
         shared = [x for g in places if (x := get(g))]
@@ -294,7 +296,7 @@ def variants(docs: DataFrame, workspace: Workspace) -> DataFrame:
     """
     words = workspace.keep("words", counts(docs))
     rows = dealt(listed(words, gram_counts(words)), workspace)
-    pairs = workspace.keep("pairs", near_pairs(rows).distinct())
+    pairs = workspace.keep("pairs", near_pairs(rows).distinct(), WORD_ROWS)
     both = pairs.unionByName(pairs.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("na").alias("nb"), F.col("nb").alias("na")))
     best = F.min(F.struct((-F.col("nb")).alias("less"), F.col("b").alias("near")))
     near = both.groupBy(F.col("a").alias("word")).agg(F.count("*").alias("n_near"), F.first("na").alias("own"), best.alias("best"))
