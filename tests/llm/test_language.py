@@ -165,3 +165,19 @@ def test_many_declared_languages(spark, spoken, monkeypatch):
     assert sum(r["language"] == ["en", "fr", "de"][r["doc_id"] % 3] for r in found) >= 0.95 * len(found)
     row = workspace.read("evidence").first()
     assert len(row["classes"]) == len(row["ll"]) == len(row["p"]) == language.TOP
+
+
+def test_every_declared_language_can_win(spark):
+    """60 tags against the loop over all classes: texts that tell few of them apart, so hosts and declarations decide beyond the TOP best."""
+    tags = [a + b for a in "abcdef" for b in "ghijklmnop"]
+    rows = [(i, f"{t}o{t}u {t}a{t} " * 4, t, f"h{i}.example.{t}", t) for i, t in enumerate(tags) for _ in range(2)]
+    rows += [(1000 + i, f"wx{tags[j]}", None, f"h{i}.example.{t}", t) for i, t in enumerate(tags) for j in (i, (i + 7) % 60)]
+    rows += [(2000 + i, f"{tags[i - 1]}o", t, None, None) for i, t in enumerate(tags)]
+    rows = [(n, *r[1:]) for n, r in enumerate(rows)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, declared string, host string, suffix string").repartition(3)
+    found = {x["doc_id"]: x for x in language.identify(frame, Workspace(spark, "language")).collect()}
+    want = plain(rows)
+    assert len(found) == len(rows) == len(want)
+    for doc, lang, chance, text in want:
+        assert found[doc]["probability"] == pytest.approx(chance, abs=1e-4), doc
+        assert (found[doc]["language"], found[doc]["text_language"]) == (lang, text) or chance < 0.52, doc

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,11 @@ UNKNOWN_PRIOR = 1e-4
 SMOOTHING = 20.0
 DECLARED_SMOOTHING = 5.0
 HOT_ROWS = 1_000_000
-#: Classes of a row's evidence: the best by its text.
+#: Classes of a row's evidence: the best by its text, and all others that its text puts less than MARGIN nats below the best.
+#: Declaration and priors move two classes by 95 nats at most in a table of 10^11 rows, so what lies further back cannot win,
+#: and 676 such classes together weigh less than a double resolves.
 TOP = 16
+MARGIN = 144.0
 
 #: Letters keep their (lower-cased) byte, all other ASCII becomes a space.
 LETTER = np.full(256, 32, np.uint32)
@@ -104,22 +108,27 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _spread(classes: np.ndarray, values: np.ndarray, width: int, rest: float) -> np.ndarray:
-    """Values by class, ``rest`` for the classes that a row does not name."""
+def _spread(classes: np.ndarray, values: np.ndarray, width: int, rest: float, more: tuple[np.ndarray, np.ndarray], more_values: pa.Array) -> np.ndarray:
+    """Values by class, also those of the (row, class) pairs ``more``; ``rest`` for the classes that a row does not name."""
     found = np.full((len(classes), width), rest)
     np.put_along_axis(found, classes.astype(np.int64), values.astype(float), axis=1)
+    found[more] = more_values.flatten().to_numpy(zero_copy_only=False)
     return found
 
 
 def text_evidence(rows: DataFrame, langs: list[str], logs: np.ndarray, id_col: str) -> DataFrame:
     """The TOP best ``classes`` of each whole text, und being the last one, with their log likelihoods ``ll`` and posteriors ``p`` of the text alone; n_trigrams.
 
+    ``more``, ``more_ll`` and ``more_p`` are the other classes that can still win: those
+    within MARGIN of the best.  They are many only for a text that hardly tells many
+    declared languages apart.
+
     Overlapping trigrams are far from independent, so the mean log likelihood of n counts
     as n of them, but as 4 * sqrt(n) at most.  Likelihoods are relative to the best.  A row
-    takes ten bytes a class, and 160 at most.
+    takes ten bytes a class.
     """
     shared = rows.sparkSession.sparkContext.broadcast(logs)
-    names = [id_col, "declared", "host", "suffix", "n_trigrams", "classes", "ll", "p"]
+    names = [id_col, "declared", "host", "suffix", "n_trigrams", "classes", "ll", "p", "more", "more_ll", "more_p"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -138,12 +147,17 @@ def text_evidence(rows: DataFrame, langs: list[str], logs: np.ndarray, id_col: s
                 ll = np.concatenate(lls)
                 ll -= ll.max(axis=1, keepdims=True)
                 best = np.sort(np.argpartition(-ll, TOP - 1, axis=1)[:, :TOP], axis=1) if ll.shape[1] > TOP else np.tile(np.arange(ll.shape[1]), (len(ll), 1))
-                kept = [_lists(np.take_along_axis(x, best, axis=1), pa.float32()) for x in (ll, softmax(ll))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.concatenate(ns), pa.int64()), _lists(best, pa.int16()), *kept], names=names)
+                p = softmax(ll)
+                kept = [_lists(np.take_along_axis(x, best, axis=1), pa.float32()) for x in (ll, p)]
+                near = ll > -MARGIN
+                np.put_along_axis(near, best, False, axis=1)
+                ends = pa.array(np.concatenate([[0], near.sum(axis=1).cumsum()]), pa.int32())
+                more = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((near.nonzero()[1], pa.int16()), (ll[near], pa.float32()), (p[near], pa.float32()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.concatenate(ns), pa.int64()), _lists(best, pa.int16()), *kept, *more], names=names)
 
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.select(id_col, "declared", "host", "suffix", "text").mapInArrow(
-        scored, f"`{id_col}` {kind}, declared string, host string, suffix string, n_trigrams long, classes array<short>, ll array<float>, p array<float>"
+        scored, f"`{id_col}` {kind}, declared string, host string, suffix string, n_trigrams long, classes array<short>, ll array<float>, p array<float>, more array<short>, more_ll array<float>, more_p array<float>"
     )
 
 
@@ -160,7 +174,8 @@ def fuse(joined: DataFrame, classes: list[str], said: dict[str, np.ndarray], id_
                 continue
             n, (own, ll, p) = batch.column(2).to_numpy(), (_matrix(batch.column(i), min(k, TOP)) for i in range(3, 6))
             s, by_suffix = (_matrix(batch.column(i), k) for i in (6, 7))
-            ll, p = _spread(own, ll, k, -1e30), _spread(own, p, k, 0.0)
+            more = np.repeat(np.arange(len(n)), pc.list_value_length(batch.column(8))), batch.column(8).flatten().to_numpy(zero_copy_only=False)
+            ll, p = _spread(own, ll, k, -1e30, more, batch.column(9)), _spread(own, p, k, 0.0, more, batch.column(10))
             heard, tags, table = n > 0, batch.column(1).to_pylist(), shared.value
             others = np.maximum(s - np.where(heard[:, None], p, 0.0), 0.0)  # a row's own share is left out
             prior = np.log((others + SMOOTHING * by_suffix) / (others.sum(axis=1, keepdims=True) + SMOOTHING))
@@ -174,7 +189,7 @@ def fuse(joined: DataFrame, classes: list[str], said: dict[str, np.ndarray], id_
             )
 
     kind = joined.schema[id_col].dataType.simpleString()
-    return joined.select(id_col, "declared", "n_trigrams", "classes", "ll", "p", "s", "by_suffix").mapInArrow(
+    return joined.select(id_col, "declared", "n_trigrams", "classes", "ll", "p", "s", "by_suffix", "more", "more_ll", "more_p").mapInArrow(
         fused, f"`{id_col}` {kind}, declared string, text_language string, language string, probability double, kept boolean"
     )
 
@@ -185,8 +200,8 @@ def identify(rows: DataFrame, workspace: Workspace, id_col: str = "doc_id") -> D
     Returns id, declared, text_language, language, probability, kept.  A null or empty
     text, or one without two letters in a row, is ``und`` and not kept.  A null or
     malformed declaration is no evidence.  A null host or suffix counts as the empty
-    one.  Repeated rows each give a row.  Texts of any length are worked on whole; of many
-    declared languages the TOP best by the text remain.  If no row declares a language (as in an empty
+    one.  Repeated rows each give a row.  Texts of any length are worked on whole, and
+    every declared language can win.  If no row declares a language (as in an empty
     table), all rows are ``und``.
 
     Host priors are broadcast while they are small.  Beyond that the hosts of over
@@ -203,7 +218,7 @@ def identify(rows: DataFrame, workspace: Workspace, id_col: str = "doc_id") -> D
     evidence = workspace.keep("evidence", text_evidence(rows, langs, logs, id_col))
 
     hosts = workspace.keep("hosts", evidence.groupBy("suffix", "host").agg(F.count("*").alias("rows")))
-    heard = evidence.where("n_trigrams > 0").select("suffix", "host", "declared", F.explode(F.arrays_zip("classes", "p")).alias("x")).select("suffix", "host", "declared", F.col("x.classes").alias("class"), F.col("x.p").alias("p"))
+    heard = evidence.where("n_trigrams > 0").select("suffix", "host", "declared", F.explode(F.arrays_zip(F.concat("classes", "more").alias("class"), F.concat("p", "more_p").alias("p"))).alias("x")).select("suffix", "host", "declared", "x.class", "x.p")
     sums = workspace.keep("sums", heard.groupBy("suffix", "host", "class").agg(F.sum("p").alias("s")))
     corpus = {r["class"]: r["s"] for r in sums.groupBy("class").agg(F.sum("s").alias("s")).collect()}  # a row a class
     everything = sum(corpus.values())
