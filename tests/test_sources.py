@@ -456,3 +456,20 @@ def test_missing_roots_are_skipped(spark, tmp_path):
     found = jsonl.scan_lines(spark, f"{tmp_path}/a.jsonl", f"{tmp_path}/d", f"{tmp_path}/gone")
     assert {r["line"] for r in found.collect()} == {"x", "y"}
     assert jsonl.scan_lines(spark, f"{tmp_path}/gone").count() == 0
+
+
+def test_a_union_reads_each_source_once(spark, tmp_path):
+    """Sources are staged when the union is built: nothing is read again, and files that go afterwards change nothing."""
+    from tracelake.sources import providers
+
+    (tmp_path / "a.jsonl").write_text('{"type":"user","cwd":"/w/a","timestamp":"2024-01-01T00:00:00Z","message":{"content":"hello"}}\n')
+    rows = providers.union(spark, [providers.claude(str(tmp_path))], "sessions")
+    (tmp_path / "a.jsonl").unlink()
+    assert [r["session_id"] for r in rows.collect()] == ["a"]
+
+
+def test_short_files_are_read_once_for_their_numbers(spark, tmp_path):
+    """Only files that can be cut are read for the lines of their blocks."""
+    (tmp_path / "a.jsonl").write_text("one\n\nthree\n")
+    plan = jsonl.read_lines(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("file_size") and [(r["line_no"], r["line"]) for r in jsonl.read_lines(spark, str(tmp_path)).orderBy("line_no").collect()] == [(1, "one"), (3, "three")]
