@@ -249,3 +249,18 @@ def test_order_and_first_source(spark):
     assert [r["id"] for r in history.newest_first(rows, "ts", 0, False).collect()] == ["c", "a", "b"]
     other = spark.createDataFrame([("a", at(9)), ("d", at(9))], "id string, ts timestamp")
     assert {r["id"]: r["ts"] for r in history.first_per_id([rows, other], "id").collect()} == {"a": at(1), "b": None, "c": at(2), "d": at(9)}
+
+
+def test_fan_out_leaves_events_where_they_are(spark):
+    """Hooks are broadcast whatever the sizes; events are neither broadcast nor shuffled by their few kinds, and worked out once."""
+    from tracelake.operators import findings
+
+    hooks = spark.createDataFrame(
+        [("all", True, ["new_finding", "new_finding"], []), ("none", True, ["reopened"], None), ("some", True, ["new_finding"], ["jwt", "jwt", "email"]), ("off", False, ["new_finding"], [])],
+        "hook_id string, enabled boolean, kinds array<string>, categories array<string>")
+    events = spark.range(0, 60, 1, 3).selectExpr("id", "if(id % 3 = 0, 'reopened', 'new_finding') kind", "element_at(array('jwt', 'email', 'x', null), cast(id % 4 + 1 as int)) category")
+    rows = findings.fan_out(events, hooks)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (0, 60") == 1 and "hashpartitioning" not in plan and "BuildRight" in plan
+    want = {(i, h) for i in range(60) for h in ([["all"] + ["some"] * (i % 4 < 2), ["none"]][i % 3 == 0])}
+    assert rows.count() == len(want) and {(r["id"], r["hook_id"]) for r in rows.collect()} == want and rows.columns == ["id", "kind", "category", "hook_id"]

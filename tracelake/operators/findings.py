@@ -101,15 +101,14 @@ def with_playbook(findings: DataFrame) -> DataFrame:
 def fan_out(events: DataFrame, hooks: DataFrame) -> DataFrame:
     """Each event with each enabled hook that wants its kind and, if it filters, its category.
 
-    Hooks are exploded by kind (and category), so this is an equality join of events with
-    a configuration table, not a product.
+    Hooks are a configuration table: exploded by kind (and category) and broadcast, so
+    events are worked out once and stay where they are; there are few kinds to shuffle by.
     """
-    enabled = hooks.where("enabled")
-    wants = enabled.select("hook_id", F.explode(F.array_distinct("kinds")).alias("kind"), "categories")
-    every = wants.where(F.coalesce(F.size("categories"), F.lit(0)) <= 0).select("hook_id", "kind")
-    some = wants.where(F.size("categories") > 0).select("hook_id", "kind", F.explode(F.array_distinct("categories")).alias("category"))
-    columns = [*events.columns, "hook_id"]
-    return events.join(every, "kind").select(*columns).unionByName(events.join(some, ["kind", "category"]).select(*columns))
+    wants = hooks.where("enabled").select("hook_id", F.explode(F.array_distinct("kinds")).alias("_kind"), "categories")
+    every = wants.where(F.coalesce(F.size("categories"), F.lit(0)) <= 0).select("hook_id", "_kind", F.lit(None).cast("string").alias("_category"), F.lit(True).alias("_every"))
+    some = wants.where(F.size("categories") > 0).select("hook_id", "_kind", F.explode(F.array_distinct("categories")).alias("_category"), F.lit(False).alias("_every"))
+    known = F.broadcast(every.unionByName(some))
+    return events.join(known, (F.col("kind") == F.col("_kind")) & (F.col("_every") | (F.col("category") == F.col("_category")))).select(*events.columns, "hook_id")
 
 
 def payload(kind: str = "plain") -> Column:
