@@ -80,3 +80,14 @@ def test_results(spark, docs, place):
     leaks = {(r["doc_id"], r["item_id"]) for r in QUERIES["op2_decontamination"](spark, place).collect()}
     copies = {(doc, 1) for doc, t in rows if t and t.split()[:60] == prose(0, 120).split()[:60]}
     assert leaks == copies | {(3, 4), (4, None)}
+
+
+def test_a_kept_table_is_followed_by_a_collection_if_the_heap_has_grown(spark, monkeypatch):
+    from tracelake.llm import common
+
+    workspace, calls = common.Workspace(spark, "heap"), []
+    monkeypatch.setattr(common, "let_go", calls.append)
+    for share, name in ((0.0, "grown"), (1.1, "small")):
+        monkeypatch.setattr(common, "GROWN", share)
+        assert workspace.keep(name, spark.range(10)).count() == 10
+    assert len(calls) == 1

@@ -63,6 +63,17 @@ def let_go(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Share of the driver's largest heap above which a kept table is followed by a collection.
+GROWN = 0.45
+
+
+def let_go_if_grown(spark: SparkSession) -> None:
+    """A collection if the driver's heap has grown: what is alive is small, and a full collection gives the rest back to the machine."""
+    heap = spark._jvm.Runtime.getRuntime()
+    if heap.totalMemory() > GROWN * heap.maxMemory():
+        let_go(spark)
+
+
 class Workspace:
     """Tables written to the shared folder, to cut lineage and to survive lost executors.
 
@@ -83,6 +94,7 @@ class Workspace:
     def keep(self, name: str, df: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
         with small_batches(self.spark, batch_rows):
             df.write.mode("overwrite").parquet(self.path(name))
+        let_go_if_grown(self.spark)
         return self.read(name, df.schema)
 
     def read(self, name: str, schema=None) -> DataFrame:
