@@ -147,3 +147,21 @@ def test_a_list_of_50_000_unlinked_nodes_gives_no_candidates(spark):
     """Sets that share a passage in the last seventh of their prefixes and are else different: no pair is made."""
     rows = spark.range(50_000).selectExpr("1L AS key", "id AS node", "100 AS n", "13 + CAST(id % 8 AS INT) AS pos", "50000L AS list", "1 AS rank", "9L AS degree", "id AS root", "0L AS main")
     assert jaccard.pairs_of_long_list(rows, 80).count() == 0
+
+
+def test_frequency_classes_come_compressed(spark, monkeypatch):
+    """A slot in eight has one of two counts, as small corpora have them: an eighth of the table's bytes reaches the driver."""
+    counts = spark.range(1 << (jaccard.SLOT_BITS - 3)).selectExpr("id * 8 as a", "2 + id % 2 as b")
+    kind, collect, sizes = type(counts), type(counts).collect, []
+
+    def weighed(self):
+        rows = collect(self)
+        sizes.append(sum(len(r["data"]) for r in rows))
+        return rows
+
+    monkeypatch.setattr(kind, "collect", weighed)
+    table = jaccard.frequency_classes(counts)
+    slots = np.arange(1 << (jaccard.SLOT_BITS - 3))
+    assert (table[slots * 8] == np.minimum(4 * np.log2(2 + slots % 2), 255).astype(np.uint8)).all()
+    assert np.count_nonzero(table) == len(slots)
+    assert 0 < sizes[0] <= len(table) // 8

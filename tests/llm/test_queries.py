@@ -91,3 +91,12 @@ def test_a_kept_table_is_followed_by_a_collection_if_the_heap_has_grown(spark, m
         monkeypatch.setattr(common, "GROWN", share)
         assert workspace.keep(name, spark.range(10)).count() == 10
     assert len(calls) == 1
+
+
+def test_a_collection_leaves_little_of_the_drivers_heap_free(spark):
+    from tracelake.llm import common
+
+    common.Workspace(spark, "heap")
+    heap = spark._jvm.Runtime.getRuntime()
+    common.let_go(spark)
+    assert heap.freeMemory() < 0.55 * heap.totalMemory()

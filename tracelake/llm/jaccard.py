@@ -17,6 +17,7 @@ import hashlib
 import itertools
 import math
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -171,19 +172,20 @@ def frequency_classes(repeated: DataFrame) -> np.ndarray:
     """A byte per hash slot: four times the binary log of how often shingles of the slot repeat.
 
     It orders shingles by rough frequency.  Any order that depends on the shingle alone
-    gives right results; this one keeps lists short.  2 ** SLOT_BITS bytes at any size.
+    gives right results; this one keeps lists short.  2 ** SLOT_BITS bytes at any size,
+    which come compressed: the driver's JVM holds rows that it collects several times over.
     """
     low = (1 << BLOCK_BITS) - 1
 
     def packed(part: pd.DataFrame) -> pd.DataFrame:
         block = np.zeros(1 << BLOCK_BITS, np.uint8)
         block[part["slot"].to_numpy() & low] = np.minimum(4 * np.log2(part["n"].to_numpy(float)), 255)
-        return pd.DataFrame({"block": [int(part["slot"].iloc[0]) >> BLOCK_BITS], "data": [block.tobytes()]})
+        return pd.DataFrame({"block": [int(part["slot"].iloc[0]) >> BLOCK_BITS], "data": [zlib.compress(block.tobytes(), 1)]})
 
     sums = repeated.groupBy(F.col("a").alias("slot")).agg(F.sum("b").alias("n"))
     table = np.zeros(1 << SLOT_BITS, np.uint8)
     for r in sums.groupBy(F.shiftright("slot", BLOCK_BITS)).applyInPandas(packed, "block long, data binary").collect():
-        table[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["data"], np.uint8)
+        table[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(zlib.decompress(r["data"]), np.uint8)
     return table
 
 
