@@ -544,3 +544,24 @@ def test_a_union_lists_what_is_there_of_a_provider(spark, tmp_path, recwarn):
     assert [r["name"] for r in providers.union(spark, every, "installed").collect()] == ["one"]
     assert providers.union(spark, every[:1], "sessions", cwd="/other").count() == 0
     assert not [w for w in recwarn if "left out" in str(w.message)]
+
+
+def test_a_long_file_among_many_short_ones_is_numbered(spark, tmp_path):
+    """Spark cuts a file by all files of a scan, so a scan of the long ones alone has other blocks than one of all."""
+    from tracelake.sources import providers
+
+    say = '{"type":"user","cwd":"/w/a","timestamp":"2024-01-01T00:00:00Z","message":{"content":"hello"}}\n'
+    for i in range(50):
+        (tmp_path / f"s{i}.jsonl").write_text(say)
+    (tmp_path / "long.jsonl").write_text(say * 500)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 100_000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1000)
+    try:
+        numbers = [r["line_no"] for r in jsonl.read_lines(spark, str(tmp_path)).where(F.col("file").endswith("long.jsonl")).collect()]
+        events = {r["session_id"]: r["event_count"] for r in providers.union(spark, [providers.claude(str(tmp_path))], "sessions").collect()}
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
+    assert sorted(numbers) == list(range(1, 501))
+    assert events == {"long": 500} | {f"s{i}": 1 for i in range(50)}
