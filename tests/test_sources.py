@@ -565,3 +565,43 @@ def test_a_long_file_among_many_short_ones_is_numbered(spark, tmp_path):
             spark.conf.set(k, value)
     assert sorted(numbers) == list(range(1, 501))
     assert events == {"long": 500} | {f"s{i}": 1 for i in range(50)}
+
+
+def test_skills_of_codex_are_not_lost_with_its_thread_store(spark, tmp_path, recwarn):
+    """Without a thread store the rollouts give the skills; a broken one is an error, as is any other failure of a job."""
+    from tracelake.sources import providers
+
+    meta = {"type": "session_meta", "timestamp": "2026-06-01T00:00:00Z", "payload": {"id": "r1", "cwd": "/w/x"}}
+    say = lambda text: {"type": "event_msg", "payload": {"type": "user_message", "message": text}}
+    for place in ("sessions", "archived_sessions"):
+        write(tmp_path / place / "rollout-a.jsonl", meta, "{broken", say("  "), say("[$gstack-ship](x) go"), say("[$later](x)"))
+    write(tmp_path / "sessions/rollout-b.jsonl", meta, say("go [$not-first](x)"))
+    write(tmp_path / "sessions/rollout-c.jsonl", say("[$no-folder](x)"), say("[$no-folder](x)"))
+    (tmp_path / "stores").mkdir()
+    (tmp_path / "stores/broken.db").write_bytes(b"SQLite format 3\0" + bytes(2000))
+    with sqlite3.connect(tmp_path / "stores/whole.db") as db:
+        db.execute(f"CREATE TABLE threads ({stores.THREADS.replace('string', 'TEXT').replace('bigint', 'INTEGER')})")
+        db.execute("INSERT INTO threads VALUES ('a', 'p', '/w', 'T', '[$qa](x) go', NULL, 1000, 0)")
+    write(tmp_path / "claude/-w-x/s1.jsonl", {"type": "user", "cwd": "/w/x", "timestamp": "2026-06-01T10:00:00Z", "message": {"content": "<command-name>/review</command-name>"}})
+    roots = [f"{tmp_path}/sessions", f"{tmp_path}/archived_sessions"]
+    skills = lambda p: {(r["provider"], r["skill_name"], r["cwd"], r["is_gstack"], r["source_path"].rsplit("/", 2)[-2]) for r in providers.union(spark, [providers.claude(f"{tmp_path}/claude"), p], "skills").collect()}
+    claude, ship = ("claude", "review", "/w/x", False, "-w-x"), ("codex", "ship", "/w/x", True, "sessions")
+    with pytest.raises(Exception, match="not a database"):
+        skills(providers.codex(roots, threads=f"{tmp_path}/stores"))
+    assert skills(providers.codex(roots, threads=f"{tmp_path}/gone")) == {claude, ship} == skills(providers.codex(roots))
+    assert [r["skill_name"] for r in providers.union(spark, [providers.codex(roots, threads=f"{tmp_path}/stores/whole.db")], "skills").collect()] == ["qa"]
+    assert skills(providers.codex([f"{tmp_path}/none"], threads=f"{tmp_path}/gone")) == {claude} and any("codex is left out" in str(w.message) for w in recwarn)
+
+
+def test_only_a_store_that_cannot_be_read_has_a_second_source(spark, tmp_path):
+    from tracelake.sources import providers
+
+    (tmp_path / "broken.db").write_bytes(b"SQLite format 3\0" + bytes(2000))
+    broken = lambda s, _: stores.codex_threads(s, f"{tmp_path}/broken.db")
+    died = lambda s, _: s.range(2).select(F.raise_error(F.lit("a task died")).alias("id")).where("id is null")
+    gone = lambda s, _: s.createDataFrame([(providers.store(f"{tmp_path}/gone"),)])
+    second = lambda s, _: s.range(3)
+    for first, other, message in ((died, second, "a task died"), (broken, gone, "not a database"), (gone, gone, "is not there")):
+        with pytest.raises(Exception, match=message):
+            providers.either(first, other)(spark, None)
+    assert providers.either(broken, second)(spark, None).count() == 3 == providers.either(gone, second)(spark, None).count()
